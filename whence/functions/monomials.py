@@ -7,7 +7,7 @@ that share a gate token.  Everything here is a built-in Spark expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,27 +34,31 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def key_text(keys: Iterable[Column | str]) -> Column:
-    """Text of a compound key; separators inside values are escaped, NULL is ``\\N``."""
+def key_text(keys: Iterable[Column | str], types: Mapping[str, str] | None = None) -> Column:
+    """Text of a compound key; separators inside strings are escaped, NULL is ``\\N``.
+
+    Columns that ``types`` shows not to be strings are not searched for separators.
+    """
     parts = []
     for k in keys:
         text = as_column(k).cast("string")
-        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        if types is None or types.get(k, "string") == "string":
+            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
         parts.append(F.coalesce(text, F.lit("\\N")))
     return F.concat_ws("|", *parts) if parts else F.lit("")
 
 
-def gate_token(name: str, keys: Iterable[Column | str]) -> Column:
-    return F.concat(F.lit(f"{name}["), key_text(keys), F.lit("]"))
+def gate_token(name: str, keys: Iterable[Column | str], types: Mapping[str, str] | None = None) -> Column:
+    return F.concat(F.lit(f"{name}["), key_text(keys, types), F.lit("]"))
 
 
-def match_token(name: str, keys: Iterable[Column | str]) -> Column:
+def match_token(name: str, keys: Iterable[Column | str], types: Mapping[str, str] | None = None) -> Column:
     """Gate token that is NULL when a key is NULL, so that it never joins (SQL ``=``)."""
     keys = list(keys)
     present = F.lit(True)
     for k in keys:
         present = present & as_column(k).isNotNull()
-    return F.when(present, gate_token(name, keys))
+    return F.when(present, gate_token(name, keys, types))
 
 
 def gate_ref(name: str, monomial: Column | str = PROV) -> Column:

@@ -318,12 +318,9 @@ class ProvFrame:
 
     def count_over(self, keys: Sequence[str], alias: str) -> ProvFrame:
         """``COUNT(*) OVER (PARTITION BY keys)`` as a pre-aggregated join, safe for a hot key."""
-        counts = (
-            self.df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias(alias))
-            .select(mono.gate_token("", keys).alias("__rk"), alias)
-        )
-        return self._with(attach(self.df, mono.gate_token("", keys), counts, "inner"))
+        token = mono.gate_token("", keys, dict(self.df.dtypes))
+        counts = self.df.groupBy(*keys).agg(F.count(F.lit(1)).alias(alias)).select(token.alias("__rk"), alias)
+        return self._with(attach(self.df, token, counts, "inner"))
 
 
 def attach(df: DataFrame, key: Column, per_key: DataFrame, how: str) -> DataFrame:

@@ -43,7 +43,7 @@ def group(
         raise ValueError("the input carries symbolic conditions: resolve them first or group in symbolic mode")
     if any(g.name == name for g in frame.gates):
         raise ValueError(f"gate name {name!r} is taken")
-    token = mono.gate_token(name, keys)
+    token = mono.gate_token(name, keys, dict(frame.df.dtypes))
 
     tensors = {a: agg.tensor() for a, agg in aggs.items()}
     tensors = {a: t for a, t in tensors.items() if t is not None}

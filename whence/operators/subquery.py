@@ -88,12 +88,12 @@ def semi_join(
         return any_compare(outer, x, op, inner, y, name, on)
     _check_types(outer, inner, on)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
-    token = mono.match_token(name, inner_keys)
+    token = mono.match_token(name, inner_keys, dict(inner.df.dtypes))
     derivations = inner.df.select(token.alias("gate"), *inner._hidden()).filter(F.col("gate").isNotNull())
     gate = _sum_gate(inner, name, derivations, True)
     present = inner.df.select(*inner_keys).distinct().select(token.alias("__rk")).filter(F.col("__rk").isNotNull())
-    df = attach_semi(outer.df, mono.match_token(name, outer_keys), present, "left_semi")
-    return _extended(outer, inner, gate, _times(df, mono.gate_token(name, outer_keys)))
+    df = attach_semi(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), present, "left_semi")
+    return _extended(outer, inner, gate, _times(df, mono.gate_token(name, outer_keys, dict(outer.df.dtypes))))
 
 
 def attach_semi(df: DataFrame, key: Column, present: DataFrame, how: str) -> DataFrame:
@@ -109,15 +109,15 @@ def anti_join(
     """NOT EXISTS: the outer row keeps its annotation; no difference of annotations is computed."""
     _check_types(outer, inner, on)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
-    token = mono.match_token("", inner_keys)
+    token = mono.match_token("", inner_keys, dict(inner.df.dtypes))
     if residual is None:
         present = inner.df.select(*inner_keys).distinct().select(token.alias("__rk"))
-        return outer._with(attach_semi(outer.df, mono.match_token("", outer_keys), present, "left_anti"))
+        return outer._with(attach_semi(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), present, "left_anti"))
     x, op, y = residual
     if op == "=":
         return anti_join(outer, inner, [*on, (x, y)])
     bounds = _bounds(inner, inner_keys, y).select(token.alias("__rk"), "__low", "__high")
-    df = attach(outer.df, mono.match_token("", outer_keys), bounds, "left")
+    df = attach(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), bounds, "left")
     some = F.coalesce(_some_match(op, F.col(x), F.col("__low"), F.col("__high")), F.lit(False))
     return outer._with(df.filter(~some).drop("__low", "__high"))
 
@@ -145,9 +145,9 @@ def not_in(outer: ProvFrame, inner: ProvFrame, x: str, y: str, on: Pairs = ()) -
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
     if on:
         counts = _bounds(inner, inner_keys, y).select(
-            mono.match_token("", inner_keys).alias("__rk"), "__n", "__known"
+            mono.match_token("", inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__n", "__known"
         )
-        df = attach(outer.df, mono.match_token("", outer_keys), counts, "left")
+        df = attach(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), counts, "left")
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("__n", "__known")})
         total, known = F.col("__n"), F.col("__known")
     else:
@@ -183,7 +183,7 @@ def scalar_compare(
     hidden_value = "__v"
     grouped = group(inner, inner_keys, name, {"v": agg}, mode="symbolic" if inner.conds else "resolved")
     gate = grouped.gate(name)
-    token = mono.gate_token(name, outer_keys)
+    token = mono.gate_token(name, outer_keys, dict(outer.df.dtypes))
     none = F.array().cast("array<string>")
 
     if not on:
@@ -198,15 +198,15 @@ def scalar_compare(
         return _extended(outer, inner, gate, df, low=0)
 
     per_key = inner.df.groupBy(*inner_keys).agg(agg.value().alias(hidden_value))
-    per_key = per_key.select(mono.match_token(name, inner_keys).alias("__rk"), hidden_value).filter(
+    per_key = per_key.select(mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), hidden_value).filter(
         F.col("__rk").isNotNull()
     )
     if mode == "symbolic":
-        df = attach_semi(outer.df, mono.match_token(name, outer_keys), per_key.drop(hidden_value), "left_semi")
+        df = attach_semi(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), per_key.drop(hidden_value), "left_semi")
         return _symbolic(outer, inner, gate, df, token, x, op)
     counting = agg.kind in ("count", "distinct")
     optional = counting or or_where is not None
-    left = outer.df.withColumn("__k", mono.match_token(name, outer_keys))
+    left = outer.df.withColumn("__k", mono.match_token(name, outer_keys, dict(outer.df.dtypes)))
     df = left.join(per_key, F.col("__k") == F.col("__rk"), "left" if optional else "inner")
     value = F.coalesce(F.col(hidden_value), F.lit(0)) if counting else F.col(hidden_value)
     holds = F.coalesce(mono.compare(F.col(x), op, value), F.lit(False))
@@ -266,17 +266,19 @@ def any_compare(
     left = outer.df.withColumn("__x", F.when(_all_present(xs), _as_value(x)))
     if on:
         bounds = known.df.groupBy(*inner_keys).agg(F.min("__y").alias("__low"), F.max("__y").alias("__high"))
-        bounds = bounds.select(mono.match_token("", inner_keys).alias("__rk"), "__low", "__high")
-        df = attach(left, mono.match_token("", outer_keys), bounds, "inner")
+        bounds = bounds.select(mono.match_token("", inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__low", "__high")
+        df = attach(left, mono.match_token("", outer_keys, dict(outer.df.dtypes)), bounds, "inner")
         df = df.filter(_some_match(op, F.col("__x"), F.col("__low"), F.col("__high"))).drop("__low", "__high")
     else:
         low, high = known.df.agg(F.min("__y")).scalar(), known.df.agg(F.max("__y")).scalar()
         df = left.filter(_some_match(op, F.col("__x"), low, high))
-    token = mono.gate_token(name, [*outer_keys, *xs])
+    token = mono.gate_token(name, [*outer_keys, *xs], dict(outer.df.dtypes))
 
     # one parameter row per distinct (key, x); joined with the inner rows only on reading
     params = df.select(token.alias("gate"), F.col("__x"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(outer_keys)])
     params = params.distinct()
+    if inner.conds and not on:
+        raise ValueError("resolve the symbolic conditions of the subquery first")
     inside = known.df.select(
         "__y", *inner._hidden(), *[F.col(k).alias(f"__j{i}") for i, k in enumerate(inner_keys)]
     )
@@ -313,9 +315,9 @@ def all_compare(
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
     if on:
         bounds = _bounds(inner, inner_keys, y).select(
-            mono.match_token(name, inner_keys).alias("__rk"), "__low", "__high", "__n", "__known"
+            mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__low", "__high", "__n", "__known"
         )
-        df = attach(outer.df, mono.match_token(name, outer_keys), bounds, "left")
+        df = attach(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), bounds, "left")
     else:
         df = outer.df
         bounds = _bounds(inner, [], y)
@@ -324,8 +326,8 @@ def all_compare(
     verdict = _all_match(op, F.col(x), F.col("__low"), F.col("__high")) & (F.col("__known") == total)
     df = df.filter((total == 0) | F.coalesce(verdict, F.lit(False)))
     none = F.array().cast("array<string>")
-    factor = F.when(total > 0, F.array(mono.gate_token(name, outer_keys))).otherwise(none)
+    factor = F.when(total > 0, F.array(mono.gate_token(name, outer_keys, dict(outer.df.dtypes)))).otherwise(none)
     df = df.withColumn(PROV, F.concat(F.col(PROV), factor)).drop("__low", "__high", "__n", "__known")
-    token = mono.match_token(name, inner_keys)
+    token = mono.match_token(name, inner_keys, dict(inner.df.dtypes))
     derivations = inner.df.select(token.alias("gate"), *inner._hidden()).filter(F.col("gate").isNotNull())
     return _extended(outer, inner, _sum_gate(inner, name, derivations, bool(on)), df, low=0)

@@ -1 +1,107 @@
+"""Point queries; the points are the first two coordinates of the embeddings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from whence.functions.aggregates import avg, count
+from whence.operators.frame import ProvFrame
+from whence.operators.grouping import group
+from whence.operators.points import collapse, distance_join, equal_points, in_box, nearest, within_distance
+from whence.operators.semirings import expand
+from whence.plans.base import Tables, circuit_sql, gate, prod, query, result, with_
+
+BOX = (-0.1, -0.05, 0.1, 0.2)
+IN_BOX = "x BETWEEN -0.1::DOUBLE AND 0.1::DOUBLE AND y BETWEEN -0.05::DOUBLE AND 0.2::DOUBLE"
+
+
+def _dist(a: str, b: str, c: str, d: str) -> str:
+    return f"sqrt(({a} - {c}) * ({a} - {c}) + ({b} - {d}) * ({b} - {d}))"
+
+
+AT = _dist("x", "y", "0.05::DOUBLE", "0.02::DOUBLE")
+query("points_in_box", with_(body=f"SELECT vec_id, label, vt AS how FROM v WHERE {IN_BOX}"))(
+    lambda t: result(in_box(t.points, "x", "y", BOX).select("vec_id", "label"))
+)
+query("points_in_box_count", with_(body=f"SELECT count(*) AS n, 'BOX[]' AS how FROM v WHERE {IN_BOX}"))(
+    lambda t: result(group(in_box(t.points, "x", "y", BOX), [], "BOX", {"n": count()}))
+)
+query("points_within_distance", with_(body=f"SELECT vec_id, label, vt AS how FROM v WHERE {AT} < 0.1"))(
+    lambda t: result(within_distance(t.points, "x", "y", 0.05, 0.02, 0.1).select("vec_id", "label"))
+)
+query(
+    "points_nearest", with_(body=f"SELECT vec_id, {AT} AS dist, vt AS how FROM v ORDER BY dist, vec_id LIMIT 1")
+)(lambda t: result(nearest(t.points, "x", "y", 0.05, 0.02, 1, ["vec_id"]).select("vec_id", "dist")))
+query(
+    "points_nearest_in_box",
+    with_(body=f"""SELECT vec_id, {AT} AS dist, vt AS how FROM v WHERE {IN_BOX} AND {AT} < 0.1 AND label = 3
+    ORDER BY dist, vec_id LIMIT 5"""),
+)(
+    lambda t: result(
+        nearest(
+            within_distance(in_box(t.points, "x", "y", BOX), "x", "y", 0.05, 0.02, 0.1).filter("label = 3"),
+            "x", "y", 0.05, 0.02, 5, ["vec_id"],
+        ).select("vec_id", "dist")
+    )
+)
+
+R = 0.03
+
+
+def pairs(t: Tables) -> ProvFrame:
+    places = t.points.filter("label = 0").prefixed("a_")
+    return distance_join(places, t.points.filter("label <> 0"), ("a_x", "a_y"), ("x", "y"), R)
+
+
+PAIRS = f"FROM v a JOIN v b ON {_dist('a.x', 'a.y', 'b.x', 'b.y')} <= {R}::DOUBLE WHERE a.label = 0 AND b.label <> 0"
+query(
+    "points_distance_join",
+    with_(body=f"SELECT a.vec_id AS a_vec_id, b.vec_id AS vec_id, {prod('a.vt', 'b.vt')} AS how {PAIRS}"),
+)(lambda t: result(pairs(t).select("a_vec_id", "vec_id")))
+query(
+    "points_distance_join_top",
+    with_(body=f"""SELECT a.vec_id AS a_vec_id, b.vec_id AS vec_id, {prod('a.vt', 'b.vt')} AS how {PAIRS} AND b.label > 3
+    ORDER BY a.vec_id, b.vec_id LIMIT 10"""),
+)(lambda t: result(pairs(t).filter("label > 3").order_by("a_vec_id", "vec_id").limit(10).select("a_vec_id", "vec_id")))
+
+
+def near_average(t: Tables) -> ProvFrame:
+    return group(pairs(t), ["a_vec_id"], "NEAR", {"avg_label": avg("label"), "n": count()})
+
+
+query(
+    "points_distance_join_avg",
+    with_(body=f"""SELECT a.vec_id AS a_vec_id, CAST(sum(b.label) AS DOUBLE) / count(*) AS avg_label, count(*) AS n,
+    {gate('NEAR', 'a.vec_id')} AS how {PAIRS} GROUP BY a.vec_id"""),
+)(lambda t: result(near_average(t)))
+query("points_distance_join_circuit", circuit_sql((gate("NEAR", "a.vec_id"), prod("a.vt", "b.vt"), PAIRS)))(
+    lambda t: near_average(t).circuit()
+)
+
+
+def whole_places(t: Tables) -> ProvFrame:
+    """Positions rounded to a coarse grid, so that many points coincide."""
+    rounded = F.col("vec_id") % 97, F.col("label")
+    return t.points.select("vec_id", rounded[0].alias("px"), rounded[1].alias("py"))
+
+
+PLACES = "FROM (SELECT *, vec_id % 97 AS px, label AS py FROM v)"
+EQUAL = gate("EQ", "px", "py")
+query(
+    "points_equal",
+    with_(body=f"""SELECT px, py, count(*) AS points, count(*) * count(*) AS pairs, {prod(EQUAL, EQUAL)} AS how
+    {PLACES} GROUP BY px, py"""),
+)(lambda t: result(equal_points(whole_places(t), ("px", "py"), "EQ")))
+query(
+    "points_equal_expanded",
+    with_(f"pl AS (SELECT * {PLACES})", body=f"""SELECT {prod(gate('EQ', 'a.px', 'a.py'), gate('EQ', 'a.px', 'a.py'))} AS out,
+    {prod('a.vt', 'b.vt')} AS monomial, count(*) AS coef FROM pl a JOIN pl b ON a.px = b.px AND a.py = b.py GROUP BY ALL"""),
+)(
+    lambda t: expand(equal_points(whole_places(t), ("px", "py"), "EQ")).terms.select(
+        "out", F.array_join("m", " . ").alias("monomial"), F.col("c").alias("coef")
+    )
+)
+query(
+    "points_collapsed",
+    with_(body=f"SELECT px, py, count(*) AS n, {gate('PLACE', 'px', 'py')} AS how {PLACES} GROUP BY px, py"),
+)(lambda t: result(collapse(whole_places(t), ("px", "py"), "PLACE", {"n": count()})))
