@@ -7,6 +7,7 @@ a result row with very many derivations spreads over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whence.functions import monomials as mono
-from whence.functions.monomials import COND, PROV
+from whence.functions.monomials import PROV
 from whence.operators.frame import ProvFrame
 
 # Witnesses up to this size look their proper subsets up; larger ones search by token.
@@ -181,6 +182,18 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
     return Polynomials(terms, width, delta)
 
 
+def forms(frame: ProvFrame, kinds: Sequence[str] = ("how",), max_terms: int = 10_000) -> DataFrame:
+    """Result columns with the chosen forms of provenance as text.
+
+    One row per result row, form and part: the columns, ``form``, ``part``, ``parts``, ``text``.
+    """
+    poly = expand(frame)
+    cells = [poly.cells(k, max_terms).select(F.lit(k).alias("form"), "*") for k in kinds]
+    cells = reduce(DataFrame.unionAll, cells)
+    rows = frame.df.select(*frame.columns, mono.monomial_text(PROV).alias("__row"))
+    return rows.join(cells, F.col("__row") == F.col("out")).drop("__row", "out")
+
+
 def _inline(t: DataFrame, gate, always: bool) -> DataFrame:
     token = mono.gate_ref(gate.name, "m")
     rows = t.withColumn("__t", token)

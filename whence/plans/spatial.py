@@ -80,12 +80,12 @@ query("points_distance_join_circuit", circuit_sql((gate("NEAR", "a.vec_id"), pro
 
 
 def whole_places(t: Tables) -> ProvFrame:
-    """Positions rounded to a coarse grid, so that many points coincide."""
-    rounded = F.col("vec_id") % 97, F.col("label")
-    return t.points.select("vec_id", rounded[0].alias("px"), rounded[1].alias("py"))
+    """Points moved to the corner of their 0.05 grid cell, so that many coincide."""
+    corner = lambda c: F.floor(F.col(c) / F.lit(0.05))
+    return t.points.select("vec_id", corner("x").alias("px"), corner("y").alias("py"))
 
 
-PLACES = "FROM (SELECT *, vec_id % 97 AS px, label AS py FROM v)"
+PLACES = """FROM (SELECT *, CAST(floor(x / 0.05::DOUBLE) AS BIGINT) AS px, CAST(floor(y / 0.05::DOUBLE) AS BIGINT) AS py FROM v)"""
 EQUAL = gate("EQ", "px", "py")
 query(
     "points_equal",

@@ -154,21 +154,21 @@ COUNTRIES = "(event_type = 'click' or event_type = 'view')"
 def q9_joined(t: Tables) -> ProvFrame:
     f = social(t).filter(COUNTRIES).join(t.part, [("user_id", "p_partkey")])
     g = group(f, ["hour", "p_type"], "SP91", {"count": count("value")})
-    return g.with_columns(dayPeriod=F.expr(PERIOD.format(h="hour")))
+    return g.with_columns(day_period=F.expr(PERIOD.format(h="hour")))
 
 
 def q9_flat(t: Tables) -> ProvFrame:
     g = group(social(t).filter(COUNTRIES), ["hour", "event_type"], "SP92", {"count": count("value")})
-    return g.with_columns(dayPeriod=F.expr(PERIOD.format(h="hour")))
+    return g.with_columns(day_period=F.expr(PERIOD.format(h="hour")))
 
 
 Q91 = f"FROM so JOIN p ON user_id = p_partkey WHERE {COUNTRIES}"
-query("ssbplus_q9_1", with_(SOCIAL, body=f"""SELECT hr AS hour, p_type, count(value) AS count, {PERIOD.format(h='hr')} AS "dayPeriod",
+query("ssbplus_q9_1", with_(SOCIAL, body=f"""SELECT hr AS hour, p_type, count(value) AS count, {PERIOD.format(h='hr')} AS day_period,
   {gate('SP91', 'hr', 'p_type')} AS how {Q91} GROUP BY hr, p_type"""))(lambda t: result(q9_joined(t)))
 query("ssbplus_q9_1_circuit", circuit_sql((gate("SP91", "hr", "p_type"), prod("et", "pt"), Q91), ctes=(SOCIAL,)))(
     lambda t: q9_joined(t).circuit()
 )
-query("ssbplus_q9_2", with_(SOCIAL, body=f"""SELECT hr AS hour, event_type, count(value) AS count, {PERIOD.format(h='hr')} AS "dayPeriod",
+query("ssbplus_q9_2", with_(SOCIAL, body=f"""SELECT hr AS hour, event_type, count(value) AS count, {PERIOD.format(h='hr')} AS day_period,
   {gate('SP92', 'hr', 'event_type')} AS how FROM so WHERE {COUNTRIES} GROUP BY hr, event_type"""))(
     lambda t: result(q9_flat(t))
 )
