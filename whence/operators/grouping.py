@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from whence.functions import monomials as mono
-from whence.functions.aggregates import Agg
+from whence.functions.aggregates import Agg, derivations
 from whence.functions.monomials import COND, PROV
 from whence.operators.frame import Gate, ProvFrame
 
@@ -48,12 +48,12 @@ def group(
     tensors = {a: agg.tensor() for a, agg in aggs.items()}
     tensors = {a: t for a, t in tensors.items() if t is not None}
     hidden = [COND] if frame.conds else []
-    derivations = frame.df.select(
+    members = frame.df.select(
         token.alias("gate"), PROV, *hidden, *[t.alias(f"t_{a}") for a, t in tensors.items()]
     )
     gate = Gate(
         name,
-        derivations,
+        members,
         {a: aggs[a].kind for a in tensors},
         bool(aggs) if delta is None else delta,
         bool(keys),
@@ -93,6 +93,18 @@ def union(frames: Sequence[ProvFrame], name: str) -> ProvFrame:
     return distinct(reduce(ProvFrame.union_all, frames), name)
 
 
+def self_join(frame: ProvFrame, keys: Sequence[str], name: str) -> ProvFrame:
+    """Join of a table with itself on equal keys, in factored form.
+
+    A key with n rows stands for its n² ordered pairs as ``name[key] . name[key]`` with
+    their number in ``pairs``; no pair is formed.  Expanding the two tokens lists them.
+    """
+    g = group(frame, keys, name, {"members": derivations()}, delta=False)
+    df = g.df.withColumn("pairs", F.col("members") * F.col("members"))
+    df = df.withColumn(PROV, F.concat(PROV, PROV))
+    return ProvFrame(df, g.gates, {name: (2, 2)}, 2 * frame.width)
+
+
 def having(frame: ProvFrame, alias: str, op: str, value, mode: str = "resolved") -> ProvFrame:
     """Keep the groups whose aggregate satisfies ``alias op value``.
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whence.functions import monomials as mono
-from whence.functions.monomials import PROV
+from whence.functions.aggregates import derivations
 from whence.operators.frame import ProvFrame
-from whence.operators.grouping import group
+from whence.operators.grouping import group, self_join
 
 
 def distance(x1, y1, x2, y2) -> Column:
-    x1, y1, x2, y2 = (c if isinstance(c, Column) else F.lit(c) for c in (x1, y1, x2, y2))
+    x1, y1, x2, y2 = ((c if isinstance(c, Column) else F.lit(c)).cast("double") for c in (x1, y1, x2, y2))
     dx, dy = x1 - x2, y1 - y2
     return F.sqrt(dx * dx + dy * dy)
 
@@ -39,10 +38,11 @@ def distance_join(
 ) -> ProvFrame:
     """Pairs at most ``r`` apart: equi-join on grid cells of side r, then exact check.
 
-    Each right point is filed under its own cell and the eight around it.
+    Each right point is filed under its own cell and the eight around it.  Where many
+    points may coincide use ``place_join``, or collapse one side first.
     """
     (lx, ly), (rx, ry) = left_xy, right_xy
-    cell = lambda c: F.floor(F.col(c) / F.lit(r)).cast("long")
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(r)).cast("long")
     mine = left.df.withColumns({"__cx": cell(lx), "__cy": cell(ly)})
     check = distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry)) <= r
 
@@ -65,14 +65,20 @@ def collapse(frame: ProvFrame, xy: tuple[str, str], name: str, aggs=None) -> Pro
 
 
 def equal_points(frame: ProvFrame, xy: tuple[str, str], name: str) -> ProvFrame:
-    """Self-join on equal position in factored form.
+    """Self-join on equal position, factored: one row per position with its number of pairs."""
+    return self_join(frame, list(xy), name)
 
-    A position with n points stands for its n² ordered pairs as ``E[x|y] . E[x|y]``
-    and their number ``pairs``; expanding the two gate tokens lists the pairs.
-    """
-    from whence.functions.aggregates import derivations
 
-    places = collapse(frame, xy, name, {"points": derivations()})
-    df = places.df.withColumn("pairs", F.col("points") * F.col("points"))
-    df = df.withColumn(PROV, F.concat(F.col(PROV), F.array(mono.gate_token(name, list(xy)))))
-    return ProvFrame(df, places.gates, {name: (2, 2)}, 2 * frame.width)
+def place_join(
+    left: ProvFrame,
+    right: ProvFrame,
+    left_xy: tuple[str, str],
+    right_xy: tuple[str, str],
+    r: float,
+    names: tuple[str, str],
+) -> ProvFrame:
+    """Distance join of positions instead of points; ``pairs`` counts the pairs of points."""
+    a = collapse(left, left_xy, names[0], {"left_points": derivations()})
+    b = collapse(right, right_xy, names[1], {"right_points": derivations()})
+    near = distance_join(a, b, left_xy, right_xy, r)
+    return near.with_columns(pairs=F.col("left_points") * F.col("right_points"))

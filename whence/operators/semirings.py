@@ -161,7 +161,8 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
     polynomials of that gate's tokens are expanded instead of the result rows.
     """
     if only is None:
-        start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.col(PROV).alias("m"))
+        # rows with the same annotation have the same polynomial, which is expanded once
+        start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.sort_array(PROV).alias("m")).distinct()
         holds, width, delta = dict(frame.holds), frame.width, False
         if len(holds) == 1 and frame.gates:
             (top,) = holds

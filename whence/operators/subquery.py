@@ -8,6 +8,7 @@ decided on distinct keys, and a further comparison on the per-key minimum and ma
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from whence.functions import monomials as mono
 from whence.functions.aggregates import Agg
-from whence.functions.monomials import COND, PROV
-from whence.operators.frame import Gate, ProvFrame, attach, distinct_keys
+from whence.functions.monomials import PROV
+from whence.operators.frame import Gate, ProvFrame, attach
 from whence.operators.grouping import check_mode, group, with_condition
+from whence.operators.ranges import codes, range_gates
 
 Pairs = Sequence[tuple[str, str]]
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
@@ -252,8 +254,9 @@ def any_compare(
 ) -> ProvFrame:
     """``x op ANY (SELECT y ...)``; lists of columns compare as rows, first column first.
 
-    The gate token holds the key and x; its derivations (inner rows with ``x op y``)
-    are formed only when they are read.
+    The gate token holds the key and x.  Its derivations, the inner rows with ``x op y``,
+    are sums over intervals for whole numbers, decimals and dates (see ``ranges``); for
+    other types they are pairs, formed only when they are read.
     """
     mono.flip(op)
     if op == "=":
@@ -274,26 +277,32 @@ def any_compare(
         df = left.filter(_some_match(op, F.col("__x"), low, high))
     token = mono.gate_token(name, [*outer_keys, *xs], dict(outer.df.dtypes))
 
-    # one parameter row per distinct (key, x); joined with the inner rows only on reading
-    params = df.select(token.alias("gate"), F.col("__x"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(outer_keys)])
-    params = params.distinct()
-    if inner.conds and not on:
-        raise ValueError("resolve the symbolic conditions of the subquery first")
+    pair = codes(F.col("__x"), dict(left.dtypes)["__x"], F.col("__y"), dict(known.df.dtypes)["__y"])
+    params = df.select(token.alias("gate"), "__x", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(outer_keys)])
     inside = known.df.select(
         "__y", *inner._hidden(), *[F.col(k).alias(f"__j{i}") for i, k in enumerate(inner_keys)]
     )
+    if pair is not None:
+        params = params.withColumn("__x", pair[0]).distinct()
+        outer_gate, nodes = range_gates(params, inner, inside.withColumn("__y", pair[1]), name, op, len(on))
+        inner = replace(inner, gates=(*inner.gates, nodes))
+    else:
+        outer_gate = _paired_gate(params.distinct(), inner, inside, name, op, len(on))
+    return _extended(outer, inner, outer_gate, _times(df.drop("__x"), token))
+
+
+def _paired_gate(params: DataFrame, inner: ProvFrame, inside: DataFrame, name: str, op: str, keys: int) -> Gate:
+    """For values without an integer code: (x, inner row) pairs, formed only if somebody reads them."""
     cond = mono.compare(F.col("__x"), op, F.col("__y"))
-    if on:
-        cond = reduce(Column.__and__, [F.col(f"__k{i}") == F.col(f"__j{i}") for i in range(len(on))], cond)
+    if keys:
+        cond = reduce(Column.__and__, [F.col(f"__k{i}") == F.col(f"__j{i}") for i in range(keys)], cond)
         pairs = params.join(inside, cond)
-    else:
-        left_p = ProvFrame(params.withColumn(PROV, F.array("gate")))
-        right_p = ProvFrame(inside.drop(COND))
-        pairs = left_p.theta_join(right_p, cond).df
-        pairs = pairs.withColumn(PROV, F.slice(PROV, 2, F.size(PROV)))
-    hidden = inner._hidden() if on else [PROV]
-    gate = _sum_gate(inner, name, pairs.select("gate", *hidden), True)
-    return _extended(outer, inner, gate, _times(df.drop("__x"), token))
+        return _sum_gate(inner, name, pairs.select("gate", *inner._hidden()), True)
+    if inner.conds:
+        raise ValueError("resolve the symbolic conditions of the subquery first")
+    pairs = ProvFrame(params.withColumn(PROV, F.array("gate"))).theta_join(ProvFrame(inside), cond).df
+    pairs = pairs.select("gate", F.slice(PROV, 2, F.size(PROV)).alias(PROV))
+    return _sum_gate(inner, name, pairs, True)
 
 
 def _all_present(columns: Sequence[str]) -> Column:

@@ -81,8 +81,8 @@ class Tables:
         df = self.read("embeddings").select(
             "vec_id",
             "label",
-            F.get("embedding", F.lit(0)).cast("double").alias("x"),
-            F.get("embedding", F.lit(1)).cast("double").alias("y"),
+            F.get("embedding", F.lit(0)).cast("double").cast("decimal(9,6)").alias("x"),
+            F.get("embedding", F.lit(1)).cast("double").cast("decimal(9,6)").alias("y"),
         )
         return annotate_keys(df, "V", ["vec_id"])
 
@@ -131,8 +131,8 @@ p AS (SELECT *, 'P' || p_partkey AS pt FROM part),
 o AS (SELECT *, 'O' || o_orderkey AS ot FROM orders),
 l AS (SELECT *, 'L' || row_number() OVER () AS lt FROM lineitem),
 e AS (SELECT *, 'E' || event_id AS et FROM events),
-v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-             'V' || vec_id AS vt FROM embeddings),
+v AS (SELECT vec_id, label, CAST(CAST(embedding[1] AS DOUBLE) AS DECIMAL(9,6)) AS x,
+             CAST(CAST(embedding[2] AS DOUBLE) AS DECIMAL(9,6)) AS y, 'V' || vec_id AS vt FROM embeddings),
 ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey,
               sum(CAST(l_quantity AS DECIMAL(12,2))) AS ps_availqty,
               min(CAST(l_extendedprice AS DECIMAL(12,2))) AS ps_supplycost,
@@ -169,3 +169,38 @@ def circuit_sql(*gates: tuple[str, str, str], ctes: tuple[str, ...] = ()) -> str
     parts = [f"SELECT {g} AS gate, {m} AS monomial {source}" for g, m, source in gates]
     body = " UNION ALL ".join(parts)
     return with_(*ctes, body=f"SELECT gate, monomial, count(*) AS coef FROM ({body}) GROUP BY gate, monomial")
+
+
+def range_gates_sql(name: str, params: str, inner: str, op: str, keys: int) -> tuple[str, list[str]]:
+    """CTEs and per-gate SELECTs of a range gate over codes that are not negative.
+
+    ``params`` is a query of (gate, x, k0..), ``inner`` one of (y, monomial, k0..).
+    """
+    ks = [f"k{i}" for i in range(keys)]
+    node = lambda b, p: gate(f"{name}N", *ks, b, p)
+    above = "((x >> b) & 1) = 0 AND b < d OR b = d AND (x >> d) < (hi >> d)"
+    below = "((x >> b) & 1) = 1 AND b < d OR b = d AND (x >> d) > (lo >> d)"
+    side = {
+        "<": [(above, "CASE WHEN b = d THEN hi >> d ELSE (x >> b) + 1 END")],
+        ">": [(below, "CASE WHEN b = d THEN lo >> d ELSE (x >> b) - 1 END")],
+    }
+    side["<>"] = side["<"] + side[">"]
+    side["<="] = [*side["<"], ("b = 0", "x")]
+    side[">="] = [*side[">"], ("b = 0", "x")]
+    ask = " UNION ALL ".join(
+        f"SELECT gate, {node('b', p)} AS node FROM (SELECT *, unnest(range(d + 1)) AS b FROM {name}p, {name}b) WHERE {c}"
+        for c, p in side[op]
+    )
+    ctes = f"""{name}p AS (SELECT DISTINCT * FROM ({params})), {name}i AS ({inner}),
+      {name}b AS (SELECT min(y) AS lo, max(y) AS hi, length(bin(xor(min(y), max(y)))) AS d FROM {name}i),
+      {name}n AS (SELECT {node('b', '(y >> b)')} AS node, monomial FROM
+        (SELECT *, unnest(range(d + 1)) AS b FROM {name}i, {name}b)),
+      {name}a AS ({ask})"""
+    return ctes, [
+        f"SELECT gate, node AS monomial FROM {name}a WHERE node IN (SELECT node FROM {name}n)",
+        f"SELECT node AS gate, monomial FROM {name}n WHERE node IN (SELECT node FROM {name}a)",
+    ]
+
+
+def count_terms(*selects: str) -> str:
+    return f"SELECT gate, monomial, count(*) AS coef FROM ({' UNION ALL '.join(selects)}) GROUP BY gate, monomial"

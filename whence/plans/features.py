@@ -9,7 +9,7 @@ from whence.functions.aggregates import avg, count, count_distinct, derivations,
 from whence.operators import evaluate as ev
 from whence.operators import validate as val
 from whence.operators.frame import ProvFrame, join_all
-from whence.operators.grouping import distinct, group, having, union
+from whence.operators.grouping import distinct, group, having, self_join, union
 from whence.operators.semirings import Polynomials, expand, forms
 from whence.operators.subquery import (
     all_compare,
@@ -22,7 +22,22 @@ from whence.operators.subquery import (
     semi_join,
 )
 from whence.plans import tpch
-from whence.plans.base import VOLUME, Tables, circuit_sql, dec, gate, mean, money, prod, query, result, volume, with_
+from whence.plans.base import (
+    VOLUME,
+    Tables,
+    circuit_sql,
+    count_terms,
+    dec,
+    gate,
+    mean,
+    money,
+    prod,
+    query,
+    range_gates_sql,
+    result,
+    volume,
+    with_,
+)
 from whence.sources.store import store_table
 from whence.sources.tokens import annotate_keys, annotate_ordinal, read_annotated
 
@@ -326,16 +341,27 @@ query("join_cross", with_(body=f"SELECT c_custkey, r_name, {prod('ct', 'rt')} AS
 
 
 def same_line(t: Tables) -> ProvFrame:
-    pairs = [("l_orderkey", "b_l_orderkey"), ("l_linenumber", "b_l_linenumber")]
-    both = t.lineitem.join(t.lineitem.prefixed("b_"), pairs)
-    return group(both, ["l_orderkey"], "SELF")
+    return self_join(t.lineitem, ["l_orderkey", "l_linenumber"], "SELF")
 
 
-SELF = "FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber"
+SELF = gate("SELF", "l_orderkey", "l_linenumber")
 query(
     "join_self",
-    with_(body=f"SELECT {gate('SELF', 'a.l_orderkey')} AS out, {prod('a.lt', 'b.lt')} AS monomial, count(*) AS coef {SELF} GROUP BY ALL"),
-)(lambda t: terms(expand(same_line(t))))
+    with_(body=f"""SELECT l_orderkey, l_linenumber, count(*) AS members, count(*) * count(*) AS pairs, {prod(SELF, SELF)} AS how
+    FROM l GROUP BY l_orderkey, l_linenumber"""),
+)(lambda t: result(same_line(t)))
+query("join_self_circuit", circuit_sql((SELF, "lt", "FROM l")))(lambda t: same_line(t).circuit())
+query(
+    "join_self_aliases",
+    with_(body=f"""SELECT a.c_custkey AS c_custkey, b.c_name AS other_name, {prod('a.ct', 'b.ct')} AS how FROM c a JOIN c b
+    ON a.c_custkey = b.c_custkey"""),
+)(
+    lambda t: result(
+        t.customer.join(t.customer.prefixed("b_"), [("c_custkey", "b_c_custkey")])
+        .rename({"b_c_name": "other_name"})
+        .select("c_custkey", "other_name")
+    )
+)
 
 
 def heavy_orders(t: Tables) -> ProvFrame:
@@ -534,40 +560,68 @@ query(
         ).select("o_orderkey")
     )
 )
-query(
-    "any_uncorrelated",
-    with_(body=f"""SELECT c_custkey, {prod('ct', gate('ANY', 'c_acctbal'))} AS how FROM c
-    WHERE c_acctbal < ANY (SELECT s_acctbal FROM s)"""),
-)(
-    lambda t: result(any_compare(t.customer, "c_acctbal", "<", t.supplier, "s_acctbal", "ANY").select("c_custkey"))
+
+
+def cheap_parts(t: Tables) -> ProvFrame:
+    """Parts cheaper than some positive supplier balance."""
+    parts = t.part.with_columns(price=money("p_retailprice"))
+    balances = t.supplier.filter("s_acctbal > 0").with_columns(balance=money("s_acctbal"))
+    return any_compare(parts, "price", "<", balances, "balance", "ANY")
+
+
+CENTS = "CAST({c} * 100 AS BIGINT)"
+ANY_RANGE, ANY_GATES = range_gates_sql(
+    "ANY",
+    f"""SELECT {gate('ANY', dec('p_retailprice'))} AS gate, {CENTS.format(c=dec('p_retailprice'))} AS x FROM p
+    WHERE {dec('p_retailprice')} < (SELECT max({dec('s_acctbal')}) FROM s)""",
+    f"SELECT {CENTS.format(c=dec('s_acctbal'))} AS y, st AS monomial FROM s WHERE s_acctbal > 0",
+    "<",
+    0,
 )
 query(
-    "any_uncorrelated_circuit",
-    circuit_sql((gate("ANY", "w.c_acctbal"), "st", "FROM (SELECT DISTINCT c_acctbal FROM c) w JOIN s ON w.c_acctbal < s_acctbal")),
-)(lambda t: any_compare(t.customer, "c_acctbal", "<", t.supplier, "s_acctbal", "ANY").circuit())
+    "any_uncorrelated",
+    with_(body=f"""SELECT p_partkey, {prod('pt', gate('ANY', dec('p_retailprice')))} AS how FROM p
+    WHERE {dec('p_retailprice')} < ANY (SELECT {dec('s_acctbal')} FROM s WHERE s_acctbal > 0)"""),
+)(lambda t: result(cheap_parts(t).select("p_partkey")))
+query("any_uncorrelated_circuit", with_(ANY_RANGE, body=count_terms(*ANY_GATES)))(lambda t: cheap_parts(t).circuit())
+
+
+def any_local(t: Tables) -> ProvFrame:
+    """Customers at least as rich as some supplier of their nation."""
+    return any_compare(
+        t.customer.with_columns(bal=money("c_acctbal")),
+        "bal",
+        ">=",
+        t.supplier.with_columns(sbal=money("s_acctbal")),
+        "sbal",
+        "ANYC",
+        [("c_nationkey", "s_nationkey")],
+    )
+
+
+ANYC = gate("ANYC", "c_nationkey", dec("c_acctbal"))
 query(
     "any_correlated",
-    with_(body=f"""SELECT c_custkey, {prod('ct', gate('ANYC', 'c_nationkey', 'c_acctbal'))} AS how FROM c
+    with_(body=f"""SELECT c_custkey, {prod('ct', ANYC)} AS how FROM c
     WHERE EXISTS (SELECT * FROM s WHERE s_nationkey = c_nationkey AND c_acctbal >= s_acctbal)"""),
-)(
-    lambda t: result(
-        any_compare(
-            t.customer, "c_acctbal", ">=", t.supplier, "s_acctbal", "ANYC", [("c_nationkey", "s_nationkey")]
-        ).select("c_custkey")
-    )
-)
-query(
-    "any_correlated_expanded",
-    with_(body=f"""SELECT {prod('ct', gate('ANYC', 'c_nationkey', 'c_acctbal'))} AS out, {prod('ct', 'st')} AS monomial,
-    count(*) AS coef FROM c JOIN s ON s_nationkey = c_nationkey AND c_acctbal >= s_acctbal GROUP BY ALL"""),
-)(
-    lambda t: terms(
-        expand(
-            any_compare(t.customer, "c_acctbal", ">=", t.supplier, "s_acctbal", "ANYC", [("c_nationkey", "s_nationkey")])
-        )
-    )
+)(lambda t: result(any_local(t).select("c_custkey")))
+ANYR, ANYR_GATES = range_gates_sql(
+    "LATER",
+    f"""SELECT {gate('LATER', 'o_custkey', 'o_orderkey')} AS gate, o_orderkey AS x, o_custkey AS k0 FROM o
+    WHERE o_orderkey < (SELECT max(b.o_orderkey) FROM o b WHERE b.o_custkey = o.o_custkey AND b.o_orderstatus = 'F')""",
+    "SELECT o_orderkey AS y, ot AS monomial, o_custkey AS k0 FROM o WHERE o_orderstatus = 'F'",
+    "<",
+    1,
 )
 
+
+def followed(t: Tables) -> ProvFrame:
+    """Orders with a later finished order of the same customer."""
+    done = t.orders.filter("o_orderstatus = 'F'").prefixed("i_")
+    return any_compare(t.orders, "o_orderkey", "<", done, "i_o_orderkey", "LATER", [("o_custkey", "i_o_custkey")])
+
+
+query("any_correlated_circuit", with_(ANYR, body=count_terms(*ANYR_GATES)))(lambda t: followed(t).circuit())
 _ALL = {
     "gt": (">", "c_acctbal > hi"), "ge": (">=", "c_acctbal >= hi"), "lt": ("<", "c_acctbal < lo"),
     "le": ("<=", "c_acctbal <= lo"), "eq": ("=", "c_acctbal = lo AND c_acctbal = hi"),

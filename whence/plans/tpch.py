@@ -12,7 +12,22 @@ from whence.functions.aggregates import avg, count, count_distinct, max_, min_,
 from whence.operators.frame import ProvFrame, join_all
 from whence.operators.grouping import group, having
 from whence.operators.subquery import anti_join, having_subquery, in_, not_in, scalar_compare, semi_join
-from whence.plans.base import VOLUME, Tables, circuit_sql, dec, gate, mean, money, prod, query, result, volume, with_
+from whence.plans.base import (
+    VOLUME,
+    Tables,
+    circuit_sql,
+    count_terms,
+    dec,
+    gate,
+    mean,
+    money,
+    prod,
+    query,
+    range_gates_sql,
+    result,
+    volume,
+    with_,
+)
 
 # ---- Q1 pricing summary ------------------------------------------------------
 
@@ -639,18 +654,16 @@ query("tpch_q21", with_(body=f"""SELECT s_name, count(*) AS numwait, {gate('Q21'
   ORDER BY count(*) DESC, s_name LIMIT 100"""))(
     lambda t: result(q21(t).order_by(F.desc("numwait"), "s_name").limit(100))
 )
-query(
-    "tpch_q21_circuit",
-    circuit_sql(
-        (gate("Q21", "s_name"), prod("st", "l.lt", "ot", "nt", gate("Q21E", "l.l_orderkey", "l.l_suppkey")), Q21),
-        (
-            gate("Q21E", "w.l_orderkey", "w.l_suppkey"),
-            "l.lt",
-            f"""FROM (SELECT DISTINCT l_orderkey, l_suppkey {Q21}) w JOIN l ON l.l_orderkey = w.l_orderkey
-            AND l.l_suppkey <> w.l_suppkey""",
-        ),
-    ),
-)(lambda t: q21(t).circuit())
+Q21_RANGE, Q21_GATES = range_gates_sql(
+    "Q21E",
+    f"SELECT {gate('Q21E', 'l_orderkey', 'l_suppkey')} AS gate, l_suppkey AS x, l_orderkey AS k0 {Q21}",
+    "SELECT l_suppkey AS y, lt AS monomial, l_orderkey AS k0 FROM l",
+    "<>",
+    1,
+)
+Q21_TOP = f"""SELECT {gate('Q21', 's_name')} AS gate,
+  {prod('st', 'l.lt', 'ot', 'nt', gate('Q21E', 'l.l_orderkey', 'l.l_suppkey'))} AS monomial {Q21}"""
+query("tpch_q21_circuit", with_(Q21_RANGE, body=count_terms(Q21_TOP, *Q21_GATES)))(lambda t: q21(t).circuit())
 
 # ---- Q22 global sales opportunity ----------------------------------------------
 
