@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from whence.functions import monomials as mono
 from whence.functions.monomials import COND, PROV
+from whence.session import checkpointed
 
 RESERVED = (PROV, COND)
 _GATE = "gate"
@@ -135,6 +136,11 @@ class ProvFrame:
             df = df.withColumn(f"{c}_agg", F.concat(mono.gate_ref(g), F.lit(f".{t}")))
         return self._with(df)
 
+    def checkpointed(self) -> ProvFrame:
+        """Rows and gates cut off from their lineage, for a frame that is used many times."""
+        gates = tuple(replace(g, derivations=checkpointed(g.derivations)) for g in self.gates)
+        return replace(self, df=checkpointed(self.df), gates=gates)
+
     # ---- projection and filter --------------------------------------------
 
     def select(self, *cols: Column | str) -> ProvFrame:
