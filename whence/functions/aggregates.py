@@ -22,7 +22,7 @@ TENSOR_PLUS = {"sum": " +sum ", "count": " +count ", "avg": " +avg ", "min": " +
 @dataclass(frozen=True)
 class Agg:
     kind: str
-    column: Column | None = None
+    column: Column | str | None = None
     scale: float | Callable[[Column], Column] | None = None
 
     def _scaled(self, c: Column) -> Column:
@@ -31,8 +31,11 @@ class Agg:
             return c
         return self.scale(c) if callable(self.scale) else c * F.lit(self.scale)
 
+    def _input(self) -> Column | None:
+        return None if self.column is None else as_column(self.column)
+
     def value(self) -> Column:
-        c = self.column
+        c = self._input()
         if self.kind == "sum":
             return self._scaled(F.sum(c))
         if self.kind == "count":
@@ -55,10 +58,11 @@ class Agg:
             return None
         if self.kind == "count":
             one = F.lit(1).cast("long")
-            return one if self.column is None else F.when(self.column.isNull(), F.lit(0).cast("long")).otherwise(one)
+            c = self._input()
+            return one if c is None else F.when(c.isNull(), F.lit(0).cast("long")).otherwise(one)
         if self.kind == "distinct":
-            return self.column.cast("string")
-        return self._scaled(self.column)
+            return self._input().cast("string")
+        return self._scaled(self._input())
 
 
 def _mean(c: Column) -> Column:
@@ -79,27 +83,27 @@ def evaluate(kind: str, tensor: Column) -> Column:
 
 
 def sum_(column: Column | str, scale=None) -> Agg:
-    return Agg("sum", as_column(column), scale)
+    return Agg("sum", column, scale)
 
 
 def count(column: Column | str | None = None) -> Agg:
-    return Agg("count", None if column is None else as_column(column))
+    return Agg("count", column)
 
 
 def avg(column: Column | str, scale=None) -> Agg:
-    return Agg("avg", as_column(column), scale)
+    return Agg("avg", column, scale)
 
 
 def min_(column: Column | str, scale=None) -> Agg:
-    return Agg("min", as_column(column), scale)
+    return Agg("min", column, scale)
 
 
 def max_(column: Column | str, scale=None) -> Agg:
-    return Agg("max", as_column(column), scale)
+    return Agg("max", column, scale)
 
 
 def count_distinct(column: Column | str) -> Agg:
-    return Agg("distinct", as_column(column))
+    return Agg("distinct", column)
 
 
 def derivations() -> Agg:
