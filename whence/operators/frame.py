@@ -24,6 +24,43 @@ RESERVED = (PROV, COND)
 _GATE = "gate"
 
 
+@dataclass(frozen=True)
+class Origin:
+    """Where tokens come from, to know when a monomial cannot occur twice.
+
+    ``stored`` are the base tables and gates whose tokens the rows carry, ``base`` the
+    base tables they come down to.  ``unique``: no two rows have the same monomial;
+    ``flat``: nor do they after expansion, and no token repeats within one.  Then sums
+    need no merging, so reading them off costs no shuffle.
+    """
+
+    stored: frozenset[str] = frozenset()
+    base: frozenset[str] = frozenset()
+    unique: bool = False
+    flat: bool = False
+
+    @staticmethod
+    def table(name: str) -> Origin:
+        return Origin(frozenset([name]), frozenset([name]), True, True)
+
+    def with_(self, other: Origin) -> Origin:
+        """Of a join or a union of both."""
+        return Origin(
+            self.stored | other.stored,
+            self.base | other.base,
+            self.unique and other.unique and not self.stored & other.stored,
+            self.flat and other.flat and not self.base & other.base,
+        )
+
+    def grouped(self, name: str) -> Origin:
+        return Origin(frozenset([name]), self.base, True, self.flat)
+
+    def times_gate(self, name: str, inner: Origin) -> Origin:
+        """Of rows that get one token of a gate over ``inner`` each."""
+        flat = self.flat and inner.flat and not self.base & inner.base
+        return Origin(self.stored | {name}, self.base | inner.base, self.unique, flat)
+
+
 @dataclass(frozen=True)
 class Gate:
     """A named family of sums.
@@ -42,6 +79,7 @@ class Gate:
     holds: Mapping[str, tuple[int, int]] = field(default_factory=dict)
     width: int = 1
     conds: int = 0
+    origin: Origin = Origin()
 
 
 @dataclass(frozen=True)
@@ -52,6 +90,7 @@ class ProvFrame:
     width: int = 1
     conds: int = 0
     tensor_columns: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+    origin: Origin = Origin()
 
     # ---- structure ---------------------------------------------------------
 
@@ -97,8 +136,8 @@ class ProvFrame:
             text = mono.monomial_text(PROV)
             if g.conds:
                 text = F.concat(text, mono.condition_text(COND))
-            parts.append(tables[g.name].select(_GATE, text.alias("monomial")))
-        return reduce(DataFrame.unionAll, parts).groupBy(_GATE, "monomial").agg(F.count(F.lit(1)).alias("coef"))
+            parts.append(_merged(tables[g.name].select(_GATE, text.alias("monomial")), g.origin.unique))
+        return reduce(DataFrame.unionAll, parts)
 
     def _reachable(self) -> dict[str, DataFrame]:
         """Derivations of every gate, semi-joined to the tokens used above it."""
@@ -121,12 +160,9 @@ class ProvFrame:
     def tensor(self, alias: str, gate: str | None = None) -> DataFrame:
         """Tensor of one aggregate: ``(gate, monomial, value, coef)``, one row per term."""
         g = self.gate(gate) if gate else next(g for g in reversed(self.gates) if alias in g.tensors)
-        return (
-            g.derivations.select(
-                _GATE, mono.monomial_text(PROV).alias("monomial"), F.col(f"t_{alias}").cast("string").alias("value")
-            )
-            .groupBy(_GATE, "monomial", "value")
-            .agg(F.count(F.lit(1)).alias("coef"))
+        value = F.col(f"t_{alias}").cast("string").alias("value")
+        return _merged(
+            g.derivations.select(_GATE, mono.monomial_text(PROV).alias("monomial"), value), g.origin.unique
         )
 
     def tensor_refs(self) -> ProvFrame:
@@ -208,6 +244,10 @@ class ProvFrame:
             cond = cond & where
         return self._joined(other, lambda right: self.df.join(right, cond, how), how)
 
+    def lookup(self, table: DataFrame, on: Sequence[tuple[str, str]]) -> ProvFrame:
+        """Widen every row by an unannotated table with unique keys; the annotation stays."""
+        return self._with(self.df.join(table, reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in on])))
+
     def _joined(self, other: ProvFrame, joining, how: str = "inner") -> ProvFrame:
         common = set(self.columns) & set(other.columns)
         if common:
@@ -241,6 +281,7 @@ class ProvFrame:
             self.width + other.width,
             self.conds + other.conds,
             {**self.tensor_columns, **other.tensor_columns},
+            self.origin.with_(other.origin),
         )
 
     def _blocked(self, other: ProvFrame, condition: Column | None) -> ProvFrame:
@@ -300,6 +341,7 @@ class ProvFrame:
             max(self.width, other.width),
             max(self.conds, other.conds),
             same,
+            self.origin.with_(other.origin),
         )
 
     def intersect(self, other: ProvFrame):
@@ -329,6 +371,13 @@ class ProvFrame:
         return self._with(attach(self.df, token, counts, "inner"))
 
 
+def _merged(terms: DataFrame, unique: bool) -> DataFrame:
+    """Equal terms added up into ``coef``."""
+    if unique:
+        return terms.withColumn("coef", F.lit(1).cast("long"))
+    return terms.groupBy(*terms.columns).agg(F.count(F.lit(1)).alias("coef"))
+
+
 def attach(df: DataFrame, key: Column, per_key: DataFrame, how: str) -> DataFrame:
     """Join one row per key, found in ``__rk``, to every row of ``df``.
 

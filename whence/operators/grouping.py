@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,6 +61,7 @@ def group(
         dict(frame.holds),
         frame.width,
         frame.conds,
+        frame.origin,
     )
 
     if mode == "symbolic":
@@ -80,6 +82,7 @@ def group(
         frame.width,
         0,
         columns,
+        frame.origin.grouped(name),
     )
 
 
@@ -102,7 +105,8 @@ def self_join(frame: ProvFrame, keys: Sequence[str], name: str) -> ProvFrame:
     g = group(frame, keys, name, {"members": derivations()}, delta=False)
     df = g.df.withColumn("pairs", F.col("members") * F.col("members"))
     df = df.withColumn(PROV, F.concat(PROV, PROV))
-    return ProvFrame(df, g.gates, {name: (2, 2)}, 2 * frame.width)
+    squared = replace(g.origin, flat=False)
+    return ProvFrame(df, g.gates, {name: (2, 2)}, 2 * frame.width, origin=squared)
 
 
 def having(frame: ProvFrame, alias: str, op: str, value, mode: str = "resolved") -> ProvFrame:
@@ -122,5 +126,4 @@ def having(frame: ProvFrame, alias: str, op: str, value, mode: str = "resolved")
 def with_condition(frame: ProvFrame, cond: Column) -> ProvFrame:
     one = F.array(cond).cast(mono.COND_TYPE)
     column = F.concat(F.col(COND), one) if frame.conds else one
-    df = frame.df.withColumn(COND, column)
-    return ProvFrame(df, frame.gates, frame.holds, frame.width, frame.conds + 1, frame.tensor_columns)
+    return replace(frame, df=frame.df.withColumn(COND, column), conds=frame.conds + 1)

@@ -54,15 +54,20 @@ def range_gates(
     (__y, __j0.., prov), one row per inner row.
     """
     # levels 0 .. depth-1 tell inner values apart; level ``depth`` is the whole range
-    bounds = inside.agg(F.coalesce(F.min("__y"), F.lit(0)).alias("__lo"), F.coalesce(F.max("__y"), F.lit(0)).alias("__hi"))
-    bits = F.least(F.length(F.bin(F.col("__lo").bitwiseXOR(F.col("__hi")))), F.lit(63))
-    bounds = bounds.withColumn("__d", bits)
-    fixed = {c: bounds.select(c).scalar() for c in ("__lo", "__hi", "__d")}
+    ends = inside.agg(F.coalesce(F.min("__y"), F.lit(0)).alias("lo"), F.coalesce(F.max("__y"), F.lit(0)).alias("hi"))
+    bits = F.least(F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))), F.lit(63))
+    ends = ends.select(F.struct("lo", "hi", bits.alias("d"))).scalar()
+    fixed = {"__lo": ends["lo"], "__hi": ends["hi"], "__d": ends["d"]}
+    if keys:
+        # only inner rows of a key that is asked for
+        token = lambda side: mono.gate_token("", [F.col(f"__{side}{i}") for i in range(keys)])
+        asking = distinct_keys(params.select(token("k").alias("__ask")), "__ask")
+        inside = inside.join(asking, token("j") == F.col("__ask"), "left_semi")
     node = lambda side: mono.gate_token(
         f"{name}N", [*[F.col(f"__{side}{i}") for i in range(keys)], F.col("__b"), F.col("__p")]
     )
 
-    rows = inside.withColumn("__d", fixed["__d"]).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__d"))))
+    rows = inside.withColumn("__d", ends["d"]).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__d"))))
     rows = rows.withColumn("__p", F.expr("shiftright(__y, __b)")).withColumn("gate", node("j"))
 
     asked = params.withColumns(fixed).withColumn("__n", F.explode(_intervals(op)))
@@ -74,8 +79,10 @@ def range_gates(
     parts = asked.join(present, F.col("__node") == F.col("__have"), "left_semi").select(
         "gate", F.array("__node").alias(PROV)
     )
-    nodes = Gate(f"{name}N", members, {}, False, True, dict(inner.holds), inner.width, inner.conds)
-    return Gate(name, parts, {}, False, True, {nodes.name: (1, 1)}, inner.width), nodes
+    nodes = Gate(f"{name}N", members, {}, False, True, dict(inner.holds), inner.width, inner.conds, inner.origin)
+    # intervals of one outer value are disjoint, so each inner row comes once
+    made_of = inner.origin.grouped(nodes.name)
+    return Gate(name, parts, {}, False, True, {nodes.name: (1, 1)}, inner.width, 0, made_of), nodes
 
 
 def _intervals(op: str) -> Column:

@@ -24,11 +24,15 @@ SUBSET_WIDTH = 10
 
 @dataclass(frozen=True)
 class Polynomials:
-    """``terms`` has (out, m, c); ``width`` bounds the number of tokens in ``m``."""
+    """``terms`` has (out, m, c); ``width`` bounds the number of tokens in ``m``.
+
+    ``flat`` says that no token repeats within a monomial.
+    """
 
     terms: DataFrame
     width: int
     delta: bool = False
+    flat: bool = False
 
     def how(self) -> DataFrame:
         """N[X]: coefficients and exponents kept."""
@@ -40,12 +44,16 @@ class Polynomials:
 
     def trio(self) -> DataFrame:
         """Trio(X): exponents dropped, coefficients of equal terms added."""
+        if self.flat:
+            return self.terms
         return (
             self.terms.select("out", mono.support("m").alias("m"), "c").groupBy("out", "m").agg(F.sum("c").alias("c"))
         )
 
     def why(self) -> DataFrame:
         """Why(X): the set of witness sets."""
+        if self.flat:
+            return self.terms.select("out", "m")
         return self.terms.select("out", mono.support("m").alias("m")).distinct()
 
     def posbool(self) -> DataFrame:
@@ -162,15 +170,17 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
     """
     if only is None:
         # rows with the same annotation have the same polynomial, which is expanded once
-        start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.sort_array(PROV).alias("m")).distinct()
-        holds, width, delta = dict(frame.holds), frame.width, False
+        start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.sort_array(PROV).alias("m"))
+        if not frame.origin.unique:
+            start = start.distinct()
+        holds, width, delta, flat = dict(frame.holds), frame.width, False, frame.origin.flat
         if len(holds) == 1 and frame.gates:
             (top,) = holds
             delta = frame.gate(top).delta
     else:
         gate = frame.gate(only)
         start = gate.derivations.select(F.col("gate").alias("out"), F.col(PROV).alias("m"))
-        holds, width, delta = dict(gate.holds), gate.width, gate.delta
+        holds, width, delta, flat = dict(gate.holds), gate.width, gate.delta, gate.origin.flat
     t = start
     for gate in reversed(frame.gates):
         low, high = holds.pop(gate.name, (0, 0))
@@ -179,8 +189,12 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
         for inner, (lo, hi) in gate.holds.items():
             a, b = holds.get(inner, (0, 0))
             holds[inner] = (a + low * lo, b + high * hi)
-    terms = t.groupBy("out", F.sort_array("m").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    return Polynomials(terms, width, delta)
+    terms = t.select("out", F.sort_array("m").alias("m"))
+    if flat:
+        terms = terms.withColumn("c", F.lit(1).cast("long"))
+    else:
+        terms = terms.groupBy("out", "m").agg(F.count(F.lit(1)).alias("c"))
+    return Polynomials(terms, width, delta, flat)
 
 
 def forms(frame: ProvFrame, kinds: Sequence[str] = ("how",), max_terms: int = 10_000) -> DataFrame:

@@ -40,7 +40,13 @@ def _extended(outer: ProvFrame, inner: ProvFrame, gate: Gate, df: DataFrame, low
         raise ValueError(f"gate name {gate.name!r} is taken")
     holds[gate.name] = (low, 1)
     return ProvFrame(
-        df, (*gates, gate), holds, outer.width + gate.width, outer.conds, outer.tensor_columns
+        df,
+        (*gates, gate),
+        holds,
+        outer.width + gate.width,
+        outer.conds,
+        outer.tensor_columns,
+        outer.origin.times_gate(gate.name, inner.origin),
     )
 
 
@@ -49,7 +55,7 @@ def _times(df: DataFrame, token: Column) -> DataFrame:
 
 
 def _sum_gate(inner: ProvFrame, name: str, derivations: DataFrame, keyed: bool) -> Gate:
-    return Gate(name, derivations, {}, False, keyed, dict(inner.holds), inner.width, inner.conds)
+    return Gate(name, derivations, {}, False, keyed, dict(inner.holds), inner.width, inner.conds, inner.origin)
 
 
 def _some_match(op: str, x: Column, low: Column, high: Column) -> Column:

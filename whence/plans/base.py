@@ -191,8 +191,10 @@ def range_gates_sql(name: str, params: str, inner: str, op: str, keys: int) -> t
         f"SELECT gate, {node('b', p)} AS node FROM (SELECT *, unnest(range(d + 1)) AS b FROM {name}p, {name}b) WHERE {c}"
         for c, p in side[op]
     )
-    ctes = f"""{name}p AS (SELECT DISTINCT * FROM ({params})), {name}i AS ({inner}),
-      {name}b AS (SELECT min(y) AS lo, max(y) AS hi, length(bin(xor(min(y), max(y)))) AS d FROM {name}i),
+    asked = f"WHERE ({', '.join(ks)}) IN (SELECT ({', '.join(ks)}) FROM {name}p)" if ks else ""
+    ctes = f"""{name}p AS (SELECT DISTINCT * FROM ({params})),
+      {name}b AS (SELECT min(y) AS lo, max(y) AS hi, length(bin(xor(min(y), max(y)))) AS d FROM ({inner})),
+      {name}i AS (SELECT * FROM ({inner}) {asked}),
       {name}n AS (SELECT {node('b', '(y >> b)')} AS node, monomial FROM
         (SELECT *, unnest(range(d + 1)) AS b FROM {name}i, {name}b)),
       {name}a AS ({ask})"""

@@ -19,7 +19,7 @@ from whence.sources.tokens import annotate_keys
 def lineorder(t: Tables) -> ProvFrame:
     o = t.read("orders")
     order = o.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("lo_orderdate"))
-    return ProvFrame(t.lineitem.df.join(order, F.col("l_orderkey") == F.col("o_orderkey")))
+    return t.lineitem.lookup(order, [("l_orderkey", "o_orderkey")])
 
 
 def dates(t: Tables) -> ProvFrame:
@@ -36,8 +36,8 @@ def dates(t: Tables) -> ProvFrame:
 
 def _located(t: Tables, frame: ProvFrame, key: str, prefix: str) -> ProvFrame:
     place = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    place = place.select("n_nationkey", F.col("n_name").alias(f"{prefix}_nation"), F.col("r_name").alias(f"{prefix}_region"))
-    return ProvFrame(frame.df.join(place, F.col(key) == F.col("n_nationkey")).drop("n_nationkey"))
+    named = {"n_nationkey": f"{prefix}n", "n_name": f"{prefix}_nation", "r_name": f"{prefix}_region"}
+    return frame.lookup(place.select(*[F.col(a).alias(b) for a, b in named.items()]), [(key, f"{prefix}n")])
 
 
 def customers(t: Tables) -> ProvFrame:

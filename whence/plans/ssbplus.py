@@ -18,19 +18,19 @@ from whence.sources.tokens import annotate_ordinal
 
 
 def _flat(t: Tables, prefix: str) -> ProvFrame:
-    li = annotate_ordinal(t.read("lineitem"), prefix).df
     o = t.read("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("od_year"))
-    df = (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    f = (
+        annotate_ordinal(t.read("lineitem"), prefix)
+        .lookup(o, [("l_orderkey", "o_orderkey")])
+        .lookup(t.read("part"), [("l_partkey", "p_partkey")])
+        .lookup(t.read("supplier"), [("l_suppkey", "s_suppkey")])
+        .lookup(t.read("customer"), [("o_custkey", "c_custkey")])
     )
     place = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     for p in ("s", "c"):
         region = place.select(F.col("n_nationkey").alias(f"{p}n"), F.col("r_name").alias(f"{p}_region"))
-        df = df.join(region, F.col(f"{p}_nationkey") == F.col(f"{p}n")).drop(f"{p}n")
-    return ProvFrame(df)
+        f = f.lookup(region, [(f"{p}_nationkey", f"{p}n")])
+    return f
 
 
 def flat_lineorder(t: Tables) -> ProvFrame:

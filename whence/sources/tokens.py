@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whence.functions.monomials import PROV, as_column
-from whence.operators.frame import ProvFrame
+from whence.operators.frame import Origin, ProvFrame
 
 
-def _frame(df: DataFrame, token: Column, qualified: str | None) -> ProvFrame:
+def _frame(df: DataFrame, token: Column, family: str, qualified: str | None) -> ProvFrame:
     if qualified is not None:
         token = F.concat(F.lit(f"{qualified}:"), token)
-    return ProvFrame(df.withColumn(PROV, F.array(token)))
+        family = f"{qualified}:{family}"
+    return ProvFrame(df.withColumn(PROV, F.array(token)), origin=Origin.table(family))
 
 
 def annotate_keys(df: DataFrame, prefix: str, keys: list[str], qualified: str | None = None) -> ProvFrame:
-    """Token ``prefix + key``; compound keys are joined by ``_``.  The key must be unique."""
+    """Token ``prefix + key``; compound keys are joined by ``_``.
+
+    The key must be unique, and the prefixes of different tables must differ.
+    """
     text = F.concat_ws("_", *[as_column(k).cast("string") for k in keys])
-    return _frame(df, F.concat(F.lit(prefix), text), qualified)
+    return _frame(df, F.concat(F.lit(prefix), text), prefix, qualified)
 
 
 def annotate_ordinal(df: DataFrame, prefix: str, qualified: str | None = None) -> ProvFrame:
@@ -32,13 +38,20 @@ def annotate_ordinal(df: DataFrame, prefix: str, qualified: str | None = None) -
     if len(df.inputFiles()) > 1:
         file_id = F.lower(F.hex(F.xxhash64(F.col("_metadata.file_path"))))
         number = F.concat(file_id, F.lit("_"), number)
-    return _frame(df, F.concat(F.lit(prefix), number), qualified)
+    return _frame(df, F.concat(F.lit(prefix), number), prefix, qualified)
 
 
-def read_annotated(df: DataFrame, column: str = PROV, qualified: str | None = None) -> ProvFrame:
-    """Take over a table whose string column already holds one token per row."""
+def read_annotated(
+    df: DataFrame, column: str = PROV, qualified: str | None = None, family: str | None = None
+) -> ProvFrame:
+    """Take over a table whose string column already holds one token per row.
+
+    Name a ``family`` if the tokens are known to be unique, and different from those of
+    other families; this saves merging equal terms later.
+    """
     token = F.col(column)
     if column != PROV:
         df = df.withColumnRenamed(column, PROV)
         token = F.col(PROV)
-    return _frame(df, token, qualified)
+    frame = _frame(df, token, family or "", qualified)
+    return frame if family else replace(frame, origin=Origin())
