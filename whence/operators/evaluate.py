@@ -22,8 +22,14 @@ def gate_values(gate: Gate) -> DataFrame:
     return values if gate.keyed else values.select(F.lit(f"{gate.name}[]").alias("gate"), *gate.tensors)
 
 
-def surviving(df: DataFrame, dead: DataFrame) -> DataFrame:
-    """Rows whose monomial holds none of the tokens in ``dead(token)``."""
+def surviving(df: DataFrame, dead: DataFrame, single: bool = False) -> DataFrame:
+    """Rows whose monomial holds none of the tokens in ``dead(token)``.
+
+    ``single`` says that every monomial is one token, which is then looked up directly.
+    """
+    if single:
+        dead = dead.select(F.col("token").alias("__d"))
+        return df.join(dead, F.get(PROV, F.lit(0)) == F.col("__d"), "left_anti")
     text = mono.monomial_text(PROV)
     hit = (
         df.select(text.alias("__m"), F.explode(PROV).alias("__t"))
@@ -43,7 +49,7 @@ def delete_tokens(frame: ProvFrame, deleted: DataFrame) -> ProvFrame:
     dead = deleted.select("token")
     gates: dict[str, Gate] = {}
     for g in frame.gates:
-        left = surviving(g.derivations, dead)
+        left = surviving(g.derivations, dead, single=g.width == 1)
         gates[g.name] = replace(g, derivations=left)
         if g.keyed:
             alive = distinct_keys(left.select(F.col("gate").alias("token")), "token")
@@ -51,7 +57,7 @@ def delete_tokens(frame: ProvFrame, deleted: DataFrame) -> ProvFrame:
                 alive, "token", "left_anti"
             )
             dead = dead.unionAll(lost)
-    df = surviving(frame.df, dead)
+    df = surviving(frame.df, dead, single=frame.width == 1)
     rebuilt = replace(frame, df=df, gates=tuple(gates.values()))
     return refold(rebuilt)
 
@@ -147,7 +153,7 @@ def resolve(frame: ProvFrame) -> ProvFrame:
     if not frame.conds:
         return frame
     df = conditions(frame, frame.df, frame.conds).filter("holds").drop("holds", COND)
-    return replace(frame, df=df, conds=0)
+    return replace(frame, df=df, conds=0, whole=None)
 
 
 def drop_empty(frame: ProvFrame) -> ProvFrame:

@@ -91,6 +91,8 @@ class ProvFrame:
     conds: int = 0
     tensor_columns: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     origin: Origin = Origin()
+    # name of the gate if the rows are exactly its groups, each with its token alone
+    whole: str | None = None
 
     # ---- structure ---------------------------------------------------------
 
@@ -107,8 +109,8 @@ class ProvFrame:
     def _hidden(self) -> list[str]:
         return [c for c in RESERVED if c in self.df.columns]
 
-    def _with(self, df: DataFrame, **changes) -> ProvFrame:
-        frame = replace(self, df=df, **changes)
+    def _with(self, df: DataFrame, same_rows: bool = False, **changes) -> ProvFrame:
+        frame = replace(self, df=df, whole=self.whole if same_rows else None, **changes)
         kept = {c: t for c, t in frame.tensor_columns.items() if c in df.columns}
         return replace(frame, tensor_columns=kept)
 
@@ -144,6 +146,10 @@ class ProvFrame:
         users: list[tuple[DataFrame, Mapping[str, tuple[int, int]]]] = [(self.df, self.holds)]
         kept: dict[str, DataFrame] = {}
         for g in reversed(self.gates):
+            if g.name == self.whole:
+                kept[g.name] = g.derivations
+                users.append((g.derivations, g.holds))
+                continue
             refs = [
                 d.select(F.explode(PROV).alias("__ref")).filter(F.col("__ref").startswith(f"{g.name}["))
                 for d, holds in users
@@ -170,7 +176,7 @@ class ProvFrame:
         df = self.df
         for c, (g, t) in self.tensor_columns.items():
             df = df.withColumn(f"{c}_agg", F.concat(mono.gate_ref(g), F.lit(f".{t}")))
-        return self._with(df)
+        return self._with(df, same_rows=True)
 
     def checkpointed(self) -> ProvFrame:
         """Rows and gates cut off from their lineage, for a frame that is used many times."""
@@ -180,12 +186,12 @@ class ProvFrame:
     # ---- projection and filter --------------------------------------------
 
     def select(self, *cols: Column | str) -> ProvFrame:
-        return self._with(self.df.select(*cols, *self._hidden()))
+        return self._with(self.df.select(*cols, *self._hidden()), same_rows=True)
 
     def with_columns(self, **cols: Column) -> ProvFrame:
         self._check_names(cols)
         changed = {c: t for c, t in self.tensor_columns.items() if c not in cols}
-        return self._with(self.df.withColumns(dict(cols)), tensor_columns=changed)
+        return self._with(self.df.withColumns(dict(cols)), same_rows=True, tensor_columns=changed)
 
     def filter(self, predicate: Column | str) -> ProvFrame:
         return self._with(self.df.filter(predicate))
@@ -353,7 +359,7 @@ class ProvFrame:
     # ---- order, top-k, windows --------------------------------------------
 
     def order_by(self, *cols: Column | str) -> ProvFrame:
-        return self._with(self.df.orderBy(*cols))
+        return self._with(self.df.orderBy(*cols), same_rows=True)
 
     def limit(self, n: int) -> ProvFrame:
         """First rows of the current order; order by a unique key to make it repeatable."""

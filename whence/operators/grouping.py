@@ -83,6 +83,7 @@ def group(
         0,
         columns,
         frame.origin.grouped(name),
+        name,
     )
 
 

@@ -168,6 +168,9 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
     ``out`` is the row's own monomial as printed by ``how()``.  With ``only`` the
     polynomials of that gate's tokens are expanded instead of the result rows.
     """
+    if only is None and frame.whole is not None:
+        # every group is a result row: its gate token names it, no look-up is needed
+        only = frame.whole
     if only is None:
         # rows with the same annotation have the same polynomial, which is expanded once
         start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.sort_array(PROV).alias("m"))
