@@ -510,14 +510,14 @@ def _scalar(tag: str) -> None:
     op, kind = _SCALAR[tag]
     agg = {"max": max_, "min": min_, "avg": avg}[kind]
     inner = mean("o_totalprice") if kind == "avg" else f"{kind}(o_totalprice)"
-    source = money("i_o_totalprice") if kind == "avg" else F.col("i_o_totalprice")
+    fold = lambda: agg(money("i_o_totalprice") if kind == "avg" else "i_o_totalprice")
     name = f"SC{tag}"
     query(
         f"scalar_{tag}",
         with_(body=f"SELECT o_orderkey, {prod('ot', gate(name))} AS how FROM o WHERE o_totalprice {op} (SELECT {inner} FROM o)"),
     )(
         lambda t: result(
-            scalar_compare(t.orders, "o_totalprice", op, t.orders.prefixed("i_"), agg(source), name).select("o_orderkey")
+            scalar_compare(t.orders, "o_totalprice", op, t.orders.prefixed("i_"), fold(), name).select("o_orderkey")
         )
     )
     query(
@@ -527,7 +527,7 @@ def _scalar(tag: str) -> None:
     )(
         lambda t: result(
             scalar_compare(
-                t.orders, "o_totalprice", op, t.orders.prefixed("i_"), agg(source), name, [("o_custkey", "i_o_custkey")]
+                t.orders, "o_totalprice", op, t.orders.prefixed("i_"), fold(), name, [("o_custkey", "i_o_custkey")]
             ).select("o_orderkey")
         )
     )
