@@ -15,7 +15,7 @@ FRAMES = {
     "q20": tpch.q20, "q21": tpch.q21, "q22": tpch.q22,
     "ssb": lambda t: ssb.star(t, "dps", "p_type = 'PROMO'"),
     "mix": features.rich_mix, "self": features.same_line, "sums": features.sums_of_sums, "heavy": features.heavy_orders,
-    "returns": features.with_returns, "any": features.any_local, "twice": features.cte_twice,
+    "returns": features.with_returns, "any": features.any_local,
     "best": lambda t: features.best_orders(t, "resolved"),
     "counts": features.two_counts,
 }
