@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,3 +90,29 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in it if b.num_rows)
+
+
+#: Bits of a sieve; its size is the same for any number of ids.
+SIEVE_BITS = 23
+
+
+def sieve(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of hashed ids of fixed size (1 MB), made in the cluster word by word."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("word"))
+    bits = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+    out = np.zeros(1 << (SIEVE_BITS - 5), np.uint32)
+    for r in bits.toLocalIterator():
+        out[r.word] = r.bits
+    return out
+
+
+def sieved(column: str, bitmap: np.ndarray) -> Column:
+    """False only for ids that were not in the sieve; a join after it decides. It spares a shuffle of the rest."""
+
+    @F.pandas_udf("boolean")
+    def holds(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0)
+
+    return holds(F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS)))

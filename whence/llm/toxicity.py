@@ -50,6 +50,11 @@ def _chances(dots: np.ndarray) -> tuple[np.ndarray, float]:
     return p, float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
 
 
+def _scored(found: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
+    at, starts = found
+    return _chances(np.add.reduceat(weights[at], starts) if len(at) else np.zeros(0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bits: int = BITS, bound: int = BOUND, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learned from document labels where ``learn`` holds (a column of ``labels``)."""
 
@@ -83,7 +88,7 @@ def score(docs: DataFrame, weights: np.ndarray, offends: float = 0.5) -> DataFra
             scores, found = [], []
             for text in texts(b):
                 sentences, at, starts = split(text)
-                p, whole = _chances(np.add.reduceat(weights[at], starts) if len(at) else np.zeros(0))
+                p, whole = _scored((at, starts), weights)
                 scores.append(whole)
                 found.append([{"sentence": int(i), "score": float(p[i]), "text": sentences[i]} for i in np.flatnonzero(p >= offends)])
             yield batch_of(out, (b.column("doc_id"), scores, found))
@@ -91,3 +96,15 @@ def score(docs: DataFrame, weights: np.ndarray, offends: float = 0.5) -> DataFra
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
         part, "doc_id long, score double, offending array<struct<sentence int, score double, text string>>"
     )
+
+
+def clean(docs: DataFrame, weights: np.ndarray, decide: float) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``decide``, with all their columns."""
+
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Sentences(len(weights).bit_length() - 1)
+        for b in batches(it):
+            scores = [_scored(split(t)[1:], weights)[1] for t in texts(b)]
+            yield b.filter(pa.array(np.array(scores) < decide))
+
+    return docs.mapInArrow(part, docs.schema)
