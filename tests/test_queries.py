@@ -54,4 +54,4 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
-    assert df.columns == ["n_name", "form", "part", "parts", "text"] and df.count() > 0
+    assert df.columns == ["n_name", "form", "term", "coef", "delta"] and df.count() > 0

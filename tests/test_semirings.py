@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from whence import distinct, expand, group, union
 from whence.functions.aggregates import count
-from whence.operators import semirings
 from whence.operators.semirings import Polynomials, forms
 
 
-def make(spark, rows, width, delta=False):
+def make(spark, rows, delta=False):
     """Polynomials from {out: [monomial, ...]} with repeats as coefficients."""
     flat = Counter((out, tuple(sorted(m.split()))) for out, ms in rows.items() for m in ms)
     df = spark.createDataFrame([(o, list(m), c) for (o, m), c in flat.items()], "out string, m array<string>, c long")
-    return Polynomials(df, width, delta)
+    return Polynomials(df, delta)
 
 
 def sets(df):
@@ -34,27 +33,32 @@ MIXED = {"r": ["a b", "a b", "a a", "a", "b c", "c b b", "c"], "s": ["a b c", "c
 
 
 def test_each_form(spark):
-    p = make(spark, MIXED, 3)
-    text = lambda kind: {r["out"]: r["text"] for r in p.cells(kind).collect()}
-    assert text("how") == {"r": "2*a . b + a + a . a + b . b . c + b . c + c", "s": "a . b . c + c . d"}
-    assert text("boolean")["r"] == "a + a . a + a . b + b . b . c + b . c + c"
-    assert text("trio")["r"] == "2*a + 2*a . b + 2*b . c + c"
-    assert text("why")["r"] == "{{a,b},{a},{b,c},{c}}"
-    assert text("posbool") == {"r": "a ∨ c", "s": "(a ∧ b ∧ c) ∨ (c ∧ d)"}
-    assert text("lineage") == {"r": "{a,b,c}", "s": "{a,b,c,d}"}
-    assert make(spark, {"g": ["a", "b"]}, 1, delta=True).cells().first()["text"] == "δ(a + b)"
-
-
-@pytest.mark.parametrize("limit", [0, 2, 10])
-def test_absorption_against_brute_force(spark, monkeypatch, limit):
-    """Both ways of finding absorbed witnesses, and any mix of the two, agree with the definition."""
-    monkeypatch.setattr(semirings, "SUBSET_WIDTH", limit)
-    rng = random.Random(limit)
+    p = make(spark, MIXED)
+    kinds = ("how", "boolean", "trio", "why", "posbool", "lineage")
+    terms = lambda df, kind, out="r": {r["term"]: r["coef"] for r in df if (r["form"], r["out"]) == (kind, out)}
+    rows = p.texts(*kinds).collect()
+    assert terms(rows, "how") == {"a . b": 2, "a": 1, "a . a": 1, "b . b . c": 1, "b . c": 1, "c": 1}
+    assert terms(rows, "how", "s") == {"a . b . c": 1, "c . d": 1}
+    assert set(terms(rows, "boolean")) == set(terms(rows, "how")) and set(terms(rows, "boolean").values()) == {1}
+    assert terms(rows, "trio") == {"a": 2, "a . b": 2, "b . c": 2, "c": 1}
+    assert terms(rows, "why") == {"{a,b}": 1, "{a}": 1, "{b,c}": 1, "{c}": 1}
+    assert terms(rows, "posbool") == {"a": 1, "c": 1} and set(terms(rows, "posbool", "s")) == {"(a ∧ b ∧ c)", "(c ∧ d)"}
+    assert terms(rows, "lineage") == {"a": 1, "b": 1, "c": 1}
+    for kind in kinds:  # alone as together
+        assert sorted(map(tuple, p.texts(kind).collect())) == sorted(tuple(r) for r in rows if r["form"] == kind)
+    assert {r["delta"] for r in make(spark, {"g": ["a", "b"]}, delta=True).texts().collect()} == {True}
+    with pytest.raises(ValueError):
+        p.texts("whether")
+
+
+@pytest.mark.parametrize("seed", [0, 2, 10])
+def test_absorption_against_brute_force(spark, seed):
+    rng = random.Random(seed)
     rows = {
         f"o{i}": [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 25))]
         for i in range(12)
     }
-    assert sets(make(spark, rows, 5).posbool()) == minimal(rows)
+    assert sets(make(spark, rows).posbool()) == minimal(rows)
 
 
 def test_absorption_of_wide_witnesses(spark):
@@ -65,25 +69,23 @@ def test_absorption_of_wide_witnesses(spark):
         base = [rng.sample(words, rng.randint(3, 14)) for _ in range(15)]
         grown = [b + rng.sample(words, rng.randint(0, 9)) for b in base for _ in range(3)]
         rows[f"o{i}"] = [" ".join(w) for w in base + grown]
-    assert sets(make(spark, rows, 40).posbool()) == minimal(rows)
+    assert sets(make(spark, rows).posbool()) == minimal(rows)
 
 
-def test_cells_of_large_rows_are_whole(spark):
+def test_large_rows_have_the_shape_of_small_ones(spark):
     rows = {"big": [f"t{i}" for i in range(1000)], "small": ["x", "y"]}
-    cells = make(spark, rows, 1).cells(max_terms=50).collect()
-    small = [r for r in cells if r["out"] == "small"]
-    assert [(r["part"], r["parts"], r["text"]) for r in small] == [(0, 1, "x + y")]
-    big = [r for r in cells if r["out"] == "big"]
-    assert {r["parts"] for r in big} == {20} and len({r["part"] for r in big}) == len(big)
-    assert sorted(t for r in big for t in r["text"].split(" + ")) == sorted(rows["big"])
-    assert max(len(r["text"].split(" + ")) for r in big) < 100
+    got = make(spark, rows).texts().collect()
+    assert sorted(r["term"] for r in got if r["out"] == "big") == sorted(rows["big"])
+    assert sorted(r["term"] for r in got if r["out"] == "small") == ["x", "y"]
 
 
 def test_forms_keep_the_result_columns(frame):
     f = group(frame("C", "c int, g string", [(1, "x"), (2, "x"), (3, "y")]), ["g"], "G", {"n": count()})
-    got = {(r["g"], r["n"], r["form"]): r["text"] for r in forms(f, ["how", "lineage", "posbool"]).collect()}
-    assert got[("x", 2, "how")] == "δ(C1 + C2)" and got[("x", 2, "lineage")] == "{C1,C2}"
-    assert got[("y", 1, "posbool")] == "C3"
+    got = {}
+    for r in forms(f, ["how", "lineage", "posbool"]).collect():
+        got.setdefault((r["g"], r["n"], r["form"], r["delta"]), set()).add(r["term"])
+    assert got[("x", 2, "how", True)] == {"C1", "C2"} == got[("x", 2, "lineage", False)]
+    assert got[("y", 1, "posbool", False)] == {"C3"}
 
 
 @pytest.fixture

@@ -1,8 +1,11 @@
+import os
+import shutil
+
 import pytest
 
 from whence.sources.jdbc import jdbc_options
 from whence.sources.store import read_store, write_store
-from whence.sources.tokens import annotate_keys, annotate_ordinal, read_annotated
+from whence.sources.tokens import annotate_keys, annotate_ordinal, file_number, read_annotated
 from whence.operators.grouping import distinct, group
 from whence.operators.semirings import expand
 from whence.functions.aggregates import count
@@ -15,9 +18,31 @@ def tokens(frame):
 def test_ordinal_counts_copies_apart(spark, tmp_path):
     spark.createDataFrame([(1, "a")] * 5 + [(2, "b")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "t"))
     frame = annotate_ordinal(spark.read.parquet(str(tmp_path / "t")), "L")
-    assert sorted(tokens(frame)) == ["L1", "L2", "L3", "L4", "L5", "L6"]
+    (file,) = [f for f in os.listdir(tmp_path / "t") if f.startswith("part-")]
+    names = [f"L{file_number(file)}_{i}" for i in range(1, 7)]
+    assert sorted(tokens(frame)) == sorted(names)
     # the number belongs to the row, not to the result of a filter
-    assert tokens(frame.filter("k = 2")) == ["L6"]
+    assert tokens(frame.filter("k = 2")) == names[5:]
+
+
+def test_ordinal_stays_when_the_table_is_moved_or_grows(spark, tmp_path):
+    df = spark.range(20).selectExpr("id", "id % 3 as p")
+    df.repartition(2).write.partitionBy("p").parquet(str(tmp_path / "a"))
+    shutil.copytree(tmp_path / "a", tmp_path / "b" / "c")
+    before, after = (
+        {r["id"]: r["how"] for r in annotate_ordinal(spark.read.parquet(str(p)), "L").how().collect()}
+        for p in (tmp_path / "a", tmp_path / "b" / "c")
+    )
+    assert before == after and len(set(before.values())) == 20
+    spark.range(100, 105).selectExpr("id", "id % 3 as p").write.mode("append").partitionBy("p").parquet(str(tmp_path / "a"))
+    grown = {r["id"]: r["how"] for r in annotate_ordinal(spark.read.parquet(str(tmp_path / "a")), "L").how().collect()}
+    assert before.items() <= grown.items() and len(set(grown.values())) == 25
+
+
+def test_compound_keys_do_not_collide(spark):
+    rows = [("a_b", "c"), ("a", "b_c"), ("a", None), (None, "a"), ("a\\", "_"), ("a", "\\N")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert len(set(tokens(annotate_keys(df, "T", ["a", "b"])))) == len(rows)
 
 
 def test_ordinal_of_many_files_is_unique_and_stable(spark, tmp_path):
@@ -63,7 +88,7 @@ def test_store_round_trip(frame, spark, tmp_path):
     squared = f.join(f.prefixed("b_"), [("g", "b_g")]).select("g")
     poly = expand(distinct(squared, "D"))
     write_store(poly, str(tmp_path / "store"))
-    back = read_store(spark, str(tmp_path / "store"), poly.width)
+    back = read_store(spark, str(tmp_path / "store"))
     same = lambda p: sorted((r["out"], tuple(r["m"]), r["c"]) for r in p.terms.collect())
     assert same(back) == same(poly)
     assert ("D[1]", ("C1", "C2"), 2) in same(back) and ("D[1]", ("C1", "C1"), 1) in same(back)

@@ -4,6 +4,7 @@ from whence import expand, group
 from whence.functions.aggregates import avg, count, derivations, sum_
 from whence.operators import validate as val
 from whence.operators.points import distance_join, equal_points, nearest, place_join, within_distance
+from whence.sources.tokens import annotate_ordinal
 from helpers import hows, polynomials
 
 
@@ -35,13 +36,36 @@ def test_replay_of_a_self_join(frame):
     assert [(r["a_n"], r["b_n"], r["ok"]) for r in got] == [(1, 2, True)]
 
 
+def test_tokens_of_many_files_and_qualified_tables(spark, tmp_path):
+    spark.range(60).selectExpr("id", "id % 4 as g").repartition(12).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for name in (None, "sales:t"):
+        f = annotate_ordinal(df, "T", qualified=name)
+        w = val.Witness(f, "T")
+        lineage = f.df.select(F.explode("prov").alias("token"))
+        assert val.resolve_tokens(lineage, {"t": w}).count() == 60
+        check = val.replay(f, {"t": w}, F.lit(True), {"id": F.col("t__id")})
+        assert check.count() == 60 and check.filter("ok").count() == 60
+
+
+def test_replay_of_a_grouped_result(frame):
+    a = frame("A", "a int, k int", [(1, 1), (2, 2), (3, 2)])
+    b = frame("AB", "b int, j int, v int", [(1, 1, 5), (2, 2, 6)])  # its tokens begin like those of A
+    g = group(a.join(b, [("k", "j")]), ["v"], "G", {"n": count()})
+    tables = {"x": val.Witness(a, "A"), "y": val.Witness(b, "AB")}
+    got = val.replay(g, tables, F.expr("x__k = y__j"), {"v": F.col("y__v")}).collect()
+    assert sorted((r["v"], r["ok"]) for r in got) == [(5, True), (6, True), (6, True)]
+    wrong = val.replay(g, tables, F.expr("x__k = y__j"), {"v": F.col("y__v") + (F.col("x__a") == 3).cast("int")}).collect()
+    assert sorted((r["v"], r["ok"]) for r in wrong) == [(5, True), (6, False), (6, True)]
+
+
 def test_counts_aggregates_and_tokens(frame):
     f = frame("L", "l int, g int, v int", [(1, 1, 4), (2, 1, 6), (3, 2, None)])
     g = group(f, ["g"], "G", {"m": avg("v"), "s": sum_("v"), "n": count(), "cntprov": derivations()})
     assert all(r["ok"] for r in val.derivation_count(g, expand(g)).collect())
     for alias in ("m", "s", "n"):
         assert all(r["ok"] for r in val.aggregate_check(g, alias).collect())
-    wrong = g._with(g.df.withColumn("n", F.col("n") + 1), tensor_columns={"n": ("G", "n")})
+    wrong = g._with(g.df.withColumn("n", F.col("n") + 1), tensor_columns={"n": (("G", "n"),)})
     assert not any(r["ok"] for r in val.aggregate_check(wrong, "n").collect())
     found = val.resolve_tokens(expand(g).lineage(), {"lines": val.Witness(f, "L")})
     assert {(r["token"], r["table"]) for r in found.collect()} == {(f"L{i}", "lines") for i in (1, 2, 3)}

@@ -25,6 +25,17 @@ class Agg:
     column: Column | str | None = None
     scale: float | Callable[[Column], Column] | None = None
 
+    def __post_init__(self):
+        if self.kind in ("min", "max") and callable(self.scale):
+            raise ValueError("min and max take a number as scale: a function may turn their order around")
+
+    @property
+    def folds(self) -> str:
+        """Kind that folds the scaled tensor: a negative factor turns min and max around."""
+        if self.kind in ("min", "max") and self.scale is not None and self.scale < 0:
+            return {"min": "max", "max": "min"}[self.kind]
+        return self.kind
+
     def _scaled(self, c: Column) -> Column:
         """Apply a constant factor, or a function such as ``lambda v: v / 7``, to value and tensor alike."""
         if self.scale is None:
@@ -39,7 +50,7 @@ class Agg:
         if self.kind == "sum":
             return self._scaled(F.sum(c))
         if self.kind == "count":
-            return F.count(F.lit(1) if c is None else c)
+            return self._scaled(F.count(F.lit(1) if c is None else c))
         if self.kind == "avg":
             return self._scaled(_mean(c))
         if self.kind == "min":
@@ -59,7 +70,7 @@ class Agg:
         if self.kind == "count":
             one = F.lit(1).cast("long")
             c = self._input()
-            return one if c is None else F.when(c.isNull(), F.lit(0).cast("long")).otherwise(one)
+            return self._scaled(one if c is None else F.when(c.isNull(), F.lit(0).cast("long")).otherwise(one))
         if self.kind == "distinct":
             return self._input().cast("string")
         return self._scaled(self._input())
@@ -86,8 +97,8 @@ def sum_(column: Column | str, scale=None) -> Agg:
     return Agg("sum", column, scale)
 
 
-def count(column: Column | str | None = None) -> Agg:
-    return Agg("count", column)
+def count(column: Column | str | None = None, scale=None) -> Agg:
+    return Agg("count", column, scale)
 
 
 def avg(column: Column | str, scale=None) -> Agg:

@@ -26,7 +26,7 @@ OR = " ∨ "
 
 COND_TYPE = (
     "array<struct<gate:string,tensor:string,op:string,"
-    "rhs:double,rhs_gate:string,rhs_tensor:string>>"
+    "rhs:string,rhs_gate:string,rhs_tensor:string>>"
 )
 
 
@@ -34,18 +34,27 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def key_text(keys: Iterable[Column | str], types: Mapping[str, str] | None = None) -> Column:
+def key_text(
+    keys: Iterable[Column | str], types: Mapping[str, str] | None = None, separator: str = "|"
+) -> Column:
     """Text of a compound key; separators inside strings are escaped, NULL is ``\\N``.
 
-    Columns that ``types`` shows not to be strings are not searched for separators.
+    Columns that ``types`` shows not to be strings are not searched for separators; of floats
+    -0.0 prints as 0.0, since grouping and ``=`` take them as one.
     """
     parts = []
     for k in keys:
-        text = as_column(k).cast("string")
-        if types is None or types.get(k, "string") == "string":
-            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-        parts.append(F.coalesce(text, F.lit("\\N")))
-    return F.concat_ws("|", *parts) if parts else F.lit("")
+        kind = types.get(k, "string") if types is not None and isinstance(k, str) else "string"
+        text = (as_column(k) + F.lit(0.0) if kind in ("double", "float") else as_column(k)).cast("string")
+        parts.append(key_part(text, separator, kind == "string"))
+    return F.concat_ws(separator, *parts) if parts else F.lit("")
+
+
+def key_part(text: Column, separator: str, escape: bool = True) -> Column:
+    """One part of a compound key."""
+    if escape:
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(separator), F.lit("\\" + separator))
+    return F.coalesce(text, F.lit("\\N"))
 
 
 def gate_token(name: str, keys: Iterable[Column | str], types: Mapping[str, str] | None = None) -> Column:
@@ -81,12 +90,12 @@ def term_text(monomial: Column | str, coef: Column | str) -> Column:
 
 
 def condition(gate: Column, tensor: str, op: str, rhs: Column) -> Column:
-    """Symbolic condition ``gate.tensor op 1⊗rhs``."""
+    """Symbolic condition ``gate.tensor op 1⊗rhs``; the value is kept as text, exact for every type."""
     return F.struct(
         gate.alias("gate"),
         F.lit(tensor).alias("tensor"),
         F.lit(op).alias("op"),
-        rhs.cast("double").alias("rhs"),
+        rhs.cast("string").alias("rhs"),
         F.lit(None).cast("string").alias("rhs_gate"),
         F.lit(None).cast("string").alias("rhs_tensor"),
     )
@@ -98,7 +107,7 @@ def tensor_condition(gate: Column, tensor: str, op: str, rhs_gate: Column, rhs_t
         gate.alias("gate"),
         F.lit(tensor).alias("tensor"),
         F.lit(op).alias("op"),
-        F.lit(None).cast("double").alias("rhs"),
+        F.lit(None).cast("string").alias("rhs"),
         rhs_gate.alias("rhs_gate"),
         F.lit(rhs_tensor).alias("rhs_tensor"),
     )
@@ -109,7 +118,8 @@ def condition_text(cond: Column | str = COND) -> Column:
 
     def one(c: Column) -> Column:
         right = F.when(
-            c["rhs_gate"].isNull(), F.concat(F.lit("1⊗"), c["rhs"].cast("decimal(28,4)").cast("string"))
+            c["rhs_gate"].isNull(),
+            F.concat(F.lit("1⊗"), F.coalesce(c["rhs"].try_cast("decimal(28,4)").cast("string"), c["rhs"])),
         ).otherwise(F.concat(c["rhs_gate"], F.lit("."), c["rhs_tensor"]))
         return F.concat(
             F.lit(f"{TIMES}["), c["gate"], F.lit("."), c["tensor"], F.lit(" "), c["op"], F.lit(" "), right, F.lit("]")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import evaluate
 from whence.functions.monomials import COND, PROV
-from whence.operators.frame import Gate, ProvFrame, distinct_keys
+from whence.operators.frame import Conditions, Gate, ProvFrame, distinct_keys
+from whence.session import stored
 
 
-def gate_values(gate: Gate) -> DataFrame:
-    """``(gate, <alias>...)``: every tensor of the gate folded over its derivations."""
-    folds = [evaluate(kind, F.col(f"t_{a}")).alias(a) for a, kind in gate.tensors.items()]
+def gate_values(gate: Gate, aliases: Sequence[str] | None = None) -> DataFrame:
+    """``(gate, <alias>...)``: tensors of the gate, all or those named, folded over its derivations."""
+    aliases = list(gate.tensors) if aliases is None else aliases
+    folds = [evaluate(gate.tensors[a], F.col(f"t_{a}")).alias(a) for a in aliases]
     keys = ["gate"] if gate.keyed else []
     values = gate.derivations.groupBy(*keys).agg(*folds)
-    return values if gate.keyed else values.select(F.lit(f"{gate.name}[]").alias("gate"), *gate.tensors)
+    return values if gate.keyed else values.select(F.lit(f"{gate.name}[]").alias("gate"), *aliases)
 
 
 def surviving(df: DataFrame, dead: DataFrame, single: bool = False) -> DataFrame:
@@ -43,37 +46,46 @@ def delete_tokens(frame: ProvFrame, deleted: DataFrame) -> ProvFrame:
     """The frame as if the base rows in ``deleted(token)`` were gone.
 
     Derivations holding a deleted token fall away; a gate token that has lost all its
-    derivations counts as deleted for the gates and rows above it.  Aggregate columns
-    are folded again from what is left.
+    derivations counts as deleted for the gates and rows above it, unless it stands for a
+    COUNT.  Aggregate columns, and columns computed from them, are made again from what is
+    left; columns that can't be are refused.  The tokens lost at each gate are a table in the
+    shared folder, so the plan grows by one step for each gate.
     """
+    if frame.frozen:
+        raise ValueError(f"can't compute {sorted(frame.frozen)} again from the aggregates: leave them out or use with_columns")
     dead = deleted.select("token")
     gates: dict[str, Gate] = {}
     for g in frame.gates:
         left = surviving(g.derivations, dead, single=g.width == 1)
         gates[g.name] = replace(g, derivations=left)
-        if g.keyed:
+        if g.keyed and not g.counting:
             alive = distinct_keys(left.select(F.col("gate").alias("token")), "token")
             lost = distinct_keys(g.derivations.select(F.col("gate").alias("token")), "token").join(
                 alive, "token", "left_anti"
             )
-            dead = dead.unionAll(lost)
+            dead = dead.unionAll(stored(lost, "lost-tokens"))
     df = surviving(frame.df, dead, single=frame.width == 1)
     rebuilt = replace(frame, df=df, gates=tuple(gates.values()))
     return refold(rebuilt)
 
 
 def refold(frame: ProvFrame) -> ProvFrame:
-    """Recompute the aggregate columns from their tensors."""
+    """Recompute the aggregate columns from their tensors, then what was computed from them."""
     df = frame.df
     by_gate: dict[str, list[tuple[str, str]]] = {}
-    for column, (g, t) in frame.tensor_columns.items():
-        by_gate.setdefault(g, []).append((column, t))
+    for column, tensors in frame.tensor_columns.items():
+        for g, t in tensors:
+            by_gate.setdefault(g, []).append((column, t))
     for name, pairs in by_gate.items():
         values = gate_values(frame.gate(name))
-        values = values.select(F.col("gate").alias("__g"), *[F.col(t).alias(f"__{c}") for c, t in pairs])
+        # the key is a new expression: the join shuffles the values anew and a hot gate can be split
+        values = values.select(F.concat("gate", F.lit("")).alias("__g"), *[F.col(t).alias(f"__{c}") for c, t in pairs])
         df = df.withColumn("__r", mono.gate_ref(name)).join(values, F.col("__r") == F.col("__g"), "left")
-        df = df.withColumns({c: F.col(f"__{c}") for c, _ in pairs})
+        df = df.withColumns({c: F.when(F.col("__r").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)) for c, _ in pairs})
         df = df.drop("__r", "__g", *[f"__{c}" for c, _ in pairs])
+    for column, expression in frame.derived if frame.tensor_columns else ():
+        if column in df.columns:
+            df = df.withColumn(column, expression)
     return replace(frame, df=df)
 
 
@@ -105,35 +117,49 @@ def _products(df: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     )
 
 
-def _values_table(frame: ProvFrame) -> DataFrame:
-    """``(__g, __t, __v)``: all tensors of all gates, long."""
-    parts = []
-    for g in frame.gates:
-        if g.tensors:
-            values = gate_values(g)
-            cells = [F.struct(F.lit(a).alias("t"), F.col(a).cast("double").alias("v")) for a in g.tensors]
-            one = values.select("gate", F.explode(F.array(*cells)).alias("x"))
-            parts.append(one.select(F.col("gate").alias("__g"), F.col("x.t").alias("__t"), F.col("x.v").alias("__v")))
-    return reduce(DataFrame.unionAll, parts)
-
-
-def conditions(frame: ProvFrame, df: DataFrame, count: int) -> DataFrame:
-    """Add ``holds``: do all symbolic conditions of the row evaluate to true?"""
-    table = _values_table(frame)
+def _tensor_values(frame: ProvFrame, tensors: frozenset[tuple[str, str]]) -> tuple[DataFrame, str, Column]:
+    """((__g, __t, __v): these tensors, long; the type of the values; the value of one without members)."""
+    folded = []
+    for name in sorted({g for g, _ in tensors}):
+        gate = frame.gate(name)
+        aliases = [a for g, a in sorted(tensors) if g == name]
+        folded += [(gate.tensors[a], a, gate_values(gate, aliases).select("gate", F.col(a).alias("v"))) for a in aliases]
+    kinds = {df.schema["v"].dataType.simpleString() for *_, df in folded}
+    kind = kinds.pop() if len(kinds) == 1 else "double"
+    if kind.startswith(("decimal", "bigint", "int", "smallint", "tinyint")):
+        kind = "decimal(38,10)"
+    elif kind == "float":
+        kind = "double"
+    parts = [df.select(F.concat("gate", F.lit("")).alias("__g"), F.lit(a).alias("__t"), F.col("v").cast(kind).alias("__v")) for _, a, df in folded]
+    empty = F.lit(0 if all(k in ("count", "distinct") for k, *_ in folded) and kind.startswith(("decimal", "double")) else None)
+    return reduce(DataFrame.unionAll, parts), kind, empty.cast(kind)
+
+
+def conditions(frame: ProvFrame, df: DataFrame, conds: Conditions) -> DataFrame:
+    """Add ``holds``: do all symbolic conditions of the row evaluate to true?
+
+    Only the tensors that the conditions name are folded.  Values compare in the tensor's own
+    type: whole and decimal numbers exactly, dates and texts as such.
+    """
     verdict: Column = F.lit(True)
-    for i in range(count):
+    for i, (left, right) in enumerate(conds):
         c = F.get(COND, F.lit(i))
-        left, right = table.toDF(f"__g{i}", f"__t{i}", f"__v{i}"), table.toDF(f"__h{i}", f"__u{i}", f"__w{i}")
-        df = df.join(left, (c["gate"] == F.col(f"__g{i}")) & (c["tensor"] == F.col(f"__t{i}")), "left")
-        df = df.join(right, (c["rhs_gate"] == F.col(f"__h{i}")) & (c["rhs_tensor"] == F.col(f"__u{i}")), "left")
-        lhs = F.col(f"__v{i}")
-        rhs = F.when(c["rhs_gate"].isNull(), c["rhs"]).otherwise(F.col(f"__w{i}"))
+        table, kind, none = _tensor_values(frame, left)
+        df = df.join(table.toDF(f"__g{i}", f"__t{i}", f"__v{i}"), (c["gate"] == F.col(f"__g{i}")) & (c["tensor"] == F.col(f"__t{i}")), "left")
+        lhs = F.coalesce(F.col(f"__v{i}"), none)
+        rhs = c["rhs"].cast(kind)
+        if right:
+            table, other, none = _tensor_values(frame, right)
+            df = df.join(table.toDF(f"__h{i}", f"__u{i}", f"__w{i}"), (c["rhs_gate"] == F.col(f"__h{i}")) & (c["rhs_tensor"] == F.col(f"__u{i}")), "left")
+            if other != kind:  # one of them is a double
+                lhs, rhs = lhs.cast("double"), c["rhs"].cast("double")
+            rhs = F.when(c["rhs_gate"].isNull(), rhs).otherwise(F.coalesce(F.col(f"__w{i}"), none))
         one = F.lit(False)
         for op in ("=", "<>", "<", "<=", ">", ">="):
             one = F.when(c["op"] == op, mono.compare(lhs, op, rhs)).otherwise(one)
         verdict = verdict & (c.isNull() | F.coalesce(one, F.lit(False)))
     df = df.withColumn("holds", verdict)
-    names = [f"__{x}{i}" for i in range(count) for x in "gtvhuw"]
+    names = [f"__{x}{i}" for i in range(len(conds)) for x in "gtvhuw"]
     return df.drop(*names)
 
 
@@ -147,13 +173,13 @@ def resolve(frame: ProvFrame) -> ProvFrame:
         if g.conds:
             view = replace(frame, gates=tuple(done))
             kept = conditions(view, g.derivations, g.conds).filter("holds").drop("holds", COND)
-            g = replace(g, derivations=kept, conds=0)
+            g = replace(g, derivations=kept, conds=())
         done.append(g)
     frame = replace(frame, gates=tuple(done))
     if not frame.conds:
         return frame
     df = conditions(frame, frame.df, frame.conds).filter("holds").drop("holds", COND)
-    return replace(frame, df=df, conds=0, whole=None)
+    return replace(frame, df=df, conds=(), whole=None)
 
 
 def drop_empty(frame: ProvFrame) -> ProvFrame:
@@ -161,7 +187,7 @@ def drop_empty(frame: ProvFrame) -> ProvFrame:
     df = frame.df
     for g in frame.gates:
         low, high = frame.holds.get(g.name, (0, 0))
-        if g.keyed and high:
+        if g.keyed and high and not g.counting:
             alive = distinct_keys(g.derivations.select("gate"), "gate").withColumnRenamed("gate", "__alive")
             df = df.withColumn("__r", mono.gate_ref(g.name))
             kept = df.join(alive, F.col("__r") == F.col("__alive"), "left_semi")
@@ -182,4 +208,4 @@ def split_terms(frame: ProvFrame, gate: str) -> DataFrame:
 
 def strip_conditions(frame: ProvFrame) -> ProvFrame:
     """Forget the symbolic conditions without deciding them."""
-    return replace(frame, df=frame.df.drop(COND), conds=0)
+    return replace(frame, df=frame.df.drop(COND), conds=())

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ from whence.functions import monomials as mono
 from whence.functions.monomials import COND, PROV
 from whence.session import checkpointed
 
+#: Tensors a column or a condition may stand for, as (gate, alias); a row's own tokens tell which.
+Tensors = tuple[tuple[str, str], ...]
+#: Of every symbolic condition of a row, the tensors on its left and its right.
+Conditions = tuple[tuple[frozenset[tuple[str, str]], frozenset[tuple[str, str]]], ...]
+
 RESERVED = (PROV, COND)
 _GATE = "gate"
 
@@ -69,6 +75,8 @@ class Gate:
     if the members carry symbolic conditions, and ``t_<alias>`` per tensor.
     ``holds`` gives, per inner gate, the least and greatest number of its tokens in
     one derivation; ``width`` is the greatest number of base tokens after expansion.
+    A token of a ``counting`` gate stays a factor also when it has no derivations: the
+    gate stands for a COUNT, which is then 0.
     """
 
     name: str
@@ -78,8 +86,9 @@ class Gate:
     keyed: bool = True
     holds: Mapping[str, tuple[int, int]] = field(default_factory=dict)
     width: int = 1
-    conds: int = 0
+    conds: Conditions = ()
     origin: Origin = Origin()
+    counting: bool = False
 
 
 @dataclass(frozen=True)
@@ -88,11 +97,15 @@ class ProvFrame:
     gates: tuple[Gate, ...] = ()
     holds: Mapping[str, tuple[int, int]] = field(default_factory=dict)
     width: int = 1
-    conds: int = 0
-    tensor_columns: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+    conds: Conditions = ()
+    tensor_columns: Mapping[str, Tensors] = field(default_factory=dict)
     origin: Origin = Origin()
     # name of the gate if the rows are exactly its groups, each with its token alone
     whole: str | None = None
+    # columns computed next to tensor columns, to be computed again when tensors change, in order
+    derived: tuple[tuple[str, Column], ...] = ()
+    # columns that were computed from tensor columns and can't be computed again
+    frozen: frozenset[str] = frozenset()
 
     # ---- structure ---------------------------------------------------------
 
@@ -112,7 +125,7 @@ class ProvFrame:
     def _with(self, df: DataFrame, same_rows: bool = False, **changes) -> ProvFrame:
         frame = replace(self, df=df, whole=self.whole if same_rows else None, **changes)
         kept = {c: t for c, t in frame.tensor_columns.items() if c in df.columns}
-        return replace(frame, tensor_columns=kept)
+        return replace(frame, tensor_columns=kept, frozen=frame.frozen & set(df.columns))
 
     def plain(self) -> DataFrame:
         """The same query without provenance (Catalyst drops the token columns)."""
@@ -174,8 +187,9 @@ class ProvFrame:
     def tensor_refs(self) -> ProvFrame:
         """Add ``<alias>_agg`` naming the tensor behind every aggregate column."""
         df = self.df
-        for c, (g, t) in self.tensor_columns.items():
-            df = df.withColumn(f"{c}_agg", F.concat(mono.gate_ref(g), F.lit(f".{t}")))
+        for c, tensors in self.tensor_columns.items():
+            refs = [F.concat(mono.gate_ref(g), F.lit(f".{t}")) for g, t in tensors]
+            df = df.withColumn(f"{c}_agg", F.coalesce(*refs))
         return self._with(df, same_rows=True)
 
     def checkpointed(self) -> ProvFrame:
@@ -186,12 +200,30 @@ class ProvFrame:
     # ---- projection and filter --------------------------------------------
 
     def select(self, *cols: Column | str) -> ProvFrame:
-        return self._with(self.df.select(*cols, *self._hidden()), same_rows=True)
+        df = self.df.select(*cols, *self._hidden())
+        if not self.tensor_columns and not self.frozen:
+            return self._with(df, same_rows=True)
+        # what is not a column by its name was computed, perhaps from an aggregate
+        names = {c for c in cols if isinstance(c, str)}
+        names = set(self.columns) if "*" in names else names
+        tensors = {c: t for c, t in self.tensor_columns.items() if c in names}
+        needed = {c for c, _ in self.derived} & set(df.columns)
+        lost = set(self.tensor_columns) - set(df.columns)
+        frozen = (set(df.columns) - set(RESERVED) - names) | (needed if lost else set()) | (self.frozen & names)
+        derived = () if lost else tuple(x for x in self.derived if x[0] in names)
+        return self._with(df, same_rows=True, tensor_columns=tensors, derived=derived, frozen=frozenset(frozen))
 
     def with_columns(self, **cols: Column) -> ProvFrame:
+        """Add or replace columns; next to aggregates they are computed again when these change."""
         self._check_names(cols)
         changed = {c: t for c, t in self.tensor_columns.items() if c not in cols}
-        return self._with(self.df.withColumns(dict(cols)), same_rows=True, tensor_columns=changed)
+        derived, frozen = self.derived, self.frozen
+        if self.tensor_columns or frozen:
+            replaced = {c for c in cols if c in self.df.columns}
+            frozen = frozen | replaced | ({c for c, _ in derived} if replaced & set(self.tensor_columns) else set())
+            derived = (*derived, *[(c, e) for c, e in cols.items() if c not in replaced])
+        df = self.df.withColumns(dict(cols))
+        return self._with(df, same_rows=True, tensor_columns=changed, derived=derived, frozen=frozenset(frozen))
 
     def filter(self, predicate: Column | str) -> ProvFrame:
         return self._with(self.df.filter(predicate))
@@ -199,7 +231,13 @@ class ProvFrame:
     def rename(self, names: Mapping[str, str]) -> ProvFrame:
         self._check_names(names.values())
         tensors = {names.get(c, c): t for c, t in self.tensor_columns.items()}
-        return replace(self, df=self.df.withColumnsRenamed(dict(names)), tensor_columns=tensors)
+        # expressions name the old columns
+        used = {c for c, _ in self.derived} if set(names) & set(self.columns) else set()
+        frozen = frozenset(names.get(c, c) for c in self.frozen | used)
+        derived = () if used else self.derived
+        return replace(
+            self, df=self.df.withColumnsRenamed(dict(names)), tensor_columns=tensors, derived=derived, frozen=frozen
+        )
 
     def to_columns(self, *names: str) -> ProvFrame:
         """Rename all columns by position."""
@@ -246,6 +284,8 @@ class ProvFrame:
         if not on:
             raise ValueError("no join keys: use theta_join or cross_join")
         cond = reduce(Column.__and__, [self.df[a] == other.df[b] for a, b in on])
+        if self.gates or other.gates:
+            cond = cond & own_exchange(self.df, other.df, on)
         if where is not None:
             cond = cond & where
         return self._joined(other, lambda right: self.df.join(right, cond, how), how)
@@ -288,6 +328,8 @@ class ProvFrame:
             self.conds + other.conds,
             {**self.tensor_columns, **other.tensor_columns},
             self.origin.with_(other.origin),
+            derived=(*self.derived, *other.derived),
+            frozen=self.frozen | other.frozen,
         )
 
     def _blocked(self, other: ProvFrame, condition: Column | None) -> ProvFrame:
@@ -339,15 +381,26 @@ class ProvFrame:
         for g in {*self.holds, *other.holds}:
             a, b = self.holds.get(g, (0, 0)), other.holds.get(g, (0, 0))
             holds[g] = (min(a[0], b[0]), max(a[1], b[1]))
-        same = {c: t for c, t in self.tensor_columns.items() if other.tensor_columns.get(c) == t}
+        tensors = {}
+        for c in {**self.tensor_columns, **other.tensor_columns}:
+            a, b = self.tensor_columns.get(c, ()), other.tensor_columns.get(c, ())
+            if any(g in other.holds for g, _ in set(a) - set(b)) or any(g in self.holds for g, _ in set(b) - set(a)):
+                raise ValueError(f"rows of both branches hold tokens of the gate behind {c!r}: its tensor is ambiguous")
+            tensors[c] = tuple(dict.fromkeys((*a, *b)))
+        conds = tuple(
+            tuple(x | y for x, y in zip(a, b)) for a, b in zip_longest(self.conds, other.conds, fillvalue=(frozenset(),) * 2)
+        )
+        # a column computed in one branch only, or differently, can't be told apart later
+        computed = {c for c, _ in (*self.derived, *other.derived)} if tensors else set()
         return ProvFrame(
             left.unionByName(right, allowMissingColumns=allow_missing),
             gates,
             holds,
             max(self.width, other.width),
-            max(self.conds, other.conds),
-            same,
+            conds,
+            tensors,
             self.origin.with_(other.origin),
+            frozen=self.frozen | other.frozen | computed,
         )
 
     def intersect(self, other: ProvFrame):
@@ -396,6 +449,19 @@ def attach(df: DataFrame, key: Column, per_key: DataFrame, how: str) -> DataFram
     )
 
 
+def own_exchange(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> Column:
+    """A condition that is true wherever the keys are equal, and a join key of its own.
+
+    A grouped side is partitioned by the key already; with one more key the join shuffles it
+    anew, and AQE can split a hot key of the other side.
+    """
+    kinds, others = dict(left.dtypes), dict(right.dtypes)
+    same = [(left[a], right[b]) for a, b in on if kinds[a] == others[b]]
+    if not same:
+        return F.lit(True)
+    return F.xxhash64(*[a for a, _ in same]) == F.xxhash64(*[b for _, b in same])
+
+
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """Distinct values of one column, pre-aggregated before they are shuffled.
 

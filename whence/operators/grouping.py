@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import Agg, derivations
 from whence.functions.monomials import COND, PROV
-from whence.operators.frame import Gate, ProvFrame
+from whence.operators.frame import Gate, ProvFrame, Tensors
 
 MODES = ("resolved", "symbolic")
 
@@ -55,7 +55,7 @@ def group(
     gate = Gate(
         name,
         members,
-        {a: aggs[a].kind for a in tensors},
+        {a: aggs[a].folds for a in tensors},
         bool(aggs) if delta is None else delta,
         bool(keys),
         dict(frame.holds),
@@ -67,20 +67,20 @@ def group(
     if mode == "symbolic":
         rows = frame.df.select(*keys).distinct() if keys else frame.df.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
         rows = rows.withColumns({a: F.concat(token, F.lit(f".{a}")) for a in tensors})
-        columns: dict[str, tuple[str, str]] = {}
+        columns: dict[str, tuple[tuple[str, str], ...]] = {}
     else:
         values = [agg.value().alias(a) for a, agg in aggs.items()]
         if values:
             rows = frame.df.groupBy(*keys).agg(*values)
         else:
             rows = frame.df.select(*keys).distinct()
-        columns = {a: (name, a) for a in tensors}
+        columns = {a: ((name, a),) for a in tensors}
     return ProvFrame(
         rows.withColumn(PROV, F.array(token)),
         (*frame.gates, gate),
         {name: (1, 1)},
         frame.width,
-        0,
+        (),
         columns,
         frame.origin.grouped(name),
         name,
@@ -121,10 +121,13 @@ def having(frame: ProvFrame, alias: str, op: str, value, mode: str = "resolved")
     if mode == "resolved":
         return frame.filter(mono.compare(F.col(alias), op, value))
     gate = next(g for g in reversed(frame.gates) if alias in g.tensors and g.name in frame.holds)
-    return with_condition(frame, mono.condition(mono.gate_ref(gate.name), alias, op, value))
+    condition = mono.condition(mono.gate_ref(gate.name), alias, op, value)
+    return with_condition(frame, condition, ((gate.name, alias),))
 
 
-def with_condition(frame: ProvFrame, cond: Column) -> ProvFrame:
+def with_condition(frame: ProvFrame, cond: Column, left: Tensors, right: Tensors = ()) -> ProvFrame:
+    """Append a condition between one of the tensors ``left`` and a value or one of ``right``."""
     one = F.array(cond).cast(mono.COND_TYPE)
     column = F.concat(F.col(COND), one) if frame.conds else one
-    return replace(frame, df=frame.df.withColumn(COND, column), conds=frame.conds + 1)
+    conds = (*frame.conds, (frozenset(left), frozenset(right)))
+    return replace(frame, df=frame.df.withColumn(COND, column), conds=conds)

@@ -18,19 +18,11 @@ from whence.functions import monomials as mono
 from whence.functions.monomials import PROV
 from whence.operators.frame import ProvFrame
 
-# Witnesses up to this size look their proper subsets up; larger ones search by token.
-SUBSET_WIDTH = 10
-
-
 @dataclass(frozen=True)
 class Polynomials:
-    """``terms`` has (out, m, c); ``width`` bounds the number of tokens in ``m``.
-
-    ``flat`` says that no token repeats within a monomial.
-    """
+    """``terms`` has (out, m, c); ``flat`` says that no token repeats within a monomial."""
 
     terms: DataFrame
-    width: int
     delta: bool = False
     flat: bool = False
 
@@ -59,61 +51,46 @@ class Polynomials:
     def posbool(self) -> DataFrame:
         """PosBool(X): witnesses that contain no other witness of the same row."""
         w = self.why()
-        absorbed = _absorbed_by_subset(w, min(self.width, SUBSET_WIDTH))
-        if self.width > SUBSET_WIDTH:
-            absorbed = absorbed.unionAll(_absorbed_by_token(w))
-        absorbed = absorbed.distinct()
         same = (F.col("out") == F.col("__o")) & (F.col("m") == F.col("__m"))
-        return w.join(absorbed.toDF("__o", "__m"), same, "left_anti")
+        return w.join(_absorbed(w).distinct().toDF("__o", "__m"), same, "left_anti")
 
     def lineage(self) -> DataFrame:
         """Lin(X): every token that occurs, as ``(out, token)``."""
         return self.terms.select("out", F.explode("m").alias("token")).distinct()
 
-    def cells(self, kind: str = "how", max_terms: int = 10_000) -> DataFrame:
-        """Display text, ``(out, part, parts, text)``.
+    def texts(self, *kinds: str) -> DataFrame:
+        """Display text, one row per term: ``(out, form, term, coef, delta)``.
 
-        A row of up to ``max_terms`` terms is one cell.  A larger one is cut into
-        parts of about that size, by a hash of the term; the parts together are the
-        whole polynomial.  So no cell and no task grows with a hot row.
+        ``delta`` says that the row's polynomial stands under δ.  All forms but posbool, which
+        compares witnesses, are read off one pass over the terms.
         """
-        if kind == "lineage":
-            t = self.lineage().select("out", F.col("token").alias("text"))
-        else:
-            terms = getattr(self, kind)()
-            text = {
-                "how": lambda: mono.term_text("m", "c"),
-                "boolean": lambda: mono.monomial_text("m"),
-                "trio": lambda: mono.term_text("m", "c"),
-                "why": lambda: F.concat(F.lit("{"), F.array_join("m", ","), F.lit("}")),
-                "posbool": lambda: _conjunction(F.col("m")),
-            }[kind]()
-            t = terms.select("out", text.alias("text"))
-        big = (
-            t.groupBy("out")
-            .agg(F.ceil(F.count(F.lit(1)) / F.lit(max_terms)).alias("parts"))
-            .filter(F.col("parts") > 1)
-            .select(F.concat("out", F.lit("")).alias("__o"), "parts")
-        )
-        t = t.join(big, F.col("out") == F.col("__o"), "left").drop("__o")
-        t = t.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-        # the key of this grouping is new, so a split hot row is not gathered again
-        slot = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.col("parts")
-        t = t.withColumn("__slot", F.concat_ws("~", slot, "parts", "out")).withColumn("part", slot)
-        separator = {"why": ",", "lineage": ",", "posbool": mono.OR}.get(kind, mono.PLUS)
-        joined = F.array_join(F.sort_array(F.collect_list("text")), separator)
-        one = t.groupBy("__slot").agg(
-            F.first("out").alias("out"), F.first("part").alias("part"), F.first("parts").alias("parts"),
-            joined.alias("text"),
-        )
-        return one.select("out", "part", "parts", self._wrapped(kind, F.col("text"), F.col("parts")).alias("text"))
-
-    def _wrapped(self, kind: str, text: Column, parts: Column) -> Column:
-        if kind in ("why", "lineage"):
-            return F.when(parts == 1, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(text)
-        if kind == "how" and self.delta:
-            return F.when(parts == 1, F.concat(F.lit(f"{mono.DELTA}("), text, F.lit(")"))).otherwise(text)
-        return text
+        kinds = kinds or ("how",)
+        if unknown := set(kinds) - set(_TEXT):
+            raise ValueError(f"unknown forms {sorted(unknown)}")
+        one = lambda kind, m: F.struct(F.lit(kind).alias("form"), m.alias("m"))
+        views = {
+            "how": lambda: F.array(one("how", F.col("m"))),
+            "boolean": lambda: F.array(one("boolean", F.col("m"))),
+            "trio": lambda: F.array(one("trio", mono.support("m"))),
+            "why": lambda: F.array(one("why", mono.support("m"))),
+            "lineage": lambda: F.transform(F.array_distinct("m"), lambda t: one("lineage", F.array(t))),
+        }
+        parts = []
+        if read := [views[k]() for k in kinds if k in views]:
+            rows = self.terms.select("out", F.explode(F.concat(*read)).alias("x"), "c").select("out", "x.form", "x.m", "c")
+            if not self.flat or "lineage" in kinds:
+                rows = rows.groupBy("out", "form", "m").agg(F.sum("c").alias("c"))
+            parts.append(rows)
+        if "posbool" in kinds:
+            parts.append(self.posbool().select("out", F.lit("posbool").alias("form"), "m", F.lit(1).cast("long").alias("c")))
+        rows = reduce(DataFrame.unionAll, parts)
+        counted = F.col("form").isin("how", "trio")
+        text = F.lit(None).cast("string")
+        for kind in kinds:
+            text = F.when(F.col("form") == kind, _TEXT[kind](F.col("m"))).otherwise(text)
+        coef = F.when(counted, F.col("c")).otherwise(F.lit(1).cast("long"))
+        delta = (F.col("form") == "how") & F.lit(self.delta)
+        return rows.select("out", "form", text.alias("term"), coef.alias("coef"), delta.alias("delta"))
 
 
 def _conjunction(m: Column) -> Column:
@@ -121,45 +98,36 @@ def _conjunction(m: Column) -> Column:
     return F.when(F.size(m) > 1, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
 
 
-def _absorbed_by_subset(w: DataFrame, width: int) -> DataFrame:
-    """Witnesses of up to ``width`` tokens of which a proper subset is a witness too.
+_TEXT = {
+    "how": mono.monomial_text,
+    "boolean": mono.monomial_text,
+    "trio": mono.monomial_text,
+    "why": lambda m: F.concat(F.lit("{"), F.array_join(m, ","), F.lit("}")),
+    "posbool": _conjunction,
+    "lineage": lambda m: F.get(m, F.lit(0)),
+}
 
-    Each looks up its own subsets, at most 2^width of them and only of sizes that occur,
-    by an equi-join; witnesses are never paired with each other.
-    """
-    sizes = w.agg(F.collect_set(F.size("m"))).scalar()
-    masks = F.expr("sequence(1, cast(pow(2, size(m)) as int) - 2)")
-    subsets = F.expr(
-        "transform(filter(__masks, x -> array_contains(__sizes, bit_count(x))),"
-        " x -> filter(m, (t, i) -> (shiftright(x, i) & 1) = 1))"
-    )
-    smaller = F.exists(F.col("__sizes"), lambda s: (s < F.size("m")) & (s > 0))
-    candidates = (
-        w.filter((F.size("m") > 1) & (F.size("m") <= width))
-        .withColumn("__sizes", sizes)
-        .filter(smaller)
-        .withColumn("__masks", masks)
-        .select("out", "m", F.explode(subsets).alias("__s"))
-    )
-    known = w.toDF("__o", "__w")
-    match = (F.col("out") == F.col("__o")) & (F.col("__s") == F.col("__w"))
-    return candidates.join(known, match, "left_semi").select("out", "m")
 
+def _absorbed(w: DataFrame) -> DataFrame:
+    """Witnesses of which a proper subset is a witness of the same row too.
 
-def _absorbed_by_token(w: DataFrame) -> DataFrame:
-    """The same for larger witnesses: look only at witnesses filed under their rarest token."""
-    tokens = w.select("out", "m", F.explode("m").alias("t"))
-    rarity = tokens.groupBy("out", "t").agg(F.count(F.lit(1)).alias("n"))
+    A witness is filed under its rarest token.  A subset of a witness is filed under one of the
+    witness's own tokens, so each looks only there, and only where something smaller is filed.
+    The look-ups join on a text key of their own: AQE can split a token that is in every witness.
+    """
+    key = F.concat_ws("~", F.md5("out"), "t")
+    tokens = w.select("out", "m", F.explode("m").alias("t")).withColumn("__k", key)
+    rarity = tokens.groupBy("out", "t").agg(F.count(F.lit(1)).alias("__n")).select(key.alias("__rk"), "__n")
     rarest = (
-        tokens.join(rarity, ["out", "t"])
+        tokens.join(rarity, F.col("__k") == F.col("__rk"))
         .groupBy("out", "m")
-        .agg(F.min(F.struct("n", "t"))["t"].alias("__t"))
-        .select(F.col("out").alias("__o"), F.col("m").alias("__w"), "__t")
+        .agg(F.min(F.struct("__n", "t"))["t"].alias("t"))
+        .select(key.alias("__f"), F.col("m").alias("__w"), F.size("m").alias("__s"))
     )
-    large = tokens.filter(F.size("m") > SUBSET_WIDTH)
-    inside = (F.size("__w") < F.size("m")) & (F.size(F.array_except("__w", "m")) == 0)
-    match = (F.col("out") == F.col("__o")) & (F.col("t") == F.col("__t")) & inside
-    return large.join(rarest, match, "left_semi").select("out", "m")
+    least = rarest.groupBy("__f").agg(F.min("__s").alias("__s")).select(F.concat("__f", F.lit("")).alias("__rk"), "__s")
+    asking = tokens.join(least, (F.col("__k") == F.col("__rk")) & (F.col("__s") < F.size("m"))).select("out", "m", "__k")
+    inside = (F.col("__s") < F.size("m")) & (F.size(F.array_except("__w", "m")) == 0)
+    return asking.join(rarest, (F.col("__k") == F.col("__f")) & inside, "left_semi").select("out", "m")
 
 
 def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
@@ -176,14 +144,14 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
         start = frame.df.select(mono.monomial_text(PROV).alias("out"), F.sort_array(PROV).alias("m"))
         if not frame.origin.unique:
             start = start.distinct()
-        holds, width, delta, flat = dict(frame.holds), frame.width, False, frame.origin.flat
+        holds, delta, flat = dict(frame.holds), False, frame.origin.flat
         if len(holds) == 1 and frame.gates:
             (top,) = holds
             delta = frame.gate(top).delta
     else:
         gate = frame.gate(only)
         start = gate.derivations.select(F.col("gate").alias("out"), F.col(PROV).alias("m"))
-        holds, width, delta, flat = dict(gate.holds), gate.width, gate.delta, gate.origin.flat
+        holds, delta, flat = dict(gate.holds), gate.delta, gate.origin.flat
     t = start
     for gate in reversed(frame.gates):
         low, high = holds.pop(gate.name, (0, 0))
@@ -197,19 +165,16 @@ def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:
         terms = terms.withColumn("c", F.lit(1).cast("long"))
     else:
         terms = terms.groupBy("out", "m").agg(F.count(F.lit(1)).alias("c"))
-    return Polynomials(terms, width, delta, flat)
+    return Polynomials(terms, delta, flat)
 
 
-def forms(frame: ProvFrame, kinds: Sequence[str] = ("how",), max_terms: int = 10_000) -> DataFrame:
-    """Result columns with the chosen forms of provenance as text.
+def forms(frame: ProvFrame, kinds: Sequence[str] = ("how",)) -> DataFrame:
+    """Result columns with the chosen forms of provenance.
 
-    One row per result row, form and part: the columns, ``form``, ``part``, ``parts``, ``text``.
+    One row per result row, form and term: the columns, ``form``, ``term``, ``coef``, ``delta``.
     """
-    poly = expand(frame)
-    cells = [poly.cells(k, max_terms).select(F.lit(k).alias("form"), "*") for k in kinds]
-    cells = reduce(DataFrame.unionAll, cells)
     rows = frame.df.select(*frame.columns, mono.monomial_text(PROV).alias("__row"))
-    return rows.join(cells, F.col("__row") == F.col("out")).drop("__row", "out")
+    return rows.join(expand(frame).texts(*kinds), F.col("__row") == F.col("out")).drop("__row", "out")
 
 
 def _inline(t: DataFrame, gate, always: bool) -> DataFrame:

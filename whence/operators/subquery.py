@@ -47,6 +47,8 @@ def _extended(outer: ProvFrame, inner: ProvFrame, gate: Gate, df: DataFrame, low
         outer.conds,
         outer.tensor_columns,
         outer.origin.times_gate(gate.name, inner.origin),
+        derived=outer.derived,
+        frozen=outer.frozen,
     )
 
 
@@ -189,8 +191,11 @@ def scalar_compare(
     _check_types(outer, inner, on)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
     hidden_value = "__v"
+    if on:  # equal to no outer row
+        inner = inner._with(inner.df.filter(_all_present(inner_keys)))
     grouped = group(inner, inner_keys, name, {"v": agg}, mode="symbolic" if inner.conds else "resolved")
-    gate = grouped.gate(name)
+    counting = agg.kind in ("count", "distinct")
+    gate = replace(grouped.gate(name), counting=counting)
     token = mono.gate_token(name, outer_keys, dict(outer.df.dtypes))
     none = F.array().cast("array<string>")
 
@@ -209,10 +214,11 @@ def scalar_compare(
     per_key = per_key.select(mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), hidden_value).filter(
         F.col("__rk").isNotNull()
     )
+    if mode == "symbolic" and counting:  # also the outer rows without a match, whose count is 0
+        return _symbolic(outer, inner, gate, outer.df, token, x, op)
     if mode == "symbolic":
         df = attach_semi(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), per_key.drop(hidden_value), "left_semi")
         return _symbolic(outer, inner, gate, df, token, x, op)
-    counting = agg.kind in ("count", "distinct")
     optional = counting or or_where is not None
     left = outer.df.withColumn("__k", mono.match_token(name, outer_keys, dict(outer.df.dtypes)))
     df = left.join(per_key, F.col("__k") == F.col("__rk"), "left" if optional else "inner")
@@ -233,9 +239,12 @@ def _symbolic(
     """All candidates stay, with the condition ``[tensor flip(op) 1⊗x]`` or tensor against tensor."""
     frame = _extended(outer, inner, gate, _times(df, token))
     if x in outer.tensor_columns:
-        g, t = outer.tensor_columns[x]
-        return with_condition(frame, mono.tensor_condition(mono.gate_ref(g), t, op, token, "v"))
-    return with_condition(frame, mono.condition(token, "v", mono.flip(op), F.col(x)))
+        tensors = outer.tensor_columns[x]
+        if len(tensors) > 1:
+            raise ValueError(f"{x!r} stands for tensors of several gates: compare before the union")
+        ((g, t),) = tensors
+        return with_condition(frame, mono.tensor_condition(mono.gate_ref(g), t, op, token, "v"), tensors, ((gate.name, "v"),))
+    return with_condition(frame, mono.condition(token, "v", mono.flip(op), F.col(x)), ((gate.name, "v"),))
 
 
 def having_subquery(

@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whence.functions import monomials as mono
 from whence.functions.monomials import PROV
 from whence.operators.evaluate import gate_values
 from whence.operators.frame import ProvFrame
-from whence.operators.semirings import Polynomials
+from whence.operators.semirings import Polynomials, expand
 
 _NUMERIC = ("double", "float", "decimal")
 
@@ -48,12 +49,24 @@ class Witness:
     prefix: str
     occurrence: int = 0
 
+    @property
+    def family(self) -> str:
+        """What all tokens of the table begin with, its qualified name included."""
+        known = self.base.origin.base
+        return next(iter(known)) if len(known) == 1 else self.prefix
+
+
+def _of_family(token: Column, family: str, families: set[str]) -> Column:
+    """Does the token belong to the family, and not to one with a longer name that begins alike?"""
+    longer = [f for f in sorted(families) if f != family and f.startswith(family)]
+    return reduce(Column.__and__, [~token.startswith(f) for f in longer], token.startswith(family))
+
 
 def resolve_tokens(tokens: DataFrame, bases: Mapping[str, Witness]) -> DataFrame:
     """``(token, table, row)``: every token with its base row as JSON."""
     parts = []
     for table, w in bases.items():
-        mine = tokens.select("token").filter(F.col("token").rlike(f"^{w.prefix}[0-9]")).distinct()
+        mine = tokens.select("token").filter(F.col("token").startswith(w.family)).distinct()
         base = w.base.df.select(F.get(PROV, F.lit(0)).alias("__t"), F.to_json(F.struct(*w.base.columns)).alias("row"))
         parts.append(mine.join(base, F.col("token") == F.col("__t")).select("token", F.lit(table).alias("table"), "row"))
     return reduce(DataFrame.unionAll, parts)
@@ -63,13 +76,20 @@ def replay(frame: ProvFrame, tables: Mapping[str, Witness], where: Column, colum
     """Look every row's tokens up in the base tables and recompute the row.
 
     One equi-join per table occurrence.  Returns the row's columns, ``recomputed_*``
-    and ``ok``: all tokens found, ``where`` true and all columns equal.
+    and ``ok``: all tokens found, ``where`` true and all columns equal.  Of a grouped result
+    every monomial of every row is looked up, ``columns`` being what its members share.
     """
     df = frame.df
+    if frame.gates:
+        rows = df.select(*frame.columns, F.concat(mono.monomial_text(PROV), F.lit("")).alias("__row"))
+        terms = expand(frame).terms.select("out", F.col("m").alias(PROV))
+        df = terms.join(rows, F.col("out") == F.col("__row")).drop("out", "__row")
+    families = {w.family for w in tables.values()} | frame.origin.base
     found: Column = F.lit(True)
     for alias, w in tables.items():
         # a sorted monomial lists the occurrences of one table in a fixed order
-        mine = F.filter(PROV, lambda t: t.rlike(f"^{w.prefix}[0-9]"))
+        family = w.family
+        mine = F.filter(PROV, lambda t: _of_family(t, family, families))
         df = df.withColumn(f"__t_{alias}", F.get(mine, F.lit(w.occurrence)))
         base = w.base.df.select(
             F.get(PROV, F.lit(0)).alias(f"__b_{alias}"), *[F.col(c).alias(f"{alias}__{c}") for c in w.base.columns]
@@ -94,7 +114,7 @@ def derivation_count(frame: ProvFrame, poly: Polynomials, column: str = "cntprov
 
 def aggregate_check(frame: ProvFrame, alias: str, tolerance: float = 1e-6) -> DataFrame:
     """``(gate, plain, folded, ok)``: the aggregate column against its tensor folded again."""
-    name, tensor = frame.tensor_columns[alias]
+    ((name, tensor),) = frame.tensor_columns[alias]
     g = frame.gate(name)
     rows = frame.df.select(F.get(PROV, F.lit(0)).alias("__g"), F.col(alias).cast("double").alias("plain"))
     values = gate_values(g).select("gate", F.col(tensor).cast("double").alias("folded"))

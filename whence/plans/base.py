@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from whence.operators.frame import ProvFrame
 from whence.session import tune
-from whence.sources.tokens import annotate_keys, annotate_ordinal
+from whence.sources.tokens import annotate_keys, annotate_ordinal, file_number
 
 
 @dataclass(frozen=True)
@@ -129,14 +129,14 @@ c AS (SELECT *, 'C' || c_custkey AS ct FROM customer),
 s AS (SELECT *, 'S' || s_suppkey AS st FROM supplier),
 p AS (SELECT *, 'P' || p_partkey AS pt FROM part),
 o AS (SELECT *, 'O' || o_orderkey AS ot FROM orders),
-l AS (SELECT *, 'L' || row_number() OVER () AS lt FROM lineitem),
+l AS (SELECT *, 'L%d_' || row_number() OVER () AS lt FROM lineitem),
 e AS (SELECT *, 'E' || event_id AS et FROM events),
 v AS (SELECT vec_id, label, CAST(CAST(embedding[1] AS DOUBLE) AS DECIMAL(9,6)) AS x,
              CAST(CAST(embedding[2] AS DOUBLE) AS DECIMAL(9,6)) AS y, 'V' || vec_id AS vt FROM embeddings),
 ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey,
               sum(CAST(l_quantity AS DECIMAL(12,2))) AS ps_availqty,
               min(CAST(l_extendedprice AS DECIMAL(12,2))) AS ps_supplycost,
-              'PS' || l_partkey || '_' || l_suppkey AS pst FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+              'PS' || l_partkey || '_' || l_suppkey AS pst FROM lineitem GROUP BY l_partkey, l_suppkey)""" % file_number("lineitem.parquet")
 
 VOLUME = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 

@@ -49,17 +49,9 @@ def terms(poly: Polynomials, kind: str = "how") -> DataFrame:
     return df.select("out", F.array_join("m", " . ").alias("monomial"), *cols)
 
 
-def cells_sql(source: str, separator: str, limit: int, delta: bool = False, braces: bool = False) -> str:
-    """SQL of ``Polynomials.cells`` over a table ``source(out, text)`` given as CTE name."""
-    joined = f"string_agg(text, '{separator}' ORDER BY text)"
-    if delta:
-        joined = f"CASE WHEN parts = 1 THEN 'δ(' || {joined} || ')' ELSE {joined} END"
-    if braces:
-        joined = f"CASE WHEN parts = 1 THEN '{{' || {joined} || '}}' ELSE {joined} END"
-    return f"""SELECT out, part, parts, {joined} AS text FROM (
-      SELECT out, text, parts, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % parts AS part FROM (
-        SELECT *, CAST(ceil(count(*) OVER (PARTITION BY out) / {limit}.0) AS BIGINT) AS parts FROM {source}))
-      GROUP BY out, part, parts"""
+def texts_sql(form: str, source: str, delta: bool = False) -> str:
+    """SQL of ``Polynomials.texts`` over a query of (out, term, coef)."""
+    return f"SELECT out, '{form}' AS form, term, CAST(coef AS BIGINT) AS coef, {str(delta).lower()} AS delta FROM ({source})"
 
 
 # ---- flagship ------------------------------------------------------------------
@@ -77,9 +69,8 @@ SMALL = "FROM l JOIN s ON l_suppkey = s_suppkey JOIN n ON s_nationkey = n_nation
 query(
     "flagship",
     with_(
-        f"m AS (SELECT {gate('F', 'n_name')} AS out, {prod('lt', 'st', 'nt')} AS text {SMALL})",
-        f"x AS ({cells_sql('m', ' + ', 10_000)})",
-        body=f"""SELECT n_name, 'how' AS form, part, parts, text FROM x JOIN n ON {gate('F', 'n_name')} = out""",
+        body=f"""SELECT n_name, 'how' AS form, {prod('lt', 'st', 'nt')} AS term, CAST(1 AS BIGINT) AS coef,
+        false AS delta {SMALL}""",
     ),
 )(lambda t: forms(flagship(t), ["how"]))
 
@@ -137,7 +128,6 @@ MIXED = (
          AND list_has_all(a.m, b.m)))""",
 )
 JOINED = "array_to_string(m, ' . ')"
-TERM = f"CASE WHEN c = 1 THEN {JOINED} ELSE c || '*' || {JOINED} END"
 
 query("form_how", with_(*MIXED, body=f"SELECT out, {JOINED} AS monomial, c AS coef FROM mp"))(
     lambda t: terms(expand(rich_mix(t)))
@@ -159,46 +149,34 @@ query("form_posbool", with_(*MIXED, body=f"SELECT out, {JOINED} AS monomial FROM
 query("form_lineage", with_(*MIXED, body="SELECT DISTINCT out, unnest(m) AS token FROM mp"))(
     lambda t: expand(rich_mix(t)).lineage()
 )
-_CELLS = {
-    "how": (f"SELECT out, {TERM} AS text FROM mp", " + ", False),
-    "boolean": (f"SELECT out, {JOINED} AS text FROM mp", " + ", False),
-    "trio": (
-        """SELECT out, CASE WHEN n = 1 THEN w ELSE n || '*' || w END AS text FROM (SELECT out, sum(c) AS n,
-        array_to_string(list_sort(list_distinct(m)), ' . ') AS w FROM mp GROUP BY ALL)""",
-        " + ",
-        False,
-    ),
-    "why": ("SELECT out, '{' || array_to_string(m, ',') || '}' AS text FROM mw", ",", True),
-    "posbool": (
-        """SELECT out, CASE WHEN len(m) > 1 THEN '(' || array_to_string(m, ' ∧ ') || ')' ELSE m[1] END AS text FROM mb""",
-        " ∨ ",
-        False,
-    ),
-    "lineage": ("SELECT DISTINCT out, unnest(m) AS text FROM mp", ",", True),
+_TEXTS = {
+    "how": f"SELECT out, {JOINED} AS term, c AS coef FROM mp",
+    "boolean": f"SELECT out, {JOINED} AS term, 1 AS coef FROM mp",
+    "trio": """SELECT out, array_to_string(list_sort(list_distinct(m)), ' . ') AS term, sum(c) AS coef FROM mp
+        GROUP BY ALL""",
+    "why": "SELECT out, '{' || array_to_string(m, ',') || '}' AS term, 1 AS coef FROM mw",
+    "posbool": """SELECT out, CASE WHEN len(m) > 1 THEN '(' || array_to_string(m, ' ∧ ') || ')' ELSE m[1] END AS term,
+        1 AS coef FROM mb""",
+    "lineage": "SELECT DISTINCT out, unnest(m) AS term, 1 AS coef FROM mp",
 }
 
 
-def _cells(kind: str) -> None:
-    source, separator, braces = _CELLS[kind]
-    sql = with_(*MIXED, f"tx AS ({source})", body=cells_sql("tx", separator, 200, braces=braces))
-    query(f"cells_{kind}", sql)(lambda t: expand(rich_mix(t)).cells(kind, max_terms=200))
+def _texts(kind: str) -> None:
+    query(f"cells_{kind}", with_(*MIXED, body=texts_sql(kind, _TEXTS[kind])))(lambda t: expand(rich_mix(t)).texts(kind))
 
 
-for _kind in _CELLS:
-    _cells(_kind)
+for _kind in _TEXTS:
+    _texts(_kind)
 
 query(
     "result_columns",
     with_(
         *MIXED,
-        *[
-            f"x_{k} AS (SELECT '{k}' AS form, * FROM ({cells_sql(f'({s})', sep, 10_000, braces=b)}))"
-            for k, (s, sep, b) in _CELLS.items()
-        ],
-        body=f"""SELECT c_nationkey, form, part, parts, text FROM ({' UNION ALL '.join(f'SELECT * FROM x_{k}' for k in _CELLS)})
+        body=f"""SELECT c_nationkey, form, term, coef, delta FROM
+        ({' UNION ALL '.join(texts_sql(k, s) for k, s in _TEXTS.items())})
         JOIN (SELECT DISTINCT c_nationkey FROM mix) ON out = {gate('MIX', 'c_nationkey')}""",
     ),
-)(lambda t: forms(rich_mix(t), list(_CELLS)))
+)(lambda t: forms(rich_mix(t), list(_TEXTS)))
 query(
     "provenance_store",
     with_(*MIXED, body=f"""SELECT out, md5(out || '~' || {JOINED}) AS derivation, c AS coef, token, count(*) AS exp
@@ -840,13 +818,17 @@ query(
 query(
     "annotation_aggregate",
     with_(
-        f"tx AS (SELECT {gate('AA', 'o_custkey')} AS out, {prod('ot', 'ct')} AS text FROM o JOIN c ON c_custkey = o_custkey)",
-        body=cells_sql("tx", " + ", 10_000, delta=True),
+        body=texts_sql(
+            "how",
+            f"""SELECT {gate('AA', 'o_custkey')} AS out, {prod('ot', 'ct')} AS term, 1 AS coef
+            FROM o JOIN c ON c_custkey = o_custkey""",
+            delta=True,
+        )
     ),
 )(
     lambda t: expand(
         group(t.orders.join(t.customer, [("o_custkey", "c_custkey")]), ["o_custkey"], "AA", {"n": count()})
-    ).cells("how")
+    ).texts("how")
 )
 
 # ---- set operations ------------------------------------------------------------------------

@@ -26,8 +26,8 @@ def write_store(poly: Polynomials, path: str, mode: str = "error") -> None:
     store_table(poly).write.mode(mode).parquet(path)
 
 
-def read_store(spark: SparkSession, path: str, width: int, delta: bool = False) -> Polynomials:
-    """Polynomials back from the store; ``width`` as of the frame that was written."""
+def read_store(spark: SparkSession, path: str, delta: bool = False) -> Polynomials:
+    """Polynomials back from the store."""
     powers = F.flatten(F.transform(F.collect_list(F.struct("token", "exp")), _repeat))
     terms = (
         spark.read.parquet(path)
@@ -35,7 +35,7 @@ def read_store(spark: SparkSession, path: str, width: int, delta: bool = False)
         .agg(F.first("coef").alias("c"), F.sort_array(powers).alias("m"))
         .select("out", "m", "c")
     )
-    return Polynomials(terms, width, delta)
+    return Polynomials(terms, delta)
 
 
 def _repeat(x):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whence.functions.monomials import PROV, as_column
+from whence.functions.monomials import PROV, as_column, key_text
 from whence.operators.frame import Origin, ProvFrame
 
 
@@ -19,26 +20,32 @@ def _frame(df: DataFrame, token: Column, family: str, qualified: str | None) ->
 
 
 def annotate_keys(df: DataFrame, prefix: str, keys: list[str], qualified: str | None = None) -> ProvFrame:
-    """Token ``prefix + key``; compound keys are joined by ``_``.
+    """Token ``prefix + key``; compound keys are joined by ``_``, escaped inside strings.
 
-    The key must be unique, and the prefixes of different tables must differ.
+    The key must be unique, and the prefixes of different tables must differ.  A NULL part
+    prints as ``\\N``.
     """
-    text = F.concat_ws("_", *[as_column(k).cast("string") for k in keys])
+    text = as_column(keys[0]).cast("string") if len(keys) == 1 else key_text(keys, dict(df.dtypes), "_")
     return _frame(df, F.concat(F.lit(prefix), text), prefix, qualified)
 
 
 def annotate_ordinal(df: DataFrame, prefix: str, qualified: str | None = None) -> ProvFrame:
-    """Running number of the row in its Parquet file.
+    """Token ``prefix + file + _ + row``: the number of the file and of the row in it.
 
-    The number is the reader's own row index: no shuffle, no sort, no window over a
+    The row number is the Parquet reader's own row index: no shuffle, no sort, no window over a
     hot key, exact for rows that are copies of each other, and the same when a lost
-    executor's task is run again.  A table of several files gets the file in the token.
+    executor's task is run again.  The file's number is 60 bits of the md5 of its name within
+    the table (with its partition folders), so tokens stay when a table is moved or grows.
     """
-    number = (F.col("_metadata.row_index") + 1).cast("string")
-    if len(df.inputFiles()) > 1:
-        file_id = F.lower(F.hex(F.xxhash64(F.col("_metadata.file_path"))))
-        number = F.concat(file_id, F.lit("_"), number)
-    return _frame(df, F.concat(F.lit(prefix), number), prefix, qualified)
+    name = F.regexp_extract("_metadata.file_path", "((?:[^/]+=[^/]*/)*[^/]+)$", 1)
+    file = F.conv(F.substring(F.md5(name), 1, 15), 16, 10)
+    row = (F.col("_metadata.row_index") + 1).cast("string")
+    return _frame(df, F.concat(F.lit(prefix), file, F.lit("_"), row), prefix, qualified)
+
+
+def file_number(name: str) -> int:
+    """The number of a file in the tokens of ``annotate_ordinal``."""
+    return int(hashlib.md5(name.encode()).hexdigest()[:15], 16)
 
 
 def read_annotated(
