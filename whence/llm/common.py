@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 from whence.session import tune
 
 #: Records and bytes of a batch handed to Python; texts of any length pass, one batch holds one row at least.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -87,6 +87,19 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(ends - lengths, lengths)
 
 
+#: Name of the column that ``spread`` adds.
+SPREAD = "_spread"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """One more join key, the hash of the keys.
+
+    A side that was grouped by the keys is partitioned by them already; with this key the join
+    shuffles both sides on exchanges of its own, and AQE can split a hot key of the other side.
+    """
+    return df.withColumn(SPREAD, F.xxhash64(*keys))
+
+
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in it if b.num_rows)

@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whence.llm.common import added, batch_of, batches, mixed, ragged, sieve, sieved, without
+from whence.llm.common import SPREAD, added, batch_of, batches, mixed, ragged, sieve, sieved, spread, without
 from whence.session import stored
 
 #: Bytes of a repeated string; of an anchor's gram; of a scan; contexts sorted at once; contexts of a crowded gram.
-LENGTH, GRAM, SEGMENT, SORTED, CROWD = 200, 32, 1 << 21, 20_000, 20_000
+LENGTH, GRAM, SEGMENT, SORTED, CROWD = 200, 32, 1 << 19, 8_000, 8_000
 #: Words of 8 bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 3
 _WINDOW = LENGTH - GRAM + 1
@@ -328,18 +328,19 @@ def spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(rid, spans): the covered bytes of each text in ``rows`` (rid, raw), as ranges that may overlap."""
     found = _anchored(rows)
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    found = found.join(often, "gram", "left_semi")
+    found = spread(found, "gram").join(spread(often, "gram"), ["gram", SPREAD], "left_semi").drop(SPREAD)
     # a repeated row has the places of the first: one row with the number of them
     found = stored(found.groupBy("rid", "place", "gram", "context").agg(F.count(F.lit(1)).alias("times")), "anchors")
     contexts = found.groupBy("gram", "context").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "place")).alias("at"))
     contexts = stored(contexts, "contexts")
     mixed_grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    asked = contexts.join(mixed_grams, "gram").select("gram", "context", (F.col("kinds") > crowd).alias("crowded"), "at.rid", "at.place")
+    asked = spread(contexts, "gram").join(spread(mixed_grams, "gram"), ["gram", SPREAD]).select("gram", "context", (F.col("kinds") > crowd).alias("crowded"), "at.rid", "at.place")
     edges = stored(_edges(asked, rows), "edges")
     partly = _sorted_edges(edges).union(_counted_edges(edges)).where(F.size("ranges") > 0)
     wholly = contexts.where("times > 1").select("gram", "context", F.lit(True).alias("whole"))
     covered = wholly.join(partly, ["gram", "context"], "full")
-    places = found.join(covered, ["gram", "context"])
+    keys = ["gram", "context"]
+    places = spread(found, *keys).join(spread(covered, *keys), [*keys, SPREAD])
     ranges = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("lo"), F.expr(_SIZE).alias("hi")))).otherwise(F.col("ranges"))
     one = places.select("rid", F.expr(_START).alias("start"), F.explode(ranges).alias("r"))
     return one.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))).alias("spans"))
