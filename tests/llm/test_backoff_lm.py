@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tests.llm.helpers import AWKWARD, awkward, prose, table
+from llm_docs import AWKWARD, awkward, prose, table
 from whence.llm import backoff_lm as lm
 from whence.llm.queries import op8_backoff_lm
 

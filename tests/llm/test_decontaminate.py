@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tests.llm.helpers import awkward, prose, table
+from llm_docs import awkward, prose, table
 from whence.llm import decontaminate as dc
 from whence.llm.queries import op5_decontamination
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import AWKWARD, awkward, prose, table
+from llm_docs import AWKWARD, awkward, prose, table
 from whence.llm import quality, quality_rules, toxicity
 from whence.llm.common import fold
 

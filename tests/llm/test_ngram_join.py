@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tests.llm.helpers import awkward, prose, table
+from llm_docs import awkward, prose, table
 from whence.llm import ngram_join as nj
 from whence.llm.queries import op10_ngram_join
 

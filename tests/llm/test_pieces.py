@@ -5,7 +5,7 @@ import random
 import numpy as np
 import sentencepiece
 
-from tests.llm.helpers import AWKWARD, awkward, prose, table
+from llm_docs import AWKWARD, awkward, prose, table
 from whence.llm import sentencepieces
 from whence.llm.queries import op3_sentencepiece, piece_model
 

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, table
+from llm_docs import awkward, table
 from whence.llm import pii
 
 KEY = "k"

@@ -3,7 +3,7 @@
 import sentencepiece
 
 import corpus_pipeline as cp
-from tests.llm.helpers import awkward
+from llm_docs import awkward
 from whence.llm.queries import QUERIES, op6_toxicity, piece_model
 
 SF_DIR = "/root/testdata/sf0.001"

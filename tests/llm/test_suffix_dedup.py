@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, prose, table
+from llm_docs import awkward, prose, table
 from whence.llm import suffix_dedup as sd
 from whence.llm.queries import op2_suffix_dedup
 

@@ -88,7 +88,7 @@ def group_keys(tokens: np.ndarray) -> np.ndarray:
         at = ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         content = np.zeros(groups, np.uint64)
         np.add.at(content, at.astype(np.int64), mixed(tokens ^ _A))
-        keys.append(mixed(content + mixed(np.arange(groups, dtype=np.uint64) + np.uint64(upper << 24) * _B)))
+        keys.append(mixed(content + mixed((np.arange(groups, dtype=np.uint64) + np.uint64(upper << 24)) * _B)))
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
