@@ -30,22 +30,24 @@ from whence.llm.common import WordHashes, batch_of, batches, mixed, texts
 from whence.session import stored
 
 #: Longest n-gram; factor of a shorter context; words of a block (a longer text is a block alone); entries of a hash part.
-ORDER, BACKOFF, BLOCK, PART = 2, 0.4, 400_000, 2_000_000
+ORDER, BACKOFF, BLOCK, PART = 2, 0.4, 500_000, 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(x: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
 def unpacked(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    planes = planes.reshape(size, len(planes) // size)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def sorted_packed(x: np.ndarray) -> bytes:
+    """Small if the integers mostly ascend; any order comes back right."""
     return packed(np.diff(x, prepend=np.uint64(0)))
 
 
@@ -66,9 +68,14 @@ def blocks(docs: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
-            vocabulary, words = np.unique(np.concatenate(held), return_inverse=True)
+            vocabulary, words, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            # frequent words get small numbers, which pack better; among words about as frequent, hashes stay sorted
+            order = np.lexsort((vocabulary, -np.log2(times).astype(np.int64)))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            vocabulary, words = vocabulary[order], rank[words]
             name = (TaskContext.get().partitionId() << 32) + number
-            return batch_of(_BLOCK, ([name], [ids], [[len(h) for h in held]], [sorted_packed(vocabulary)], [packed(words.astype(np.uint32))]))
+            return batch_of(_BLOCK, ([name], [ids], [[len(h) for h in held]], [sorted_packed(vocabulary)], [packed(words)]))
 
         for b in batches(it):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):

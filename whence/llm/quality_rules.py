@@ -112,21 +112,21 @@ def estimate(patterns: dict[str, int], rounds: int = 300) -> tuple[np.ndarray, n
     """(hits, false alarms, share of good documents, posterior of each pattern) by expectation-maximisation.
 
     A rule's accuracy is a pair: how often its vote is "bad" on bad documents (hits) and on good
-    ones (false alarms), where it votes at all; abstaining says nothing.  False alarms stay at 0.2
+    ones (false alarms), where it votes at all; abstaining says nothing.  False alarms stay at 0.05
     or less and hits above them, which fixes which of the two classes is the good one.
     """
     keys = sorted(patterns)
     v = np.array([["-0+".index(c) - 1 for c in k] for k in keys], float).reshape(len(keys), len(RULES))
     n = np.array([patterns[k] for k in keys], float)
-    hits, alarms, good = np.full(len(RULES), 0.4), np.full(len(RULES), 0.02), 0.8
+    hits, alarms, good = np.full(len(RULES), 0.15), np.full(len(RULES), 0.005), 0.8
     post = np.zeros(len(keys))
     for _ in range(rounds if len(keys) else 0):
         odds = np.log(good / (1 - good)) + (v < 0) @ np.log(alarms / hits) + (v > 0) @ np.log((1 - alarms) / (1 - hits))
         post = 1 / (1 + np.exp(-odds))
         bad = n * (1 - post)
         # a little weight on the first guess, for rules that rarely vote
-        new_hits = np.clip((bad @ (v < 0) + 4) / (bad @ (v != 0) + 10), 0.05, 0.99)
-        new_alarms = np.clip(((n * post) @ (v < 0) + 0.2) / ((n * post) @ (v != 0) + 10), 0.001, np.minimum(0.2, new_hits / 2))
+        new_hits = np.clip((bad @ (v < 0) + 1.5) / (bad @ (v != 0) + 10), 0.05, 0.99)
+        new_alarms = np.clip(((n * post) @ (v < 0) + 0.05) / ((n * post) @ (v != 0) + 10), 0.001, np.minimum(0.05, new_hits / 2))
         share = float(np.clip(n @ post / n.sum(), 0.02, 0.98))
         done = max(np.abs(new_hits - hits).max(), np.abs(new_alarms - alarms).max(), abs(share - good)) < 1e-9
         hits, alarms, good = new_hits, new_alarms, share
