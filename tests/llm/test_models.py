@@ -86,7 +86,7 @@ def test_base_counts_match_brute_force(spark):
 
 def test_rules_keep_prose_and_reject_junk(spark):
     good = [prose(i, 80) for i in range(200)]
-    junk = [" ".join(w + "###" for w in prose(i, 60).split()) for i in range(20)] + [prose(i, 60).upper().replace(" ", "!! ") for i in range(20)]
+    junk = [" ".join(w + "###" for w in prose(i, 60).split()) for i in range(20)] + [prose(i, 60).upper().replace(" ", "** ") for i in range(20)]
     rows = quality_rules.judged(table(spark, good + junk)).collect()
     assert all(r.kept == (r.doc_id < 200) for r in rows)
 
