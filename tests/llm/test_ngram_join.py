@@ -66,7 +66,7 @@ def test_components_match_brute_force(spark, seed):
 
 def test_blocks_of_a_crowded_key(spark, monkeypatch):
     rows = spark.createDataFrame(
-        [(1, 40, i, i, -1, 20, nj.count_vector(np.arange(20, dtype=np.uint64) + np.uint64(i // 4)).astype(np.int32).tobytes()) for i in range(40)],
+        [(1, 40, i, i, -1, 20, nj.count_vector(np.arange(20, dtype=np.uint64) + np.uint64(i // 4)).tobytes()) for i in range(40)],
         "key long, members long, id long, comp long, pivot long, n long, counts binary",
     )
     whole = {(r.a, r.b) for r in nj._searched(rows).collect()}

@@ -6,11 +6,14 @@
    one's size, so with one group more than that some group is the same in both: a (size class,
    group, content) key brings them together.  Nothing that links is missed, and a shared passage
    alone does not make a key, since a group also holds tokens from elsewhere in the text.
-3. Under each key every class is first compared with the key's smallest class.  The links found
-   give components.  Only keys that still hold several components are searched further: their
-   count vectors (tokens per hash group) go into a packed R-tree, and a pair survives if the sum
-   of the coordinate minima, an upper bound of the overlap, reaches what the threshold needs.
-   A key with many classes is cut into blocks; every two blocks meet in a task of their own.
+3. Under each key every class is first compared with a few pivots of the key, then what is not
+   yet connected with the two classes that had most links, which are central in a family of near
+   copies.  So a family costs a few comparisons a member, not all pairs.  The links found give
+   components.  Only keys that still hold several components are searched further: their count
+   vectors (tokens per hash group) go into a packed R-tree, and a pair of different components
+   survives if the sum of the coordinate minima, an upper bound of the overlap, reaches what the
+   threshold needs.  A key with many classes is cut into blocks; every two blocks meet in a task
+   of their own.
 4. Survivors are verified on the exact shingle sets, and components made again.
 
 Null, empty or blank texts have no shingles, link with nothing and form a component of their own.
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from whence.llm.common import WordHashes, batch_of, batches, mixed, ragged, sieve, sieved, texts
+from whence.llm.common import SPREAD, WordHashes, batch_of, batches, mixed, ragged, sieve, sieved, spread, texts
 from whence.session import stored
 
-#: Least similarity in percent; with it, set sizes of one class of sizes differ by at most SPREAD.
-PERCENT, SPREAD = 90, 1.25
+#: Least similarity in percent; with it, set sizes are classed up to a factor WIDEN.
+PERCENT, WIDEN = 90, 1.25
 #: Coordinates of a count vector; children of an R-tree node; classes of one key searched in one task.
-GROUPS, FANOUT, BLOCK = 64, 16, 4096
+GROUPS, FANOUT, BLOCK = 256, 16, 2048
+#: Pivots of a key in the first comparison; queries and pairs that a search looks at together.
+PIVOTS, TOGETHER, CHUNK = 4, 64, 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,7 +74,7 @@ def size_class(size: int) -> tuple[int, int]:
     low = next(s for s in range(1, 1000) if _differ(s))
     if size < low:
         return 0, low
-    while size >= (high := int(low * SPREAD) + 1):
+    while size >= (high := int(low * WIDEN) + 1):
         low = high
     return low, high
 
@@ -93,7 +98,9 @@ def group_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    """Tokens by group; of a set too large for 16 bits, a vector that bounds nothing."""
+    counts = np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < 65535 else np.full(GROUPS, 65535)).astype(np.uint16)
 
 
 class CountTree:
@@ -109,8 +116,8 @@ class CountTree:
 
     def search(self, vectors: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (query, point) numbers."""
-        for q0 in range(0, len(sizes), 256):
-            q = np.arange(q0, min(q0 + 256, len(sizes)))
+        for q0 in range(0, len(sizes), TOGETHER):
+            q = np.arange(q0, min(q0 + TOGETHER, len(sizes)))
             node = np.zeros(len(q), np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 v, least, most = self.levels[depth]
@@ -121,7 +128,7 @@ class CountTree:
                 keep = (PERCENT * least[node] <= 100 * sizes[q]) & (100 * most[node] >= PERCENT * sizes[q])
                 q, node = q[keep], node[keep]
                 need = _needed(sizes[q], np.maximum(least[node], -(-PERCENT * sizes[q] // 100)))
-                bound = np.concatenate([np.minimum(vectors[q[i : i + 20_000]], v[node[i : i + 20_000]]).sum(1) for i in range(0, max(1, len(q)), 20_000)])
+                bound = np.concatenate([np.minimum(vectors[q[i : i + CHUNK]], v[node[i : i + CHUNK]]).sum(1, dtype=np.int64) for i in range(0, max(1, len(q)), CHUNK)])
                 q, node = q[bound >= need], node[bound >= need]
             yield q, self.order[node]
 
@@ -196,7 +203,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         shingles = Shingles()
         for b in batches(it):
             sets = [shingles(t) for t in texts(b)]
-            yield batch_of(out, (b.column("id"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets], [count_vector(s).astype(np.int32).tobytes() for s in sets]))
+            yield batch_of(out, (b.column("id"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets], [count_vector(s).tobytes() for s in sets]))
 
     found = docs.selectExpr("cast(doc_id as long) id", "text").where(sieved("id", sieve(ids, "id"))).join(ids, "id")
     rows = found.mapInArrow(part, "id long, n long, mark binary, tokens binary, counts binary")
@@ -229,36 +236,34 @@ def _searched(rows: DataFrame) -> DataFrame:
     """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(run: list[np.ndarray], blocks: tuple[int, int]) -> pa.RecordBatch:
+    def pairs(run: list[np.ndarray], blocks: tuple[int, int]) -> Iterator[pa.RecordBatch]:
         block, id_, comp, n, counts = run
         left = block == blocks[0]
         right = block == blocks[1]
         if not left.any() or not right.any():
-            return batch_of(out, ([], []))
+            return
         tree = CountTree(counts[right], n[right])
-        a, b = [], []
         for q, p in tree.search(counts[left], n[left]):
             q, p = np.flatnonzero(left)[q], np.flatnonzero(right)[p]
             keep = (comp[q] != comp[p]) & ((id_[q] < id_[p]) | (blocks[0] != blocks[1]))
-            a.append(np.minimum(id_[q], id_[p])[keep])
-            b.append(np.maximum(id_[q], id_[p])[keep])
-        return batch_of(out, (np.concatenate(a), np.concatenate(b)))
+            if keep.any():
+                yield batch_of(out, (np.minimum(id_[q], id_[p])[keep], np.maximum(id_[q], id_[p])[keep]))
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches(it):
             cols = [np.asarray(b.column(c)) for c in ("key", "i", "j", "block", "id", "comp", "n")]
-            counts = np.frombuffer(b"".join(b.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
+            counts = np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS)
             cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):
                 now = tuple(int(c[lo]) for c in cols[:3])
                 if now != at and held:
-                    yield pairs([np.concatenate(x) for x in zip(*held, strict=True)], at[1:])
+                    yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)], at[1:])
                     held = []
                 at = now
                 held.append([*(c[lo:hi] for c in cols[3:]), counts[lo:hi]])
         if held:
-            yield pairs([np.concatenate(x) for x in zip(*held, strict=True)], at[1:])
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)], at[1:])
 
     blocks = F.ceil(F.col("members") / BLOCK)
     rows = rows.where("id != pivot").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -289,6 +294,21 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _with_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    return shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _stars(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's members and its pivots; known components are not compared in themselves.
+
+    pivots: (key, p), p an array of ids, or of (id, comp) if the members have components.
+    """
+    pairs = spread(members, "key").join(spread(pivots, "key"), ["key", SPREAD]).withColumn("p", F.explode("p"))
+    if "comp" in members.columns:
+        pairs = pairs.where("comp != p.comp").withColumn("p", F.col("p.id"))
+    return pairs.where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -298,14 +318,23 @@ def joined(docs: DataFrame) -> DataFrame:
     shared = stored(_shared(sets_of.where("id is not null").select("id", F.explode("keys").alias("key"))), "shared-groups")
     sets = stored(_sets(docs, shared.select("id").distinct()), "candidate-sets")
 
-    first = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_verified(first, sets), "links")
-    comp = components(links)
+    by_hash = [F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(1, PIVOTS)]
+    pivots = shared.groupBy("key").agg(F.array_distinct(F.array(F.first("pivot"), *by_hash)).alias("p"))
+    links = stored(_verified(_stars(shared, pivots), sets), "links")
+    held = _with_component(shared, components(links))
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    central = held.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    best = [F.max_by(F.struct("id", "comp"), F.struct("links", F.xxhash64(F.lit(k), "id"))) for k in (0, 1)]
+    several = (F.count(F.lit(1)) > 2) & (F.min("comp") != F.max("comp"))
+    pivots = central.groupBy("key").agg(F.array_distinct(F.array(*best)).alias("p"), several.alias("open")).where("open")
+    links = links.union(stored(_verified(_stars(held, pivots.drop("open")), sets), "links"))
+    held = _with_component(shared, components(links))
 
-    held = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     keys = keys.where("members > 2 and least != most").select("key", "members")
-    more = _searched(held.join(keys, "key").join(sets.select("id", "n", "counts"), "id"))
+    rows = spread(held, "key").join(spread(keys, "key"), ["key", SPREAD]).drop(SPREAD)
+    more = _searched(rows.join(sets.select("id", "n", "counts"), "id"))
     links = links.union(stored(_verified(more, sets), "links"))
     comp = components(links)
 
@@ -319,8 +348,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id cannot be told apart by it and stay.
     """
-    ids = stored(joined(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
-    kept = docs.join(ids.withColumnRenamed("rows", "_rows"), "doc_id")
-    once = kept.where("_rows = 1").drop("_rows")
-    again = kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    ids = stored(joined(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    # the join has brought equal ids together and sorted them; numbering them needs no shuffle
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    kept = docs.join(ids, "doc_id").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
