@@ -78,9 +78,10 @@ def test_jdbc_options():
     o = jdbc_options("postgresql", "host:5432/db", "orders", "u", "p", ssl=True, schema="s", partition=("k", 0, 9, 4))
     assert o["url"] == "jdbc:postgresql://host:5432/db" and o["dbtable"] == "s.orders" and o["ssl"] == "true"
     assert o["partitionColumn"] == "k" and o["numPartitions"] == "4"
-    assert jdbc_options("trino", "jdbc:trino://h/c", "t", "u", ssl=True)["SSL"] == "true"
-    with pytest.raises(ValueError):
-        jdbc_options("oracle", "x", "t", "u")
+    assert jdbc_options("trino", "jdbc:trino://h/c", "t", "u", ssl=True, one_task=True)["SSL"] == "true"
+    for args in (("oracle", "x", "t", "u"), ("trino", "x", "t", "u")):
+        with pytest.raises(ValueError):
+            jdbc_options(*args)
 
 
 def test_store_round_trip(frame, spark, tmp_path):

@@ -201,6 +201,8 @@ class ProvFrame:
 
     def select(self, *cols: Column | str) -> ProvFrame:
         df = self.df.select(*cols, *self._hidden())
+        if any("explode" in (text := str(c)) or "inline" in text or "stack(" in text for c in cols if isinstance(c, Column)):
+            self = self._repeated()
         if not self.tensor_columns and not self.frozen:
             return self._with(df, same_rows=True)
         # what is not a column by its name was computed, perhaps from an aggregate
@@ -290,9 +292,18 @@ class ProvFrame:
             cond = cond & where
         return self._joined(other, lambda right: self.df.join(right, cond, how), how)
 
-    def lookup(self, table: DataFrame, on: Sequence[tuple[str, str]]) -> ProvFrame:
-        """Widen every row by an unannotated table with unique keys; the annotation stays."""
-        return self._with(self.df.join(table, reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in on])))
+    def lookup(self, table: DataFrame, on: Sequence[tuple[str, str]], unique: bool = False) -> ProvFrame:
+        """Widen every row by an unannotated table; the annotation stays.
+
+        State it if the table's keys are ``unique``: else rows may double, and equal terms of
+        later sums have to be merged.
+        """
+        joined = self._with(self.df.join(table, reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in on])))
+        return joined if unique else joined._repeated()
+
+    def _repeated(self) -> ProvFrame:
+        """The frame, whose rows may now share a monomial."""
+        return replace(self, origin=replace(self.origin, unique=False, flat=False), whole=None)
 
     def _joined(self, other: ProvFrame, joining, how: str = "inner") -> ProvFrame:
         common = set(self.columns) & set(other.columns)

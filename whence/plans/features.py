@@ -1111,3 +1111,104 @@ query(
         tpch.q11(t).plain().withColumn("value", F.col("value").cast("double")), ev.resolve(tpch.q11(t, "symbolic"))
     ).agg(F.count(F.lit(1)).alias("differences"))
 )
+
+
+# ---- what-if through unions, computed columns, scaled aggregates and counts -------------------
+
+
+def two_counts(t: Tables) -> ProvFrame:
+    returned = group(t.lineitem.filter("l_returnflag = 'R'"), ["l_suppkey"], "UA1", {"n": count()})
+    numbered = group(t.lineitem.with_columns(l_number=F.col("l_linenumber").cast("long")), ["l_number"], "UA2", {"n": count()})
+    return returned.rename({"l_suppkey": "k"}).union_all(numbered.rename({"l_number": "k"}))
+
+
+query(
+    "union_aggregates_after_deletion",
+    with_(body=f"""SELECT l_suppkey AS k, count(*) AS n, {gate('UA1', 'l_suppkey')} AS how {KEPT} AND l_returnflag = 'R' GROUP BY l_suppkey
+    UNION ALL SELECT CAST(l_linenumber AS BIGINT), count(*), {gate('UA2', 'l_linenumber')} {KEPT} GROUP BY l_linenumber"""),
+)(lambda t: result(ev.delete_tokens(two_counts(t), small_line_tokens(t))))
+
+
+def computed(t: Tables) -> ProvFrame:
+    g = group(t.lineitem, ["l_suppkey"], "RD", {"n": count(), "s": sum_(money("l_quantity"))})
+    return g.with_columns(ratio=F.col("s").cast("double") / F.col("n"))
+
+
+query(
+    "ratio_after_deletion",
+    with_(body=f"""SELECT l_suppkey, CAST(sum({dec('l_quantity')}) AS DOUBLE) / count(*) AS ratio, {gate('RD', 'l_suppkey')} AS how
+    {KEPT} GROUP BY l_suppkey"""),
+)(lambda t: result(ev.delete_tokens(computed(t), small_line_tokens(t)).select("l_suppkey", "ratio")))
+
+
+def turned(t: Tables) -> ProvFrame:
+    aggs = {"low": min_("l_quantity", scale=-1), "high": max_("l_quantity", scale=-2), "hundred": count(scale=100)}
+    return group(t.lineitem, ["l_suppkey"], "TD", aggs)
+
+
+query(
+    "scaled_after_deletion",
+    with_(body=f"""SELECT l_suppkey, -min(l_quantity) AS low, -2 * max(l_quantity) AS high, 100 * count(*) AS hundred,
+    {gate('TD', 'l_suppkey')} AS how {KEPT} GROUP BY l_suppkey"""),
+)(lambda t: result(ev.delete_tokens(turned(t), small_line_tokens(t))))
+
+
+def few_returned(t: Tables) -> ProvFrame:
+    returned = t.lineitem.filter("l_returnflag = 'R' AND l_discount < 0.01")
+    return scalar_compare(t.supplier, "s_nationkey", ">", returned, count(), "FR", [("s_suppkey", "l_suppkey")], mode="symbolic")
+
+
+FEW = f"""SELECT s_suppkey, {prod('st', gate('FR', 's_suppkey'))} AS how FROM s WHERE s_nationkey >
+    (SELECT count(*) FROM l WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_discount < 0.01"""
+query("scalar_count_symbolic", with_(body=f"{FEW})"))(lambda t: result(ev.resolve(few_returned(t)).select("s_suppkey")))
+query("scalar_count_after_deletion", with_(body=f"{FEW} AND NOT l_quantity < 20)"))(
+    lambda t: result(ev.resolve(ev.delete_tokens(few_returned(t), small_line_tokens(t))).select("s_suppkey"))
+)
+
+# ---- conditions on dates and texts; keys that differ in the sign of zero -----------------------
+
+
+def first_orders(t: Tables) -> ProvFrame:
+    g = group(t.orders, ["o_custkey"], "FO", {"first": min_(F.to_date("o_orderdate"))}, mode="symbolic")
+    return having(g, "first", "<", F.lit("1993-06-01").cast("date"), "symbolic")
+
+
+query(
+    "having_symbolic_date",
+    with_(body=f"""SELECT o_custkey, {gate('FO', 'o_custkey')} AS how FROM o GROUP BY o_custkey
+    HAVING min(CAST(o_orderdate AS DATE)) < DATE '1993-06-01'"""),
+)(lambda t: result(ev.resolve(first_orders(t)).select("o_custkey")))
+query(
+    "having_symbolic_text",
+    with_(body=f"SELECT p_brand, {gate('LT', 'p_brand')} AS how FROM p GROUP BY p_brand HAVING max(p_name) >= 'part 19'"),
+)(
+    lambda t: result(
+        ev.resolve(
+            having(group(t.part, ["p_brand"], "LT", {"last": max_("p_name")}, mode="symbolic"), "last", ">=", "part 19", "symbolic")
+        ).select("p_brand")
+    )
+)
+query(
+    "group_signed_zero",
+    with_(body="SELECT 'SZ[0.0]' AS gate, lt AS monomial, CAST(1 AS BIGINT) AS coef FROM l"),
+)(lambda t: group(t.lineitem.with_columns(zero=(F.col("l_quantity") - 25) * F.lit(0.0)), ["zero"], "SZ").circuit())
+query(
+    "count_over_signed_zero",
+    with_(body="SELECT l_orderkey, (SELECT count(*) FROM l) AS n, lt AS how FROM l"),
+)(
+    lambda t: result(
+        t.lineitem.with_columns(zero=(F.col("l_quantity") - 25) * F.lit(0.0)).count_over(["zero"], "n").select("l_orderkey", "n")
+    )
+)
+query(
+    "validate_witnesses_grouped",
+    with_(body="""SELECT n_name, n_name AS recomputed_n_name, true AS ok FROM l JOIN s ON l_suppkey = s_suppkey
+    JOIN n ON s_nationkey = n_nationkey WHERE l_quantity < 5"""),
+)(
+    lambda t: val.replay(
+        flagship(t),
+        {"l": val.Witness(t.lineitem, "L"), "s": val.Witness(t.supplier, "S"), "n": val.Witness(t.nation, "N")},
+        F.expr("l__l_suppkey = s__s_suppkey and s__s_nationkey = n__n_nationkey and l__l_quantity < 5"),
+        {"n_name": F.col("n__n_name")},
+    )
+)

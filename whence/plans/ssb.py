@@ -19,7 +19,7 @@ from whence.sources.tokens import annotate_keys
 def lineorder(t: Tables) -> ProvFrame:
     o = t.read("orders")
     order = o.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("lo_orderdate"))
-    return t.lineitem.lookup(order, [("l_orderkey", "o_orderkey")])
+    return t.lineitem.lookup(order, [("l_orderkey", "o_orderkey")], unique=True)
 
 
 def dates(t: Tables) -> ProvFrame:
@@ -37,7 +37,7 @@ def dates(t: Tables) -> ProvFrame:
 def _located(t: Tables, frame: ProvFrame, key: str, prefix: str) -> ProvFrame:
     place = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     named = {"n_nationkey": f"{prefix}n", "n_name": f"{prefix}_nation", "r_name": f"{prefix}_region"}
-    return frame.lookup(place.select(*[F.col(a).alias(b) for a, b in named.items()]), [(key, f"{prefix}n")])
+    return frame.lookup(place.select(*[F.col(a).alias(b) for a, b in named.items()]), [(key, f"{prefix}n")], unique=True)
 
 
 def customers(t: Tables) -> ProvFrame:

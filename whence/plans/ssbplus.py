@@ -21,15 +21,15 @@ def _flat(t: Tables, prefix: str) -> ProvFrame:
     o = t.read("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("od_year"))
     f = (
         annotate_ordinal(t.read("lineitem"), prefix)
-        .lookup(o, [("l_orderkey", "o_orderkey")])
-        .lookup(t.read("part"), [("l_partkey", "p_partkey")])
-        .lookup(t.read("supplier"), [("l_suppkey", "s_suppkey")])
-        .lookup(t.read("customer"), [("o_custkey", "c_custkey")])
+        .lookup(o, [("l_orderkey", "o_orderkey")], unique=True)
+        .lookup(t.read("part"), [("l_partkey", "p_partkey")], unique=True)
+        .lookup(t.read("supplier"), [("l_suppkey", "s_suppkey")], unique=True)
+        .lookup(t.read("customer"), [("o_custkey", "c_custkey")], unique=True)
     )
     place = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     for p in ("s", "c"):
         region = place.select(F.col("n_nationkey").alias(f"{p}n"), F.col("r_name").alias(f"{p}_region"))
-        f = f.lookup(region, [(f"{p}_nationkey", f"{p}n")])
+        f = f.lookup(region, [(f"{p}_nationkey", f"{p}n")], unique=True)
     return f
 
 

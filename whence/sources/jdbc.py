@@ -18,8 +18,14 @@ def jdbc_options(
     ssl: bool = False,
     schema: str | None = None,
     partition: tuple[str, int, int, int] | None = None,
+    one_task: bool = False,
 ) -> dict[str, str]:
-    """``partition`` is (column, lower, upper, tasks); without it one task reads the table."""
+    """``partition`` is (column, lower, upper, tasks).
+
+    Without it Spark reads the table in one task, so that has to be asked for: ``one_task``.
+    """
+    if (partition is None) != one_task:
+        raise ValueError("give a partition, or one_task=True for a table that one task can read")
     if database not in DRIVERS:
         raise ValueError(f"database must be one of {sorted(DRIVERS)}, not {database!r}")
     if not url.startswith("jdbc:"):
