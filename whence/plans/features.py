@@ -1212,3 +1212,52 @@ query(
         {"n_name": F.col("n__n_name")},
     )
 )
+
+# ---- the derivations behind subqueries whose rows carry only a gate token ------------------------
+
+query(
+    "in_correlated_circuit",
+    circuit_sql((gate("INC", "c_nationkey", "l_suppkey"), prod("ct", "ot", "lt"), """FROM c JOIN o ON c_custkey = o_custkey
+    JOIN l ON l_orderkey = o_orderkey""")),
+)(
+    lambda t: in_(
+        t.supplier,
+        join_all([t.customer, t.orders, t.lineitem], [("c_custkey", "o_custkey"), ("o_orderkey", "l_orderkey")]),
+        [("s_nationkey", "c_nationkey")], "INC", [("s_suppkey", "l_suppkey")],
+    ).circuit()
+)
+query("scalar_circuit", circuit_sql((gate("SCU"), "ot", "FROM o")))(
+    lambda t: scalar_compare(
+        t.orders, "o_totalprice", ">", t.orders.prefixed("i_"), avg(money("i_o_totalprice")), "SCU"
+    ).circuit()
+)
+query("scalar_correlated_tensor", with_(body=f"""SELECT {gate('SCT', 'o_custkey')} AS gate, ot AS monomial,
+    CAST({dec('o_totalprice')} AS VARCHAR) AS value, CAST(1 AS BIGINT) AS coef FROM o"""))(
+    lambda t: scalar_compare(
+        t.orders, "o_totalprice", ">", t.orders.prefixed("i_"), avg(money("i_o_totalprice")), "SCT",
+        [("o_custkey", "i_o_custkey")],
+    ).tensor("v")
+)
+query("scalar_or_circuit", circuit_sql((gate("SCO", "o_custkey"), "ot", "FROM o")))(
+    lambda t: scalar_compare(
+        t.orders, "o_totalprice", ">", t.orders.prefixed("i_"), avg(money("i_o_totalprice")), "SCO",
+        [("o_custkey", "i_o_custkey")], or_where=F.col("o_orderpriority") == "5-LOW",
+    ).circuit()
+)
+query("all_circuit", circuit_sql((gate("ALC", "s_nationkey"), "st", "FROM s WHERE s_acctbal > 0")))(
+    lambda t: all_compare(
+        t.customer, "c_acctbal", "<", t.supplier.filter("s_acctbal > 0"), "s_acctbal", "ALC", [("c_nationkey", "s_nationkey")]
+    ).circuit()
+)
+query(
+    "row_compare_circuit",
+    circuit_sql((gate("RWC", "c_nationkey", "c_acctbal"), "st", """FROM (SELECT DISTINCT c_nationkey, c_acctbal FROM c) JOIN s
+    ON c_nationkey > s_nationkey OR (c_nationkey = s_nationkey AND c_acctbal > s_acctbal)""")),
+)(
+    lambda t: any_compare(
+        t.customer, ["c_nationkey", "c_acctbal"], ">", t.supplier, ["s_nationkey", "s_acctbal"], "RWC"
+    ).circuit()
+)
+query("exists_multiplicity_circuit", circuit_sql((gate("MUL", "c_custkey"), "ct", "FROM c WHERE c_acctbal > 0")))(
+    lambda t: shared_key(t).circuit()
+)
