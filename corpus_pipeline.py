@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whence.llm import decontaminate, ngram_join, pii, sentencepieces, toxicity
-from whence.llm.common import fold, prepare, table
+from whence.llm.common import fold, free_name, prepare, table
 from whence.llm.queries import DECIDE, PII_KEY, piece_model
 from whence.session import shared_folder
 
@@ -39,7 +39,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms in the texts; n_chars follows the text."""
     prepare(spark)
-    changed = pii.pseudonymised(docs, PII_KEY).drop("pii")
+    kinds = free_name(docs, "pii")
+    changed = pii.pseudonymised(docs, PII_KEY, out=kinds).drop(kinds)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

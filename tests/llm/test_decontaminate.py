@@ -87,7 +87,7 @@ def test_awkward_rows(spark):
     assert df.columns.count("leaks") == 1
     rows = df.collect()
     assert len(rows) == docs.count() and all(bool(r.leaks) == (r.doc_id in (12, 13)) for r in rows)
-    assert dc.clean(docs.drop("leaks"), bench).count() == docs.count() - 3
+    assert dc.clean(docs, bench).count() == docs.count() - 3 and dc.clean(docs, bench).columns == docs.columns
     assert dc.leaks(docs, bench.limit(0)).count() == docs.count() and dc.leaks(docs.limit(0), bench).count() == 0
 
 

@@ -34,6 +34,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in new])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def added(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of a frame with one more column."""
     return StructType([*df.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType)])

@@ -11,7 +11,8 @@ characters, each block's index is sent to the tasks, and the documents pass them
 Letters are compared in lower case, every white space character as a space.  Items under
 ``LEAST`` characters prove nothing and are not looked for; of equal items the first id is
 reported.  Null and empty texts have no leaks; an empty benchmark finds none.  Spans count the
-text's code points.  An existing column ``leaks`` is replaced.
+text's code points.  An existing column ``leaks`` is replaced, or the result can
+be given another name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from whence.llm.common import added, batches, mixed, ragged, texts, without
+from whence.llm.common import added, batches, free_name, mixed, ragged, texts, without
 
 #: Share of edits; shortest item; characters of benchmark in a pass; q-gram lengths, the longest that leaves a bound is used.
 EDITS, LEAST, BLOCK, QS = 0.1, 20, 2_000_000, (8, 4)
@@ -155,26 +156,26 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``leaks``: the items found in the text, with spans and edits."""
-    docs = without(docs, "leaks")
-    out = docs.selectExpr("*", f"cast(array() as {_LEAK}) leaks")
+def leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> DataFrame:
+    """All columns of ``docs`` and ``out``: the items found in the text, with spans and edits."""
+    docs = without(docs, out)
+    found = docs.selectExpr("*", f"cast(array() as {_LEAK}) `{out}`")
     for block in _blocks(benchmark):
         parts = []
         for q in QS:
             fits = lambda p, q=q: _bound(len(p), int(len(p) * EDITS), q) >= 2
             taken = [x for x in block if fits(x[1]) and not any(fits(x[1], r) for r in QS if r > q)]
             parts += [Index(taken, q)] if taken else []
-        out = out.mapInArrow(_pass(parts), added(docs, "leaks", _LEAK))
-    return out
+        found = found.mapInArrow(_pass(parts, out), added(docs, out, _LEAK))
+    return found
 
 
-def _pass(parts: list[Index]):
+def _pass(parts: list[Index], out: str):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            found = [x or [] for x in b.column("leaks").to_pylist()]
+            found = [x or [] for x in b.column(out).to_pylist()]
             pieces = [codes(t) for t in texts(b)]
             starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])[:-1]
             gap = np.array([0xFFFFFFFF], np.uint32)
@@ -186,7 +187,7 @@ def _pass(parts: list[Index]):
                     if span and not (last and last[:2] == (d, i) and span[0] < last[2]):  # else a neighbouring band found it
                         last = (d, i, span[1])
                         found[d].append({"item_id": index.ids[i], "start": span[0], "end": span[1], "edits": span[2]})
-            at = b.schema.get_field_index("leaks")
+            at = b.schema.get_field_index(out)
             yield b.set_column(at, b.schema.field(at).name, pa.array(found, kind))
 
     return part
@@ -194,4 +195,5 @@ def _pass(parts: list[Index]):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without leaks."""
-    return leaks(docs, benchmark).where("size(leaks) = 0").drop("leaks")
+    out = free_name(docs, "leaks")
+    return leaks(docs, benchmark, out).where(f"size(`{out}`) = 0").drop(out)

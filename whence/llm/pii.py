@@ -16,8 +16,8 @@ add a keyed hash of one to the other.
 | secret | 32 to 128 hexadecimal digits | pattern | keyed hash, same length and case |
 
 Numbers that fail validation stay as they are.  Null texts stay null, empty ones empty.  Rows are
-treated one by one, so repeated rows stay equal; other columns pass through; existing columns
-``pii`` are replaced.
+treated one by one, so repeated rows stay equal; other columns pass through; an existing
+column ``pii`` is replaced, or the result can be given another name.
 """
 
 from __future__ import annotations
@@ -172,12 +172,12 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with pseudonyms in the text, and ``pii``: the kinds replaced, in order."""
-    docs = without(docs, "pii")
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "pii") -> DataFrame:
+    """All columns of ``docs`` with pseudonyms in the text, and ``out``: the kinds replaced, in order."""
+    docs = without(docs, out)
     holds = F.col(text).rlike("[0-9@]")
     found = F.when(holds, F.regexp_extract_all(F.col(text), F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("pii", F.transform(found, lambda m: pseudonym(m, key)))
-    joined = F.concat_ws("", F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), F.col("pii"), lambda x, y: F.array(x, F.coalesce(y["value"], F.lit(""))))))
-    rows = rows.withColumn(text, F.when(F.size("pii") > 0, joined).otherwise(F.col(text)))
-    return rows.withColumn("pii", F.transform(F.filter("pii", lambda p: p["kind"].isNotNull()), lambda p: p["kind"])).select(*docs.columns, "pii")
+    rows = docs.withColumn(out, F.transform(found, lambda m: pseudonym(m, key)))
+    joined = F.concat_ws("", F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), F.col(out), lambda x, y: F.array(x, F.coalesce(y["value"], F.lit(""))))))
+    rows = rows.withColumn(text, F.when(F.size(out) > 0, joined).otherwise(F.col(text)))
+    return rows.withColumn(out, F.transform(F.filter(out, lambda p: p["kind"].isNotNull()), lambda p: p["kind"])).select(*docs.columns, out)
