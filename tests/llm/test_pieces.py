@@ -45,5 +45,15 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert sentencepieces.encode(docs.limit(0), piece_model()).count() == 0
 
 
+def test_any_ids_decode_as_the_library_does():
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    known = sentencepieces.Bytes(library)
+    rnd = random.Random(6)
+    cases = [[], [0], [1], [2], [1, 5, 400], [2, 29871, 29871], [29871, 2], [0, 300], [300, 0, 301], [200, 201, 35], [35, 35]]
+    cases += [[rnd.choice([rnd.randrange(3, 259), rnd.randrange(32000)]) for _ in range(rnd.randint(1, 12))] for _ in range(2000)]
+    for ids in cases:
+        assert known.text(np.array(ids, np.int32)) == library.decode(ids), ids
+
+
 def test_query_over_the_whole_table(spark):
     assert op3_sentencepiece(spark, "/root/testdata/sf0.001").count() == 200

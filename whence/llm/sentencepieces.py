@@ -92,15 +92,45 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
     return docs.mapInArrow(part, added(docs, out, "array<int>"))
 
 
+class Bytes:
+    """The bytes of each piece; a list of ids is their concatenation where that is valid UTF-8."""
+
+    def __init__(self, processor):
+        self.processor = processor
+        pieces = [processor.id_to_piece(i) for i in range(processor.vocab_size())]
+        self.table = np.array([self._of(i, p) for i, p in enumerate(pieces)], object)
+        self.marked = np.array([p.startswith(MARK) for p in pieces])
+        #: Left to the library: unknown pieces anywhere, control pieces at the start.
+        self.odd = np.array([processor.is_unknown(i) for i in range(len(pieces))])
+        self.control = np.array([processor.is_control(i) for i in range(len(pieces))])
+
+    def _of(self, i: int, piece: str) -> bytes:
+        if self.processor.is_control(i):
+            return b""
+        return bytes([int(piece[3:5], 16)]) if self.processor.is_byte(i) else piece.replace(MARK, " ").encode()
+
+    def text(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
+        if not self.odd[ids].any() and not (self.control[ids[0]] and len(ids) > 1):
+            try:
+                text = b"".join(self.table[ids].tolist()).decode()
+                return text[1:] if self.marked[ids[0]] else text
+            except UnicodeDecodeError:
+                pass
+        return self.processor.decode(ids.tolist())
+
+
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of ``rows`` and the library's text of the ids; null for null."""
+    """All columns of ``rows`` and the text of the ids, as the library decodes them; null for null."""
     rows = without(rows, out)
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(model)
+        known = Bytes(_processor(model))
         for b in batches(it):
-            lists = b.column(ids).to_pylist()
-            got = iter(processor.decode([x for x in lists if x], num_threads=1) if any(lists) else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else next(got) if x else "" for x in lists], pa.string())], [*b.schema.names, out])
+            lists = b.column(ids)
+            flat, at, present = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            got = [known.text(flat[lo:hi]) if here else None for lo, hi, here in zip(at[:-1], at[1:], present, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
 
     return rows.mapInArrow(part, added(rows, out, "string"))
