@@ -28,7 +28,7 @@ from whence.llm.common import added, batches, free_name, mixed, ragged, texts, w
 #: Share of edits; shortest item; characters of benchmark in a pass; q-gram lengths, the longest that leaves a bound is used.
 EDITS, LEAST, BLOCK, QS = 0.1, 20, 2_000_000, (8, 4)
 _LEAK = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
-_SPACES = {i: " " for i in range(0x3001) if chr(i).isspace()}
+_SPACES = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
 def codes(text: str) -> np.ndarray:
@@ -36,7 +36,8 @@ def codes(text: str) -> np.ndarray:
     lower = text.lower()
     if len(lower) != len(text):
         lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return np.frombuffer(lower.translate(_SPACES).encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_SPACES[np.minimum(c, len(_SPACES) - 1)], np.uint32(32), c)
 
 
 def grams(c: np.ndarray, q: int) -> np.ndarray:
@@ -87,11 +88,17 @@ class Index:
         if not len(at):
             return
         doc, item = np.searchsorted(starts, at, "right") - 1, self.item[entry]
+        pair = doc * len(self.ids) + item
+        if len(starts) * len(self.ids) <= 1 << 24:  # a pair with too few hits in all has no band with enough
+            keep = (np.bincount(pair) >= np.resize(self.least, (doc[-1] + 1) * len(self.ids))[: pair.max() + 1])[pair]
+            doc, item, at, entry, pair = doc[keep], item[keep], at[keep], entry[keep], pair[keep]
+            if not len(at):
+                return
         step = self.edits[item] + 1
         diagonal = at - starts[doc] - self.place[entry] + int(max(map(len, self.patterns)))  # not below 0
         band = diagonal // step
         wide = int(band.max()) + 2
-        group = (doc * len(self.ids) + item) * wide + band
+        group = pair * wide + band
         found, count = np.unique(np.concatenate([group, group[band > 0] - 1]), return_counts=True)
         pair, band = np.divmod(found, wide)
         doc, item = np.divmod(pair, len(self.ids))
@@ -101,10 +108,13 @@ class Index:
             yield d, i, low, low + 2 * int(self.edits[i])
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> tuple[int, int]:
+def aligned(
+    pattern: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False, most: int | None = None
+) -> tuple[int, int]:
     """(edits, end) of the best alignment of the pattern to a stretch of text within diagonals low to high.
 
-    The stretch starts anywhere in the text, or at its beginning if anchored.
+    The stretch starts anywhere in the text, or at its beginning if anchored.  With ``most`` the
+    alignment may be given up as soon as it needs more edits.
     """
     t = np.arange(high - low + 1)
     far = len(pattern) + len(text) + 1
@@ -118,6 +128,8 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, anchored
         moved = row + (padded[i : i + len(t)] != p)
         moved[:-1] = np.minimum(moved[:-1], row[1:] + 1)
         row = np.minimum.accumulate(moved - t) + t
+        if most is not None and i % 8 == 7 and row.min() > most:
+            return most + 1, 0
     row = np.where((j + len(pattern) < 0) | (j + len(pattern) > len(text)), far, row)
     best = int(np.argmin(row))
     return int(row[best]), int(j[best] + len(pattern))
@@ -132,7 +144,7 @@ def spans(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tup
     if exact >= 0 and exact % 4 == 0:
         start = max(0, low) + exact // 4
         return start, start + m, 0
-    edits, end = aligned(pattern, text, low - k, high + k)
+    edits, end = aligned(pattern, text, low - k, high + k, most=k)
     if edits > k:
         return None
     _, back = aligned(pattern[::-1], text[:end][::-1], -k, k, anchored=True)
