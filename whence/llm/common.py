@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 class WordHashes(dict):
     """64-bit hashes of words, each word hashed once; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -109,8 +110,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows."""
-    return (b for b in it if b.num_rows)
+    """The batches that have rows; at their end the worker gives freed memory back."""
+    yield from (b for b in it if b.num_rows)
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and idle ones would keep it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 #: Bits of a sieve; its size is the same for any number of ids.

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whence.llm.common import trim
+
 SHARDS = 2
 
 
@@ -60,6 +62,7 @@ def fitted(sample: DataFrame, train: Callable[[list[str], np.ndarray], np.ndarra
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         w = train(["" if t is None else t for t in pdf["text"]], pdf["y"].to_numpy(float))
+        trim()
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
 
     at = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"))

@@ -23,7 +23,7 @@ from whence.llm.common import added, batches, ragged, texts, without
 
 MARK = "▁"
 #: Entries a task's table may hold.
-CHUNKS = 400_000
+CHUNKS = 150_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
