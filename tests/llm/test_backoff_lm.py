@@ -64,3 +64,17 @@ def test_awkward_rows(spark):
 
 def test_query_scores_every_document(spark):
     assert op8_backoff_lm(spark, "/root/testdata/sf0.001").where("log_score < 0").count() == 200
+
+
+def test_query_scores_trigrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    rows = op8_backoff_lm(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
+    for r, (n, s) in zip(rows, brute([d.text for d in docs], 3), strict=True):
+        assert r.n_words == n and r.log_score == pytest.approx(s, abs=1e-6)
+
+
+def test_salad_of_common_bigrams_scores_below_prose(spark):
+    # after b comes c where a was before, and d where x was: all bigrams of the salad are as common as those of the prose
+    texts = ["a b c"] * 20 + ["x b d"] * 20 + ["a b d"]
+    score = {r.doc_id: r.log_score for r in lm.scored(table(spark, texts)).collect()}
+    assert score[40] < score[0] - 0.1

@@ -30,7 +30,7 @@ from whence.llm.common import WordHashes, batch_of, batches, mixed, texts
 from whence.session import stored
 
 #: Longest n-gram; factor of a shorter context; words of a block (a longer text is a block alone); entries of a hash part.
-ORDER, BACKOFF, BLOCK, PART = 2, 0.4, 500_000, 2_000_000
+ORDER, BACKOFF, BLOCK, PART = 3, 0.4, 500_000, 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
