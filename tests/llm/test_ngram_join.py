@@ -139,3 +139,47 @@ def test_query_matches_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_ngram_join(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(docs)
+
+
+def test_other_shingles_and_percent_match_brute_force(spark):
+    texts = family(5)
+    rnd = random.Random(6)
+    for i in range(12):
+        words = prose(700 + i, rnd.choice([4, 5, 6, 9, 30, 300])).split()
+        for k in (0, 1, 2, 3):
+            copy = list(words)
+            for at in rnd.sample(range(len(words)), min(len(words), k * len(words) // 60 + (k > 1))):
+                copy[at] = f"edit{i}{k}{at}"
+            texts.append(" ".join(copy))
+    sets = {}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a + 1, len(texts)):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (x := find(a)) != (y := find(b)):
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.joined(table(spark, texts), words=5, percent=80).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 90, 99])
+def test_linked_sets_have_a_key_in_common(percent):
+    rnd = np.random.default_rng(percent)
+    for size in [*range(1, 130), 400, 401, 900]:
+        for _ in range(3):
+            s = rnd.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
+            k = int(rnd.integers(0, nj._differ(size, percent) + 1))
+            gone = min(size - 1, int(rnd.integers(0, k + 1)))
+            other = np.append(s[gone:], rnd.integers(0, 2**63, k - gone).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            both = len(s) - gone
+            if 100 * both >= percent * (len(s) + len(other) - both) and (gone or len(other) > len(s)):
+                x, y = nj.group_keys(np.unique(s), percent), nj.group_keys(np.unique(other), percent)
+                assert len(np.intersect1d(x, y)), (size, k, gone)

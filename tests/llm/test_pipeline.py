@@ -3,7 +3,7 @@
 import sentencepiece
 
 import corpus_pipeline as cp
-from llm_docs import awkward
+from llm_docs import awkward, prose, table
 from whence.llm.queries import QUERIES, op6_toxicity, piece_model
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -41,6 +41,15 @@ def test_stages_take_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_near_copies_by_five_words_go(spark):
+    words = prose(1, 500).split()
+    edits = list(words)
+    for at in range(20, 500, 50):  # ten separate edits: 5-word Jaccard 0.82, 3-word Jaccard 0.886
+        edits[at] = f"edit{at}"
+    docs = table(spark, [" ".join(words), " ".join(edits), prose(2, 500)])
+    assert sorted(r.doc_id for r in cp.drop_copies(spark, docs, SF_DIR).collect()) == [0, 2]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 

@@ -1,11 +1,14 @@
-"""N-gram Jaccard join with count vectors: which documents share 90 % of their 3-word shingles.
+"""N-gram Jaccard join with count vectors: which documents share most of their word shingles.
+
+Shingle length and least similarity are parameters; ``op10`` takes 3 words and 90 %.
 
 1. A document is the set of 64-bit hashes of its distinct shingles.  Equal sets form one class,
    named by its smallest doc_id; only classes are compared.
-2. Tokens are hashed into groups.  Two sets that link differ in at most a ninth of the smaller
-   one's size, so with one group more than that some group is the same in both: a (size class,
-   group, content) key brings them together.  Nothing that links is missed, and a shared passage
-   alone does not make a key, since a group also holds tokens from elsewhere in the text.
+2. Tokens are hashed into groups.  Two sets that link differ in at most a ninth (at 90 %) of the
+   smaller one's size, so with more groups than that some group is the same in both: a (size class,
+   group, content) key brings them together.  Groups beyond that number are to spare, and a set
+   leaves out its emptiest ones as far as that goes.  Nothing that links is missed, and a shared
+   passage alone seldom makes a key, since a group also holds tokens from elsewhere in the text.
 3. Under each key every class is first compared with a few pivots of the key, then what is not
    yet connected with the two classes that had most links, which are central in a family of near
    copies.  So a family costs a few comparisons a member, not all pairs.  The links found give
@@ -17,7 +20,7 @@
 4. Survivors are verified on the exact shingle sets, and components made again.
 
 Null, empty or blank texts have no shingles, link with nothing and form a component of their own.
-Texts of one or two words are one shingle.  Repeated rows are equal sets.  Rows that share a
+Texts of fewer words than a shingle are one shingle.  Repeated rows are equal sets.  Rows that share a
 doc_id count as one document; if their texts differ, the smallest fingerprint stands for it.
 """
 
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 from whence.llm.common import SPREAD, WordHashes, batch_of, batches, mixed, ragged, sieve, sieved, spread, texts
 from whence.session import stored
 
-#: Least similarity in percent; with it, set sizes are classed up to a factor WIDEN.
-PERCENT, WIDEN = 90, 1.25
+#: Words of a shingle and least similarity in percent, if nothing else is said; set sizes are classed up to a factor
+#: WIDEN or more, and one group in SPARE is to spare.
+WORDS, PERCENT, WIDEN, SPARE = 3, 90, 1.25, 10
 #: Coordinates of a count vector; children of an R-tree node; classes of one key searched in one task.
 GROUPS, FANOUT, BLOCK = 256, 16, 2048
 #: Pivots of a key in the first comparison; queries and pairs that a search looks at together.
@@ -46,54 +50,68 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Shingles:
     """The sorted distinct shingle hashes of a text."""
 
-    def __init__(self):
-        self.words = WordHashes()
+    def __init__(self, length: int = WORDS):
+        self.words, self.length = WordHashes(), length
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, np.uint64)
         h = self.words.of(words)
-        if len(h) < 3:
+        if len(h) < self.length:
             return mixed(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64))
-        return np.unique(mixed(mixed(mixed(h[:-2] * _A + h[1:-1]) * _B + h[2:])))
+        run = h
+        for n in range(1, self.length):
+            run = mixed(run[:-1] * (_A if n == 1 else _B) + h[n:])
+        return np.unique(mixed(run))
 
 
-def _needed(a, b):
+def _needed(a, b, percent: int = PERCENT):
     """Least overlap of linked sets of these sizes."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def _differ(size: int) -> int:
+def _differ(size: int, percent: int = PERCENT) -> int:
     """Most elements that are in one of two linked sets only, if the smaller has this size."""
-    return size * (100 - PERCENT) // PERCENT
+    return size * (100 - percent) // percent
 
 
-def size_class(size: int) -> tuple[int, int]:
+def size_class(size: int, percent: int = PERCENT) -> tuple[int, int]:
     """First size of the class and first beyond it; sizes that only link with equal sets are in none."""
-    low = next(s for s in range(1, 1000) if _differ(s))
+    low = -(-percent // (100 - percent))  # the least size that may differ
     if size < low:
         return 0, low
-    while size >= (high := int(low * WIDEN) + 1):
+    widen = max(WIDEN, 100 / percent)  # a linked set is in this class or the next
+    while size >= (high := int(low * widen) + 1):
         low = high
     return low, high
 
 
-def group_keys(tokens: np.ndarray) -> np.ndarray:
-    """One key for each group of the size class, and of the class below if a linked set may be in it."""
+def group_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of the groups of the size class, and of the class below if a linked set may be in it.
+
+    At least ``groups - _differ`` groups are the same in two linked sets.  A set leaves out its groups
+    of up to ``few`` tokens if these are fewer; then one of the same groups has more, in both sets, so
+    whichever of the two has the larger ``few``, a key is left that both have.
+    """
     size, keys = len(tokens), []
-    low, high = size_class(size)
+    low, high = size_class(size, percent)
     if not low:
         return np.zeros(0, np.int64)
     uppers = [high]
-    if size * PERCENT <= 100 * (low - 1) and size_class(low - 1)[0]:
+    if size * percent <= 100 * (low - 1) and size_class(low - 1, percent)[0]:
         uppers.append(low)  # the class below ends where this begins
     for upper in uppers:
-        groups = _differ(upper - 1) + 1
-        at = ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+        most = _differ(upper - 1, percent)
+        groups = most + 1 + -(-most // SPARE)
+        at = (((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(groups, np.uint64)
-        np.add.at(content, at.astype(np.int64), mixed(tokens ^ _A))
-        keys.append(mixed(content + mixed((np.arange(groups, dtype=np.uint64) + np.uint64(upper << 24)) * _B)))
+        np.add.at(content, at, mixed(tokens ^ _A))
+        held = np.bincount(at, minlength=groups)
+        spared = groups - _differ(min(size, upper - 1), percent) - 1
+        few = np.flatnonzero(np.cumsum(np.bincount(held)) <= spared)
+        content = mixed(content + mixed((np.arange(groups, dtype=np.uint64) + np.uint64(upper << 24)) * _B))
+        keys.append(content[held > (few[-1] if len(few) else -1)])
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
@@ -106,7 +124,8 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
 class CountTree:
     """A packed R-tree over count vectors: search() gives the pairs whose bounded overlap is enough."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         self.order = np.lexsort((*(vectors // np.maximum(1, vectors.max() // 4)).T[:3], sizes))
         self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order])]  # upper corner, least and most size
         while len(self.levels[-1][1]) > 1:
@@ -116,6 +135,7 @@ class CountTree:
 
     def search(self, vectors: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (query, point) numbers."""
+        percent = self.percent
         for q0 in range(0, len(sizes), TOGETHER):
             q = np.arange(q0, min(q0 + TOGETHER, len(sizes)))
             node = np.zeros(len(q), np.int64)
@@ -125,20 +145,20 @@ class CountTree:
                     count = np.minimum((node + 1) * FANOUT, len(least)) - node * FANOUT
                     which, place = ragged(count)
                     q, node = q[which], node[which] * FANOUT + place
-                keep = (PERCENT * least[node] <= 100 * sizes[q]) & (100 * most[node] >= PERCENT * sizes[q])
+                keep = (percent * least[node] <= 100 * sizes[q]) & (100 * most[node] >= percent * sizes[q])
                 q, node = q[keep], node[keep]
-                need = _needed(sizes[q], np.maximum(least[node], -(-PERCENT * sizes[q] // 100)))
+                need = _needed(sizes[q], np.maximum(least[node], -(-percent * sizes[q] // 100)), percent)
                 bound = np.concatenate([np.minimum(vectors[q[i : i + CHUNK]], v[node[i : i + CHUNK]]).sum(1, dtype=np.int64) for i in range(0, max(1, len(q)), CHUNK)])
                 q, node = q[bound >= need], node[bound >= need]
             yield q, self.order[node]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n: set size, hi, lo: fingerprint of the set)."""
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
+        shingles = Shingles(words)
         for b in batches(it):
             sets = [shingles(t) for t in texts(b)]
             marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
@@ -147,16 +167,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(part, "doc_id long, n long, hi long, lo long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, hi, lo, keys) of texts that may link with a different set."""
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
+        shingles = Shingles(words)
         for b in batches(it):
             sets = [shingles(t) for t in texts(b)]
             marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
-            keys = [group_keys(s) for s in sets]
+            keys = [group_keys(s, percent) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys)))
             yield batch_of(out, (b.column("doc_id"), [len(s) for s in sets], marks[:, 0], marks[:, 1], lists))
@@ -195,12 +215,12 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(part, "key long, id long, pivot long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, n, tokens, counts) of these documents: the shingle hashes and the count vector as bytes."""
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
+        shingles = Shingles(words)
         for b in batches(it):
             sets = [shingles(t) for t in texts(b)]
             yield batch_of(out, (b.column("id"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets], [count_vector(s).tobytes() for s in sets]))
@@ -210,7 +230,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("mark", "n", "tokens", "counts")).alias("s")).select("id", "s.n", "s.tokens", "s.counts")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -220,16 +240,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) >= PERCENT * len(large):
+                if 100 * len(small) >= percent * len(large):
                     at = np.searchsorted(large, small)
-                    good[i] = np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small) >= _needed(len(x), len(y))
+                    good[i] = np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small) >= _needed(len(x), len(y), percent)
             yield batch_of(out, (np.asarray(b.column("a"))[good], np.asarray(b.column("b"))[good]))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(part, "a long, b long")
 
 
-def _searched(rows: DataFrame) -> DataFrame:
+def _searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of different components under one key whose count vectors allow a link.
 
     rows: (key, members, id, comp, pivot, n, counts).  Pairs with the pivot were compared before.
@@ -242,7 +262,7 @@ def _searched(rows: DataFrame) -> DataFrame:
         right = block == blocks[1]
         if not left.any() or not right.any():
             return
-        tree = CountTree(counts[right], n[right])
+        tree = CountTree(counts[right], n[right], percent)
         for q, p in tree.search(counts[left], n[left]):
             q, p = np.flatnonzero(left)[q], np.flatnonzero(right)[p]
             keep = (comp[q] != comp[p]) & ((id_[q] < id_[p]) | (blocks[0] != blocks[1]))
@@ -309,18 +329,23 @@ def _stars(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return pairs.where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    Texts link if they share ``percent`` (50 to 99) of their shingles of ``words`` words.
+    """
+    if words < 1 or not 50 <= percent <= 99:
+        raise ValueError("shingles need a word, and 50 to 99 percent")
     docs = docs.select("doc_id", "text")
-    marks = stored(fingerprints(docs), "shingle-sets")
+    marks = stored(fingerprints(docs, words), "shingle-sets")
     classes = marks.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("id"))
-    sets_of = _keyed(docs).groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    sets_of = _keyed(docs, words, percent).groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     shared = stored(_shared(sets_of.where("id is not null").select("id", F.explode("keys").alias("key"))), "shared-groups")
-    sets = stored(_sets(docs, shared.select("id").distinct()), "candidate-sets")
+    sets = stored(_sets(docs, shared.select("id").distinct(), words), "candidate-sets")
 
     by_hash = [F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(1, PIVOTS)]
     pivots = shared.groupBy("key").agg(F.array_distinct(F.array(F.first("pivot"), *by_hash)).alias("p"))
-    links = stored(_verified(_stars(shared, pivots), sets), "links")
+    links = stored(_verified(_stars(shared, pivots), sets, percent), "links")
     held = _with_component(shared, components(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
@@ -328,14 +353,14 @@ def joined(docs: DataFrame) -> DataFrame:
     best = [F.max_by(F.struct("id", "comp"), F.struct("links", F.xxhash64(F.lit(k), "id"))) for k in (0, 1)]
     several = (F.count(F.lit(1)) > 2) & (F.min("comp") != F.max("comp"))
     pivots = central.groupBy("key").agg(F.array_distinct(F.array(*best)).alias("p"), several.alias("open")).where("open")
-    links = links.union(stored(_verified(_stars(held, pivots.drop("open")), sets), "links"))
+    links = links.union(stored(_verified(_stars(held, pivots.drop("open")), sets, percent), "links"))
     held = _with_component(shared, components(links))
 
     keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     keys = keys.where("members > 2 and least != most").select("key", "members")
     rows = spread(held, "key").join(spread(keys, "key"), ["key", SPREAD]).drop(SPREAD)
-    more = _searched(rows.join(sets.select("id", "n", "counts"), "id"))
-    links = links.union(stored(_verified(more, sets), "links"))
+    more = _searched(rows.join(sets.select("id", "n", "counts"), "id"), percent)
+    links = links.union(stored(_verified(more, sets, percent), "links"))
     comp = components(links)
 
     named = classes.join(comp, "id", "left").select("n", "hi", "lo", F.coalesce("comp", "id").alias("comp"))
@@ -343,12 +368,12 @@ def joined(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; of a repeated doc_id one row stays.
 
     Rows without a doc_id cannot be told apart by it and stay.
     """
-    ids = stored(joined(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    ids = stored(joined(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
     # the join has brought equal ids together and sorted them; numbering them needs no shuffle
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     kept = docs.join(ids, "doc_id").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
