@@ -183,3 +183,12 @@ def test_linked_sets_have_a_key_in_common(percent):
             if 100 * both >= percent * (len(s) + len(other) - both) and (gone or len(other) > len(s)):
                 x, y = nj.group_keys(np.unique(s), percent), nj.group_keys(np.unique(other), percent)
                 assert len(np.intersect1d(x, y)), (size, k, gone)
+
+
+def test_count_vectors_decide_before_sets_are_compared(spark):
+    tokens = np.arange(40, dtype=np.uint64)
+    none = np.zeros(nj.GROUPS, np.uint16).tobytes()  # bounds every overlap by 0
+    rows = [(i, 40, tokens.tobytes(), none if i == 3 else nj.count_vector(tokens).tobytes()) for i in (1, 2, 3)]
+    sets = spark.createDataFrame(rows, "id long, n long, tokens binary, counts binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [(r.a, r.b) for r in nj._verified(pairs, sets).collect()] == [(1, 2)]

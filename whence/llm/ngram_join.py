@@ -9,11 +9,12 @@ Shingle length and least similarity are parameters; ``op10`` takes 3 words and 9
    group, content) key brings them together.  Groups beyond that number are to spare, and a set
    leaves out its emptiest ones as far as that goes.  Nothing that links is missed, and a shared
    passage alone seldom makes a key, since a group also holds tokens from elsewhere in the text.
-3. Under each key every class is first compared with a few pivots of the key, then what is not
+3. Every pair is bounded by its count vectors (tokens per hash group) before its sets are compared.
+   Under each key every class is first compared with a few pivots of the key, then what is not
    yet connected with the two classes that had most links, which are central in a family of near
    copies.  So a family costs a few comparisons a member, not all pairs.  The links found give
    components.  Only keys that still hold several components are searched further: their count
-   vectors (tokens per hash group) go into a packed R-tree, and a pair of different components
+   vectors go into a packed R-tree, and a pair of different components
    survives if the sum of the coordinate minima, an upper bound of the overlap, reaches what the
    threshold needs.  A key with many classes is cut into blocks; every two blocks meet in a task
    of their own.
@@ -231,22 +232,25 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link; a pair that the count vectors exclude is not compared."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             good = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+            columns = (b.column(c).to_pylist() for c in ("x", "y", "u", "v"))
+            for i, (x, y, u, v) in enumerate(zip(*columns, strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) >= percent * len(large):
+                bound = np.minimum(np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16)).sum(dtype=np.int64)
+                if 100 * len(small) >= percent * len(large) and bound >= _needed(len(x), len(y), percent):
                     at = np.searchsorted(large, small)
                     good[i] = np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small) >= _needed(len(x), len(y), percent)
             yield batch_of(out, (np.asarray(b.column("a"))[good], np.asarray(b.column("b"))[good]))
 
-    x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(part, "a long, b long")
+    x = sets.selectExpr("id a", "tokens x", "counts u")
+    y = sets.selectExpr("id b", "tokens y", "counts v")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "u", "v").mapInArrow(part, "a long, b long")
 
 
 def _searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
