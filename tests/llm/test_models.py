@@ -102,3 +102,12 @@ def test_estimate_separates_the_two_kinds():
     patterns = {"+" * k: 900, "-" + "+" * (k - 1): 60, "--" + "+" * (k - 2): 40}
     post = quality_rules.estimate(patterns)[3]
     assert post["+" * k] > 0.9 and post["--" + "+" * (k - 2)] < 0.1
+
+
+def test_long_clean_text_stays_with_and_without_labels(spark):
+    docs, labels = toxic_docs(spark)
+    long = table(spark, [" ".join(f"{prose(i, 6)}." for i in range(2000))])
+    for known in (labels, labels.limit(0)):
+        w = toxicity.fit(docs, known, "toxic", learn=F.lit(True))
+        (r,) = toxicity.score(long, w).collect()
+        assert r.score < 0.7 and toxicity.clean(long, w, 0.7).count() == 1

@@ -7,7 +7,8 @@ share ``NOISE`` of the labels may be wrong, so a document that nothing explains
 Scoring also names the offending sentences.
 
 Null and empty texts have no sentence and score 0.  Repeated rows get a result row each.
-Without labelled rows every sentence keeps the prior.
+The score counts what speaks for toxicity beyond the prior, which in a long text would add up by itself;
+so without labelled rows every score is 0 and no document goes.
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def _chances(dots: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _scored(found: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sentence probabilities and the noisy-or of what they have beyond the prior."""
     at, starts = found
-    return _chances(np.add.reduceat(weights[at], starts) if len(at) else np.zeros(0))
+    p, _ = _chances(np.add.reduceat(weights[at], starts) if len(at) else np.zeros(0))
+    prior = sigmoid(PRIOR)
+    beyond = np.maximum(p - prior, 0) / (1 - prior)
+    return p, float(-np.expm1(np.log1p(-beyond).sum())) if len(p) else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bits: int = BITS, bound: int = BOUND, epochs: int = EPOCHS) -> np.ndarray:
