@@ -111,3 +111,8 @@ def test_long_clean_text_stays_with_and_without_labels(spark):
         w = toxicity.fit(docs, known, "toxic", learn=F.lit(True))
         (r,) = toxicity.score(long, w).collect()
         assert r.score < 0.7 and toxicity.clean(long, w, 0.7).count() == 1
+
+
+def test_shape_is_of_the_whole_word():
+    shapes = quality.Shapes()
+    assert shapes["ab1" * 30] != shapes["ab1" * 30 + "X-7"] and shapes["a" * 64 + "1"] != shapes["a" * 64]

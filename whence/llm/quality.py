@@ -29,7 +29,7 @@ _RUNS = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: "A" if m[0].is
 
 class Shapes(WordHashes):
     def __missing__(self, word: str) -> int:
-        shape = word[:64]
+        shape = word
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
         h = self[word] = xxhash.xxh3_64_intdigest(shape)
