@@ -97,3 +97,16 @@ def test_query_finds_every_contained_item(spark):
     want = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if any(i in r.text for i in items)}
     got = {r.doc_id: r.contaminated for r in op5_decontamination(spark, sf_dir).collect()}
     assert want <= {k for k, v in got.items() if v} and len(got) == 1000
+
+
+def test_short_items_are_found_between_word_boundaries(spark):
+    items = [(1, "Blue whale"), (2, " 42? "), (3, "a"), (4, "?!"), (5, "中文"), (6, "blue  whale"), (7, prose(1, 30)), (8, "")]
+    texts = ["the BLUE\nwhale, 42? no", "bluewhale blue whales 142? 42", "is a", "x 我中文字 ?!", "", None, "blue whale blue whale", prose(1, 30) + " 42?"]
+    docs, bench = table(spark, texts), spark.createDataFrame(items, ITEMS)
+    got = {r.doc_id: sorted((x.item_id, x.start, x.end, x.edits) for x in r.leaks) for r in dc.leaks(docs, bench).collect()}
+    n = len(prose(1, 30))
+    assert got == {
+        0: [(1, 4, 14, 0), (2, 16, 19, 0)], 1: [], 2: [(3, 3, 4, 0)], 3: [(5, 3, 5, 0)], 4: [], 5: [],
+        6: [(1, 0, 10, 0), (1, 11, 21, 0)], 7: [(2, n + 1, n + 4, 0), (7, 0, n, 0)],
+    }
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {1, 4, 5}

@@ -9,8 +9,9 @@ the bound are verified by banded alignment, which also gives the span and its ed
 The benchmark is a query set: it goes through the driver in blocks of at most ``BLOCK``
 characters, each block's index is sent to the tasks, and the documents pass them one by one.
 Letters are compared in lower case, every white space character as a space.  Items under
-``LEAST`` characters prove nothing and are not looked for; of equal items the first id is
-reported.  Null and empty texts have no leaks; an empty benchmark finds none.  Spans count the
+``LEAST`` characters, without white space at their ends, leak where they occur exactly, from one
+word boundary to another; without a letter or digit they are not looked for.  In scripts without
+spaces every character is a word.  Of equal items the first id is reported.  Null and empty texts have no leaks; an empty benchmark finds none.  Spans count the
 text's code points.  An existing column ``leaks`` is replaced, or the result can
 be given another name.
 """
@@ -18,6 +19,7 @@ be given another name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from whence.llm.common import added, batches, free_name, mixed, ragged, texts, without
 
-#: Share of edits; shortest item; characters of benchmark in a pass; q-gram lengths, the longest that leaves a bound is used.
+#: Share of edits; shortest item that may have edits; characters of benchmark in a pass; q-gram lengths, the longest that leaves a bound is used.
 EDITS, LEAST, BLOCK, QS = 0.1, 20, 2_000_000, (8, 4)
 _LEAK = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
@@ -151,12 +153,59 @@ def spans(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tup
     return end - back, end, edits
 
 
+#: Scripts without spaces: first and last code points.
+_DENSE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """By code point: 0 outside words, 1 inside words, 2 a word of its own."""
+    kinds = np.fromiter((chr(i).isalnum() for i in range(0x110000)), np.uint8, 0x110000)
+    for lo, hi in _DENSE:
+        kinds[lo : hi + 1] *= 2
+    return np.append(kinds, np.uint8(0))  # the gap between documents
+
+
+class Short:
+    """Items that are found exactly, between word boundaries."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items: dict[int, dict[bytes, int]] = {}
+        for i, c in items:
+            self.items.setdefault(len(c), {})[c.tobytes()] = i
+        self.hashes = {m: np.sort(self._hash(np.array([np.frombuffer(x, np.uint32) for x in own]))) for m, own in self.items.items()}
+
+    @staticmethod
+    def _hash(rows: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(rows), np.uint64)
+        for k in range(rows.shape[1]):
+            h = mixed(h + rows[:, k] + np.uint64(1))
+        return h
+
+    def found(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) in one document, in order of the items' lengths."""
+        kind = _kinds()[np.minimum(c, 0x110000)]
+        edge = np.append(np.insert((kind[1:] != 1) | (kind[:-1] != 1), 0, True), True) if len(c) else np.zeros(0, bool)
+        for m, own in self.items.items():
+            start = np.flatnonzero(edge[:-m] & edge[m:]) if len(c) >= m else np.zeros(0, np.int64)
+            for at in range(0, len(start), 1 << 16):
+                s = start[at : at + (1 << 16)]
+                h = self._hash(c[s[:, None] + np.arange(m)])
+                key = np.minimum(np.searchsorted(self.hashes[m], h), len(own) - 1)
+                for x in s[self.hashes[m][key] == h].tolist():
+                    if (i := own.get(c[x : x + m].tobytes())) is not None:
+                        yield i, x, x + m
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block, size, known = [], 0, set()
     for r in benchmark.selectExpr("cast(item_id as long) item_id", "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
         c = codes(r.text or "")
         if len(c) < LEAST:
-            continue
+            solid = np.flatnonzero(c != 32)
+            c = c[solid[0] : solid[-1] + 1] if len(solid) else c[:0]
+            if not _kinds()[np.minimum(c, 0x110000)].any():
+                continue
         if size + len(c) > BLOCK and block:
             yield block
             block, size, known = [], 0, set()
@@ -173,16 +222,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> DataFram
     docs = without(docs, out)
     found = docs.selectExpr("*", f"cast(array() as {_LEAK}) `{out}`")
     for block in _blocks(benchmark):
+        short = [x for x in block if len(x[1]) < LEAST]
+        block = [x for x in block if len(x[1]) >= LEAST]
         parts = []
         for q in QS:
             fits = lambda p, q=q: _bound(len(p), int(len(p) * EDITS), q) >= 2
             taken = [x for x in block if fits(x[1]) and not any(fits(x[1], r) for r in QS if r > q)]
             parts += [Index(taken, q)] if taken else []
-        found = found.mapInArrow(_pass(parts, out), added(docs, out, _LEAK))
+        found = found.mapInArrow(_pass(parts, Short(short) if short else None, out), added(docs, out, _LEAK))
     return found
 
 
-def _pass(parts: list[Index], out: str):
+def _pass(parts: list[Index], short: Short | None, out: str):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +250,8 @@ def _pass(parts: list[Index], out: str):
                     if span and not (last and last[:2] == (d, i) and span[0] < last[2]):  # else a neighbouring band found it
                         last = (d, i, span[1])
                         found[d].append({"item_id": index.ids[i], "start": span[0], "end": span[1], "edits": span[2]})
+            for d, c in enumerate(pieces if short else []):
+                found[d] += [{"item_id": i, "start": lo, "end": hi, "edits": 0} for i, lo, hi in short.found(c)]
             at = b.schema.get_field_index(out)
             yield b.set_column(at, b.schema.field(at).name, pa.array(found, kind))
 
