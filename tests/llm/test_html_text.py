@@ -65,3 +65,15 @@ def test_query_gives_the_whole_article(spark):
         parts = re.split("</?(?:p|h1)>", article.replace("<br>", " "))
         want = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", p))).strip() for p in parts]
         assert r.text == " ".join(p for p in want if p) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("attr", ['href="/hidden-gems"', 'title="the hidden cost"', 'href="/p?id=comments"', "data-hidden=1", "href=/a/id=menu"])
+def test_values_of_other_attributes_hide_nothing(attr):
+    page = f"<article><p>Before it, <a {attr}>linked words</a> and after, all of which is long enough to be kept.</p></article>"
+    assert "linked words" in main_text(page)
+
+
+@pytest.mark.parametrize("attr", ["hidden", 'HIDDEN=""', 'title="x" hidden', "Style='display: none'", 'id="comments"'])
+def test_own_attributes_hide(attr):
+    page = f"<article><p>Before it, <b {attr}>gone</b> and after, all of which is long enough to be kept.</p></article>"
+    assert "gone" not in main_text(page)
