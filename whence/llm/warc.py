@@ -301,7 +301,7 @@ def streamed(files: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(part, _READ_DDL)
 
 
-def resolved(revisits: DataFrame, index: Index) -> DataFrame:
+def resolved(revisits: DataFrame, index: Index, tasks: int) -> DataFrame:
     """Revisits with the size and digest of the payload they stand for."""
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def resolved(revisits: DataFrame, index: Index) -> DataFrame:
                 rows.append((page_id, size, digest, kind, to, target))
             yield batch_of(_READ, [list(c) for c in zip(*rows)])
 
-    ordered = revisits.repartitionByRange("target", "page_id").sortWithinPartitions("target", "page_id")
+    ordered = revisits.repartitionByRange(tasks, "target", "page_id").sortWithinPartitions("target", "page_id")
     return ordered.mapInArrow(part, _READ_DDL)
 
 
@@ -352,6 +352,7 @@ def found(urls: DataFrame, index: Index) -> DataFrame:
 def read_back(captures: DataFrame, index: Index) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives."""
     files = captures.select("file").distinct()
-    rows = stored(streamed(files.repartition("file"), index.folder), "records")
-    whole = rows.where("record_type = 'response'").unionAll(resolved(rows.where("record_type = 'revisit'"), index))
+    tasks = max(1, files.count())  # names are small, so what they stand for has to decide the number of tasks
+    rows = stored(streamed(files.repartition(tasks), index.folder), "records")
+    whole = rows.where("record_type = 'response'").unionAll(resolved(rows.where("record_type = 'revisit'"), index, tasks))
     return whole.drop("target")
