@@ -116,3 +116,34 @@ def test_long_clean_text_stays_with_and_without_labels(spark):
 def test_shape_is_of_the_whole_word():
     shapes = quality.Shapes()
     assert shapes["ab1" * 30] != shapes["ab1" * 30 + "X-7"] and shapes["a" * 64 + "1"] != shapes["a" * 64]
+
+
+@pytest.mark.parametrize("lang", ["en", "fr", "de", "es"])
+def test_toxicity_held_out_by_language(spark, lang, toxic_scores):
+    held = [r for r in toxic_scores if r.lang == lang]
+    caught = np.mean([r.score >= 0.7 for r in held if r.toxic])
+    kept = np.mean([r.score < 0.7 for r in held if not r.toxic])
+    assert caught > (0.85 if lang == "en" else 0.6) and kept > 0.98  # a tenth of the labels is wrong, and 12 to 30 are toxic
+
+
+def test_toxicity_held_out_overall(toxic_scores):
+    assert np.mean([r.score >= 0.7 for r in toxic_scores if r.toxic]) > 0.8
+
+
+@pytest.fixture(scope="module")
+def toxic_scores(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    w = toxicity.fit(docs, labels, "toxic", learn=fold(F.col("doc_id"), 3) != 1)
+    return toxicity.score(docs, w).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where(fold(F.col("doc_id"), 3) == 1).collect()
+
+
+def test_equal_stems_share_weight_and_scores_are_finite(spark):
+    texts = [prose(i, 40) + (f". You vilest{'abcdefgh'[i % 8]}{i}ing one. " if i % 4 == 0 else ". ") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], LABELS)
+    docs = table(spark, texts + [" ".join(f"You vilest{i}. " for i in range(500))])
+    w = toxicity.fit(docs, labels, "toxic", learn=F.lit(True))
+    with np.errstate(all="raise"):
+        held = toxicity.score(docs, w).where("doc_id >= 300").collect()
+    assert np.mean([(r.score >= 0.7) == (r.doc_id % 4 == 0) for r in held]) > 0.9
+    assert all(0 <= r.score <= 1 for r in held)

@@ -8,14 +8,15 @@ reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whence.llm.common import trim
+from whence.llm.common import batches, texts
 
 SHARDS = 2
 
@@ -47,25 +48,33 @@ def sigmoid(x):
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> DataFrame:
     """(doc_id, text, y): about ``bound`` labelled documents at most, chosen by a hash of doc_id.
 
-    A doc_id labelled twice has its larger label; of a doc_id with several texts one counts.
+    A doc_id labelled twice has its larger label; of a doc_id with several texts the smallest counts.
     The sample of labels has a bounded number of rows and is broadcast, so no text is shuffled.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     share = min(1.0, bound / max(1, rows.count()))
     kept = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
-def fitted(sample: DataFrame, train: Callable[[list[str], np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The mean of the shards' weights; zeros without labelled rows."""
+def fitted(sample: DataFrame, train: Callable[[Iterator[tuple[str, float]]], np.ndarray], size: int, shards: int = SHARDS) -> np.ndarray:
+    """The mean of the shards' weights; zeros without labelled rows.
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        w = train(["" if t is None else t for t in pdf["text"]], pdf["y"].to_numpy(float))
-        trim()
-        return pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
+    A shard is one task, which streams its documents, in the order of a hash, into ``train``.
+    """
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, float]]:
+        for b in batches(it):
+            yield from zip(b.column("shard").to_pylist(), texts(b), b.column("y").to_pylist())
+
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(rows(it), key=lambda r: r[0]):
+            w = train((text, float(y)) for _, text, y in own)
+            yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float32).tobytes()]})
 
     at = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"))
-    dealt = sample.select(at.alias("at"), F.pmod(at, F.lit(SHARDS)).alias("shard"), "text", "y")
-    parts = [np.frombuffer(r.w, np.float32) for r in dealt.groupBy("shard").applyInPandas(shard, "w binary").toLocalIterator()]
+    dealt = sample.select(at.alias("at"), F.pmod(at, F.lit(shards)).alias("shard"), "text", "y")
+    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at").select("shard", "text", "y")
+    parts = [np.frombuffer(r.w, np.float32) for r in ordered.mapInArrow(part, "w binary").toLocalIterator()]
     return np.mean(parts, axis=0) if parts else np.zeros(size, np.float32)

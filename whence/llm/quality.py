@@ -6,7 +6,9 @@ scaled to sqrt(count / words), so long and short texts compare; the score is one
 product and a sigmoid.
 
 Null and empty texts have no features and get the score of the bias alone.  Repeated rows are
-scored alike, one result row each.  Without labelled rows every score is 0.5.
+scored alike, one result row each.  Without labelled rows every score is 0.5.  Texts of any length are read whole; empty
+tables give an empty result; equal scores are equal decisions.  Only ``doc_id`` and ``text`` (and the label) are read, other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -57,11 +59,11 @@ class Features:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bits: int = BITS, bound: int = BOUND, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learned from the labels where ``learn`` holds (a column of ``labels``)."""
 
-    def train(docs: list[str], y: np.ndarray) -> np.ndarray:
+    def train(sample: Iterator[tuple[str, float]]) -> np.ndarray:
         features, model = Features(bits), Ftrl(1 << bits)
-        rows = [features(t) for t in docs]
+        rows = [(features(t), y) for t, y in sample]
         for _ in range(epochs):
-            for (at, x), label in zip(rows, y, strict=True):
+            for (at, x), label in rows:
                 at, first = np.unique(at, return_index=True)
                 w = model.weights(at)
                 model.update(at, (sigmoid(w @ x[first]) - label) * x[first], w)

@@ -1,14 +1,18 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-Each sentence has a probability from a logistic model over its hashed words and a bias; the
-document's is the noisy-or, P = 1 - prod(1 - p).  The model is trained from document labels
+Each sentence has a probability from a logistic model over its words and a bias; the
+document's is the noisy-or, P = 1 - prod(1 - p).  A word counts by its hash and by the hashes of its
+first ``PREFIXES`` letters, so inflections of one stem add up.  The model is trained from document labels
 alone: the gradient of the noisy-or likelihood gives each sentence its share of the blame.  A
 share ``NOISE`` of the labels may be wrong, so a document that nothing explains teaches little.
 Scoring also names the offending sentences.
 
-Null and empty texts have no sentence and score 0.  Repeated rows get a result row each.
+Null and empty texts have no sentence and score 0.  Repeated rows get a result row each, alike.
+Equal scores are equal decisions; offending sentences are listed in the order of the text.  Texts of any length
+are read whole, sentence by sentence; a text without an end mark is one sentence.  Empty tables give an empty result.
 The score counts what speaks for toxicity beyond the prior, which in a long text would add up by itself;
-so without labelled rows every score is 0 and no document goes.
+so without labelled rows every score is 0 and no document goes.  Only ``doc_id`` and ``text`` (and the label) are
+read: ``clean`` keeps all columns of the input, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,31 +22,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 
-from whence.llm.common import WordHashes, batch_of, batches, mixed, texts
+from whence.llm.common import batch_of, batches, mixed, texts
 from whence.llm.linear import Ftrl, fitted, labelled, sigmoid
 
 #: Hash buckets; labelled documents to learn from; passes, and documents seen at least;
-#: a sentence's logit before learning; wrong labels.
-BITS, BOUND, EPOCHS, STEPS, PRIOR, NOISE = 18, 16_384, 4, 24_000, -6.0, 0.02
+#: a sentence's logit before learning; wrong labels; lengths of prefixes; words whose features are kept.
+BITS, BOUND, EPOCHS, STEPS, PRIOR, NOISE, PREFIXES, KEPT = 20, 16_384, 3, 24_000, -6.0, 0.02, (4, 5, 6, 7, 8), 200_000
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"[^\W_]+")
 
 
-class Sentences:
-    """Sentences of a text, the hash buckets of their words, and where each sentence's buckets start."""
+def sentences(text: str) -> tuple[list[str], list[str], np.ndarray]:
+    """Sentences that have words, all their words, and where each sentence's words start."""
+    own = [(s, w) for s in _END.split(text) if (w := _WORD.findall(s.lower()))]
+    starts = np.cumsum([0, *(len(w) for _, w in own)])[:-1]
+    return [s for s, _ in own], [w for _, ws in own for w in ws], starts
 
-    def __init__(self, bits: int = BITS):
-        self.words, self.shift = WordHashes(), np.uint64(64 - bits)
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        own = [(s, w) for s in _END.split(text) if (w := _WORD.findall(s.lower()))]
-        if not own:
-            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts = np.cumsum([0, *(len(w) for _, w in own)])[:-1]
-        at = mixed(self.words.of([w for _, ws in own for w in ws])) >> self.shift
-        return [s for s, _ in own], np.insert(at.astype(np.int64), starts, 0), starts + np.arange(len(starts))  # 0: the bias
+def buckets(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' features, laid end to end, and where each word's start; bucket 0 is the bias's."""
+    features = [[f"{w} ", *(w[:k] for k in PREFIXES if k <= len(w))] for w in words]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, (f for own in features for f in own)), np.uint64)
+    at = (mixed(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.maximum(at, 1), np.cumsum([0, *map(len, features)])[:-1]
+
+
+class WordWeights(dict):
+    """What a word adds to its sentence, worked out once; emptied when it holds ``KEPT`` words."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.bits, self.all = len(weights).bit_length() - 1, weights.astype(np.float64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > KEPT:
+            self.clear()
+        if new := [w for w in dict.fromkeys(words) if w not in self]:
+            at, starts = buckets(new, self.bits)
+            self.update(zip(new, np.add.reduceat(self.all[at], starts).tolist()))
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def _chances(dots: np.ndarray) -> tuple[np.ndarray, float]:
@@ -51,35 +72,43 @@ def _chances(dots: np.ndarray) -> tuple[np.ndarray, float]:
     return p, float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
 
 
-def _scored(found: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
+def _scored(words: np.ndarray, starts: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
     """Sentence probabilities and the noisy-or of what they have beyond the prior."""
-    at, starts = found
-    p, _ = _chances(np.add.reduceat(weights[at], starts) if len(at) else np.zeros(0))
+    p, _ = _chances(np.add.reduceat(words, starts) + bias if len(words) else np.zeros(0))
     prior = sigmoid(PRIOR)
     beyond = np.maximum(p - prior, 0) / (1 - prior)
-    return p, float(-np.expm1(np.log1p(-beyond).sum())) if len(p) else 0.0
+    return p, float(-np.expm1(np.log1p(-beyond).sum())) + 0.0 if len(p) else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bits: int = BITS, bound: int = BOUND, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights learned from document labels where ``learn`` holds (a column of ``labels``)."""
-
-    def train(docs: list[str], y: np.ndarray) -> np.ndarray:
-        sentences, model = Sentences(bits), Ftrl(1 << bits, alpha=1.0, beta=0.05, l1=4.0)
-        rows = [(*sentences(t)[1:], label) for t, label in zip(docs, y, strict=True)]
+    """Weights learned from document labels where ``learn`` holds (a column of ``labels``), in one model."""
+
+    def train(sample: Iterator[tuple[str, float]]) -> np.ndarray:
+        model, number, rows = Ftrl(1 << bits, alpha=1.0, beta=0.05, l1=4.0), {}, []
+        for text, y in sample:  # of a text only word numbers stay
+            _, words, starts = sentences(text)
+            if words:
+                rows.append((np.array([number.setdefault(w, len(number)) for w in words], np.int32), starts, y))
+        at, first = buckets(list(number), bits)
+        many = np.diff(np.append(first, len(at)))
         for _ in range(max(epochs, STEPS // max(1, len(rows)))):
-            for at, starts, label in rows:
-                if not len(at):
-                    continue
-                unique, place = np.unique(at, return_inverse=True)
-                w = model.weights(unique)
-                p, whole = _chances(np.add.reduceat(w[place], starts))
+            for words, starts, y in rows:
+                unique, place = np.unique(words, return_inverse=True)
+                # the features of the document's words, each word's together
+                of = np.repeat(np.arange(len(unique)), many[unique])
+                features = at[np.repeat(first[unique] - np.concatenate([[0], np.cumsum(many[unique])[:-1]]), many[unique]) + np.arange(len(of))]
+                found, where = np.unique(np.append(features, 0), return_inverse=True)  # 0: the bias
+                w = model.weights(found)
+                word = np.bincount(of, w[where[:-1]], len(unique))
+                p, whole = _chances(np.add.reduceat(word[place], starts) + w[where[-1]])
                 told = NOISE + (1 - 2 * NOISE) * whole  # chance of the label 1
-                blame = (1 - 2 * NOISE) * (1 - whole) / (1 - told if label == 0 else -told) * p
-                g = np.bincount(place, np.repeat(blame, np.diff(np.append(starts, len(at)))), len(unique))
-                model.update(unique, g, w)
+                blame = (1 - 2 * NOISE) * (1 - whole) / (1 - told if y == 0 else -told) * p
+                each = np.bincount(place, np.repeat(blame, np.diff(np.append(starts, len(words)))), len(unique))
+                g = np.bincount(where, np.append(each[of], blame.sum()), len(found))
+                model.update(found, g, w)
         return model.weights()
 
-    return fitted(labelled(docs, labels, label, learn, bound), train, 1 << bits)
+    return fitted(labelled(docs, labels, label, learn, bound), train, 1 << bits, shards=1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, offends: float = 0.5) -> DataFrame:
@@ -88,14 +117,14 @@ def score(docs: DataFrame, weights: np.ndarray, offends: float = 0.5) -> DataFra
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("offending", pa.list_(sentence))])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Sentences(len(weights).bit_length() - 1)
+        known, bias = WordWeights(weights), float(weights[0])
         for b in batches(it):
             scores, found = [], []
             for text in texts(b):
-                sentences, at, starts = split(text)
-                p, whole = _scored((at, starts), weights)
+                own, words, starts = sentences(text)
+                p, whole = _scored(known.of(words), starts, bias)
                 scores.append(whole)
-                found.append([{"sentence": int(i), "score": float(p[i]), "text": sentences[i]} for i in np.flatnonzero(p >= offends)])
+                found.append([{"sentence": int(i), "score": float(p[i]), "text": own[i]} for i in np.flatnonzero(p >= offends)])
             yield batch_of(out, (b.column("doc_id"), scores, found))
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
@@ -107,9 +136,12 @@ def clean(docs: DataFrame, weights: np.ndarray, decide: float) -> DataFrame:
     """The rows of ``docs`` whose score is below ``decide``, with all their columns."""
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Sentences(len(weights).bit_length() - 1)
+        known, bias = WordWeights(weights), float(weights[0])
         for b in batches(it):
-            scores = [_scored(split(t)[1:], weights)[1] for t in texts(b)]
+            scores = []
+            for text in texts(b):
+                _, words, starts = sentences(text)
+                scores.append(_scored(known.of(words), starts, bias)[1])
             yield b.filter(pa.array(np.array(scores) < decide))
 
     return docs.mapInArrow(part, docs.schema)
