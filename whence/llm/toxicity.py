@@ -2,7 +2,7 @@
 
 Each sentence has a probability from a logistic model over its words and a bias; the
 document's is the noisy-or, P = 1 - prod(1 - p).  A word counts by its hash and by the hashes of its
-first ``PREFIXES`` letters, so inflections of one stem add up.  The model is trained from document labels
+first ``PREFIXES`` letters, so inflections of one stem add up; a word counts once in a sentence.  The model is trained from document labels
 alone: the gradient of the noisy-or likelihood gives each sentence its share of the blame.  A
 share ``NOISE`` of the labels may be wrong, so a document that nothing explains teaches little.
 Scoring also names the offending sentences.
@@ -36,8 +36,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def sentences(text: str) -> tuple[list[str], list[str], np.ndarray]:
-    """Sentences that have words, all their words, and where each sentence's words start."""
-    own = [(s, w) for s in _END.split(text) if (w := _WORD.findall(s.lower()))]
+    """Sentences that have words, the different words of each, and where each sentence's words start."""
+    own = [(s, w) for s in _END.split(text) if (w := list(dict.fromkeys(_WORD.findall(s.lower()))))]
     starts = np.cumsum([0, *(len(w) for _, w in own)])[:-1]
     return [s for s, _ in own], [w for _, ws in own for w in ws], starts
 
