@@ -1116,7 +1116,7 @@ query(
 # ---- what-if through unions, computed columns, scaled aggregates and counts -------------------
 
 
-def two_counts(t: Tables) -> ProvFrame:
+def returned_and_numbered(t: Tables) -> ProvFrame:
     returned = group(t.lineitem.filter("l_returnflag = 'R'"), ["l_suppkey"], "UA1", {"n": count()})
     numbered = group(t.lineitem.with_columns(l_number=F.col("l_linenumber").cast("long")), ["l_number"], "UA2", {"n": count()})
     return returned.rename({"l_suppkey": "k"}).union_all(numbered.rename({"l_number": "k"}))
@@ -1126,7 +1126,7 @@ query(
     "union_aggregates_after_deletion",
     with_(body=f"""SELECT l_suppkey AS k, count(*) AS n, {gate('UA1', 'l_suppkey')} AS how {KEPT} AND l_returnflag = 'R' GROUP BY l_suppkey
     UNION ALL SELECT CAST(l_linenumber AS BIGINT), count(*), {gate('UA2', 'l_linenumber')} {KEPT} GROUP BY l_linenumber"""),
-)(lambda t: result(ev.delete_tokens(two_counts(t), small_line_tokens(t))))
+)(lambda t: result(ev.delete_tokens(returned_and_numbered(t), small_line_tokens(t))))
 
 
 def computed(t: Tables) -> ProvFrame:

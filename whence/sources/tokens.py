@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import replace
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +34,22 @@ def annotate_ordinal(df: DataFrame, prefix: str, qualified: str | None = None) -
 
     The row number is the Parquet reader's own row index: no shuffle, no sort, no window over a
     hot key, exact for rows that are copies of each other, and the same when a lost
-    executor's task is run again.  The file's number is 60 bits of the md5 of its name within
-    the table (with its partition folders), so tokens stay when a table is moved or grows.
+    executor's task is run again.  The file's number is 60 bits of a hash of its name within
+    the table, from the first folder with a ``=`` on, so tokens stay when a table is moved or grows.
+    Only built-in functions that pass once over the path are used: it is the same in every row of a file.
     """
-    name = F.regexp_extract("_metadata.file_path", "((?:[^/]+=[^/]*/)*[^/]+)$", 1)
-    file = F.conv(F.substring(F.md5(name), 1, 15), 16, 10)
+    path, at = F.col("_metadata.file_path"), F.instr("_metadata.file_path", "=")
+    folder = F.substring_index(F.substring(path, F.lit(1), at - 1), "/", -1)
+    inside = F.xxhash64(F.concat(folder, F.substring(path, at, F.length(path))))
+    number = F.when(F.contains(path, F.lit("=")), inside).otherwise(F.xxhash64("_metadata.file_name"))
+    file = F.shiftrightunsigned(number, 4).cast("string")
     row = (F.col("_metadata.row_index") + 1).cast("string")
     return _frame(df, F.concat(F.lit(prefix), file, F.lit("_"), row), prefix, qualified)
 
 
 def file_number(name: str) -> int:
     """The number of a file in the tokens of ``annotate_ordinal``."""
-    return int(hashlib.md5(name.encode()).hexdigest()[:15], 16)
+    return xxhash.xxh64_intdigest(name.encode(), seed=42) >> 4
 
 
 def read_annotated(
