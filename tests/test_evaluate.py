@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from whence import group, having
 from whence.functions.aggregates import avg, count, count_distinct, max_, min_, sum_
 from whence.operators import evaluate as ev
+from whence.operators.evaluate import delete_tokens
 from whence.operators.subquery import having_subquery, scalar_compare, semi_join
 
 AGGS = {"s": sum_("v"), "n": count(), "k": count("v"), "m": avg("v"), "lo": min_("v"), "hi": max_("v"), "d": count_distinct("v")}
@@ -134,3 +135,65 @@ def test_scaled_tensors(lines):
     g = group(lines, ["g"], "G", {"x": sum_("v", scale=0.5), "y": avg("v", scale=lambda c: c / 4)})
     plain = {f"G[{r['g']}]": (r["x"], round(r["y"], 9)) for r in g.df.collect()}
     assert {r["gate"]: (r["x"], round(r["y"], 9)) for r in ev.gate_values(g.gate("G")).collect()} == plain
+
+
+# ---- deletions decide filters again -------------------------------------------
+
+
+def lines_of(frame, gone=()):
+    rows = [(i, i % 4, (i * 7) % 11, i % 3) for i in range(24) if f"L{i}" not in gone]
+    return frame("L", "l long, k long, v long, s long", rows)
+
+
+def owners_of(frame):
+    return frame("O", "o long, x long", [(i, 3 * i) for i in range(5)])
+
+
+def resolved_cases():
+    agg = {"n": count(), "s": sum_("v"), "low": min_("v")}
+    return {
+        "filter": lambda ls, os: group(ls, ["k"], "G", agg).filter("n > 5"),
+        "few": lambda ls, os: group(ls, ["k"], "G", agg).filter("n < 6").filter("s > 20"),
+        "having": lambda ls, os: having(group(ls, ["k"], "G", agg), "low", ">=", 1),
+        "select": lambda ls, os: group(ls, ["k"], "G", agg).with_columns(r=F.col("s") / F.col("n")).filter("r > 5").select("k"),
+        "rename": lambda ls, os: group(ls, ["k"], "G", agg).filter("n < 6").rename({"k": "z", "n": "m"}).filter("s > 4"),
+        "join": lambda ls, os: os.join(group(ls, ["k"], "G", agg).filter("n < 6"), [("o", "k")]),
+        "left": lambda ls, os: group(ls, ["k"], "G", agg).filter("n < 6").join(os, [("k", "o")], "left"),
+        "scalar_min": lambda ls, os: scalar_compare(os, "x", ">", ls, min_("v"), "S", [("o", "k")]),
+        "scalar_count": lambda ls, os: scalar_compare(os, "x", ">=", ls, count(), "S", [("o", "k")]),
+        "scalar_all": lambda ls, os: scalar_compare(os, "x", "<", ls, avg("v"), "S"),
+        "two_levels": lambda ls, os: group(group(ls, ["k", "s"], "A", {"q": sum_("v")}), ["k"], "B", {"most": max_("q"), "all": sum_("q")}),
+        "two_levels_filter": lambda ls, os: group(group(ls, ["k", "s"], "A", {"q": sum_("v")}), ["k"], "B", {"most": max_("q")}).filter("most > 10"),
+    }
+
+
+@pytest.mark.parametrize("case", sorted(resolved_cases()))
+def test_deletion_equals_rerun_on_what_is_left(spark, frame, case):
+    make = resolved_cases()[case]
+    for gone in (("L3", "L7", "L11", "L15", "L20", "L21"), tuple(f"L{i}" for i in range(0, 24, 4))):
+        deleted = spark.createDataFrame([(t,) for t in gone], "token string")
+        after = delete_tokens(make(lines_of(frame), owners_of(frame)), deleted)
+        again = make(lines_of(frame, gone), owners_of(frame))
+        # the token of a COUNT stays a factor when nothing is left to count
+        read = lambda f: sorted(map(tuple, (f.plain() if case == "scalar_count" else f.how()).collect()), key=repr)
+        assert after.columns == again.columns and read(after) == read(again)
+        if gone[0] == "L0":
+            continue
+        more = spark.createDataFrame([("L2",)], "token string")  # a second deletion starts from the first
+        assert read(delete_tokens(after, more)) == read(make(lines_of(frame, (*gone, "L2")), owners_of(frame)))
+
+
+def test_decisions_that_cannot_be_taken_again_are_refused(spark, frame):
+    g = group(lines_of(frame), ["k"], "G", {"n": count()})
+    deleted = spark.createDataFrame([("L1",)], "token string")
+    os = owners_of(frame)
+    for f in (
+        g.order_by("n").limit(1),
+        g.top_per_group(["k"], ["n desc"], 1),
+        g.count_over(["k"], "m"),
+        group(g.filter("n > 1"), ["n"], "H"),
+        g.filter("n > 1").union_all(group(os, ["o"], "J", {"n": count()}).rename({"o": "k"})),
+        os.join(g.filter("n > 1"), [("o", "k")], "left"),
+    ):
+        with pytest.raises(ValueError, match="can't decide"):
+            delete_tokens(f, deleted)

@@ -150,7 +150,7 @@ def test_having_operators(orders):
 def test_windows_and_top(orders, people):
     f = people.count_over(["town"], "peers")
     assert {r["c"]: r["peers"] for r in f.how().collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
-    top = orders.top_per_group(["oc"], [F.desc("price")], 1)
+    top = orders.top_per_group(["oc"], ["price desc"], 1)
     assert {r["o"] for r in top.how().collect()} == {2, 3, 4, 5}
 
 

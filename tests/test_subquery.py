@@ -202,3 +202,110 @@ def test_nested_subqueries_expand(frame):
     f = in_(a, in_(b, c, [("z", "w")], "I"), [("k", "j")], "O")
     assert polynomials(f, "a") == {1: poly("A1 B1 C1", "A1 B1 C2", "A1 B2 C3")}
     assert isinstance(polynomials(f, "a")[1], Counter)
+
+
+# ---- several comparisons, groups of them, row values ----------------------------
+
+
+@pytest.fixture(scope="module")
+def wide(frame):
+    rng = random.Random(23)
+    maybe = lambda lo, hi: None if rng.random() < 0.15 else rng.randint(lo, hi)
+    outer = [(i, maybe(0, 3), maybe(-9, 9), maybe(0, 12), maybe(0, 2)) for i in range(60)]
+    inner = [(i, maybe(0, 3), maybe(-9, 9), maybe(0, 12), maybe(0, 2)) for i in range(50)]
+    frames = frame("A", "a int, k int, x int, u double, m string", [(a, k, x, None if u is None else u / 2, None if m is None else str(m)) for a, k, x, u, m in outer]), frame(
+        "B", "b int, j int, y int, v double, n string", [(b, j, y, None if v is None else v / 2, None if n is None else str(n)) for b, j, y, v, n in inner]
+    )
+    return outer, inner, frames
+
+
+COLUMNS = {"k": 1, "x": 2, "u": 3, "m": 4, "j": 1, "y": 2, "v": 3, "n": 4}
+
+
+def holds(o, i, triples):
+    return all(sql(op, o[COLUMNS[x]], i[COLUMNS[y]]) for x, op, y in triples)
+
+
+BOXES = {
+    "two": ([("x", ">", "y"), ("u", "<", "v")], ()),
+    "equal": ([("m", "=", "n"), ("u", "<=", "v")], ()),
+    "three": ([("x", ">=", "y"), ("u", "<>", "v"), ("m", "<", "n")], ()),
+    "or": ((), ([("x", ">", "y")], [("u", "<", "v")])),
+    "or_groups": ([("x", "<>", "y")], ([("x", ">", "y"), ("u", "<", "v")], [("m", "=", "n")], [("u", ">=", "v"), ("m", ">", "n")])),
+}
+
+
+@pytest.mark.parametrize("case, keys", [("two", ()), ("equal", (("k", "j"),)), ("three", (("k", "j"),)), ("or", ()), ("or_groups", (("k", "j"),))])
+def test_several_comparisons(wide, case, keys):
+    outer, inner, frames = wide
+    residual, either = BOXES[case]
+    match = {
+        o[0]: [i[0] for i in inner if holds(o, i, [(a, "=", b) for a, b in keys]) and holds(o, i, residual) and (not either or any(holds(o, i, g) for g in either))]
+        for o in outer
+    }
+    f = semi_join(*frames, keys, "E", residual, either)
+    assert polynomials(f, "a") == {a: poly(*[f"A{a} B{b}" for b in m]) for a, m in match.items() if m}
+    f = anti_join(*frames, keys, residual, either)
+    assert hows(f, "a") == {a: f"A{a}" for a, m in match.items() if not m}
+
+
+@pytest.mark.parametrize("side, keys", [("both", ()), ("both", (("k", "j"),)), ("inner", ()), ("none", (("k", "j"),))])
+def test_not_in_several_columns(spark, frame, wide, keys, side):
+    outer, inner, _ = wide
+    if side in ("none", "outer"):
+        inner = [r for r in inner if None not in r]
+    if side in ("none", "inner"):
+        outer = [r for r in outer if None not in r]
+    inner = inner[:9]
+    a = frame("A", "a int, k int, x int, u int, m int", outer)
+    b = frame("B", "b int, j int, y int, v int, n int", inner)
+
+    def equal(o, i):  # SQL: false if some column differs, unknown if none does and some is NULL
+        parts = [sql("=", o[c], i[c]) for c in (2, 4)]
+        return False if False in parts else None if None in parts else True
+
+    want = {}
+    for o in outer:
+        rows = [i for i in inner if not keys or sql("=", o[1], i[1])]
+        if all(equal(o, i) is False for i in rows):
+            want[o[0]] = f"A{o[0]}"
+    assert hows(not_in(a, b, ["x", "m"], ["y", "n"], keys), "a") == want
+    assert len(hows(not_in(a, b.filter("b < 0"), ["x", "m"], ["y", "n"], keys), "a")) == len(outer)
+
+
+@pytest.mark.parametrize("op", ["<", ">=", "="])
+def test_row_values_against_aggregates_and_all(wide, frame, op):
+    outer = [r for r in wide[0] if None not in r]
+    inner = [r for r in wide[1] if None not in r]
+    a = frame("A", "a int, k int, x int, u int, m int", outer)
+    b = frame("B", "b int, j int, y int, v int, n int", inner)
+    want, every = {}, set()
+    for o in outer:
+        rows = [i for i in inner if i[1] == o[1]]
+        if rows and OPS[op]((o[2], o[3]), (min(i[2] for i in rows), max(i[3] for i in rows))):
+            want[o[0]] = poly(*[f"A{o[0]} B{i[0]}" for i in rows])
+        if all(OPS[op]((o[2], o[3]), (i[2], i[3])) for i in rows):
+            every.add(o[0])
+    f = scalar_compare(a, ["x", "u"], op, b, [min_("y"), max_("v")], "S", [("k", "j")])
+    assert polynomials(f, "a") == want
+    assert set(hows(all_compare(a, ["x", "u"], op, b, ["y", "v"], "L", [("k", "j")]), "a")) == every
+
+
+AGGS = {"sum": (sum_, sum), "count": (count, len), "avg": (avg, lambda v: sum(v) / len(v)), "min": (min_, min), "max": (max_, max)}
+
+
+@pytest.mark.parametrize("kind, keys", [("sum", ()), ("count", (("k", "j"),)), ("avg", (("k", "j"),)), ("min", ()), ("max", (("k", "j"),))])
+def test_scalar_over_a_range(wide, frame, kind, keys):
+    outer, inner, _ = wide
+    a = frame("A", "a int, k int, x int, u int, m int", outer)
+    b = frame("B", "b int, j int, y int, v int, n int", inner)
+    make, fold = AGGS[kind]
+    want = {}
+    for o in outer:
+        rows = [i for i in inner if sql(">", o[2], i[2]) and (not keys or sql("=", o[1], i[1]))]
+        values = [i[3] for i in rows if i[3] is not None]
+        value = fold(values) if values or kind == "count" else None
+        if sql("<=", o[3], value):
+            want[o[0]] = poly(*[f"A{o[0]} B{i[0]}" for i in rows]) if rows else poly(f"A{o[0]}")
+    f = scalar_compare(a, "u", "<=", b, make("v"), "S", keys, residual=("x", ">", "y"))
+    assert polynomials(f, "a") == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import evaluate
 from whence.functions.monomials import COND, PROV
-from whence.operators.frame import Conditions, Gate, ProvFrame, distinct_keys
+from whence.operators.frame import Conditions, Filter, Gate, ProvFrame, distinct_keys
 from whence.session import stored
 
 
@@ -25,14 +25,16 @@ def gate_values(gate: Gate, aliases: Sequence[str] | None = None) -> DataFrame:
     return values if gate.keyed else values.select(F.lit(f"{gate.name}[]").alias("gate"), *aliases)
 
 
-def surviving(df: DataFrame, dead: DataFrame, single: bool = False) -> DataFrame:
-    """Rows whose monomial holds none of the tokens in ``dead(token)``.
+def surviving(df: DataFrame, dead: DataFrame, width: int) -> DataFrame:
+    """Rows whose monomial, of ``width`` tokens at most, holds none of the tokens in ``dead(token)``.
 
-    ``single`` says that every monomial is one token, which is then looked up directly.
+    Up to ``LOOKUPS`` tokens are looked up one after the other, without moving the rows where AQE finds the dead
+    tokens small enough to broadcast; longer monomials are looked up by their tokens.
     """
-    if single:
-        dead = dead.select(F.col("token").alias("__d"))
-        return df.join(dead, F.get(PROV, F.lit(0)) == F.col("__d"), "left_anti")
+    if width <= LOOKUPS:
+        for i in range(width):
+            df = df.join(dead.select(F.col("token").alias("__d")), F.get(PROV, F.lit(i)) == F.col("__d"), "left_anti")
+        return df
     text = mono.monomial_text(PROV)
     hit = (
         df.select(text.alias("__m"), F.explode(PROV).alias("__t"))
@@ -42,46 +44,109 @@ def surviving(df: DataFrame, dead: DataFrame, single: bool = False) -> DataFrame
     return df.withColumn("__m", text).join(hit, F.col("__m") == F.col("__hit"), "left_anti").drop("__m")
 
 
+#: Tokens of a monomial that are looked up one by one.
+LOOKUPS = 3
+
+
+def _tokens(holds: Mapping[str, tuple[int, int]], width: int, gates: Mapping[str, Gate]) -> int:
+    """The most tokens a monomial can have before it is expanded."""
+    within = sum(high * max(1, gates[g].width) for g, (_, high) in holds.items() if g in gates)
+    return sum(high for _, high in holds.values()) + max(0, width - within)
+
+
 def delete_tokens(frame: ProvFrame, deleted: DataFrame) -> ProvFrame:
     """The frame as if the base rows in ``deleted(token)`` were gone.
 
     Derivations holding a deleted token fall away; a gate token that has lost all its
     derivations counts as deleted for the gates and rows above it, unless it stands for a
-    COUNT.  Aggregate columns, and columns computed from them, are made again from what is
-    left; columns that can't be are refused.  The tokens lost at each gate are a table in the
-    shared folder, so the plan grows by one step for each gate.
+    COUNT.  Aggregate columns, aggregates of aggregates, and columns computed from them, are made again
+    from what is left, and filters on them decide all rows again, also those they had left out.  What can't be decided
+    again is refused: limits, ranks, counts over partitions, columns computed in ``select``, and groups or
+    unions of rows that such a filter chose (symbolic mode keeps those decidable).  As everywhere, anti-joins carry
+    the outer annotation alone, so the inner side's deletions don't bring rows back.
+
+    Tokens lost at a gate that several others hold are a table in the shared folder, so the plan grows by
+    one step for each gate.
     """
     if frame.frozen:
         raise ValueError(f"can't compute {sorted(frame.frozen)} again from the aggregates: leave them out or use with_columns")
-    dead = deleted.select("token")
+    if frame.settled:
+        raise ValueError(f"a deletion can't decide these again: {', '.join(sorted(frame.settled))}; delete before them, or use symbolic mode")
+    base = deleted.select("token")
+    lost: dict[str, DataFrame] = {}
     gates: dict[str, Gate] = {}
+    dead = lambda holds: reduce(DataFrame.unionAll, [lost[g] for g in holds if g in lost], base)
     for g in frame.gates:
-        left = surviving(g.derivations, dead, single=g.width == 1)
+        left = surviving(g.derivations, dead(g.holds), _tokens(g.holds, g.width, gates))
+        if g.inputs is not None:
+            left = _inputs_again(left, g, gates)
         gates[g.name] = replace(g, derivations=left)
-        if g.keyed and not g.counting:
+        users = [*[u.holds for u in frame.gates], frame.holds]
+        held = sum(g.name in u for u in users)
+        if g.keyed and not g.counting and held and not (held == 1 and _groups(frame, g)):
             alive = distinct_keys(left.select(F.col("gate").alias("token")), "token")
-            lost = distinct_keys(g.derivations.select(F.col("gate").alias("token")), "token").join(
-                alive, "token", "left_anti"
-            )
-            dead = dead.unionAll(stored(lost, "lost-tokens"))
-    df = surviving(frame.df, dead, single=frame.width == 1)
-    rebuilt = replace(frame, df=df, gates=tuple(gates.values()))
-    return refold(rebuilt)
+            gone = distinct_keys(g.derivations.select(F.col("gate").alias("token")), "token").join(alive, "token", "left_anti")
+            lost[g.name] = stored(gone, "lost-tokens") if held > 1 or len(frame.gates) > 1 else gone
+    width = _tokens(frame.holds, frame.width, gates)
+    alive = lambda df: surviving(df, dead(frame.holds), width)
+    top = frame.gate(frame.whole) if frame.whole else None
+    if top is not None and _groups(frame, top):
+        # the rows are the gate's groups: a group is left if its values are
+        alive = lambda df: df
+    if not frame.filters:
+        return refold(replace(frame, df=alive(frame.df), gates=tuple(gates.values())), inner=top)
+    full = df = alive(frame.full)
+    for f in frame.filters:
+        df = _decided(df, f, replace(frame, gates=tuple(gates.values())))
+    df = df.drop(*[f.held for f in frame.filters])
+    return refold(replace(frame, df=df, gates=tuple(gates.values()), full=full))
+
+
+def _groups(frame: ProvFrame, gate: Gate) -> bool:
+    """Are the rows the gate's groups, whose values are folded anyway?"""
+    return frame.whole == gate.name and gate.keyed and not gate.counting and any(g == gate.name for ts in frame.tensor_columns.values() for g, _ in ts)
+
+
+def _again(df: DataFrame, held: str, tensors, derived, frame: ProvFrame, rest: str) -> DataFrame:
+    """The values held in a column, made again; the row itself is in ``rest``."""
+    hidden = [c for c in (PROV, COND) if c in df.columns]
+    flat = df.select(F.struct(*[c for c in df.columns]).alias(rest), *hidden, F.col(f"{held}.*"))
+    return refold(replace(frame, df=flat, tensor_columns=tensors, derived=derived, full=None, filters=(), whole=None)).df
 
 
-def refold(frame: ProvFrame) -> ProvFrame:
-    """Recompute the aggregate columns from their tensors, then what was computed from them."""
+def _decided(df: DataFrame, decision: Filter, frame: ProvFrame) -> DataFrame:
+    view = _again(df, decision.held, decision.tensors, decision.derived, frame, "__rest")
+    return view.filter(decision.predicate).select("__rest.*")
+
+
+def _inputs_again(left: DataFrame, gate: Gate, gates: Mapping[str, Gate]) -> DataFrame:
+    """Derivations whose tensor values come from aggregates that have changed."""
+    source = gate.inputs
+    view = _again(left, source.held, source.tensors, source.derived, ProvFrame(left, tuple(gates.values()), dict(gate.holds)), "__rest")
+    view = view.select("__rest", *[v.alias(f"__t_{a}") for a, v in source.values.items()])
+    columns = [f"__t_{c[2:]}" if c.startswith("t_") and c[2:] in source.values else f"__rest.{c}" for c in left.columns]
+    return view.select(*[F.col(x).alias(c) for x, c in zip(columns, left.columns)])
+
+
+def refold(frame: ProvFrame, inner: Gate | None = None) -> ProvFrame:
+    """Recompute the aggregate columns from their tensors, then what was computed from them.
+
+    The rows are known to be groups of ``inner``, if given: groups without values fall away.
+    """
     df = frame.df
     by_gate: dict[str, list[tuple[str, str]]] = {}
     for column, tensors in frame.tensor_columns.items():
         for g, t in tensors:
             by_gate.setdefault(g, []).append((column, t))
     for name, pairs in by_gate.items():
-        values = gate_values(frame.gate(name))
+        gate = frame.gate(name)
+        values = gate_values(gate, sorted({t for _, t in pairs}))
         # the key is a new expression: the join shuffles the values anew and a hot gate can be split
         values = values.select(F.concat("gate", F.lit("")).alias("__g"), *[F.col(t).alias(f"__{c}") for c, t in pairs])
-        df = df.withColumn("__r", mono.gate_ref(name)).join(values, F.col("__r") == F.col("__g"), "left")
-        df = df.withColumns({c: F.when(F.col("__r").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)) for c, _ in pairs})
+        how = "inner" if inner is not None and inner.name == name and inner.keyed else "left"
+        df = df.withColumn("__r", mono.gate_ref(name)).join(values, F.col("__r") == F.col("__g"), how)
+        empty = F.lit(0) if gate.counting else F.lit(None)
+        df = df.withColumns({c: F.when(F.col("__r").isNotNull(), F.coalesce(F.col(f"__{c}"), empty)).otherwise(F.col(c)) for c, _ in pairs})
         df = df.drop("__r", "__g", *[f"__{c}" for c, _ in pairs])
     for column, expression in frame.derived if frame.tensor_columns else ():
         if column in df.columns:
@@ -179,7 +244,7 @@ def resolve(frame: ProvFrame) -> ProvFrame:
     if not frame.conds:
         return frame
     df = conditions(frame, frame.df, frame.conds).filter("holds").drop("holds", COND)
-    return replace(frame, df=df, conds=(), whole=None)
+    return replace(frame, df=df, conds=(), whole=None, full=None, filters=(), settled=frame.settled | {"conditions that were resolved"})
 
 
 def drop_empty(frame: ProvFrame) -> ProvFrame:
@@ -194,7 +259,7 @@ def drop_empty(frame: ProvFrame) -> ProvFrame:
             if low == 0:
                 kept = kept.unionAll(df.filter(F.col("__r").isNull()))
             df = kept.drop("__r")
-    return replace(frame, df=df)
+    return replace(frame, df=df, whole=None, full=None, filters=(), settled=frame.settled | ({"a filter on an aggregate"} if frame.filters else set()))
 
 
 def split_terms(frame: ProvFrame, gate: str) -> DataFrame:
@@ -208,4 +273,5 @@ def split_terms(frame: ProvFrame, gate: str) -> DataFrame:
 
 def strip_conditions(frame: ProvFrame) -> ProvFrame:
     """Forget the symbolic conditions without deciding them."""
-    return replace(frame, df=frame.df.drop(COND), conds=())
+    full = None if frame.full is None else frame.full.drop(COND)
+    return replace(frame, df=frame.df.drop(COND), full=full, conds=())

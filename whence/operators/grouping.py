@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import Agg, derivations
 from whence.functions.monomials import COND, PROV
-from whence.operators.frame import Gate, ProvFrame, Tensors
+from whence.operators.frame import Gate, Inputs, ProvFrame, Tensors, held_name
 
 MODES = ("resolved", "symbolic")
 
@@ -49,6 +49,14 @@ def group(
     tensors = {a: agg.tensor() for a, agg in aggs.items()}
     tensors = {a: t for a, t in tensors.items() if t is not None}
     hidden = [COND] if frame.conds else []
+    inputs, settled = None, frame.settled
+    if tensors and frame.tensor_columns:  # aggregates of aggregates: these are made again when those change
+        inputs = Inputs(held_name(), frame.tensor_columns, frame.derived, tensors)
+        hidden.append(F.struct(*frame.columns).alias(inputs.held))
+    if tensors and frame.frozen:
+        settled = settled | {"an aggregate of columns that can't be computed again"}
+    if frame.filters:
+        settled = settled | {"a group of rows that a filter on an aggregate chose"}
     members = frame.df.select(
         token.alias("gate"), PROV, *hidden, *[t.alias(f"t_{a}") for a, t in tensors.items()]
     )
@@ -62,6 +70,7 @@ def group(
         frame.width,
         frame.conds,
         frame.origin,
+        inputs=inputs,
     )
 
     if mode == "symbolic":
@@ -84,6 +93,7 @@ def group(
         columns,
         frame.origin.grouped(name),
         name,
+        settled=settled,
     )
 
 
@@ -107,13 +117,13 @@ def self_join(frame: ProvFrame, keys: Sequence[str], name: str) -> ProvFrame:
     df = g.df.withColumn("pairs", F.col("members") * F.col("members"))
     df = df.withColumn(PROV, F.concat(PROV, PROV))
     squared = replace(g.origin, flat=False)
-    return ProvFrame(df, g.gates, {name: (2, 2)}, 2 * frame.width, origin=squared)
+    return ProvFrame(df, g.gates, {name: (2, 2)}, 2 * frame.width, origin=squared, settled=g.settled | {"a number of pairs"})
 
 
 def having(frame: ProvFrame, alias: str, op: str, value, mode: str = "resolved") -> ProvFrame:
     """Keep the groups whose aggregate satisfies ``alias op value``.
 
-    Resolved mode filters on the value.  Symbolic mode keeps every group and appends
+    Resolved mode filters on the value; a deletion decides all groups again.  Symbolic mode keeps every group and appends
     the condition ``[gate.alias op 1⊗value]``, to be decided by ``resolve``.
     """
     check_mode(mode)
@@ -130,4 +140,5 @@ def with_condition(frame: ProvFrame, cond: Column, left: Tensors, right: Tensors
     one = F.array(cond).cast(mono.COND_TYPE)
     column = F.concat(F.col(COND), one) if frame.conds else one
     conds = (*frame.conds, (frozenset(left), frozenset(right)))
-    return replace(frame, df=frame.df.withColumn(COND, column), conds=conds)
+    full = None if frame.full is None else frame.full.withColumn(COND, column)
+    return replace(frame, df=frame.df.withColumn(COND, column), full=full, conds=conds)

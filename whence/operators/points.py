@@ -43,10 +43,10 @@ def distance_join(
     """
     (lx, ly), (rx, ry) = left_xy, right_xy
     cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(r)).cast("long")
-    mine = left.df.withColumns({"__cx": cell(lx), "__cy": cell(ly)})
     check = distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry)) <= r
 
-    def joining(df: DataFrame) -> DataFrame:
+    def joining(mine: DataFrame, df: DataFrame) -> DataFrame:
+        mine = mine.withColumns({"__cx": cell(lx), "__cy": cell(ly)})
         steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         df = df.withColumn("__s", F.explode(steps))
         df = df.withColumns({"__dx": cell(rx) + F.col("__s.i"), "__dy": cell(ry) + F.col("__s.j")}).drop("__s")

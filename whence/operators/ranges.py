@@ -1,24 +1,30 @@
-"""Sums over a range of inner values without pairing outer and inner rows.
+"""Sums over ranges of inner values without pairing outer and inner rows.
 
 ``EXISTS (... y > x)`` needs, per outer value x, the sum of all inner rows beyond x.
 Written out that is every pair of a key.  Here the inner values of a key are filed in
 dyadic intervals: an inner row belongs to one interval per bit level, an outer value
 needs at most one or two intervals per level.  So both sides grow by the number of
 bits only, and everything is an equi-join on (key, level, interval), which also
-spreads a hot key over its intervals.
+spreads a hot key over its intervals.  With several comparisons each interval of one is the key of a
+tree of the next: a row is filed once per level of each.
+
+Values without an integer code take their place in the order of all values (``dictionary``), so the
+bits are those of the number of different values.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whence.functions import monomials as mono
 from whence.functions.monomials import PROV
 from whence.operators.frame import Gate, ProvFrame, distinct_keys
+from whence.session import stored
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -45,44 +51,99 @@ def _decimal(t: str) -> tuple[int, int] | None:
     return (int(found[1]), int(found[2])) if found else {"int": (10, 0), "smallint": (5, 0), "tinyint": (3, 0)}.get(t)
 
 
-def range_gates(
-    params: DataFrame, inner: ProvFrame, inside: DataFrame, name: str, op: str, keys: int
-) -> tuple[Gate, Gate]:
-    """The gates of ``x op y``: ``name`` sums intervals, ``<name>N`` sums inner rows.
+@dataclass(frozen=True)
+class Places:
+    """Integers of the same order for a column of either side; ``last`` is above all of them, 0 below."""
 
-    ``params`` has (gate, __x, __k0..), one row per outer key and code; ``inside`` has
-    (__y, __j0.., prov), one row per inner row.
-    """
-    # levels 0 .. depth-1 tell inner values apart; level ``depth`` is the whole range
-    ends = inside.agg(F.coalesce(F.min("__y"), F.lit(0)).alias("lo"), F.coalesce(F.max("__y"), F.lit(0)).alias("hi"))
-    bits = F.least(F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))), F.lit(63))
-    ends = ends.select(F.struct("lo", "hi", bits.alias("d"))).scalar()
-    fixed = {"__lo": ends["lo"], "__hi": ends["hi"], "__d": ends["d"]}
-    if keys:
-        # only inner rows of a key that is asked for
-        token = lambda side: mono.gate_token("", [F.col(f"__{side}{i}") for i in range(keys)])
-        asking = distinct_keys(params.select(token("k").alias("__ask")), "__ask")
-        inside = inside.join(asking, token("j") == F.col("__ask"), "left_semi")
-    node = lambda side: mono.gate_token(
-        f"{name}N", [*[F.col(f"__{side}{i}") for i in range(keys)], F.col("__b"), F.col("__p")]
-    )
+    outer: Column
+    inner: Column
+    last: Column
+
+    def sides(self, op: str, loose: bool) -> tuple[Column, Column]:
+        """Both sides of a comparison; if it is ``loose``, NULLs are where it holds."""
+        if not loose:
+            return self.outer, self.inner
+        ends = (F.lit(0), self.last) if op in ("<", "<=", "<>") else (self.last, F.lit(0))
+        return F.coalesce(self.outer, ends[0]), F.coalesce(self.inner, ends[1])
+
+
+def coded(asking: DataFrame, given: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame, dict[tuple[str, str], Places]]:
+    """Both sides, where needed with further columns, and the places of each pair's values."""
+    places = {}
+    for i, (x, y) in enumerate(pairs):
+        pair = codes(F.col(x), dict(asking.dtypes)[x], F.col(y), dict(given.dtypes)[y])
+        if pair is not None and len(pairs) == 1:
+            places[x, y] = Places(*pair, F.lit(None))
+            continue
+        values = dictionary(asking.select(F.col(x).alias("v")).distinct().unionAll(given.select(F.col(y).alias("v")).distinct()))
+        asking, given = _looked_up(asking, x, values, f"__xc{i}"), _looked_up(given, y, values, f"__yc{i}")
+        last = values.agg(F.coalesce(F.max("code"), F.lit(0)) + 1).scalar()
+        places[x, y] = Places(F.col(f"__xc{i}"), F.col(f"__yc{i}"), last)
+    return asking, given, places
 
-    rows = inside.withColumn("__d", ends["d"]).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__d"))))
-    rows = rows.withColumn("__p", F.expr("shiftright(__y, __b)")).withColumn("gate", node("j"))
 
-    asked = params.withColumns(fixed).withColumn("__n", F.explode(_intervals(op)))
-    asked = asked.select("*", F.col("__n.b").alias("__b"), F.col("__n.p").alias("__p")).withColumn("__node", node("k"))
+def _looked_up(df: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
+    # one more key: the values' exchange is their own, and a value with very many rows can be split
+    hashed = values.select(F.col("v").alias("__v"), F.xxhash64("v").alias("__h"), F.col("code").alias(name))
+    found = df.join(hashed, (F.col(column) == F.col("__v")) & (F.xxhash64(F.col(column)) == F.col("__h")), "left")
+    return found.drop("__v", "__h")
 
+
+def dictionary(values: DataFrame) -> DataFrame:
+    """(v, code): every value with its place, from 1, in the order of the different ones.
+
+    Values are dealt to ranges and numbered there; the ranges' sizes, as many as there are partitions, are added up.
+    The numbered values are a table in the shared folder: dealt anew, they could fall into other ranges.
+    """
+    ordered = values.filter("v is not null").distinct().repartitionByRange("v").sortWithinPartitions("v")
+    ordered = stored(ordered.withColumn("id", F.monotonically_increasing_id()), "order")
+    ranged = ordered.withColumn("part", F.shiftright("id", 33))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ranged.join(starts, F.col("part") == F.col("p")).select("v", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("code"))
+
+
+def box_gates(
+    params: DataFrame, inner: ProvFrame, inside: DataFrame, name: str, ops: Sequence[str], keys: int, carry: Sequence[str] = ()
+) -> tuple[DataFrame, Gate]:
+    """(derivations of the outer gates, the gate ``name`` of tree nodes) of ``x0 op0 y0 and x1 op1 y1 ...``.
+
+    ``params`` has (gate, __x0.., __k0..), one row per outer key and codes; ``inside`` has
+    (__y0.., __j0.., prov), one row per inner row.  A node is named by the key, then level and interval of every comparison.
+    """
+    text = lambda side, kinds: mono.key_text([f"__{side}{i}" for i in range(keys)], kinds)
+    params = params.withColumn("__key", text("k", dict(params.dtypes)))
+    inside = inside.withColumn("__key", text("j", dict(inside.dtypes)))
+    for i, op in enumerate(ops):
+        # only inner rows of a key that is asked for
+        if keys or i:
+            asking = distinct_keys(params.select(F.concat("__key", F.lit("")).alias("__ask")), "__ask")
+            inside = inside.join(asking, F.col("__key") == F.col("__ask"), "left_semi")
+        # levels 0 .. depth-1 tell inner values apart; level ``depth`` is the whole range
+        y = f"__y{i}"
+        if len(ops) > 1:  # each level reads both sides several times
+            params, inside = (params, inside) if i == 0 else (stored(params, "asked"), stored(inside, "filed"))
+        ends = inside.agg(F.coalesce(F.min(y), F.lit(0)).alias("lo"), F.coalesce(F.max(y), F.lit(0)).alias("hi"))
+        bits = F.least(F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))), F.lit(63))
+        ends = ends.select(F.struct("lo", "hi", bits.alias("d")).alias("ends"))
+        if len(ops) > 1:
+            ends = {k: F.lit(v) for k, v in ends.first()["ends"].asDict().items()}
+        else:
+            ends = ends.scalar()
+        node = lambda: F.concat_ws("|", F.when(F.lit(bool(keys or i)), F.col("__key")), F.col("__b"), F.col("__p"))  # noqa: B023, E731
+        params = params.withColumns({"__lo": ends["lo"], "__hi": ends["hi"], "__d": ends["d"], "__x": F.col(f"__x{i}")})
+        params = params.withColumn("__n", F.explode(_intervals(op))).withColumns({"__b": F.col("__n.b"), "__p": F.col("__n.p")})
+        params = params.withColumn("__key", node()).drop("__lo", "__hi", "__d", "__x", "__n", "__b", "__p", f"__x{i}")
+        inside = inside.withColumn("__d", ends["d"]).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__d"))))
+        inside = inside.withColumn("__p", F.expr(f"shiftright({y}, __b)")).withColumn("__key", node()).drop("__d", "__b", "__p", y)
+    named = lambda: F.concat(F.lit(f"{name}["), "__key", F.lit("]"))
+    asked, rows = params.select("gate", named().alias("__node")), inside.select(named().alias("gate"), *inner._hidden(), *carry)
     wanted = distinct_keys(asked.select("__node"), "__node")
-    members = rows.join(wanted, F.col("gate") == F.col("__node"), "left_semi").select("gate", *inner._hidden())
+    members = rows.join(wanted, F.col("gate") == F.col("__node"), "left_semi")
     present = distinct_keys(rows.select(F.col("gate").alias("__have")), "__have")
-    parts = asked.join(present, F.col("__node") == F.col("__have"), "left_semi").select(
-        "gate", F.array("__node").alias(PROV)
-    )
-    nodes = Gate(f"{name}N", members, {}, False, True, dict(inner.holds), inner.width, inner.conds, inner.origin)
-    # intervals of one outer value are disjoint, so each inner row comes once
-    made_of = inner.origin.grouped(nodes.name)
-    return Gate(name, parts, {}, False, True, {nodes.name: (1, 1)}, inner.width, 0, made_of), nodes
+    parts = asked.join(present, F.col("__node") == F.col("__have"), "left_semi").select("gate", F.array("__node").alias(PROV))
+    return parts, Gate(name, members, {}, False, True, dict(inner.holds), inner.width, inner.conds, inner.origin)
 
 
 def _intervals(op: str) -> Column:

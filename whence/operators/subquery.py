@@ -2,12 +2,13 @@
 
 The outer row is multiplied with one gate token per correlation key; the matching
 inner rows stay in the gate's table.  |outer| x |inner| is never formed: existence is
-decided on distinct keys, and a further comparison on the per-key minimum and maximum.
+decided on distinct keys, one further comparison on the per-key minimum and maximum, several of them
+on the nodes of nested interval trees (see ``ranges``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import Agg
 from whence.functions.monomials import PROV
-from whence.operators.frame import Gate, ProvFrame, attach
+from whence.operators.frame import Gate, ProvFrame, attach, distinct_keys
 from whence.operators.grouping import check_mode, group, with_condition
-from whence.operators.ranges import codes, range_gates
+from whence.operators.ranges import box_gates, coded
+from whence.session import stored
 
 Pairs = Sequence[tuple[str, str]]
+#: (outer column, comparison, inner column)
+Triple = tuple[str, str, str]
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
@@ -33,15 +37,20 @@ def _check_types(outer: ProvFrame, inner: ProvFrame, on: Pairs) -> None:
             raise ValueError(f"cannot correlate {a} ({left[a]}) with {b} ({right[b]}): cast one side")
 
 
-def _extended(outer: ProvFrame, inner: ProvFrame, gate: Gate, df: DataFrame, low: int = 1) -> ProvFrame:
-    """``outer`` with ``df`` as rows, which carry one more token of ``gate``."""
+def _extended(
+    outer: ProvFrame, inner: ProvFrame, gate: Gate, rows: Callable[[DataFrame], DataFrame], low: int = 1, more: tuple[Gate, ...] = ()
+) -> ProvFrame:
+    """``outer`` with ``rows`` of it, which carry one more token of ``gate``; ``more`` are gates below it."""
     gates, holds = outer._merge(inner)
-    if any(g.name == gate.name for g in gates):
+    if any(g.name in (gate.name, *[m.name for m in more]) for g in gates):
         raise ValueError(f"gate name {gate.name!r} is taken")
     holds[gate.name] = (low, 1)
+    settled = outer.settled | inner.settled
+    if inner.filters:
+        settled = settled | {"a subquery over rows that a filter on an aggregate chose"}
     return ProvFrame(
-        df,
-        (*gates, gate),
+        rows(outer.df),
+        (*gates, *more, gate),
         holds,
         outer.width + gate.width,
         outer.conds,
@@ -49,6 +58,9 @@ def _extended(outer: ProvFrame, inner: ProvFrame, gate: Gate, df: DataFrame, low
         outer.origin.times_gate(gate.name, inner.origin),
         derived=outer.derived,
         frozen=outer.frozen,
+        full=None if outer.full is None else rows(outer.full),
+        filters=outer.filters,
+        settled=settled,
     )
 
 
@@ -87,23 +99,114 @@ def semi_join(
     inner: ProvFrame,
     on: Pairs,
     name: str,
-    residual: tuple[str, str, str] | None = None,
+    residual: Triple | Sequence[Triple] | None = None,
+    either: Sequence[Sequence[Triple]] = (),
 ) -> ProvFrame:
     """EXISTS: each outer row once, times the sum of its matching inner rows.
 
-    ``residual`` is (outer column, comparison, inner column), checked beside the keys.
+    ``residual`` are comparisons (outer column, comparison, inner column) checked beside the keys,
+    ``either`` groups of comparisons of which one group has to hold.
     """
-    if residual is not None:
-        x, op, y = residual
+    residual = _triples(residual)
+    if len(residual) == 1 and not either:
+        ((x, op, y),) = residual
         return any_compare(outer, x, op, inner, y, name, on)
     _check_types(outer, inner, on)
+    if residual or either:
+        return _box_join(outer, inner, on, name, residual, either)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
     token = mono.match_token(name, inner_keys, dict(inner.df.dtypes))
     derivations = inner.df.select(token.alias("gate"), *inner._hidden()).filter(F.col("gate").isNotNull())
     gate = _sum_gate(inner, name, derivations, True)
     present = inner.df.select(*inner_keys).distinct().select(token.alias("__rk")).filter(F.col("__rk").isNotNull())
-    df = attach_semi(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), present, "left_semi")
-    return _extended(outer, inner, gate, _times(df, mono.gate_token(name, outer_keys, dict(outer.df.dtypes))))
+    types = dict(outer.df.dtypes)
+
+    def rows(df: DataFrame) -> DataFrame:
+        return _times(attach_semi(df, mono.match_token(name, outer_keys, types), present, "left_semi"), mono.gate_token(name, outer_keys, types))
+
+    return _extended(outer, inner, gate, rows)
+
+
+def _triples(residual: Triple | Sequence[Triple] | None) -> list[Triple]:
+    if residual is None:
+        return []
+    return [residual] if residual and isinstance(residual[0], str) else list(residual)
+
+
+_NOT = {"=": "<>", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
+
+
+def _pieces(residual: Sequence[Triple], either: Sequence[Sequence[Triple]]) -> list[list[tuple[Triple, bool]]]:
+    """Disjoint conjunctions that together are ``residual and (group or group ...)``.
+
+    A group counts where the groups before it are not true: of each of them, the comparisons before one are true, and that one is
+    false or unknown.  The flag marks such a comparison, which also holds where a side is NULL.
+    """
+    groups: list[list[Triple]] = [[]]
+    if either:  # ``<>`` as ``<`` or ``>``, whose negations are ranges too
+        groups = []
+        for g in either:
+            variants: list[list[Triple]] = [[]]
+            for x, op, y in g:
+                variants = [[*v, (x, o, y)] for v in variants for o in (("<", ">") if op == "<>" else (op,))]
+            groups += variants
+    out = []
+    for i, own in enumerate(groups):
+        parts = [[(t, False) for t in dict.fromkeys((*residual, *own))]]
+        for earlier in groups[:i]:
+            parts = [
+                [*p, *[(t, False) for t in earlier[:j] if (t, False) not in p], ((x, _NOT[op], y), True)]
+                for p in parts
+                for j, (x, op, y) in enumerate(earlier)
+                if ((x, op, y), False) not in p  # true there, so not false
+            ]
+        out += parts
+    return out
+
+
+def _box_parts(outer: ProvFrame, inner: ProvFrame, on: Pairs, name: str, residual: Sequence[Triple], either: Sequence[Sequence[Triple]], carry: Sequence[str] = ()) -> tuple[Column, DataFrame, tuple[Gate, ...]]:
+    """(gate token of an outer row, the gate's derivations, the gates of tree nodes) of several comparisons.
+
+    The nodes' derivations keep the inner columns ``carry`` too.
+    """
+    tests = [*residual, *[t for g in either for t in g]]
+    for _, op, _ in tests:
+        mono.flip(op)
+    _check_types(outer, inner, [*on, *[(x, y) for x, _, y in tests]])
+    outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
+    xs = list(dict.fromkeys(x for x, _, _ in tests))
+    token = mono.gate_token(name, [*outer_keys, *xs], dict(outer.df.dtypes))
+    asking = (outer.df if outer.full is None else outer.full).filter(_all_present(outer_keys) if on else F.lit(True))
+    asking = asking.select(token.alias("gate"), *dict.fromkeys([*outer_keys, *xs])).distinct()
+    given = inner.df.filter(_all_present(inner_keys) if on else F.lit(True))
+    given = given.select(*inner._hidden(), *carry, *dict.fromkeys([*inner_keys, *[y for _, _, y in tests]]))
+    asking, given, places = coded(asking, given, list(dict.fromkeys((x, y) for x, _, y in tests)))
+    # both are read for every piece and level: cut off from their lineage, so plans stay small
+    asking, given = stored(asking, "asking"), stored(given, "given")
+    parts, nodes = [], []
+    for i, piece in enumerate(_pieces(residual, either)):
+        same = [*on, *[(x, y) for (x, op, y), loose in piece if op == "=" and not loose]]
+        rest = [(t, loose) for t, loose in piece if t[1] != "=" or loose]
+        strict = [t for t, loose in piece if not loose]
+        params = asking.filter(_all_present([x for x, _, _ in strict]) if strict else F.lit(True))
+        inside = given.filter(_all_present([y for _, _, y in strict]) if strict else F.lit(True))
+        codes_of = [places[x, y].sides(op, loose) for (x, op, y), loose in rest]
+        params = params.select("gate", *[F.col(a).alias(f"__k{n}") for n, (a, _) in enumerate(same)], *[c[0].alias(f"__x{n}") for n, c in enumerate(codes_of)])
+        inside = inside.select(*inner._hidden(), *carry, *[F.col(b).alias(f"__j{n}") for n, (_, b) in enumerate(same)], *[c[1].alias(f"__y{n}") for n, c in enumerate(codes_of)])
+        part, gate = box_gates(params, inner, inside, f"{name}N{i}", [op for (_, op, _), _ in rest], len(same), carry)
+        parts.append(part)
+        nodes.append(gate)
+    return token, reduce(DataFrame.unionAll, parts), tuple(nodes)
+
+
+def _box_join(outer: ProvFrame, inner: ProvFrame, on: Pairs, name: str, residual: Sequence[Triple], either: Sequence[Sequence[Triple]]) -> ProvFrame:
+    token, parts, nodes = _box_parts(outer, inner, on, name, residual, either)
+    made_of = replace(inner.origin.grouped(nodes[0].name), stored=frozenset(n.name for n in nodes))
+    holds = {n.name: (1 if len(nodes) == 1 else 0, 1) for n in nodes}
+    gate = Gate(name, parts, {}, False, True, holds, inner.width, (), made_of)
+    hits = distinct_keys(parts.select(F.col("gate").alias("__rk")), "__rk")
+    # a NULL key or compared column asks for nothing, so its token is in no part
+    return _extended(outer, inner, gate, lambda df: _times(attach_semi(df, token, hits, "left_semi"), token), more=nodes)
 
 
 def attach_semi(df: DataFrame, key: Column, present: DataFrame, how: str) -> DataFrame:
@@ -114,26 +217,41 @@ def anti_join(
     outer: ProvFrame,
     inner: ProvFrame,
     on: Pairs,
-    residual: tuple[str, str, str] | None = None,
+    residual: Triple | Sequence[Triple] | None = None,
+    either: Sequence[Sequence[Triple]] = (),
 ) -> ProvFrame:
-    """NOT EXISTS: the outer row keeps its annotation; no difference of annotations is computed."""
+    """NOT EXISTS: the outer row keeps its annotation; no difference of annotations is computed.
+
+    ``residual`` and ``either`` as in ``semi_join``.
+    """
+    residual = _triples(residual)
     _check_types(outer, inner, on)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
+    types = dict(outer.df.dtypes)
     token = mono.match_token("", inner_keys, dict(inner.df.dtypes))
-    if residual is None:
+    if len(residual) > 1 or either:
+        key, parts, _ = _box_parts(outer, inner, on, "", residual, either)
+        hits = distinct_keys(parts.select(F.col("gate").alias("__rk")), "__rk")
+        return outer._each(lambda df: attach_semi(df, key, hits, "left_anti"))
+    if not residual:
         present = inner.df.select(*inner_keys).distinct().select(token.alias("__rk"))
-        return outer._with(attach_semi(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), present, "left_anti"))
-    x, op, y = residual
+        return outer._each(lambda df: attach_semi(df, mono.match_token("", outer_keys, types), present, "left_anti"))
+    ((x, op, y),) = residual
     if op == "=":
         return anti_join(outer, inner, [*on, (x, y)])
     bounds = _bounds(inner, inner_keys, y).select(token.alias("__rk"), "__low", "__high")
-    df = attach(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), bounds, "left")
-    some = F.coalesce(_some_match(op, F.col(x), F.col("__low"), F.col("__high")), F.lit(False))
-    return outer._with(df.filter(~some).drop("__low", "__high"))
 
+    def rows(df: DataFrame) -> DataFrame:
+        df = attach(df, mono.match_token("", outer_keys, types), bounds, "left")
+        some = F.coalesce(_some_match(op, F.col(x), F.col("__low"), F.col("__high")), F.lit(False))
+        return df.filter(~some).drop("__low", "__high")
 
-def _bounds(inner: ProvFrame, keys: Sequence[str], y: str) -> DataFrame:
-    return inner.df.groupBy(*keys).agg(
+    return outer._each(rows)
+
+
+def _bounds(inner: ProvFrame | DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    rows = inner.df if isinstance(inner, ProvFrame) else inner
+    return rows.groupBy(*keys).agg(
         F.min(y).alias("__low"),
         F.max(y).alias("__high"),
         F.count(F.lit(1)).alias("__n"),
@@ -146,98 +264,200 @@ def in_(outer: ProvFrame, inner: ProvFrame, pairs: Pairs, name: str, on: Pairs =
     return semi_join(outer, inner, [*pairs, *on], name)
 
 
-def not_in(outer: ProvFrame, inner: ProvFrame, x: str, y: str, on: Pairs = ()) -> ProvFrame:
-    """``x NOT IN (SELECT y ...)`` with SQL's NULL rules.
+def not_in(outer: ProvFrame, inner: ProvFrame, x: str | Sequence[str], y: str | Sequence[str], on: Pairs = ()) -> ProvFrame:
+    """``x NOT IN (SELECT y ...)``, of one column or of lists of columns, with SQL's NULL rules.
 
-    True over an empty list; otherwise never true if x or any y of the list is NULL.
+    True over an empty list.  Otherwise false if some row of the list is equal, and unknown, so never true, if some
+    row is equal wherever neither it nor x is NULL.
     """
-    _check_types(outer, inner, [(x, y), *on])
+    xs, ys = ([x], [y]) if isinstance(x, str) else (list(x), list(y))
+    if len(xs) != len(ys):
+        raise ValueError(f"{len(xs)} columns against {len(ys)}")
+    _check_types(outer, inner, [*zip(xs, ys), *on])
+    if len(xs) > 1:
+        return _not_in_rows(outer, inner, xs, ys, on)
+    x, y = xs[0], ys[0]
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
+    types = dict(outer.df.dtypes)
     if on:
         counts = _bounds(inner, inner_keys, y).select(
             mono.match_token("", inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__n", "__known"
         )
-        df = attach(outer.df, mono.match_token("", outer_keys, dict(outer.df.dtypes)), counts, "left")
-        df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("__n", "__known")})
-        total, known = F.col("__n"), F.col("__known")
     else:
-        df = outer.df
-        total = inner.df.agg(F.count(F.lit(1))).scalar()
-        known = inner.df.agg(F.count(y)).scalar()
-    df = df.filter((total == 0) | (F.col(x).isNotNull() & (total == known))).drop("__n", "__known")
-    return anti_join(outer._with(df), inner, [(x, y), *on])
+        total, known = inner.df.agg(F.count(F.lit(1))).scalar(), inner.df.agg(F.count(y)).scalar()
+
+    def rows(df: DataFrame) -> DataFrame:
+        if on:
+            df = attach(df, mono.match_token("", outer_keys, types), counts, "left")
+            df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("__n", "__known")})
+        else:
+            df = df.withColumns({"__n": total, "__known": known})
+        some = F.col(x).isNotNull() & (F.col("__n") == F.col("__known"))
+        return df.filter((F.col("__n") == 0) | some).drop("__n", "__known")
+
+    return anti_join(outer._each(rows), inner, [(x, y), *on])
+
+
+def _not_in_rows(outer: ProvFrame, inner: ProvFrame, xs: list[str], ys: list[str], on: Pairs) -> ProvFrame:
+    """An anti-join for each pattern of NULLs in the list.
+
+    A row of the list is filed, for each pattern of NULLs that an outer row may have, under the values of the columns that are
+    NULL on neither side; an outer row asks for each pattern of the list once: 2^k look-ups of k columns, no pairs.
+    """
+    k, outer_keys, inner_keys = len(xs), [a for a, _ in on], [b for _, b in on]
+    types, inner_types = dict(outer.df.dtypes), dict(inner.df.dtypes)
+
+    def mask(names: list[str]) -> Column:
+        return reduce(Column.__add__, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(names)])
+
+    def filed(own: Column, other: Column, names: list[str], keys: list[str], kinds, of: Column) -> Column:
+        """Text of the list's pattern, the columns left out, the values of the others and the keys."""
+        both = own.bitwiseOR(other)
+        values = [F.when(both.bitwiseAND(F.lit(1 << i)) == 0, mono.key_text([c], kinds)).otherwise(F.lit("")) for i, c in enumerate(names)]
+        values = [mono.key_part(v, "|") for v in values]
+        return F.when(_all_present(keys) if keys else F.lit(True), F.concat_ws("|", of.cast("string"), both.cast("string"), *values, mono.key_text(keys, kinds)))
+
+    listed = inner.df.select(*dict.fromkeys([*inner_keys, *ys])).distinct().withColumn("__m", mask(ys))
+    listed = listed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))))
+    present = listed.select(filed(F.col("__m"), F.col("__o"), ys, inner_keys, inner_types, F.col("__m")).alias("__rk"))
+    present = distinct_keys(present.filter(F.col("__rk").isNotNull()), "__rk")
+
+    def rows(df: DataFrame) -> DataFrame:
+        for pattern in range(1 << k):
+            key = filed(mask(xs), F.lit(pattern), xs, outer_keys, types, F.lit(pattern))
+            df = attach_semi(df, key, present, "left_anti")
+        return df
+
+    return outer._each(rows)
 
 
 def scalar_compare(
     outer: ProvFrame,
-    x: str,
+    x: str | Sequence[str],
     op: str,
     inner: ProvFrame,
-    agg: Agg,
+    agg: Agg | Sequence[Agg],
     name: str,
     on: Pairs = (),
     *,
     mode: str = "resolved",
     or_where: Column | None = None,
+    residual: Triple | Sequence[Triple] | None = None,
 ) -> ProvFrame:
     """``x op (SELECT agg ... )``, correlated by ``on`` or not.
 
-    ``or_where`` is a second disjunct: such rows stay too, and take the subquery's
+    Lists of columns and aggregates compare as rows, first column first.  ``residual`` are further comparisons
+    (outer column, comparison, inner column) in the subquery.  ``or_where`` is a second disjunct: such rows stay too, and take the subquery's
     annotation only if the comparison itself holds.  COUNT over no rows is 0.
     """
     check_mode(mode)
-    if mode == "symbolic" and or_where is not None:
-        raise ValueError("a disjunction has no symbolic form here")
+    mono.flip(op)
+    xs, aggs = ([x], [agg]) if isinstance(x, str) else (list(x), list(agg))
+    if len(xs) != len(aggs):
+        raise ValueError(f"{len(xs)} columns against {len(aggs)} aggregates")
+    if mode == "symbolic" and (or_where is not None or len(xs) > 1 or residual):
+        raise ValueError("a disjunction, a row value or a further comparison has no symbolic form here")
     _check_types(outer, inner, on)
+    if residual := _triples(residual):
+        if or_where is not None or len(xs) > 1:
+            raise ValueError("a further comparison takes one column and no disjunction")
+        return _scalar_range(outer, xs[0], op, inner, aggs[0], name, on, residual)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
-    hidden_value = "__v"
+    types = dict(outer.df.dtypes)
     if on:  # equal to no outer row
-        inner = inner._with(inner.df.filter(_all_present(inner_keys)))
-    grouped = group(inner, inner_keys, name, {"v": agg}, mode="symbolic" if inner.conds else "resolved")
-    counting = agg.kind in ("count", "distinct")
+        inner = inner._each(lambda df: df.filter(_all_present(inner_keys)))
+    names = ["v"] if len(aggs) == 1 else [f"v{i}" for i in range(len(aggs))]
+    grouped = group(inner, inner_keys, name, dict(zip(names, aggs)), mode="symbolic" if inner.conds else "resolved")
+    counting = all(a.kind in ("count", "distinct") for a in aggs)
     gate = replace(grouped.gate(name), counting=counting)
-    token = mono.gate_token(name, outer_keys, dict(outer.df.dtypes))
+    token = mono.gate_token(name, outer_keys, types)
+    match = mono.match_token(name, outer_keys, types)
     none = F.array().cast("array<string>")
+    per_key = inner.df.groupBy(*inner_keys).agg(*[a.value().alias(f"__{n}") for n, a in zip(names, aggs)]) if on else None
+    if on:
+        found = mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk")
+        per_key = per_key.select(found, *[f"__{n}" for n in names]).filter(F.col("__rk").isNotNull())
 
-    if not on:
-        if mode == "symbolic":
-            return _symbolic(outer, inner, gate, outer.df, token, x, op)
-        value = inner.df.agg(agg.value()).scalar()
-        holds = F.coalesce(mono.compare(F.col(x), op, value), F.lit(False))
-        if or_where is None:
-            return _extended(outer, inner, gate, _times(outer.df.filter(holds), token))
-        df = outer.df.filter(holds | or_where)
-        df = df.withColumn(PROV, F.concat(F.col(PROV), F.when(holds, F.array(token)).otherwise(none)))
-        return _extended(outer, inner, gate, df, low=0)
-
-    per_key = inner.df.groupBy(*inner_keys).agg(agg.value().alias(hidden_value))
-    per_key = per_key.select(mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), hidden_value).filter(
-        F.col("__rk").isNotNull()
-    )
-    if mode == "symbolic" and counting:  # also the outer rows without a match, whose count is 0
-        return _symbolic(outer, inner, gate, outer.df, token, x, op)
     if mode == "symbolic":
-        df = attach_semi(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), per_key.drop(hidden_value), "left_semi")
-        return _symbolic(outer, inner, gate, df, token, x, op)
+        if not on or counting:  # of a COUNT also the outer rows without a match, whose count is 0
+            return _symbolic(outer, inner, gate, lambda df: df, token, x, op)
+        return _symbolic(outer, inner, gate, lambda df: attach_semi(df, match, per_key.select("__rk"), "left_semi"), token, x, op)
+
+    left = F.col(xs[0]) if len(xs) == 1 else _as_value(xs)
+    right = F.col("__v") if len(names) == 1 else F.struct(*[F.col(f"__{n}").alias(f"c{i}") for i, n in enumerate(names)])
+    whole = mono.compare(left, op, right)
+    if len(names) > 1:
+        whole = F.when(_all_present([*xs, *[f"__{n}" for n in names]]), whole)
+    holds = F.coalesce(whole, F.lit(False))
     optional = counting or or_where is not None
-    left = outer.df.withColumn("__k", mono.match_token(name, outer_keys, dict(outer.df.dtypes)))
-    df = left.join(per_key, F.col("__k") == F.col("__rk"), "left" if optional else "inner")
-    value = F.coalesce(F.col(hidden_value), F.lit(0)) if counting else F.col(hidden_value)
-    holds = F.coalesce(mono.compare(F.col(x), op, value), F.lit(False))
-    if not optional:
-        df = _times(df.filter(holds), token)
+
+    def candidates(df: DataFrame) -> DataFrame:
+        """The rows that may satisfy the comparison, beside the subquery's values."""
+        if on:
+            df = df.withColumn("__k", match).join(per_key, F.col("__k") == F.col("__rk"), "left" if optional else "inner")
+            if counting:
+                df = df.withColumns({f"__{n}": F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in names})
+        else:
+            df = df.withColumns({f"__{n}": inner.df.agg(a.value()).scalar() for n, a in zip(names, aggs)})
+        if or_where is not None:
+            taken = holds & F.col("__rk").isNotNull() if on else holds
+            df = df.withColumn(PROV, F.concat(F.col(PROV), F.when(taken, F.array(token)).otherwise(none)))
+        elif on and counting:
+            df = df.withColumn(PROV, F.concat(F.col(PROV), F.when(F.col("__rk").isNotNull(), F.array(token)).otherwise(none)))
+        else:
+            df = _times(df, token)
+        return df.drop("__k", "__rk")
+
+    frame = _extended(outer, inner, gate, candidates, low=0 if or_where is not None or (counting and on) else 1)
+    if or_where is not None:
+        frame = frame._each(lambda df: df.filter(holds | or_where)).settle("a scalar comparison below OR")
     else:
-        df = df.filter(holds if or_where is None else holds | or_where)
-        factor = F.when(holds & F.col("__rk").isNotNull(), F.array(token)).otherwise(none)
-        df = df.withColumn(PROV, F.concat(F.col(PROV), factor))
-    return _extended(outer, inner, gate, df.drop("__k", "__rk", hidden_value), low=0 if optional else 1)
+        # decided again after deletions, like every filter on an aggregate
+        values = {f"__{n}": ((name, n),) for n in names if n in gate.tensors}
+        frame = replace(frame, tensor_columns={**frame.tensor_columns, **values}).filter(holds)
+    drop = [f"__{n}" for n in names]
+    return frame._each(lambda df: df.drop(*drop), same_rows=True)
+
+
+def _scalar_range(outer: ProvFrame, x: str, op: str, inner: ProvFrame, agg: Agg, name: str, on: Pairs, residual: list[Triple]) -> ProvFrame:
+    """A scalar subquery over a range of inner rows: every tree node is folded once, an outer row adds its nodes up."""
+    if agg.kind not in ("sum", "count", "avg", "min", "max"):
+        raise ValueError(f"{agg.kind} can't be added up from ranges")
+    if inner.conds:
+        raise ValueError("resolve the symbolic conditions of the subquery first")
+    value = F.lit(1) if agg.column is None else mono.as_column(agg.column)
+    valued = inner._each(lambda df: df.withColumn("__a", value))
+    token, parts, (node,) = _box_parts(outer, valued, on, name, residual, (), ["__a"])
+    folded = node.derivations.groupBy("gate").agg(
+        F.sum("__a").alias("__s") if agg.kind in ("sum", "avg") else F.lit(None).alias("__s"),
+        F.count("__a").alias("__n"), F.min("__a").alias("__lo"), F.max("__a").alias("__hi"),
+    )
+    folded = parts.withColumn("__node", F.get(PROV, F.lit(0))).join(folded.select(F.concat("gate", F.lit("")).alias("__g"), "__s", "__n", "__lo", "__hi"), F.col("__node") == F.col("__g"))
+    counting = agg.kind == "count"
+    total = {
+        "sum": lambda: F.sum("__s"), "count": lambda: F.coalesce(F.sum("__n"), F.lit(0)), "avg": lambda: F.sum("__s").cast("double") / F.sum("__n"),
+        "min": lambda: F.min("__lo"), "max": lambda: F.max("__hi"),
+    }[agg.kind]()
+    per_row = folded.groupBy("gate").agg(agg._scaled(total).alias("__v")).select(F.concat("gate", F.lit("")).alias("__rk"), "__v")
+    made_of = replace(inner.origin.grouped(node.name), stored=frozenset([node.name]))
+    gate = Gate(name, parts, {}, True, True, {node.name: (1, 1)}, inner.width, (), made_of, counting)
+    none = F.array().cast("array<string>")
+
+    def rows(df: DataFrame) -> DataFrame:
+        df = df.withColumn("__k", token).join(per_row, F.col("__k") == F.col("__rk"), "left" if counting else "inner")
+        found = F.coalesce(F.col("__v"), F.lit(0)) if counting else F.col("__v")
+        df = df.filter(F.coalesce(mono.compare(F.col(x), op, found), F.lit(False)))
+        factor = F.when(F.col("__rk").isNotNull(), F.array(token)).otherwise(none)
+        return df.withColumn(PROV, F.concat(F.col(PROV), factor)).drop("__k", "__rk", "__v")
+
+    return _extended(outer, inner, gate, rows, low=0 if counting else 1, more=(node,)).settle("a scalar subquery over a range")
 
 
 def _symbolic(
-    outer: ProvFrame, inner: ProvFrame, gate: Gate, df: DataFrame, token: Column, x: str, op: str
+    outer: ProvFrame, inner: ProvFrame, gate: Gate, rows: Callable[[DataFrame], DataFrame], token: Column, x: str, op: str
 ) -> ProvFrame:
     """All candidates stay, with the condition ``[tensor flip(op) 1⊗x]`` or tensor against tensor."""
-    frame = _extended(outer, inner, gate, _times(df, token))
+    frame = _extended(outer, inner, gate, lambda df: _times(rows(df), token))
     if x in outer.tensor_columns:
         tensors = outer.tensor_columns[x]
         if len(tensors) > 1:
@@ -270,8 +490,8 @@ def any_compare(
     """``x op ANY (SELECT y ...)``; lists of columns compare as rows, first column first.
 
     The gate token holds the key and x.  Its derivations, the inner rows with ``x op y``,
-    are sums over intervals for whole numbers, decimals and dates (see ``ranges``); for
-    other types they are pairs, formed only when they are read.
+    are sums over intervals of whole numbers: of the values themselves or, for doubles, texts, wide decimals and
+    rows, of their places in the order of all values (see ``ranges``).
     """
     mono.flip(op)
     if op == "=":
@@ -280,44 +500,33 @@ def any_compare(
     _check_types(outer, inner, on)
     xs = [x] if isinstance(x, str) else list(x)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
-    known = inner._with(inner.df.filter(_all_present([y] if isinstance(y, str) else y)).withColumn("__y", _as_value(y)))
-    left = outer.df.withColumn("__x", F.when(_all_present(xs), _as_value(x)))
+    types = dict(outer.df.dtypes)
+    known = inner.df.filter(_all_present([y] if isinstance(y, str) else y)).withColumn("__y", _as_value(y))
+    value = F.when(_all_present(xs), _as_value(x))
     if on:
-        bounds = known.df.groupBy(*inner_keys).agg(F.min("__y").alias("__low"), F.max("__y").alias("__high"))
+        bounds = known.groupBy(*inner_keys).agg(F.min("__y").alias("__low"), F.max("__y").alias("__high"))
         bounds = bounds.select(mono.match_token("", inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__low", "__high")
-        df = attach(left, mono.match_token("", outer_keys, dict(outer.df.dtypes)), bounds, "inner")
-        df = df.filter(_some_match(op, F.col("__x"), F.col("__low"), F.col("__high"))).drop("__low", "__high")
     else:
-        low, high = known.df.agg(F.min("__y")).scalar(), known.df.agg(F.max("__y")).scalar()
-        df = left.filter(_some_match(op, F.col("__x"), low, high))
-    token = mono.gate_token(name, [*outer_keys, *xs], dict(outer.df.dtypes))
-
-    pair = codes(F.col("__x"), dict(left.dtypes)["__x"], F.col("__y"), dict(known.df.dtypes)["__y"])
-    params = df.select(token.alias("gate"), "__x", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(outer_keys)])
-    inside = known.df.select(
-        "__y", *inner._hidden(), *[F.col(k).alias(f"__j{i}") for i, k in enumerate(inner_keys)]
-    )
-    if pair is not None:
-        params = params.withColumn("__x", pair[0]).distinct()
-        outer_gate, nodes = range_gates(params, inner, inside.withColumn("__y", pair[1]), name, op, len(on))
-        inner = replace(inner, gates=(*inner.gates, nodes))
-    else:
-        outer_gate = _paired_gate(params.distinct(), inner, inside, name, op, len(on))
-    return _extended(outer, inner, outer_gate, _times(df.drop("__x"), token))
-
-
-def _paired_gate(params: DataFrame, inner: ProvFrame, inside: DataFrame, name: str, op: str, keys: int) -> Gate:
-    """For values without an integer code: (x, inner row) pairs, formed only if somebody reads them."""
-    cond = mono.compare(F.col("__x"), op, F.col("__y"))
-    if keys:
-        cond = reduce(Column.__and__, [F.col(f"__k{i}") == F.col(f"__j{i}") for i in range(keys)], cond)
-        pairs = params.join(inside, cond)
-        return _sum_gate(inner, name, pairs.select("gate", *inner._hidden()), True)
-    if inner.conds:
-        raise ValueError("resolve the symbolic conditions of the subquery first")
-    pairs = ProvFrame(params.withColumn(PROV, F.array("gate"))).theta_join(ProvFrame(inside), cond).df
-    pairs = pairs.select("gate", F.slice(PROV, 2, F.size(PROV)).alias(PROV))
-    return _sum_gate(inner, name, pairs, True)
+        low, high = known.agg(F.min("__y")).scalar(), known.agg(F.max("__y")).scalar()
+
+    def matching(df: DataFrame) -> DataFrame:
+        df = df.withColumn("__x", value)
+        if not on:
+            return df.filter(_some_match(op, F.col("__x"), low, high))
+        df = attach(df, mono.match_token("", outer_keys, types), bounds, "inner")
+        return df.filter(_some_match(op, F.col("__x"), F.col("__low"), F.col("__high"))).drop("__low", "__high")
+
+    token = mono.gate_token(name, [*outer_keys, *xs], types)
+    params = matching(outer.df if outer.full is None else outer.full)
+    params = params.select(token.alias("gate"), "__x", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(outer_keys)])
+    params, inside, places = coded(params.distinct(), known, [("__x", "__y")])
+    mine, theirs = places["__x", "__y"].sides(op, False)
+    params = params.withColumn("__x0", mine)
+    inside = inside.select(theirs.alias("__y0"), *inner._hidden(), *[F.col(k).alias(f"__j{i}") for i, k in enumerate(inner_keys)])
+    parts, nodes = box_gates(params, inner, inside, f"{name}N", [op], len(on))
+    # intervals of one outer value are disjoint, so each inner row comes once
+    gate = Gate(name, parts, {}, False, True, {nodes.name: (1, 1)}, inner.width, (), inner.origin.grouped(nodes.name))
+    return _extended(outer, inner, gate, lambda df: _times(matching(df).drop("__x"), token), more=(nodes,))
 
 
 def _all_present(columns: Sequence[str]) -> Column:
@@ -325,9 +534,9 @@ def _all_present(columns: Sequence[str]) -> Column:
 
 
 def all_compare(
-    outer: ProvFrame, x: str, op: str, inner: ProvFrame, y: str, name: str, on: Pairs = ()
+    outer: ProvFrame, x: str | Sequence[str], op: str, inner: ProvFrame, y: str | Sequence[str], name: str, on: Pairs = ()
 ) -> ProvFrame:
-    """``x op ALL (SELECT y ...)``: true over no rows, unknown as soon as a y is NULL.
+    """``x op ALL (SELECT y ...)``: true over no rows, unknown as soon as a y is NULL; lists of columns compare as rows.
 
     The row is multiplied with the sum of all inner rows it was compared with.
     ``<> ALL`` is NOT IN and keeps the outer annotation alone.
@@ -337,21 +546,29 @@ def all_compare(
         return not_in(outer, inner, x, y, on)
     _check_types(outer, inner, on)
     outer_keys, inner_keys = [a for a, _ in on], [b for _, b in on]
+    types = dict(outer.df.dtypes)
+    xs, ys = ([x], [y]) if isinstance(x, str) else (list(x), list(y))
+    if len(xs) != len(ys):
+        raise ValueError(f"{len(xs)} columns against {len(ys)}")
+    valued = inner.df.withColumn("__y", F.when(_all_present(ys), _as_value(y)))
+    columns = ("__low", "__high", "__n", "__known")
+    bounds = _bounds(valued, inner_keys, "__y")
     if on:
-        bounds = _bounds(inner, inner_keys, y).select(
-            mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), "__low", "__high", "__n", "__known"
-        )
-        df = attach(outer.df, mono.match_token(name, outer_keys, dict(outer.df.dtypes)), bounds, "left")
-    else:
-        df = outer.df
-        bounds = _bounds(inner, [], y)
-        df = df.withColumns({c: bounds.select(c).scalar() for c in ("__low", "__high", "__n", "__known")})
-    total = F.coalesce(F.col("__n"), F.lit(0))
-    verdict = _all_match(op, F.col(x), F.col("__low"), F.col("__high")) & (F.col("__known") == total)
-    df = df.filter((total == 0) | F.coalesce(verdict, F.lit(False)))
+        bounds = bounds.select(mono.match_token(name, inner_keys, dict(inner.df.dtypes)).alias("__rk"), *columns)
     none = F.array().cast("array<string>")
-    factor = F.when(total > 0, F.array(mono.gate_token(name, outer_keys, dict(outer.df.dtypes)))).otherwise(none)
-    df = df.withColumn(PROV, F.concat(F.col(PROV), factor)).drop("__low", "__high", "__n", "__known")
+
+    def rows(df: DataFrame) -> DataFrame:
+        if on:
+            df = attach(df, mono.match_token(name, outer_keys, types), bounds, "left")
+        else:
+            df = df.withColumns({c: bounds.select(c).scalar() for c in columns})
+        total = F.coalesce(F.col("__n"), F.lit(0))
+        value = F.when(_all_present(xs), _as_value(x))
+        verdict = _all_match(op, value, F.col("__low"), F.col("__high")) & (F.col("__known") == total)
+        df = df.filter((total == 0) | F.coalesce(verdict, F.lit(False)))
+        factor = F.when(total > 0, F.array(mono.gate_token(name, outer_keys, types))).otherwise(none)
+        return df.withColumn(PROV, F.concat(F.col(PROV), factor)).drop(*columns)
+
     token = mono.match_token(name, inner_keys, dict(inner.df.dtypes))
     derivations = inner.df.select(token.alias("gate"), *inner._hidden()).filter(F.col("gate").isNotNull())
-    return _extended(outer, inner, _sum_gate(inner, name, derivations, bool(on)), df, low=0)
+    return _extended(outer, inner, _sum_gate(inner, name, derivations, bool(on)), rows, low=0).settle("a comparison with ALL")

@@ -49,6 +49,11 @@ def terms(poly: Polynomials, kind: str = "how") -> DataFrame:
     return df.select("out", F.array_join("m", " . ").alias("monomial"), *cols)
 
 
+def derivations_of(frame: ProvFrame, name: str) -> DataFrame:
+    """A gate's derivations with the tree nodes below it inlined: ``(gate, monomial, coef)``."""
+    return terms(expand(frame, name)).withColumnRenamed("out", "gate")
+
+
 def texts_sql(form: str, source: str, delta: bool = False) -> str:
     """SQL of ``Polynomials.texts`` over a query of (out, term, coef)."""
     return f"SELECT out, '{form}' AS form, term, CAST(coef AS BIGINT) AS coef, {str(delta).lower()} AS delta FROM ({source})"
@@ -889,7 +894,7 @@ query(
     ORDER BY c_acctbal DESC) AS INTEGER) AS rank FROM c) WHERE rank <= 5"""),
 )(
     lambda t: result(
-        t.customer.top_per_group(["c_mktsegment"], [F.desc("c_acctbal")], 5).select("c_custkey", "c_mktsegment", "rank")
+        t.customer.top_per_group(["c_mktsegment"], ["c_acctbal desc"], 5).select("c_custkey", "c_mktsegment", "rank")
     )
 )
 query(
@@ -1254,10 +1259,173 @@ query(
     circuit_sql((gate("RWC", "c_nationkey", "c_acctbal"), "st", """FROM (SELECT DISTINCT c_nationkey, c_acctbal FROM c) JOIN s
     ON c_nationkey > s_nationkey OR (c_nationkey = s_nationkey AND c_acctbal > s_acctbal)""")),
 )(
-    lambda t: any_compare(
-        t.customer, ["c_nationkey", "c_acctbal"], ">", t.supplier, ["s_nationkey", "s_acctbal"], "RWC"
-    ).circuit()
+    lambda t: derivations_of(
+        any_compare(t.customer, ["c_nationkey", "c_acctbal"], ">", t.supplier, ["s_nationkey", "s_acctbal"], "RWC"), "RWC"
+    )
 )
 query("exists_multiplicity_circuit", circuit_sql((gate("MUL", "c_custkey"), "ct", "FROM c WHERE c_acctbal > 0")))(
     lambda t: shared_key(t).circuit()
 )
+
+# ---- several correlated comparisons, groups of them, row values, NULLs in lists -------------------
+
+
+def undercut(t: Tables) -> ProvFrame:
+    """Orders for which the same customer has an earlier and dearer one."""
+    return semi_join(t.orders, t.orders.prefixed("i_"), [("o_custkey", "i_o_custkey")], "TWO", TWO)
+
+
+TWO = [("o_orderkey", ">", "i_o_orderkey"), ("o_totalprice", "<", "i_o_totalprice")]
+TWO_SQL = "i.o_custkey = o.o_custkey AND i.o_orderkey < o.o_orderkey AND i.o_totalprice > o.o_totalprice"
+TWO_GATE = gate("TWO", "o.o_custkey", "o.o_orderkey", "o.o_totalprice")
+query(
+    "exists_two_ranges",
+    with_(body=f"""SELECT o_orderkey, o_orderkey AS by_key FROM o WHERE EXISTS (SELECT * FROM o i WHERE {TWO_SQL})"""),
+)(lambda t: undercut(t).select("o_orderkey", F.col("o_orderkey").alias("by_key")).plain())
+query(
+    "exists_two_ranges_circuit",
+    with_(body=f"""SELECT o.ot AS row, i.ot AS monomial, CAST(1 AS BIGINT) AS coef FROM o JOIN o i ON {TWO_SQL}"""),
+)(
+    lambda t: derivations_of(undercut(t), "TWO").select(
+        F.concat(F.lit("O"), F.element_at(F.split("gate", "\\|"), 2)).alias("row"), "monomial", "coef"
+    )
+)
+query(
+    "not_exists_two_ranges",
+    with_(body=f"SELECT o_orderkey, ot AS how FROM o WHERE NOT EXISTS (SELECT * FROM o i WHERE {TWO_SQL})"),
+)(
+    lambda t: result(
+        anti_join(t.orders, t.orders.prefixed("i_"), [("o_custkey", "i_o_custkey")], TWO).select("o_orderkey")
+    )
+)
+
+
+def either(t: Tables) -> ProvFrame:
+    """Suppliers of whose nation some customer is richer, or else has a smaller number and another segment than AUTOMOBILE."""
+    rich = t.customer.filter("c_acctbal > 9000")
+    return semi_join(
+        t.supplier, rich, [("s_nationkey", "c_nationkey")], "OR",
+        either=[[("s_acctbal", "<", "c_acctbal")], [("s_suppkey", ">", "c_custkey"), ("s_name", "<>", "c_mktsegment")]],
+    )
+
+
+OR_SQL = """c_acctbal > 9000 AND s_nationkey = c_nationkey AND (s_acctbal < c_acctbal OR s_suppkey > c_custkey AND s_name <> c_mktsegment)"""
+query("exists_or_group", with_(body=f"SELECT s_suppkey FROM s WHERE EXISTS (SELECT * FROM c WHERE {OR_SQL})"))(
+    lambda t: either(t).select("s_suppkey").plain()
+)
+query(
+    "exists_or_group_circuit",
+    with_(body=f"""SELECT CAST(s_nationkey AS VARCHAR) AS nation, ct AS monomial, count(*) AS coef FROM s JOIN c ON {OR_SQL} GROUP BY ALL"""),
+)(
+    lambda t: derivations_of(either(t), "OR")
+    .groupBy(F.regexp_extract("gate", r"OR\[(\d+)", 1).alias("nation"), "monomial")
+    .agg(F.sum("coef").alias("coef"))
+)
+
+
+def above_earlier(t: Tables) -> ProvFrame:
+    """Orders dearer than the mean of the customer's earlier ones."""
+    return scalar_compare(
+        t.orders, "o_totalprice", ">", t.orders.prefixed("i_"), avg(money("i_o_totalprice")), "SR",
+        [("o_custkey", "i_o_custkey")], residual=("o_orderkey", ">", "i_o_orderkey"),
+    )
+
+
+EARLIER = "i.o_custkey = o.o_custkey AND i.o_orderkey < o.o_orderkey"
+query(
+    "scalar_range_correlated",
+    with_(body=f"""SELECT o_orderkey, {prod('ot', gate('SR', 'o_custkey', 'o_orderkey'))} AS how FROM o
+    WHERE o_totalprice > (SELECT CAST(sum({dec('i.o_totalprice')}) AS DOUBLE) / count(*) FROM o i WHERE {EARLIER})"""),
+)(lambda t: result(above_earlier(t).select("o_orderkey")))
+query(
+    "scalar_range_correlated_circuit",
+    circuit_sql((gate("SR", "o.o_custkey", "o.o_orderkey"), "i.ot", f"FROM o JOIN o i ON {EARLIER}")),
+)(lambda t: derivations_of(above_earlier(t), "SR"))
+
+
+def blanked(t: Tables) -> tuple[ProvFrame, ProvFrame]:
+    """Customers and suppliers, some of whose nations and balances are not known."""
+    c = t.customer.with_columns(cn=F.expr("case when c_custkey % 7 <> 0 then c_nationkey end"), cb=F.expr("case when c_custkey % 11 <> 0 then c_custkey % 40 end"))
+    s = t.supplier.with_columns(sn=F.expr("case when (s_suppkey + 1) % 50 <> 0 then s_nationkey end"), sb=F.expr("case when s_suppkey % 30 <> 0 then s_suppkey % 40 end"))
+    return c, s
+
+
+BLANKED = (
+    "bc AS (SELECT *, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS cn, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 40 END AS cb FROM c)",
+    "bs AS (SELECT *, CASE WHEN (s_suppkey + 1) % 50 <> 0 THEN s_nationkey END AS sn, CASE WHEN s_suppkey % 30 <> 0 THEN s_suppkey % 40 END AS sb FROM s)",
+)
+NOT_IN_SQL = "NOT EXISTS (SELECT * FROM bs WHERE {} coalesce(sn = cn, true) AND coalesce(sb = cb, true))"
+query("not_in_columns", with_(*BLANKED, body=f"SELECT c_custkey, ct AS how FROM bc WHERE {NOT_IN_SQL.format('')}"))(
+    lambda t: result(not_in(*blanked(t), ["cn", "cb"], ["sn", "sb"]).select("c_custkey"))
+)
+query(
+    "not_in_columns_correlated",
+    with_(*BLANKED, body=f"SELECT c_custkey, ct AS how FROM bc WHERE {NOT_IN_SQL.format('s_nationkey = c_nationkey AND')}"),
+)(lambda t: result(not_in(*blanked(t), ["cn", "cb"], ["sn", "sb"], [("c_nationkey", "s_nationkey")]).select("c_custkey")))
+
+
+def any_typed(t: Tables, column: str, other: str, op: str, name: str) -> ProvFrame:
+    return any_compare(t.supplier, column, op, t.customer.filter("c_acctbal > 9500"), other, name, [("s_nationkey", "c_nationkey")])
+
+
+for _kind, _x, _y, _op in (("double", "s_acctbal", "c_acctbal", "<"), ("text", "s_name", "c_name", ">=")):
+    query(
+        f"any_{_kind}_circuit",
+        circuit_sql((gate(f"AN{_kind}", "s_nationkey", _x), "ct", f"FROM s JOIN c ON s_nationkey = c_nationkey AND {_x} {_op} {_y} WHERE c_acctbal > 9500")),
+    )(lambda t, k=_kind, x=_x, y=_y, o=_op: derivations_of(any_typed(t, x, y, o, f"AN{k}"), f"AN{k}"))
+
+query(
+    "scalar_row_compare",
+    with_(body=f"""SELECT c_custkey, {prod('ct', gate('SRW', 'c_nationkey'))} AS how FROM c JOIN (SELECT s_nationkey, min(s_suppkey) AS a,
+    max(s_acctbal) AS b FROM s GROUP BY s_nationkey) ON s_nationkey = c_nationkey WHERE c_custkey > a OR c_custkey = a AND c_acctbal > b"""),
+)(
+    lambda t: result(
+        scalar_compare(
+            t.customer, ["c_custkey", "c_acctbal"], ">", t.supplier, [min_("s_suppkey"), max_("s_acctbal")], "SRW", [("c_nationkey", "s_nationkey")]
+        ).select("c_custkey")
+    )
+)
+query(
+    "all_row_compare",
+    with_(body=f"""SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM s) THEN {prod('ct', gate('ARW', 'c_nationkey'))} ELSE ct END AS how
+    FROM c WHERE NOT EXISTS (SELECT * FROM s WHERE s_nationkey = c_nationkey AND NOT (c_custkey > s_suppkey OR c_custkey = s_suppkey AND c_acctbal > s_acctbal))"""),
+)(
+    lambda t: result(
+        all_compare(t.customer, ["c_custkey", "c_acctbal"], ">", t.supplier, ["s_suppkey", "s_acctbal"], "ARW", [("c_nationkey", "s_nationkey")]).select("c_custkey")
+    )
+)
+
+# ---- what-if through filters on aggregates: rows leave and enter -----------------------------------
+
+
+def few_or_many(t: Tables) -> ProvFrame:
+    """Orders with under three or over six lines, and how many."""
+    return group(t.lineitem, ["l_orderkey"], "FM", {"n": count(), "qty": sum_(money("l_quantity"))}).filter("n < 3 or n > 6")
+
+
+query(
+    "having_resolved_after_deletion",
+    with_(body=f"""SELECT l_orderkey, count(*) AS n, CAST(sum({dec('l_quantity')}) AS DOUBLE) AS qty, {gate('FM', 'l_orderkey')} AS how
+    {KEPT} GROUP BY l_orderkey HAVING count(*) < 3 OR count(*) > 6"""),
+)(lambda t: result(ev.delete_tokens(few_or_many(t), small_line_tokens(t))))
+query(
+    "scalar_resolved_after_deletion",
+    with_(body=f"""SELECT o_orderkey, {prod('ot', gate('SD', 'o_orderkey'))} AS how FROM o
+    WHERE o_totalprice < (SELECT min(l_extendedprice) * 8 {KEPT} AND l_orderkey = o_orderkey)"""),
+)(
+    lambda t: result(
+        ev.delete_tokens(
+            scalar_compare(t.orders, "o_totalprice", "<", t.lineitem, min_("l_extendedprice", scale=8), "SD", [("o_orderkey", "l_orderkey")]),
+            small_line_tokens(t),
+        ).select("o_orderkey")
+    )
+)
+query(
+    "aggregate_of_aggregate_after_deletion",
+    with_(body=f"""SELECT o_orderpriority, CAST(max(qty) AS DOUBLE) AS most, CAST(sum(qty) AS DOUBLE) AS total, {gate('SS2', 'o_orderpriority')} AS how
+    FROM o JOIN (SELECT l_orderkey, sum({dec('l_quantity')}) AS qty {KEPT} GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY o_orderpriority"""),
+)(lambda t: result(ev.delete_tokens(sums_of_sums(t), small_line_tokens(t))))
+query(
+    "theta_join_ordered",
+    with_(body=f"SELECT s_suppkey, n_nationkey, {prod('st', 'nt')} AS how FROM s JOIN n ON s_suppkey < n_nationkey"),
+)(lambda t: result(t.supplier.theta_join(t.nation, order=("s_suppkey", "<", "n_nationkey")).select("s_suppkey", "n_nationkey")))

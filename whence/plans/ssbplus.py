@@ -111,7 +111,7 @@ query("ssbplus_q6_2", _q6_sql("SP62", "true", "ORDER BY count DESC, p_name, p_ty
 
 def q7(t: Tables) -> ProvFrame:
     g = group(flat_lineorder(t), ["p_name", "c_mktsegment"], "SP7", {"revenue": sum_(volume())})
-    return g.top_per_group(["c_mktsegment"], [F.desc("revenue")], 5)
+    return g.top_per_group(["c_mktsegment"], ["revenue desc"], 5)
 
 
 VOL = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
