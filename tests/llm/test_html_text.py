@@ -77,3 +77,17 @@ def test_values_of_other_attributes_hide_nothing(attr):
 def test_own_attributes_hide(attr):
     page = f"<article><p>Before it, <b {attr}>gone</b> and after, all of which is long enough to be kept.</p></article>"
     assert "gone" not in main_text(page)
+
+
+def test_names_of_articles_parts_hide_nothing():
+    body = "<p>" + "A long paragraph, with commas, and words enough to count. " * 4 + "</p>"
+    page = f'''<body><nav><a href="/">Home</a></nav><div class="side-effects sidebar-left"><a href="/x">Elsewhere</a></div><article>{body}
+      <div class="side-effects"><p>Side effects are rare.</p></div><section id="related-work"><p>Related work exists.</p></section>
+      <section class="search-results"><p>Searching helped.</p></section><div class="legal-notice-period"><p>Notice is a month.</p></div>
+      <ul class="sources"><li><a href="/1">First source of it</a></li><li><a href="/2">Second source of it</a></li></ul>
+      <div class="ad">Buy now</div><div id="comments"><p>First!</p></div></article></body>'''
+    text = html_text.main_text(page)
+    for kept in ("Side effects are rare.", "Related work exists.", "Searching helped.", "Notice is a month.", "First source of it", "Second source of it"):
+        assert kept in text
+    for gone in ("Home", "Elsewhere", "Buy now", "First!"):
+        assert gone not in text

@@ -3,13 +3,15 @@
 A page is read into a tree of elements.  Every paragraph (a block that holds text itself) passes
 points for its length and commas to its ancestors, all to the parent, half to the grandparent and
 less further up.  A container's points are discounted by the share of its text inside links.  The
-best container and those of its siblings that score alike or read like prose are kept; inside
-them, menus, forms, notices and the like, and blocks that are mostly links, are left out.
+best container and those of its siblings that score alike or read like prose are kept (of equal containers the one found
+first; an ``article`` around it is kept whole); inside them, menus, forms, notices and the like are left out, known by element, role or a whole
+class or id, never by a part of a name.  Blocks that are mostly links are left out where neither ``article`` nor ``main`` holds them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space.  Null and empty pages, and pages without text, give the empty text.
 Broken markup is read as far as it goes: unclosed elements end with their container.  Repeated
-rows come out alike, one row each.
+rows come out alike, one row each.  Pages of any length are read whole; an empty table gives an empty result.  Only ``page_id``,
+``url`` and ``html`` are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ _OUT = frozenset("nav footer aside form button select option input textarea scri
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 _SCOPE = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|widget|related|recommend(?:ed|ations)?|comment\w*|respon[ds]e?|disqus|replies|share|sharing|social|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|masthead|site-header|page-header|footer|site-footer|copyright|legal|pagination|pager|toolbar|search|skip)(?:$|[\s_-])",
-    re.I,
+#: Classes and ids, as whole names, of adverts, menus, headers and footers, sidebars, notices, forms and reader comments.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner ad-banner "
+    "nav navbar navigation menu main-menu nav-menu breadcrumb breadcrumbs pagination pager toolbar "
+    "masthead site-header page-header footer site-footer page-footer sidebar side-bar "
+    "cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
+    "comment comments comment-list comments-area comment-section user-comments reader-comments disqus disqus_thread replies respond".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -63,7 +69,7 @@ def _unwanted(tag: str, attrs: str, parent: Node) -> bool:
         return True
     if "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    return bool(_BAD.search(found.get("class", "")) or _BAD.search(found.get("id", "")))
+    return not _NAMES.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
 
 
 def _line(node: Node | None) -> Iterator[Node]:
@@ -174,8 +180,8 @@ def main_text(page: str) -> str:
     parts = []
     for n in kept:
         for block, text, linked in _blocks(n):
-            if linked > 0.5 * len(text) and block.tag in ("li", "ul", "ol", "div", "td", "section", "dd"):
-                continue  # a list of links
+            if linked > 0.5 * len(text) and block.tag in ("li", "ul", "ol", "div", "td", "section", "dd") and not any(p.tag in ("article", "main") for p in _line(block)):
+                continue  # a list of links where no element says that it is the article's
             parts.append(text)
     return " ".join(parts)
 
