@@ -86,7 +86,7 @@ def test_names_of_articles_parts_hide_nothing():
       <section class="search-results"><p>Searching helped.</p></section><div class="legal-notice-period"><p>Notice is a month.</p></div>
       <ul class="sources"><li><a href="/1">First source of it</a></li><li><a href="/2">Second source of it</a></li></ul>
       <div class="ad">Buy now</div><div id="comments"><p>First!</p></div></article></body>'''
-    text = html_text.main_text(page)
+    text = main_text(page)
     for kept in ("Side effects are rare.", "Related work exists.", "Searching helped.", "Notice is a month.", "First source of it", "Second source of it"):
         assert kept in text
     for gone in ("Home", "Elsewhere", "Buy now", "First!"):
