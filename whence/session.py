@@ -22,9 +22,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which is shared too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/whence-checkpoints"
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
+
+    A warehouse in a machine's own file system is refused on a cluster, whose executors would not see it.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/whence-checkpoints"
+    if folder.startswith(("file:", "/")) and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"{folder} is a machine's own folder: set spark.checkpoint.dir to one that all machines share")
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
