@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from whence import distinct, expand, group, union
 from whence.functions.aggregates import count
+from whence.operators import semirings
 from whence.operators.semirings import Polynomials, forms
 
 
@@ -72,6 +73,20 @@ def test_absorption_of_wide_witnesses(spark):
     assert sets(make(spark, rows).posbool()) == minimal(rows)
 
 
+def test_a_token_in_every_witness_brings_no_two_together(spark):
+    """Few families of a shared token and an own one: without the second token, each family is all pairs."""
+    rng = random.Random(9)
+    big = [f"x f{i % 4} a{i} b{rng.randrange(500)}" for i in range(2000)]
+    small = [f"x f{i % 4} c{i}" for i in range(2000)]
+    rows = {"o": big + small + ["x f0 c0 d", "x f1"]}
+    w = make(spark, rows).why()
+    _, asking, filed = semirings._lookups(w)
+    met = asking.join(filed, F.col("__k2") == F.col("__f2"))
+    assert met.count() < 3000
+    kept = [m for m in big + small if "f1" not in m.split()] + ["x f1"]
+    assert sets(make(spark, rows).posbool()) == {("o", tuple(sorted(m.split()))) for m in kept}
+
+
 def test_large_rows_have_the_shape_of_small_ones(spark):
     rows = {"big": [f"t{i}" for i in range(1000)], "small": ["x", "y"]}
     got = make(spark, rows).texts().collect()

@@ -111,23 +111,39 @@ _TEXT = {
 def _absorbed(w: DataFrame) -> DataFrame:
     """Witnesses of which a proper subset is a witness of the same row too.
 
-    A witness is filed under its rarest token.  A subset of a witness is filed under one of the
-    witness's own tokens, so each looks only there, and only where something smaller is filed.
-    The look-ups join on a text key of their own: AQE can split a token that is in every witness.
+    A single token absorbs all wider witnesses that hold it.  Any other witness is filed under its two rarest tokens,
+    if a wider one holds the rarest at all.  A subset of a witness is filed under two of the witness's own tokens, so each
+    looks only there; a token that all witnesses share is never what brings two together.
+    The look-ups join on text keys of their own: AQE can split a token that is in very many.
     """
-    key = F.concat_ws("~", F.md5("out"), "t")
-    tokens = w.select("out", "m", F.explode("m").alias("t")).withColumn("__k", key)
-    rarity = tokens.groupBy("out", "t").agg(F.count(F.lit(1)).alias("__n")).select(key.alias("__rk"), "__n")
-    rarest = (
-        tokens.join(rarity, F.col("__k") == F.col("__rk"))
-        .groupBy("out", "m")
-        .agg(F.min(F.struct("__n", "t"))["t"].alias("t"))
-        .select(key.alias("__f"), F.col("m").alias("__w"), F.size("m").alias("__s"))
-    )
-    least = rarest.groupBy("__f").agg(F.min("__s").alias("__s")).select(F.concat("__f", F.lit("")).alias("__rk"), "__s")
-    asking = tokens.join(least, (F.col("__k") == F.col("__rk")) & (F.col("__s") < F.size("m"))).select("out", "m", "__k")
+    tokens, asking, filed = _lookups(w)
+    single = w.filter(F.size("m") == 1).select(_filing(F.get("m", F.lit(0))).alias("__f"))
+    alone = tokens.filter(F.size("m") > 1).join(single, F.col("__k") == F.col("__f"), "left_semi").select("out", "m")
     inside = (F.col("__s") < F.size("m")) & (F.size(F.array_except("__w", "m")) == 0)
-    return asking.join(rarest, (F.col("__k") == F.col("__f")) & inside, "left_semi").select("out", "m")
+    return alone.unionAll(asking.join(filed, (F.col("__k2") == F.col("__f2")) & inside, "left_semi").select("out", "m"))
+
+
+def _filing(*tokens: Column) -> Column:
+    return F.concat_ws("~", F.md5("out"), *tokens)
+
+
+def _lookups(w: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(out, m, t, __k) by token; (out, m, __k2): who asks for which two tokens; (__f2, __w, __s): what is filed there."""
+    tokens = w.select("out", "m", F.explode("m").alias("t")).withColumn("__k", _filing(F.col("t")))
+    rarity = tokens.groupBy("out", "t").agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("m")).alias("__widest"))
+    rarity = rarity.select(_filing(F.col("t")).alias("__rk"), "__n", "__widest")
+    wide = tokens.filter(F.size("m") > 1).join(rarity, F.col("__k") == F.col("__rk"))
+    first = wide.groupBy("out", "m").agg(F.min(F.struct("__n", "t", "__widest")).alias("__a"))
+    # what no wider witness can hold need not be filed
+    met = first.filter(F.col("__a.__widest") > F.size("m")).select("out", "m", F.col("__a.t").alias("t"), F.explode("m").alias("u"))
+    met = met.filter("u <> t").join(rarity, _filing(F.col("u")) == F.col("__rk"))
+    filed = met.groupBy("out", "m", "t").agg(F.min(F.struct("__n", "u"))["u"].alias("u")).select(
+        _filing(F.col("t")).alias("__f"), _filing(F.col("t"), F.col("u")).alias("__f2"), F.col("m").alias("__w"), F.size("m").alias("__s")
+    )
+    least = filed.groupBy("__f").agg(F.min("__s").alias("__s")).select(F.concat("__f", F.lit("")).alias("__rk"), "__s")
+    asking = tokens.join(least, (F.col("__k") == F.col("__rk")) & (F.col("__s") < F.size("m")))
+    asking = asking.select("out", "m", "t", F.explode("m").alias("u")).filter("u <> t")
+    return tokens, asking.select("out", "m", _filing(F.col("t"), F.col("u")).alias("__k2")), filed.drop("__f")
 
 
 def expand(frame: ProvFrame, only: str | None = None) -> Polynomials:

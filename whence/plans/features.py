@@ -151,6 +151,22 @@ query("form_why", with_(*MIXED, body=f"SELECT out, {JOINED} AS monomial FROM mw"
 query("form_posbool", with_(*MIXED, body=f"SELECT out, {JOINED} AS monomial FROM mb"))(
     lambda t: terms(expand(rich_mix(t)), "posbool")
 )
+
+
+def shared_token(t: Tables) -> ProvFrame:
+    """Per nation, its suppliers and their lines: every witness holds the nation, and a rich supplier absorbs its lines."""
+    places = t.nation.join(t.supplier, [("n_nationkey", "s_nationkey")])
+    lines = places.join(t.lineitem, [("s_suppkey", "l_suppkey")])
+    return distinct(lines.select("n_name").union_all(places.filter("s_acctbal > 5000").select("n_name")), "WIDE")
+
+
+query(
+    "form_posbool_wide",
+    with_(body=f"""SELECT {gate('WIDE', 'n_name')} AS out, array_to_string(list_sort([nt, st, lt]), ' . ') AS monomial
+    FROM n JOIN s ON n_nationkey = s_nationkey JOIN l ON l_suppkey = s_suppkey WHERE NOT s_acctbal > 5000
+    UNION ALL SELECT {gate('WIDE', 'n_name')}, array_to_string(list_sort([nt, st]), ' . ')
+    FROM n JOIN s ON n_nationkey = s_nationkey WHERE s_acctbal > 5000"""),
+)(lambda t: terms(expand(shared_token(t)), "posbool"))
 query("form_lineage", with_(*MIXED, body="SELECT DISTINCT out, unnest(m) AS token FROM mp"))(
     lambda t: expand(rich_mix(t)).lineage()
 )
@@ -1218,6 +1234,39 @@ query(
     )
 )
 
+
+
+def busiest(t: Tables) -> ProvFrame:
+    """Nations by the number of their suppliers' orders: groups of groups, whose products no check should expand."""
+    parts = group(t.lineitem.filter("l_quantity < 10"), ["l_orderkey", "l_suppkey"], "VO", {"lines": count()})
+    f = parts.join(t.supplier, [("l_suppkey", "s_suppkey")]).join(t.nation, [("s_nationkey", "n_nationkey")])
+    return group(f, ["n_name"], "VN", {"orders": count(), "lines": sum_("lines")}).select("n_name")
+
+
+def circuit_checked(t: Tables) -> DataFrame:
+    line, supplier, nation = val.Witness(t.lineitem, "L"), val.Witness(t.supplier, "S"), val.Witness(t.nation, "N")
+    steps = {
+        "VO": val.Step(
+            {"l_orderkey": F.col("l__l_orderkey"), "l_suppkey": F.col("l__l_suppkey")}, {"l": line}, where=F.expr("l__l_quantity < 10")
+        ),
+        "VN": val.Step(
+            {"n_name": F.col("n__n_name")}, {"s": supplier, "n": nation}, {"o": "VO"},
+            F.expr("o__l_suppkey = s__s_suppkey and s__s_nationkey = n__n_nationkey"),
+        ),
+    }
+    return val.replay_circuit(busiest(t), val.Step({"n_name": F.col("g__n_name")}, gates={"g": "VN"}), steps)
+
+
+FEW_LINES = "l WHERE l_quantity < 10"
+SENT = "FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM l WHERE l_quantity < 10) JOIN s ON l_suppkey = s_suppkey JOIN n ON s_nationkey = n_nationkey"
+query(
+    "validate_circuit",
+    with_(body=f"""SELECT {gate('VO', 'l_orderkey', 'l_suppkey')} AS token, count(*) AS members, CAST(0 AS BIGINT) AS failed
+    FROM {FEW_LINES} GROUP BY l_orderkey, l_suppkey
+    UNION ALL SELECT {gate('VN', 'n_name')}, count(*), CAST(0 AS BIGINT) {SENT} GROUP BY n_name
+    UNION ALL SELECT {gate('VN', 'n_name')}, CAST(1 AS BIGINT), CAST(0 AS BIGINT) {SENT} GROUP BY n_name"""),
+)(circuit_checked)
+
 # ---- the derivations behind subqueries whose rows carry only a gate token ------------------------
 
 query(

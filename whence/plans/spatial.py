@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from whence.functions.aggregates import count, sum_
+from whence.operators.cells import cell_join
 from whence.operators.frame import ProvFrame
 from whence.operators.grouping import group
 from whence.operators.points import (
@@ -16,6 +17,7 @@ from whence.operators.points import (
     place_join,
     within_distance,
 )
+from whence.operators.semirings import expand
 from whence.plans.base import Tables, circuit_sql, gate, prod, query, result, with_
 
 BOX = (-0.1, -0.05, 0.1, 0.2)
@@ -103,6 +105,26 @@ query(
 )(lambda t: near_average(t).circuit())
 
 
+WIDE = 0.15
+
+
+def near_cells(t: Tables) -> ProvFrame:
+    """Points of class 0 with the others within a wide distance: crowded cells stay factored."""
+    left = t.points.filter("label = 0").rename({"x": "a_x", "y": "a_y"})
+    return cell_join(left, t.points.filter("label <> 0"), ("a_x", "a_y"), ("x", "y"), WIDE, ("CA", "CB"), pairs=64)
+
+
+NEAR_CELLS = f"""FROM v a JOIN v b ON {_dist('a.x', 'a.y', 'b.x', 'b.y')} <= {WIDE}::DOUBLE
+  WHERE a.label = 0 AND b.label <> 0"""
+query("points_cells_count", with_(body=f"SELECT count(*) AS n, 'CN[]' AS how {NEAR_CELLS}"))(
+    lambda t: result(group(near_cells(t), [], "CN", {"n": sum_("pairs")}))
+)
+query(
+    "points_cells_expanded",
+    with_(body=f"SELECT list_aggregate(list_sort([a.vt, b.vt]), 'string_agg', ' . ') AS monomial, CAST(1 AS BIGINT) AS coef {NEAR_CELLS}"),
+)(lambda t: expand(near_cells(t)).terms.select(F.array_join("m", " . ").alias("monomial"), F.col("c").alias("coef")))
+
+
 def whole_places(t: Tables) -> ProvFrame:
     """Points moved to the corner of their 0.05 grid cell, so that many coincide."""
     corner = lambda c: F.floor(F.col(c).cast("double") / F.lit(0.05))
