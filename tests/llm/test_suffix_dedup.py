@@ -108,3 +108,32 @@ def test_query_digests_match_brute_force(spark):
         want[d.doc_id] = (len(t), int(m.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest())
     got = op2_suffix_dedup(spark, "/root/testdata/sf0.001")
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.select("*", F.lit(1)).collect()} == want
+
+
+def test_users_columns_keep_their_values_whatever_their_names(spark):
+    docs = table(spark, passages())
+    names = ["rid", "rid2", "raw", "maybe", "doc", "place", "gram", "times"]
+    wider = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).withColumn("spans", F.lit(1))
+    got = sd.deduplicated(wider)
+    check(got, passages())
+    assert got.columns == [*docs.columns, *names, "spans", "kept"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+
+
+def test_no_rows_give_no_rows(spark):
+    got = sd.deduplicated(table(spark, passages()).where("doc_id < 0"))
+    assert got.count() == 0 and {"spans", "kept"} <= set(got.columns)
+
+
+def test_texts_whose_first_number_is_equal_stay_apart(spark):
+    """Two texts share ``rid``; only ``rid2`` tells them apart."""
+    texts = [prose(1, 80) + prose(2, 60), prose(3, 90) + prose(2, 60)]
+    rows = [(1, 10 + i, t.encode()) for i, t in enumerate(texts)]
+    got = {r.rid2: r.spans for r in sd.spans(spark.createDataFrame(rows, "rid long, rid2 long, raw binary")).collect()}
+    _, masks = brute(texts)
+    assert set(got) == {10, 11}
+    for i, mask in enumerate(masks):
+        covered = np.zeros(len(mask), bool)
+        for s in got[10 + i]:
+            covered[s.lo : s.hi] = True
+        assert (covered == mask).all()

@@ -18,6 +18,10 @@ grams can be equal, and the windows that share one anchor are one context of at
 
 Null and empty texts, and texts under 200 bytes, lose nothing.  Repeated rows, also of one
 doc_id, are strings that start elsewhere.  Very long texts are scanned in overlapping segments.
+An empty table gives an empty result; an anchor's ties go to the last of equal grams.
+
+Texts are known by 128 bits (``RID``).  Contexts are compared by the hash of their gram together with a hash of their own,
+64 bits each; windows at the edges of repeats by their bytes, those of crowded grams by 128 bits.
 Existing columns ``spans`` and ``kept`` are replaced.
 """
 
@@ -38,6 +42,8 @@ from whence.session import stored
 LENGTH, GRAM, SEGMENT, SORTED, CROWD = 200, 32, 1 << 19, 8_000, 8_000
 #: Words of 8 bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 3
+#: A text's number: two hashes of 64 bits with different seeds.
+RID = ("rid", "rid2")
 _WINDOW = LENGTH - GRAM + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -107,17 +113,17 @@ def _bytes(b: pa.RecordBatch) -> list[bytes]:
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
-    """(rid, place, gram, context); place packs start, size and anchor."""
-    out = pa.schema([("rid", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("context", pa.int64())])
+    """(rid, rid2, place, gram, context); place packs start, size and anchor."""
+    out = pa.schema([("rid", pa.int64()), ("rid2", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("context", pa.int64())])
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            rid = np.asarray(b.column("rid"))
+            ids = [np.asarray(b.column(c)) for c in RID]
             for c, valid, which, place in _scans(_bytes(b)):
                 first, size, reach, gram, context = anchors(c, valid)
-                yield batch_of(out, (rid[which[first]], (place[first] << 20) + (size << 10) + reach, gram.view(np.int64), context.view(np.int64)))
+                yield batch_of(out, (*[rid[which[first]] for rid in ids], (place[first] << 20) + (size << 10) + reach, gram.view(np.int64), context.view(np.int64)))
 
-    return rows.select("rid", "raw").where(F.length("raw") >= LENGTH).mapInArrow(part, "rid long, place long, gram long, context long")
+    return rows.select(*RID, "raw").where(F.length("raw") >= LENGTH).mapInArrow(part, "rid long, rid2 long, place long, gram long, context long")
 
 
 _SIZE, _START = "cast((place >> 10) & 1023 as int)", "cast(place >> 20 as int)"
@@ -272,9 +278,9 @@ def _edges(asked: DataFrame, rows: DataFrame) -> DataFrame:
                 cuts = [(x["place"] >> 20, x["place"] >> 10 & 1023, x["place"] & 1023) for x in wanted]
                 yield batch_of(out, ([x["gram"] for x in wanted], [x["context"] for x in wanted], [x["crowded"] for x in wanted], [r for *_, r in cuts], [raw[s : s + n] for s, n, _ in cuts]))
 
-    wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("gram", "context", "crowded", "place")).alias("asked"))  # no more than a text has
-    texts = rows.select("rid", "raw").where(sieved("rid", sieve(wanted, "rid"))).dropDuplicates(["rid"])
-    return texts.join(wanted, "rid").mapInArrow(part, "gram long, context long, crowded boolean, reach int, bytes binary")
+    wanted = asked.groupBy(*RID).agg(F.collect_list(F.struct("gram", "context", "crowded", "place")).alias("asked"))  # no more than a text has
+    texts = rows.select(*RID, "raw").where(sieved("rid", sieve(wanted, "rid"))).dropDuplicates([*RID])
+    return texts.join(wanted, [*RID]).mapInArrow(part, "gram long, context long, crowded boolean, reach int, bytes binary")
 
 
 def _sorted_edges(edges: DataFrame) -> DataFrame:
@@ -325,16 +331,16 @@ def _counted_edges(edges: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(rid, spans): the covered bytes of each text in ``rows`` (rid, raw), as ranges that may overlap."""
+    """(rid, rid2, spans): the covered bytes of each text in ``rows`` (rid, rid2, raw), as ranges that may overlap."""
     found = _anchored(rows)
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     found = spread(found, "gram").join(spread(often, "gram"), ["gram", SPREAD], "left_semi").drop(SPREAD)
     # a repeated row has the places of the first: one row with the number of them
-    found = stored(found.groupBy("rid", "place", "gram", "context").agg(F.count(F.lit(1)).alias("times")), "anchors")
-    contexts = found.groupBy("gram", "context").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "place")).alias("at"))
+    found = stored(found.groupBy(*RID, "place", "gram", "context").agg(F.count(F.lit(1)).alias("times")), "anchors")
+    contexts = found.groupBy("gram", "context").agg(F.sum("times").alias("times"), F.min(F.struct(*RID, "place")).alias("at"))
     contexts = stored(contexts, "contexts")
     mixed_grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    asked = spread(contexts, "gram").join(spread(mixed_grams, "gram"), ["gram", SPREAD]).select("gram", "context", (F.col("kinds") > crowd).alias("crowded"), "at.rid", "at.place")
+    asked = spread(contexts, "gram").join(spread(mixed_grams, "gram"), ["gram", SPREAD]).select("gram", "context", (F.col("kinds") > crowd).alias("crowded"), "at.rid", "at.rid2", "at.place")
     edges = stored(_edges(asked, rows), "edges")
     partly = _sorted_edges(edges).union(_counted_edges(edges)).where(F.size("ranges") > 0)
     wholly = contexts.where("times > 1").select("gram", "context", F.lit(True).alias("whole"))
@@ -342,8 +348,8 @@ def spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     keys = ["gram", "context"]
     places = spread(found, *keys).join(spread(covered, *keys), [*keys, SPREAD])
     ranges = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("lo"), F.expr(_SIZE).alias("hi")))).otherwise(F.col("ranges"))
-    one = places.select("rid", F.expr(_START).alias("start"), F.explode(ranges).alias("r"))
-    return one.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))).alias("spans"))
+    one = places.select(*RID, F.expr(_START).alias("start"), F.explode(ranges).alias("r"))
+    return one.groupBy(*RID).agg(F.collect_list(F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))).alias("spans"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -371,10 +377,11 @@ def _cut(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """All columns of ``docs``, ``spans`` (bytes removed: disjoint, maximal, in order) and ``kept`` (the other bytes)."""
     docs = without(docs, "spans", "kept")
-    rows = docs.withColumn("raw", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).withColumn("rid", F.xxhash64("doc_id", "text"))
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
+    numbers = [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit("rid2"), "text", "doc_id").alias("rid2")]
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), raw, *numbers)  # whatever the columns are called
     covered = stored(spans(rows, crowd), "spans")
-    maybe = sieved("rid", sieve(covered, "rid"))
-    rows = rows.withColumn("maybe", maybe)
-    joined = rows.where("maybe").join(covered, "rid", "left").drop("maybe")
-    rest = rows.where("not maybe").withColumn("spans", F.lit(None).cast(_RANGE)).drop("maybe")
-    return _cut(joined.select(*docs.columns, "raw", "spans").unionByName(rest.select(*docs.columns, "raw", "spans"))).drop("raw")
+    rows = rows.withColumn("maybe", sieved("rid", sieve(covered, "rid")))
+    joined = rows.where("maybe").join(covered, [*RID], "left").select("doc", "raw", "spans")
+    rest = rows.where("not maybe").select("doc", "raw", F.lit(None).cast(_RANGE).alias("spans"))
+    return _cut(joined.unionByName(rest)).select("doc.*", "spans", "kept")
