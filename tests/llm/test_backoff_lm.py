@@ -38,7 +38,7 @@ def brute(texts, order, backoff=lm.BACKOFF):
 TEXTS = [*AWKWARD[:7], *AWKWARD[8:], prose(1, 200), prose(1, 150) + " " + prose(2, 50), prose(3, 5), "a b a b a c", "a b a b"]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 @pytest.mark.parametrize("block", [10, 400_000])
 def test_scores_match_counting(spark, monkeypatch, order, block):
     monkeypatch.setattr(lm, "BLOCK", block)
