@@ -143,6 +143,13 @@ query("ssbplus_q8_1", _q8_sql("SP81", "FROM so"))(lambda t: result(q8(t, social(
 query("ssbplus_q8_2", _q8_sql("SP82", "FROM so JOIN p ON user_id = p_partkey"))(
     lambda t: result(q8(t, social(t).join(t.part, [("user_id", "p_partkey")]), "SP82"))
 )
+query("ssbplus_q8_1_circuit", circuit_sql((gate("SP81", "event_type"), "et", "FROM so"), ctes=(SOCIAL,)))(
+    lambda t: q8(t, social(t), "SP81").circuit()
+)
+query(
+    "ssbplus_q8_2_circuit",
+    circuit_sql((gate("SP82", "event_type"), prod("et", "pt"), "FROM so JOIN p ON user_id = p_partkey"), ctes=(SOCIAL,)),
+)(lambda t: q8(t, social(t).join(t.part, [("user_id", "p_partkey")]), "SP82").circuit())
 
 # ---- #9 mentions by day period --------------------------------------------------
 
