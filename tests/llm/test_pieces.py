@@ -15,6 +15,7 @@ ODD = ["  two  spaces  ", "▁mark ▁▁ inside▁", " lead", "trail ", "tab\ta
 def check(spark, texts):
     library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     df = sentencepieces.decode(sentencepieces.encode(table(spark, texts), piece_model()), piece_model())
+    assert sorted(sentencepieces.round_trip(table(spark, texts), piece_model()).collect()) == sorted(df.collect())
     for r in df.collect():
         want = library.encode(texts[r.doc_id] or "", add_eos=True)
         assert r.ids == want, repr(texts[r.doc_id])
@@ -57,3 +58,11 @@ def test_any_ids_decode_as_the_library_does():
 
 def test_query_over_the_whole_table(spark):
     assert op3_sentencepiece(spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_round_trip_takes_awkward_rows(spark):
+    docs = awkward(spark, extra=True)
+    once, twice = sentencepieces.round_trip(docs, piece_model()), sentencepieces.decode(sentencepieces.encode(docs, piece_model()), piece_model())
+    assert once.columns == twice.columns and once.schema.simpleString() == twice.schema.simpleString()
+    assert once.exceptAll(twice).count() == twice.exceptAll(once).count() == 0
+    assert sentencepieces.round_trip(docs.limit(0), piece_model()).count() == 0

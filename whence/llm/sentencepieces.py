@@ -12,16 +12,18 @@ An existing column with the name of the result is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from whence.llm.common import added, batches, ragged, texts, without
 
 MARK = "▁"
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Entries a task's table may hold.
 CHUNKS = 150_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -67,12 +69,7 @@ class Chunks(dict):
         return self.ids[0][starts[rows][which] + place], lengths
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of the text with the end id, as the library encodes the whole text."""
-    if not chunkable(model):
-        raise ValueError("pieces of this model can cross white space markers")
-    docs = without(docs, out)
-
+def _encoding(model: str, text: str, out: str) -> Step:
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _processor(model)
         end, known = processor.eos_id(), Chunks(processor)
@@ -89,7 +86,19 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
             ids = pa.ListArray.from_arrays(pa.array(sums + np.arange(len(sums)), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
-    return docs.mapInArrow(part, added(docs, out, "array<int>"))
+    return part
+
+
+def _checked(model: str) -> str:
+    if not chunkable(model):
+        raise ValueError("pieces of this model can cross white space markers")
+    return model
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """All columns of ``docs`` and the ids of the text with the end id, as the library encodes the whole text."""
+    docs = without(docs, out)
+    return docs.mapInArrow(_encoding(_checked(model), text, out), added(docs, out, "array<int>"))
 
 
 class Bytes:
@@ -121,10 +130,7 @@ class Bytes:
         return self.processor.decode(ids.tolist())
 
 
-def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of ``rows`` and the text of the ids, as the library decodes them; null for null."""
-    rows = without(rows, out)
-
+def _decoding(model: str, ids: str, out: str) -> Step:
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bytes(_processor(model))
         for b in batches(it):
@@ -133,4 +139,18 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
             got = [known.text(flat[lo:hi]) if here else None for lo, hi, here in zip(at[:-1], at[1:], present, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
 
-    return rows.mapInArrow(part, added(rows, out, "string"))
+    return part
+
+
+def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """All columns of ``rows`` and the text of the ids, as the library decodes them; null for null."""
+    rows = without(rows, out)
+    return rows.mapInArrow(_decoding(model, ids, out), added(rows, out, "string"))
+
+
+def round_trip(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one worker for each task instead of two."""
+    docs = without(docs, ids, out)
+    encoding, decoding = _encoding(_checked(model), text, ids), _decoding(model, ids, out)
+    schema = StructType([*added(docs, ids, "array<int>").fields, StructField(out, StringType())])
+    return docs.mapInArrow(lambda it: decoding(encoding(it)), schema)
