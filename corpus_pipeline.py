@@ -47,7 +47,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids and the text these decode to."""
     prepare(spark)
-    return sentencepieces.decode(sentencepieces.encode(docs, piece_model()), piece_model())
+    return sentencepieces.round_trip(docs, piece_model())
 
 
 STAGES = [
