@@ -14,3 +14,22 @@ def test_estimates_from_files_do_not_broadcast(spark, tmp_path):
     other = spark.range(10_000_000).select(F.col("id").cast("string").alias("j"))
     plan = other.join(many, F.col("j") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("join", ["exists", "not_exists"])
+def test_levels_follow_the_rows_of_a_key(spark, frame, monkeypatch, join):
+    rows = [(i, i % 16, i * 1_000_003, (i * 7919) % 128 * 1_000_003) for i in range(128)]  # 8 of a key, far apart
+    a, b = frame("A", "a int, k int, x long, u long", rows), frame("B", "b int, j int, y long, v long", rows)
+    counts = {}
+
+    def counted(df, name):
+        counts[name] = df.count()
+        return df
+
+    monkeypatch.setattr(ranges, "stored", counted)
+    tests = [("x", ">", "y"), ("u", "<", "v")]
+    f = semi_join(a, b, [("k", "j")], "E", tests) if join == "exists" else anti_join(a, b, [("k", "j")], tests)
+    found = {o[0] for o in rows for i in rows if o[1] == i[1] and o[2] > i[2] and o[3] < i[3]}
+    got = {r["a"] for r in f.df.collect()}
+    assert got == (found if join == "exists" else {o[0] for o in rows} - found)
+    assert counts["filed"] <= 128 * 4 and counts["asked"] <= 128 * 4  # 28 bits of values
