@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from whence.operators import ranges
 from whence.operators.subquery import anti_join, semi_join
+from whence.sources.tokens import annotate_keys
 
 
 def test_estimates_from_files_do_not_broadcast(spark, tmp_path):
@@ -33,3 +34,17 @@ def test_levels_follow_the_rows_of_a_key(spark, frame, monkeypatch, join):
     got = {r["a"] for r in f.df.collect()}
     assert got == (found if join == "exists" else {o[0] for o in rows} - found)
     assert counts["filed"] <= 128 * 4 and counts["asked"] <= 128 * 4  # 28 bits of values
+
+
+def test_count_over_one_key_spreads_its_rows(spark):
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "16k")  # else rows this few are one task anyway
+    try:
+        rows = spark.range(100_000).select(F.col("id").alias("l"), F.lit(0.0).alias("z"))
+        f = annotate_keys(rows, "L", ["l"]).count_over(["z"], "n").df.withColumn("p", F.spark_partition_id())
+        sizes = f.groupBy("p", "n").count().collect()
+    finally:
+        spark.conf.set(least, before)
+    assert {r["n"] for r in sizes} == {100_000} and sum(r["count"] for r in sizes) == 100_000
+    assert max(r["count"] for r in sizes) < 60_000
