@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from whence.operators import ranges
-from whence.operators.subquery import anti_join, semi_join
+from whence.operators.semirings import expand
+from whence.operators.subquery import anti_join, any_compare, semi_join
 from whence.sources.tokens import annotate_keys
 
 
@@ -48,3 +49,23 @@ def test_count_over_one_key_spreads_its_rows(spark):
         spark.conf.set(least, before)
     assert {r["n"] for r in sizes} == {100_000} and sum(r["count"] for r in sizes) == 100_000
     assert max(r["count"] for r in sizes) < 60_000
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">=", "<>"])
+def test_levels_of_one_comparison_follow_the_rows_of_a_key(spark, frame, op):
+    holds = {"<": int.__lt__, "<=": int.__le__, ">": int.__gt__, ">=": int.__ge__, "<>": int.__ne__}[op]
+    rows = [(i, i % 16, (i * 7919) % 128 * 1_000_003 - 2**26) for i in range(128)]  # 8 of a key, far apart, of 28 bits
+    rows += [(128, 16, 5), (129, 16, 6), (130, 16, 2**40), (131, 17, 5)]
+    a, b = frame("A", "a int, k int, x long", rows), frame("B", "b int, j int, y long", [r for r in rows if r[2] < 2**40])
+    f = any_compare(a, "x", op, b, "y", "E", [("k", "j")])
+    want = {(f"E[{k}|{x}]", f"B{j}") for _, k, x in rows for j, l, y in rows if k == l and y < 2**40 and holds(x, y)}
+    got = [(r["out"], *r["m"], r["c"]) for r in expand(f, "E").terms.collect()]
+    assert sorted(got) == sorted((*w, 1) for w in want)
+
+
+@pytest.mark.parametrize("op", ["<", ">=", "<>"])
+def test_one_comparison_has_few_levels_for_few_values(spark, op):
+    rows = spark.createDataFrame([(str(i % 16), (i * 7919) % 128 * 1_000_003) for i in range(128)], "__key string, v long")  # 8 of a key, of 27 bits
+    params, inside = rows.select(F.lit("E").alias("gate"), "__key", F.col("v").alias("__x0")), rows.withColumnRenamed("v", "__y0")
+    asked, filed = ranges._met(params, inside, "__x0", "__y0", op)
+    assert max(asked.count(), filed.count()) <= 128 * (9 if op == "<>" else 5)
