@@ -52,6 +52,15 @@ def test_each_form(spark):
         p.texts("whether")
 
 
+def test_texts_group_only_what_can_repeat(spark):
+    p = make(spark, MIXED)
+    plan = lambda *kinds: p.texts(*kinds)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan("how", "boolean")  # different terms stay different
+    assert plan("how", "boolean", "trio", "why", "lineage").count("Aggregate") == 1
+    rows = [tuple(r) for r in p.texts("how", "trio", "why", "lineage").collect()]
+    assert len(rows) == len(set(rows)) and sum(r[1] == "trio" for r in rows) == sum(r[1] == "why" for r in rows) == 6
+
+
 @pytest.mark.parametrize("seed", [0, 2, 10])
 def test_absorption_against_brute_force(spark, seed):
     rng = random.Random(seed)
