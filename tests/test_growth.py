@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from whence.operators import ranges
+from whence.operators import ranges, semirings
 from whence.operators.semirings import expand
 from whence.operators.subquery import anti_join, any_compare, semi_join
 from whence.sources.tokens import annotate_keys
@@ -69,3 +69,13 @@ def test_one_comparison_has_few_levels_for_few_values(spark, op):
     params, inside = rows.select(F.lit("E").alias("gate"), "__key", F.col("v").alias("__x0")), rows.withColumnRenamed("v", "__y0")
     asked, filed = ranges._met(params, inside, "__x0", "__y0", op)
     assert max(asked.count(), filed.count()) <= 128 * (9 if op == "<>" else 5)
+
+
+def test_few_rows_that_make_many_terms_are_spread(spark, frame, monkeypatch):
+    monkeypatch.setattr(semirings, "BLOCK", 1000)
+    a, b = (frame(p, f"{c} int", [(i,) for i in range(300)]) for p, c in (("A", "a"), ("B", "b")))
+    f = any_compare(a, "a", "<", b, "b", "E")
+    made = expand(f, "E", spread=True).terms.withColumn("p", F.spark_partition_id())
+    assert {(r["out"], *r["m"]) for r in made.collect()} == {(f"E[{i}]", f"B{j}") for i in range(300) for j in range(i + 1, 300)}
+    sizes = [r["count"] for r in made.groupBy("p").count().collect()]
+    assert sum(sizes) == 300 * 299 // 2 and max(sizes) < 0.6 * sum(sizes)
