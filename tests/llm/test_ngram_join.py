@@ -192,3 +192,40 @@ def test_count_vectors_decide_before_sets_are_compared(spark):
     sets = spark.createDataFrame(rows, "id long, n long, tokens binary, counts binary")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert [(r.a, r.b) for r in nj._verified(pairs, sets).collect()] == [(1, 2)]
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    tables, stored = [], nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    got = nj.components(spark.createDataFrame([(1, 5), (7, 1), (2, 3)], "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (5, 1), (7, 1), (2, 2), (3, 2)} and len(tables) == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merged_components_are_those_of_all_links(spark, seed):
+    rnd = random.Random(seed)
+    first, second = ([(rnd.randrange(60), rnd.randrange(60)) for _ in range(n)] for n in (20, 25))
+    of = lambda links: spark.createDataFrame(links, "a long, b long")
+    want = sorted(map(tuple, nj.components(of(first + second)).collect()))
+    assert sorted(map(tuple, nj.merged(nj.components(of(first)), of(second)).collect())) == want
+    assert sorted(map(tuple, nj.merged(nj.components(of(first)), of([])).collect())) == sorted(map(tuple, nj.components(of(first)).collect()))
+
+
+def test_sieve_runs_few_jobs(spark):
+    from whence.llm.common import SIEVE_BITS, sieve
+
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("sieve", "sieve")
+    try:
+        ids = spark.range(3000)
+        bits = sieve(ids, "id")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sieve")) < 8
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    at = np.array([r.h for r in ids.selectExpr(f"pmod(xxhash64(id), {1 << SIEVE_BITS}) h").collect()])
+    assert np.all((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1) and sum(int(x).bit_count() for x in bits) == len(set(at))

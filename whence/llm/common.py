@@ -133,8 +133,8 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
     words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("word"))
     bits = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
     out = np.zeros(1 << (SIEVE_BITS - 5), np.uint32)
-    for r in bits.toLocalIterator():
-        out[r.word] = r.bits
+    found = bits.toArrow()  # 3 MB at most; a local iterator would run a job for each partition
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 

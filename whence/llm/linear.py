@@ -76,5 +76,6 @@ def fitted(sample: DataFrame, train: Callable[[Iterator[tuple[str, float]]], np.
     at = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"))
     dealt = sample.select(at.alias("at"), F.pmod(at, F.lit(shards)).alias("shard"), "text", "y")
     ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at").select("shard", "text", "y")
-    parts = [np.frombuffer(r.w, np.float32) for r in ordered.mapInArrow(part, "w binary").toLocalIterator()]
+    # a row for each shard; a local iterator would run a job for each partition
+    parts = [np.frombuffer(r.w, np.float32) for r in ordered.mapInArrow(part, "w binary").collect()]
     return np.mean(parts, axis=0) if parts else np.zeros(size, np.float32)

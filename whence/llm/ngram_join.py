@@ -300,22 +300,37 @@ def _searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in the links (a, b); comp is the smallest id reachable.
 
-    Large-star and small-star steps until nothing changes; each round's edges are a table in the
-    shared folder.  Minima are combined before the shuffle, and a hub's edges join on an exchange
+    Large-star and small-star steps until every id hangs on one root; each round's edges are a table in
+    the shared folder.  Minima are combined before the shuffle, and a hub's edges join on an exchange
     of their own, which AQE splits.
     """
-    edges, before = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), None
-    while True:
+    edges = stored(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), "components")
+    while _unsettled(edges):
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y")
         edges = stored(small.union(least).distinct(), "components")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("x").alias("id"), F.col("y").alias("comp")).union(edges.select("y", "y").distinct())
-        before = now
+    return edges.select(F.col("x").alias("id"), F.col("y").alias("comp")).union(edges.select("y", "y").distinct())
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some x has two y, or is the y of another: if not, the edges are stars with the smallest id in the middle."""
+    ends = edges.select(F.col("x").alias("id"), F.lit(1).alias("up")).union(edges.select("y", F.lit(0)))
+    ids = ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return bool(ids.agg(F.max(F.expr("up > 1 or up = 1 and least = 0"))).first()[0])
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (id, comp) with more links (a, b): only those between its components are followed."""
+    for end in ("a", "b"):
+        of = comp.select(F.col("id").alias(end), F.col("comp").alias("of"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    more = components(links).toDF("was", "now")
+    old = comp.join(more, F.col("comp") == F.col("was"), "left").select("id", F.coalesce("now", "comp").alias("comp"))
+    new = more.join(comp, F.col("was") == F.col("id"), "left_anti")
+    return stored(old.union(new), "components")
 
 
 def _with_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
@@ -350,22 +365,22 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     by_hash = [F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(1, PIVOTS)]
     pivots = shared.groupBy("key").agg(F.array_distinct(F.array(F.first("pivot"), *by_hash)).alias("p"))
     links = stored(_verified(_stars(shared, pivots), sets, percent), "links")
-    held = _with_component(shared, components(links))
+    comp = components(links)
+    held = _with_component(shared, comp)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     central = held.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     best = [F.max_by(F.struct("id", "comp"), F.struct("links", F.xxhash64(F.lit(k), "id"))) for k in (0, 1)]
     several = (F.count(F.lit(1)) > 2) & (F.min("comp") != F.max("comp"))
     pivots = central.groupBy("key").agg(F.array_distinct(F.array(*best)).alias("p"), several.alias("open")).where("open")
-    links = links.union(stored(_verified(_stars(held, pivots.drop("open")), sets, percent), "links"))
-    held = _with_component(shared, components(links))
+    comp = merged(comp, stored(_verified(_stars(held, pivots.drop("open")), sets, percent), "links"))
+    held = _with_component(shared, comp)
 
     keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     keys = keys.where("members > 2 and least != most").select("key", "members")
     rows = spread(held, "key").join(spread(keys, "key"), ["key", SPREAD]).drop(SPREAD)
     more = _searched(rows.join(sets.select("id", "n", "counts"), "id"), percent)
-    links = links.union(stored(_verified(more, sets, percent), "links"))
-    comp = components(links)
+    comp = merged(comp, stored(_verified(more, sets, percent), "links"))
 
     named = classes.join(comp, "id", "left").select("n", "hi", "lo", F.coalesce("comp", "id").alias("comp"))
     rows = marks.join(named, ["n", "hi", "lo"], "left")
