@@ -1,9 +1,14 @@
 """What must not grow with the data: broadcasts chosen by file size, levels of interval trees."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from whence.functions.aggregates import count
 from whence.operators import ranges, semirings
+from whence.operators.cells import cell_join
+from whence.operators.grouping import group
 from whence.operators.semirings import expand
 from whence.operators.subquery import anti_join, any_compare, semi_join
 from whence.sources.tokens import annotate_keys
@@ -79,3 +84,44 @@ def test_few_rows_that_make_many_terms_are_spread(spark, frame, monkeypatch):
     assert {(r["out"], *r["m"]) for r in made.collect()} == {(f"E[{i}]", f"B{j}") for i in range(300) for j in range(i + 1, 300)}
     sizes = [r["count"] for r in made.groupBy("p").count().collect()]
     assert sum(sizes) == 300 * 299 // 2 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_products_of_cells_are_dealt_and_not_merged(spark, frame):
+    rows = [(i, i % 2, i * 37 % 1000 / 1e4, i * 91 % 1000 / 1e4) for i in range(600)]
+    f = frame("V", "i int, s int, x double, y double", rows)
+    left, right = f.filter("s = 0").rename({"x": "ax", "y": "ay"}), f.filter("s = 1")  # one table, no point on both sides
+    g = cell_join(left, right, ("ax", "ay"), ("x", "y"), 1.0, ("P", "Q"))
+    assert g.origin.flat and g.origin.unique and g.df.count() == 1
+    made = expand(g, packed=True).terms
+    assert "HashAggregate(keys=[out" not in made._jdf.queryExecution().executedPlan().toString()
+    made = made.withColumn("p", F.spark_partition_id())
+    want = {tuple(sorted((f"V{i}", f"V{j}"))): 1 for i in range(0, 600, 2) for j in range(1, 600, 2)}
+    assert {tuple(r["m"]): r["c"] for r in made.collect()} == want
+    sizes = [r["count"] for r in made.groupBy("p").count().collect()]
+    assert sum(sizes) == 300 * 300 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_points_on_both_sides_are_still_merged(frame):
+    rows = [(i, i * 37 % 100 / 1e3, i * 91 % 100 / 1e3) for i in range(40)]
+    f = frame("V", "i int, x double, y double", rows)
+    for r, most in ((1.0, 1), (0.04, 16)):
+        g = cell_join(f.rename({"x": "ax", "y": "ay"}), f.filter("i < 30"), ("ax", "ay"), ("x", "y"), r, ("P", "Q"), pairs=most)
+        assert not g.origin.flat
+        plain, packed = (Counter({(r["out"], *r["m"]): r["c"] for r in expand(g, packed=p).terms.collect()}) for p in (False, True))
+        near = lambda p, q: ((p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])) ** 0.5 <= r
+        pairs = Counter(tuple(sorted((f"V{p[0]}", f"V{q[0]}"))) for p in rows for q in rows[:30] if near(p, q))
+        assert plain == packed and {k[1:] for k in packed} == set(pairs)
+        if r == 1.0:  # all in one row: two points on both sides make a term twice
+            assert Counter({k[1:]: c for k, c in packed.items()}) == pairs and 2 in pairs.values()
+
+
+def test_packed_expansion_is_the_expansion(frame, monkeypatch):
+    monkeypatch.setattr(semirings, "PACKED", 3)
+    a, b = (frame(p, f"{c} int, k{c} int", [(i, i % 4) for i in range(50)]) for p, c in (("A", "a"), ("B", "b")))
+    twice = a.union_all(a)  # its derivations repeat
+    for one in (a, twice):
+        g, h = group(one, ["ka"], "G", {"n": count()}), group(b.filter("kb < 3"), ["kb"], "H", {"o": count()})
+        inner, outer = g.join(h, [("ka", "kb")]), g.join(h, [("ka", "kb")], "left")
+        for f in (g, inner, outer, group(inner, ["n"], "I", {"p": count()}), group(inner, [], "J").cross_join(b)):
+            plain, packed = (sorted((r["out"], *r["m"], r["c"]) for r in expand(f, packed=p).terms.collect()) for p in (False, True))
+            assert plain == packed and plain

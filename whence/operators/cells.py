@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from whence.functions import monomials as mono
 from whence.functions.aggregates import count
 from whence.functions.monomials import PROV
-from whence.operators.frame import Gate, ProvFrame, distinct_keys
+from whence.operators.frame import Gate, Origin, ProvFrame, distinct_keys
 from whence.operators.points import distance
 from whence.session import stored
 
@@ -41,7 +41,8 @@ def cell_join(
     ``distance_join``; places where points coincide are decided at once.
 
     Columns: ``level`` and the cells' places (NULL for pairs of points), ``left_points``, ``right_points``, ``pairs``.
-    Points with NULL, NaN or infinite coordinates have no pairs.  Open cells are a table in the shared folder at each level.
+    Points with NULL, NaN or infinite coordinates have no pairs.  Open cells are a table in the shared folder at each level,
+    and all that were decided are another.
     """
     if not r > 0:
         raise ValueError("the distance must be positive")
@@ -52,7 +53,7 @@ def cell_join(
     open_pairs = _neighbours(_counted(a, 0, "a"), _counted(b, 0, "b"))
     for level in range(deepest + 1):
         judged = stored(_judged(open_pairs, r, pairs, level == deepest), "cells")
-        levels.append(judged)
+        levels.append(judged.withColumn("level", F.lit(level)))
         split = judged.filter(F.col("state") == _SPLIT).select("ax", "ay", "bx", "by")
         if split.isEmpty():
             break
@@ -61,12 +62,15 @@ def cell_join(
     gates, holds = left._merge(right)
     if taken := {g.name for g in gates} & set(names) or len(set(names)) < 2:
         raise ValueError(f"gate names {names} are taken or equal: {taken}")
-    whole = [(i, df.filter(F.col("state") == _WHOLE)) for i, df in enumerate(levels)]
-    new = [_cell_gate(f, points, p, name, whole) for f, points, p, name in ((left, a, "a", names[0]), (right, b, "b", names[1]))]
-    rows = [_factored(df, i, names) for i, df in whole]
-    rows += [_compared(df.filter(F.col("state") == _CHECK), a, b, i, r) for i, df in enumerate(levels)]
+    # one table of all levels: a join of its own for each would be dealt by itself, and few of them have much to do
+    decided = stored(reduce(DataFrame.unionAll, levels).filter(F.col("state") != _SPLIT), "decided")
+    whole, check = decided.filter(F.col("state") == _WHOLE), decided.filter(F.col("state") == _CHECK)
+    sides = ((left, a, "a", names[0]), (right, b, "b", names[1]))
+    new = [_cell_gate(f, points, p, name, whole, len(levels)) for f, points, p, name in sides]
+    rows = [_factored(whole, names), _compared(check, a, b, len(levels), r)]
     held = {g: (0, left.holds.get(g, (0, 0))[1] + right.holds.get(g, (0, 0))[1]) for g in {**left.holds, **right.holds}}
-    origin = left.origin.with_(right.origin).times_gate(names[0], left.origin).times_gate(names[1], right.origin)
+    both = _origin(left, right, a, b)
+    origin = both.times_gate(names[0], left.origin).times_gate(names[1], right.origin)
     product = F.col("left_points") * F.col("right_points")
     return ProvFrame(
         reduce(DataFrame.unionAll, rows).withColumn("pairs", product),
@@ -76,12 +80,22 @@ def cell_join(
         (),
         {"left_points": ((names[0], "n"),), "right_points": ((names[1], "n"),)},
         # a pair stands once, either in a row of its own or below one pair of cells
-        type(origin)(origin.stored, origin.base, left.origin.with_(right.origin).unique, left.origin.with_(right.origin).flat),
+        Origin(origin.stored, origin.base, both.unique, both.flat),
         derived=(("pairs", product),),
         settled=left.settled | right.settled | ({"a distance join of rows that a filter on an aggregate chose"} if left.filters or right.filters else set()),
     )
 
 
+def _origin(left: ProvFrame, right: ProvFrame, a: DataFrame, b: DataFrame) -> Origin:
+    """Two sides of one table are like two tables if no token is on both; that is looked up, at the cost of the points and not of the pairs."""
+    one, other, both = left.origin, right.origin, left.origin.with_(right.origin)
+    if left.holds or right.holds or both.flat or not (one.unique and other.unique and one.flat and other.flat):
+        return both
+    tokens = [points.select(F.explode(f"{p}prov").alias(f"__{p}")) for points, p in ((a, "a"), (b, "b"))]
+    shared = tokens[0].join(tokens[1], F.col("__a") == F.col("__b"), "left_semi")
+    return replace(both, unique=True, flat=True) if shared.isEmpty() else both
+
+
 def _placed(frame: ProvFrame, xy: tuple[str, str], r: float, p: str) -> DataFrame:
     """(prov, place, place in units of the first cells); these are a little wider than r, so rounding can't skip one."""
     x, y = (F.col(c).cast("double") for c in xy)
@@ -128,37 +142,38 @@ def _judged(pairs: DataFrame, r: float, most: int, last: bool) -> DataFrame:
     return pairs.filter(size(near) <= r).select("ax", "ay", "an", "bx", "by", "bn", state.alias("state"))
 
 
-def _token(name: str, level: int, p: str) -> Column:
-    return mono.gate_token(name, [F.lit(level), F.col(f"{p}x"), F.col(f"{p}y")])
+def _everywhere(points: DataFrame, levels: int, p: str) -> DataFrame:
+    """Every point with its cell ``at`` of each level."""
+    cells = [F.struct(F.lit(i).alias("level"), *[c.alias(x) for x, c in zip("xy", _cell(p, i))]) for i in range(levels)]
+    return points.withColumn("at", F.explode(F.array(*cells)))
+
 
+def _place(p: str) -> list[Column]:
+    return [F.col("level"), F.col(f"{p}x"), F.col(f"{p}y")]
 
-def _cell_gate(frame: ProvFrame, points: DataFrame, p: str, name: str, whole: Sequence[tuple[int, DataFrame]]) -> Gate:
+
+def _cell_gate(frame: ProvFrame, points: DataFrame, p: str, name: str, whole: DataFrame, levels: int) -> Gate:
     """The points of every cell that stands in a factored row."""
     n = count()
-    parts = []
-    for level, df in whole:
-        used = distinct_keys(df.select(_token(name, level, p).alias("__w")), "__w")
-        members = points.select(f"{p}prov", *_cell(p, level)).select(_token(name, level, p).alias("gate"), F.col(f"{p}prov").alias(PROV))
-        parts.append(members.join(used, F.col("gate") == F.col("__w"), "left_semi").withColumn("t_n", n.tensor()))
-    return Gate(
-        name, reduce(DataFrame.unionAll, parts), {"n": n.folds}, False, True, dict(frame.holds), frame.width, (), frame.origin
-    )
+    used = distinct_keys(whole.select(mono.gate_token(name, _place(p)).alias("__w")), "__w")
+    token = mono.gate_token(name, [F.col("at.level"), F.col("at.x"), F.col("at.y")])
+    members = _everywhere(points, levels, p).select(token.alias("gate"), F.col(f"{p}prov").alias(PROV))
+    members = members.join(used, F.col("gate") == F.col("__w"), "left_semi").withColumn("t_n", n.tensor())
+    return Gate(name, members, {"n": n.folds}, False, True, dict(frame.holds), frame.width, (), frame.origin)
 
 
-def _factored(whole: DataFrame, level: int, names: tuple[str, str]) -> DataFrame:
-    places = [F.col(c) for c in ("ax", "ay", "bx", "by")]
-    tokens = F.array(*[_token(name, level, p) for name, p in zip(names, "ab")])
-    return whole.select(
-        F.lit(level).alias("level"), *places, F.col("an").alias("left_points"), F.col("bn").alias("right_points"), tokens.alias(PROV)
-    )
+def _factored(whole: DataFrame, names: tuple[str, str]) -> DataFrame:
+    tokens = F.array(*[mono.gate_token(name, _place(p)) for name, p in zip(names, "ab")])
+    return whole.select("level", "ax", "ay", "bx", "by", F.col("an").alias("left_points"), F.col("bn").alias("right_points"), tokens.alias(PROV))
 
 
-def _compared(cells: DataFrame, a: DataFrame, b: DataFrame, level: int, r: float) -> DataFrame:
+def _compared(cells: DataFrame, a: DataFrame, b: DataFrame, levels: int, r: float) -> DataFrame:
     """Pairs of points of cells that are few enough to be compared."""
-    df = cells.select("ax", "ay", "bx", "by")
+    df = cells.select("level", "ax", "ay", "bx", "by")
     for points, p in ((a, "a"), (b, "b")):
-        points = points.select(f"{p}prov", f"{p}1", f"{p}2", *[c.alias(f"__{i}") for i, c in enumerate(_cell(p, level))])
-        df = df.join(points, (F.col(f"{p}x") == F.col("__0")) & (F.col(f"{p}y") == F.col("__1"))).drop("__0", "__1")
+        points = _everywhere(points, levels, p).select(f"{p}prov", f"{p}1", f"{p}2", "at")
+        same = [mine == F.col(f"at.{c}") for mine, c in zip(_place(p), ("level", "x", "y"))]
+        df = df.join(points, same[0] & same[1] & same[2]).drop("at")
     df = df.filter(distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")) <= r)
     none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
     places = [none.alias(c) for c in ("ax", "ay", "bx", "by")]
