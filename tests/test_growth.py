@@ -86,6 +86,19 @@ def test_few_rows_that_make_many_terms_are_spread(spark, frame, monkeypatch):
     assert sum(sizes) == 300 * 299 // 2 and max(sizes) < 0.6 * sum(sizes)
 
 
+def test_texts_are_made_before_rows_and_derivations_meet(spark, frame):
+    a, b = (frame(p, f"{c} int", [(i,) for i in range(30)]) for p, c in (("A", "a"), ("B", "b")))
+    f = any_compare(a, "a", "<", b, "b", "E")
+    alone, beside = expand(f, "E", spread=True, text=True).terms, expand(f, spread=True, text=True).terms  # gate tokens alone, and beside others
+    plan = alone.select("out", "text")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert any("array_join" in line and "AS __text" in line for line in plan[joined:])
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    assert sorted((r["out"], r["m"], r["text"], r["c"]) for r in alone.collect()) == sorted((f"E[{i}]", [f"B{j}"], f"B{j}", 1) for i, j in pairs)
+    got = sorted((r["out"], r["m"], r["text"], r["c"]) for r in beside.collect())
+    assert got == sorted((f"A{i} . E[{i}]", [f"A{i}", f"B{j}"], f"A{i} . B{j}", 1) for i, j in pairs)
+
+
 def test_products_of_cells_are_dealt_and_not_merged(spark, frame):
     rows = [(i, i % 2, i * 37 % 1000 / 1e4, i * 91 % 1000 / 1e4) for i in range(600)]
     f = frame("V", "i int, s int, x double, y double", rows)
