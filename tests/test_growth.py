@@ -99,6 +99,29 @@ def test_texts_are_made_before_rows_and_derivations_meet(spark, frame):
     assert got == sorted((f"A{i} . E[{i}]", [f"A{i}", f"B{j}"], f"A{i} . B{j}", 1) for i, j in pairs)
 
 
+def test_keys_with_few_rows_have_no_nodes(frame, monkeypatch):
+    rows = [(i, i % 16, i * 7 % 100, i * 11 % 90) for i in range(160)]
+    a, b = frame("A", "a int, k int, x int, u int", rows), frame("B", "b long, j long, y int, v int", rows)
+    tests = [("x", ">", "y"), ("u", "<", "v")]
+    want = sorted((f"E[{o[1]}|{o[2]}|{o[3]}]", f"B{i[0]}", 1) for o in rows for i in rows if o[1] == i[1] and o[2] > i[2] and o[3] < i[3])
+    for most, nodes in ((100, 0), (99, 1)):  # 10 rows of a key on either side
+        monkeypatch.setattr(ranges, "FEW", most)
+        f = semi_join(a, b, [("k", "j")], "E", tests)
+        assert len(f.gates) == 1 + nodes
+        assert sorted((r["out"], *r["m"], r["c"]) for r in expand(f, "E").terms.collect()) == want
+
+
+def test_rows_that_match_all_of_a_node_take_it_whole(frame, monkeypatch):
+    monkeypatch.setattr(ranges, "FEW", 0)
+    rows = [(i, 0, 1000 + i, i * 37 % 64) for i in range(64)]  # every x is above every y
+    a, b = frame("A", "a int, k int, x int, u int", rows), frame("B", "b int, j int, y int, v int", [(i, 0, i, i * 29 % 64) for i in range(64)])
+    f = semi_join(a, b, [("k", "j")], "E", [("x", ">", "y"), ("u", ">", "v")])
+    assert f.gate("EN0").derivations.count() <= 64 * 4  # u and v have 7 bits, of which half are filed
+    assert expand(f, "E").terms.count() == 64 * 63 // 2
+    none = semi_join(a, b, [("k", "j")], "E", [("x", "<", "y"), ("u", ">", "v")])
+    assert none.df.isEmpty() and none.gate("EN0").derivations.isEmpty()
+
+
 def test_products_of_cells_are_dealt_and_not_merged(spark, frame):
     rows = [(i, i % 2, i * 37 % 1000 / 1e4, i * 91 % 1000 / 1e4) for i in range(600)]
     f = frame("V", "i int, s int, x double, y double", rows)

@@ -8,6 +8,7 @@ from helpers import hows, poly, polynomials
 from pyspark.sql import functions as F
 
 from whence.functions.aggregates import avg, count, max_, min_, sum_
+from whence.operators import ranges
 from whence.operators.subquery import (
     all_compare, anti_join, any_compare, in_, not_in, scalar_compare, semi_join,
 )
@@ -249,6 +250,23 @@ def test_several_comparisons(wide, case, keys):
     assert hows(f, "a") == {a: f"A{a}" for a, m in match.items() if not m}
 
 
+@pytest.mark.parametrize("case, keys, few", [("two", (), 0), ("three", (("k", "j"),), 0), ("or_groups", (("k", "j"),), 150)])
+def test_several_comparisons_by_trees_and_by_pairs(wide, monkeypatch, case, keys, few):
+    outer, inner, frames = wide
+    residual, either = BOXES[case]
+    sizes = {k: sum(o[1] == k for o in outer) * sum(i[1] == k for i in inner) for k in range(4)}
+    assert not few or min(sizes.values()) < few < max(sizes.values())
+    match = {
+        o[0]: [i[0] for i in inner if holds(o, i, [(a, "=", b) for a, b in keys]) and holds(o, i, residual) and (not either or any(holds(o, i, g) for g in either))]
+        for o in outer
+    }
+    monkeypatch.setattr(ranges, "FEW", few)
+    f = semi_join(*frames, keys, "E", residual, either)
+    assert polynomials(f, "a") == {a: poly(*[f"A{a} B{b}" for b in m]) for a, m in match.items() if m}
+    f = anti_join(*frames, keys, residual, either)
+    assert hows(f, "a") == {a: f"A{a}" for a, m in match.items() if not m}
+
+
 @pytest.mark.parametrize("side, keys", [("both", ()), ("both", (("k", "j"),)), ("inner", ()), ("none", (("k", "j"),))])
 def test_not_in_several_columns(spark, frame, wide, keys, side):
     outer, inner, _ = wide
