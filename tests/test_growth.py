@@ -122,6 +122,17 @@ def test_rows_that_match_all_of_a_node_take_it_whole(frame, monkeypatch):
     assert none.df.isEmpty() and none.gate("EN0").derivations.isEmpty()
 
 
+def test_polynomials_are_added_up_before_they_are_expanded(frame, monkeypatch):
+    rows = [(i, i % 2, i * 7 % 40, i * 11 % 30) for i in range(40)]
+    a, b = frame("A", "a int, k int, x int, u int", rows), frame("B", "b int, j int, y int, v int", rows)
+    for most in (0, 4096):
+        monkeypatch.setattr(ranges, "FEW", most)
+        f = semi_join(a, b, [("k", "j")], "E", [("x", ">", "y"), ("u", "<", "v")])
+        want = Counter((str(o[1]), f"B{i[0]}") for o in rows for i in rows if o[1] == i[1] and o[2] > i[2] and o[3] < i[3])
+        got = expand(f, "E", text=True, by=F.regexp_extract("out", r"E\[(\d+)", 1)).terms.collect()
+        assert {(r["out"], r["text"]): r["c"] for r in got} == want and len(got) == len(want)
+
+
 def test_products_of_cells_are_dealt_and_not_merged(spark, frame):
     rows = [(i, i % 2, i * 37 % 1000 / 1e4, i * 91 % 1000 / 1e4) for i in range(600)]
     f = frame("V", "i int, s int, x double, y double", rows)
