@@ -148,6 +148,27 @@ def test_products_of_cells_are_dealt_and_not_merged(spark, frame):
     assert sum(sizes) == 300 * 300 and max(sizes) < 0.6 * sum(sizes)
 
 
+def test_blocks_of_cells_are_dealt_once_and_pairs_of_points_made_once(frame):
+    rows = [(i, i % 2, i * 37 % 1000 / 1e3, i * 91 % 1000 / 1e3) for i in range(200)]
+    f = frame("V", "i int, s int, x double, y double", rows)
+    left, right = f.filter("s = 0").rename({"x": "ax", "y": "ay"}), f.filter("s = 1")
+    g = cell_join(left, right, ("ax", "ay"), ("x", "y"), 0.6, ("P", "Q"), pairs=16)
+    made = expand(g, packed=True).terms
+    plan = made._jdf.queryExecution().optimizedPlan()
+
+    def nodes(p):
+        children = p.children()
+        return [p, *[n for i in range(children.size()) for n in nodes(children.apply(i))]]
+
+    dealt = [n.output().mkString(" ") for n in nodes(plan) if n.nodeName() == "RepartitionByExpression"]
+    assert any("__b0" in d for d in dealt) and not any("__b0" in d and "__b1" in d for d in dealt)
+    assert sum("SQRT" in n.simpleString(10_000) for n in nodes(plan)) == 1
+    near = lambda p, q: ((p[2] - q[2]) * (p[2] - q[2]) + (p[3] - q[3]) * (p[3] - q[3])) ** 0.5 <= 0.6
+    want = sorted(tuple(sorted((f"V{p[0]}", f"V{q[0]}"))) for p in rows for q in rows if p[1] == 0 and q[1] == 1 and near(p, q))
+    assert sorted(tuple(r["m"]) for r in made.collect()) == want
+    assert g.df.filter("level is null").count() > 0 and g.df.filter("level is not null").count() > 0
+
+
 def test_points_on_both_sides_are_still_merged(frame):
     rows = [(i, i * 37 % 100 / 1e3, i * 91 % 100 / 1e3) for i in range(40)]
     f = frame("V", "i int, x double, y double", rows)

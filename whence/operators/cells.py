@@ -72,8 +72,10 @@ def cell_join(
     both = _origin(left, right, a, b)
     origin = both.times_gate(names[0], left.origin).times_gate(names[1], right.origin)
     product = F.col("left_points") * F.col("right_points")
+    rows = [df.withColumn("pairs", product) for df in rows]
+    df = rows[0].unionAll(rows[1])
     return ProvFrame(
-        reduce(DataFrame.unionAll, rows).withColumn("pairs", product),
+        df,
         (*gates, *new),
         {**holds, **held, names[0]: (0, 1), names[1]: (0, 1)},
         left.width + right.width,
@@ -83,6 +85,7 @@ def cell_join(
         Origin(origin.stored, origin.base, both.unique, both.flat),
         derived=(("pairs", product),),
         settled=left.settled | right.settled | ({"a distance join of rows that a filter on an aggregate chose"} if left.filters or right.filters else set()),
+        apart=None if left.holds or right.holds else (df, *rows),
     )
 
 
